@@ -75,6 +75,21 @@ def percent_rank_in_group(df: DataFrame, keys: Sequence[str], value: str, out: s
     return attach(df, pos, [*keys, value])
 
 
+def percent_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str],
+                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Percent ranks of several columns (column -> output name) from one shared count table."""
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in outs]).unpivot(
+        list(keys), list(outs), "__feature", "__value")
+    pos = value_positions(long, [*keys, "__feature"], "__value", rows_per_range).select(
+        *keys, "__feature", "__value", F.try_divide(F.col("n_below"), F.col("n_total") - 1).alias("__rank"))
+    out = df
+    for c, name in outs.items():
+        one = pos.where(F.col("__feature") == c).select(
+            *keys, F.col("__value").alias(f"__v_{c}"), F.col("__rank").alias(name))
+        out = attach(out.withColumn(f"__v_{c}", F.col(c).cast("double")), one, [*keys, f"__v_{c}"]).drop(f"__v_{c}")
+    return out
+
+
 def cume_dist_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str,
                        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Share of non-null rows with a value not above the row's own."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortcast import presets
 from cohortcast.operators.grouped import attach
 from cohortcast.operators.ranks import ROWS_PER_RANGE, cume_dist_in_group, exact_quantiles, prefix_counts
+from cohortcast.session import materialize
 
 
 def standardize_with(df: DataFrame, train: DataFrame, values: Sequence[str], suffix: str = "_std") -> DataFrame:
@@ -104,6 +105,7 @@ def value_score(df: DataFrame, position: str, expected: str, actual: str, resolv
                 replacement: float, out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One scale for all positions: calibrated estimate above the position's replacement level,
     as a share of all rows, in percent."""
+    df = materialize(df, "value-score")
     lines = calibration_lines(df.where(resolved), [position], expected, actual, min_rows)
     cal = attach(df, lines, [position]).withColumn(
         "__cal", F.coalesce("cal_a", F.lit(0.0)) + F.coalesce("cal_b", F.lit(1.0)) * F.col(expected))

@@ -115,6 +115,69 @@ VIEWS = {
                      (1 + ((entity_id * (2 * i + 3) + 5 * i) % 101)) / 101.0 AS w,
                      (1 + ((entity_id * (2 * i + 5) + 7 * i) % 103)) / 103.0 AS v
               FROM oos_raw o, range(5) r(i))""",
+    "comp_base": """
+        SELECT f.*, o.ppg, o.made_it FROM features f JOIN outcome o ON o.entity_id = f.entity_id""",
+    "comp_cohorts": "SELECT DISTINCT cohort_year AS cohort FROM cohort",
+    "comp_long": """
+        SELECT position, cohort_year, 0 AS i, CAST(yards_final AS DOUBLE) AS v FROM features WHERE yards_final IS NOT NULL
+        UNION ALL SELECT position, cohort_year, 1, ypr FROM features WHERE ypr IS NOT NULL
+        UNION ALL SELECT position, cohort_year, 2, forty FROM features WHERE forty IS NOT NULL
+        UNION ALL SELECT position, cohort_year, 3, CAST(weight AS DOUBLE) FROM features WHERE weight IS NOT NULL""",
+    "comp_scale": """
+        SELECT position, cohort, i, CASE WHEN mad > 0 THEN mad * 1.4826 ELSE 1 END AS scale FROM (
+          SELECT position, cohort, i, median(abs(v - m)) AS mad FROM (
+            SELECT l.position, c.cohort, l.i, l.v, median(l.v) OVER (PARTITION BY l.position, c.cohort, l.i) AS m
+            FROM comp_long l JOIN comp_cohorts c ON l.cohort_year < c.cohort) GROUP BY ALL)""",
+    "comp_wide": """
+        SELECT position, cohort, max(CASE WHEN i = 0 THEN scale END) AS s0, max(CASE WHEN i = 1 THEN scale END) AS s1,
+               max(CASE WHEN i = 2 THEN scale END) AS s2, max(CASE WHEN i = 3 THEN scale END) AS s3
+        FROM comp_scale GROUP BY position, cohort""",
+    "comp_pool": """
+        SELECT f.position, c.cohort, count(*) AS n_pool FROM features f JOIN comp_cohorts c ON f.cohort_year < c.cohort GROUP BY ALL""",
+    "comp_cov": """
+        SELECT f.position, c.cohort, var_samp(CASE WHEN yards_final IS NOT NULL THEN yards_final END) AS v0, var_samp(ypr) AS v1,
+               covar_samp(CASE WHEN ypr IS NOT NULL THEN CAST(yards_final AS DOUBLE) END, CASE WHEN yards_final IS NOT NULL THEN ypr END) AS c01,
+               var_samp(forty) AS v2, var_samp(weight) AS v3,
+               covar_samp(CASE WHEN weight IS NOT NULL THEN CAST(forty AS DOUBLE) END, CASE WHEN forty IS NOT NULL THEN CAST(weight AS DOUBLE) END) AS c23
+        FROM features f JOIN comp_cohorts c ON f.cohort_year < c.cohort GROUP BY ALL""",
+    "comp_inv": """
+        SELECT position, cohort, v1 / (v0 * v1 - 0.81 * c01 * c01) AS a00, v0 / (v0 * v1 - 0.81 * c01 * c01) AS a11,
+               -0.9 * c01 / (v0 * v1 - 0.81 * c01 * c01) AS a01, v3 / (v2 * v3 - 0.81 * c23 * c23) AS b00,
+               v2 / (v2 * v3 - 0.81 * c23 * c23) AS b11, -0.9 * c23 / (v2 * v3 - 0.81 * c23 * c23) AS b01
+        FROM (SELECT position, cohort, coalesce(v0, 1) AS v0, coalesce(v1, 1) AS v1, coalesce(c01, 0) AS c01,
+                     coalesce(v2, 1) AS v2, coalesce(v3, 1) AS v3, coalesce(c23, 0) AS c23 FROM comp_cov)""",
+    "all_pairs": """
+        SELECT q.entity_id, q.position, q.cohort_year, p.entity_id AS comp_id, p.ppg AS comp_ppg, p.name AS comp_name,
+               abs(q.slot - p.slot) AS gap,
+               (CAST(q.yards_final AS DOUBLE) - p.yards_final) AS d0, (q.ypr - p.ypr) AS d1, (q.forty - p.forty) AS d2, (q.weight - p.weight) AS d3
+        FROM comp_base q JOIN comp_pool n ON n.position = q.position AND n.cohort = q.cohort_year AND n.n_pool >= 30
+        JOIN comp_base p ON p.position = q.position AND p.cohort_year < q.cohort_year""",
+    "euclid_pairs": """
+        SELECT a.*, round(coalesce(sqrt(CASE WHEN coalesce(d0, d1, d2, d3) IS NULL THEN NULL ELSE
+               coalesce(pow(d0 / s0, 2), 0) + coalesce(pow(d1 / s1, 2), 0) + coalesce(pow(d2 / s2, 2), 0) + coalesce(pow(d3 / s3, 2), 0) END),
+               CAST('inf' AS DOUBLE)), 9) AS distance
+        FROM all_pairs a JOIN comp_wide w ON w.position = a.position AND w.cohort = a.cohort_year""",
+    "mahal_pairs": """
+        SELECT a.*, round(coalesce(sqrt(
+               (1.5 * (CASE WHEN d0 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d1 IS NULL THEN 0 ELSE 0.5 END)
+                    * greatest(0, coalesce(a00 * d0 * d0, 0) + coalesce(2 * a01 * d0 * d1, 0) + coalesce(a11 * d1 * d1, 0))
+                + (CASE WHEN d2 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d3 IS NULL THEN 0 ELSE 0.5 END)
+                    * greatest(0, coalesce(b00 * d2 * d2, 0) + coalesce(2 * b01 * d2 * d3, 0) + coalesce(b11 * d3 * d3, 0)))
+               / nullif(1.5 * (CASE WHEN d0 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d1 IS NULL THEN 0 ELSE 0.5 END)
+                + (CASE WHEN d2 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d3 IS NULL THEN 0 ELSE 0.5 END), 0)), CAST('inf' AS DOUBLE)), 9) AS distance
+        FROM all_pairs a JOIN comp_inv v ON v.position = a.position AND v.cohort = a.cohort_year""",
+    "euclid_comps": """
+        SELECT entity_id, position, cohort_year, comp_id, comp_ppg, comp_name, distance, CAST(rk AS INTEGER) AS comp_rank, d0, d1, d2, d3 FROM (
+          SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY distance, comp_id) AS rk FROM (
+            SELECT *, count(*) FILTER (WHERE gap <= 40) OVER (PARTITION BY entity_id) AS n_in,
+                   row_number() OVER (PARTITION BY entity_id ORDER BY gap, comp_id) AS gap_rk FROM euclid_pairs)
+          WHERE CASE WHEN n_in >= 8 THEN gap <= 40 ELSE gap_rk <= 24 END) WHERE rk <= 8""",
+    "mahal_comps": """
+        SELECT entity_id, position, cohort_year, comp_id, comp_ppg, distance, CAST(rk AS INTEGER) AS comp_rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY distance, comp_id) AS rk FROM (
+            SELECT *, count(*) FILTER (WHERE gap <= 40) OVER (PARTITION BY entity_id) AS n_in,
+                   row_number() OVER (PARTITION BY entity_id ORDER BY gap, comp_id) AS gap_rk FROM mahal_pairs)
+          WHERE CASE WHEN n_in >= 8 THEN gap <= 40 ELSE gap_rk <= 24 END) WHERE rk <= 8""",
 }
 
 

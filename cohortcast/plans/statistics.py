@@ -9,6 +9,7 @@ from cohortcast.operators import grouped, ranks, stats
 from cohortcast.plans import base
 from cohortcast.plans.base import r6
 from cohortcast.plans.registry import query
+from cohortcast.session import materialize
 
 
 @query("center_in_group", """
@@ -101,8 +102,7 @@ def prospect_score(spark, d):
         F.coalesce(F.round("comp_ppg", 9), F.lit(0.0)).alias("c"), F.when(has, F.col("p_bust")).alias("p_bust"),
         F.coalesce(F.when(has, F.round("up", 9)), F.lit(0.0)).alias("u0"), has.alias("has_buckets"),
         F.when(e % 9 != 0, (e % 11) / 10.0).alias("comp_bust"))
-    for c, out in (("u0", "ru"), ("e", "re"), ("c", "rc")):
-        x = ranks.percent_rank_in_group(x, ["position"], c, out)
+    x = ranks.percent_ranks(materialize(x, "score-inputs"), ["position"], {"u0": "ru", "e": "re", "c": "rc"})
     score = composite_score(F.col("ru") * 100, F.col("re") * 100, F.col("rc") * 100, F.col("p_bust"), F.col("comp_bust"),
                             F.col("p_made_it"), F.col("has_buckets"))
     return x.select("entity_id", "position", r6(score).alias("score"))
