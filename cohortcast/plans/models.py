@@ -1 +1,244 @@
-""" """
+"""Model families. Predictions depend on the tree library, so rows, not values, are compared."""
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import functions as F
+
+from cohortcast import presets
+from cohortcast.functions import scores as sc
+from cohortcast.operators import evaluate as ev
+from cohortcast.operators import models as md
+from cohortcast.operators import recipe as rc
+from cohortcast.plans import base
+from cohortcast.plans.base import r6
+from cohortcast.plans.recipe import docs
+from cohortcast.plans.registry import query
+from cohortcast.session import materialize, scratch_path
+
+DOC_FEATURES = ["n_chars", "n_words", "n_stops", "n_lines", "lang_en", "lang_fr", "lang_unknown"]
+FAST = md.Trees(rounds=5, depth=3)
+
+
+def doc_rows(spark, d):
+    """Labelled documents through the whole recipe: zero fill, one-hot, imputation, weights."""
+    x = rc.one_hot(rc.zero_fill(docs(spark, d), {"has_stops": ["n_stops"], "has_lines": ["n_lines"]}), "lang", ["en", "fr"])
+    x = rc.impute(x, rc.learn_medians(x.where("year < 2020"), ["n_stops", "n_lines"]), ["n_stops", "n_lines"])
+    x = rc.class_balance(x, "quality", "class_weight").withColumn(
+        "w", F.col("class_weight") * rc.era_weight(F.col("year"), presets.EARLY_ERA_BEFORE, presets.EARLY_ERA_WEIGHT))
+    return materialize(x.select("doc_id", "year", "quality", "w", *DOC_FEATURES), "doc-rows")
+
+
+COHORT_FEATURES = ["log_slot", "age", "rating", "yards_final", "ypr", "games_final", "forty", "weight", "has_final"]
+
+
+def cohort_rows(spark, d):
+    """Cohort members with imputed features, outcome, bucket and log outcome."""
+    o = base.outcome(spark, d).select("entity_id", "made_it", "ppg")
+    f = base.features(spark, d).join(o, "entity_id").select(
+        "entity_id", "name", "position", "cohort_year", "slot", "made_it", "ppg", F.log("slot").alias("log_slot"), "age", "rating",
+        F.coalesce("yards_final", F.lit(0.0)).alias("yards_final"), F.coalesce("ypr", F.lit(0.0)).alias("ypr"),
+        F.coalesce("games_final", F.lit(0)).cast("double").alias("games_final"), "forty", F.col("weight").cast("double").alias("weight"),
+        F.col("yards_final").isNotNull().cast("double").alias("has_final"),
+        F.when(F.col("ppg") > 0, F.log("ppg")).alias("log_ppg"), sc.assign_bucket(F.col("ppg"), F.lit("WR")).alias("bucket"))
+    f = materialize(f, "cohort-raw")
+    med = rc.learn_medians(f.where("cohort_year < 2000"), ["forty", "weight"])
+    return materialize(rc.impute(f, med, ["forty", "weight"]), "cohort-rows")
+
+
+@query("gbt_classify")
+def gbt_classify(spark, d):
+    x = doc_rows(spark, d)
+    model = md.fit_classifier(x.where("year < 2018"), DOC_FEATURES, "quality", "w", FAST)
+    path = scratch_path(spark, "model")
+    md.save_model(model, path)
+    scored = md.probability_of(PipelineModel.load(path), x.where("year >= 2018"), "p_made_it")
+    return scored.select("doc_id", "year", "quality", r6(F.col("p_made_it")).alias("p_made_it"))
+
+
+@query("gbt_regress")
+def gbt_regress(spark, d):
+    x = cohort_rows(spark, d)
+    model = md.fit_regressor(x.where("cohort_year < 2000 AND made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
+    return md.prediction_of(model, x.where("cohort_year = 2000"), "prod_pred", log_scale=True).select(
+        "entity_id", "position", "ppg", r6(F.col("prod_pred")).alias("prod_pred"))
+
+
+@query("quantile_boost")
+def quantile_boost(spark, d):
+    x = cohort_rows(spark, d)
+    model = md.fit_quantile_boost(x.where("cohort_year < 2000 AND made_it = 1"), COHORT_FEATURES, "log_ppg", 0.7, rounds=4)
+    return model.predict(x.where("cohort_year = 2000"), "log_q70").select(
+        "entity_id", "position", "ppg", r6(F.exp("log_q70")).alias("q70"))
+
+
+@query("tune_time_folds")
+def tune_time_folds(spark, d):
+    x = doc_rows(spark, d)
+    evaluator = BinaryClassificationEvaluator(labelCol="quality", rawPredictionCol="rawPrediction")
+
+    def auc(train, test, trees):
+        return evaluator.evaluate(md.fit_classifier(train, DOC_FEATURES, "quality", "w", trees).transform(test))
+
+    grid = [md.Trees(rounds=3, depth=2), md.Trees(rounds=3, depth=3)]
+    found = md.tune(x, "year", [2012, 2017], presets.FOLD_HORIZON, grid, auc)
+    table = spark.createDataFrame([(s.rounds, s.depth, v, n) for s, v, n in found], "rounds INT, depth INT, auc DOUBLE, n_folds INT")
+    return table.withColumn("best", (F.col("auc") == max(v for _, v, _ in found)).cast("int"))
+
+
+@query("isotonic_calibrate")
+def isotonic_calibrate(spark, d):
+    o = materialize(base.oos(spark, d).select("entity_id", "position", "test_year", "made_it", "p_made_it"), "isotonic")
+    model = md.fit_isotonic(o.where("test_year < 1999"), "p_made_it", "made_it")
+    return md.apply_isotonic(model, o.where("test_year >= 1999"), "p_made_it", "p_iso").select(
+        "entity_id", "position", r6(F.col("p_made_it")).alias("p_made_it"), r6(F.col("p_iso")).alias("p_iso"))
+
+
+@query("bucket_multiclass")
+def bucket_multiclass(spark, d):
+    x = cohort_rows(spark, d)
+    model = md.fit_buckets(x.where("cohort_year < 2000"), COHORT_FEATURES, "bucket", trees=10)
+    p = md.bucket_probabilities(model, x.where("cohort_year = 2000"), "p").select("entity_id", F.posexplode("p").alias("bucket", "p"))
+    return p.withColumn("p", r6(F.col("p")))
+
+
+LEAN = ["log_slot", "age", "rating", "forty", "weight"]
+
+
+def lean_rows(spark, d):
+    """Standardised lean feature set of the ordinal model."""
+    from cohortcast.operators.stats import standardize_with
+    x = cohort_rows(spark, d)
+    return materialize(standardize_with(x, x.where("cohort_year < 2000"), LEAN).select(
+        "entity_id", "position", "cohort_year", "ppg", "bucket", *[F.col(f"{c}_std").alias(c) for c in LEAN]), "lean-rows")
+
+
+@query("ordinal_logit")
+def ordinal_logit(spark, d):
+    x = lean_rows(spark, d)
+    m = md.fit_ordinal(x.where("cohort_year < 2000"), LEAN, "bucket", 5)
+    p = x.where("cohort_year = 2000").select("entity_id", F.posexplode(m.probabilities()).alias("bucket", "p"))
+    return p.withColumn("p", r6(F.col("p")))
+
+
+@query("bootstrap_intervals")
+def bootstrap_intervals(spark, d):
+    x = lean_rows(spark, d)
+    ms = md.fit_bootstrap(x.where("cohort_year < 2000"), "entity_id", LEAN, "bucket", 5, replicates=4, iterations=10)
+    rows = x.where("cohort_year = 2000").select("entity_id", F.explode(F.array(*md.interval_columns(ms, 5))).alias("b")).select("entity_id", "b.*")
+    return rows.withColumns({c: r6(F.col(c)) for c in ("p", "p_lo", "p_hi")})
+
+
+@query("importance")
+def importance(spark, d):
+    x = doc_rows(spark, d)
+    model = md.fit_classifier(x, DOC_FEATURES, "quality", "w", md.Trees(rounds=3))
+    return md.importance_table(spark, model, DOC_FEATURES)
+
+
+FOLDS = (1999, 2000)
+
+
+def hurdle_cv(x, features, trees=md.Trees(rounds=3), calibrate=False):
+    """Rolling hurdle estimate: probability of making it times the back-transformed log outcome."""
+    def fit_predict(train, test):
+        p = md.fit_classifier(train, features, "made_it", None, trees)
+        v = md.fit_regressor(train.where("made_it = 1"), features, "log_ppg", None, trees)
+        scored = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "prod_pred", log_scale=True)
+        if calibrate:
+            iso = md.fit_isotonic(md.probability_of(p, train, "p_made_it"), "p_made_it", "made_it")
+            scored = md.apply_isotonic(iso, scored, "p_made_it", "p_iso")
+        else:
+            scored = scored.withColumn("p_iso", F.col("p_made_it"))
+        return scored.select("entity_id", "position", "cohort_year", "made_it", "ppg", "p_made_it", "p_iso", "prod_pred").withColumn(
+            "exp_ppg", F.greatest(F.col("p_iso") * F.col("prod_pred"), F.lit(0.0)))
+    return md.cross_validate(x, "cohort_year", FOLDS, fit_predict)
+
+
+def metrics(oos):
+    out = ev.error_table(oos, "position", ev.error_aggregates("ppg", "exp_ppg", "p_made_it", "made_it"))
+    return out.withColumns({c: r6(F.col(c)) for c in ("mae", "rmse", "cor", "bias", "accuracy", "brier")})
+
+
+@query("temporal_cv")
+def temporal_cv(spark, d):
+    return metrics(hurdle_cv(cohort_rows(spark, d), COHORT_FEATURES, calibrate=True))
+
+
+@query("ablation_delta")
+def ablation_delta(spark, d):
+    """Error with a feature group left out, next to the error with all features."""
+    x = cohort_rows(spark, d)
+    variants = {"all": COHORT_FEATURES, "no_production": [f for f in COHORT_FEATURES if f not in ("yards_final", "ypr", "games_final")]}
+    runs = None
+    for name, feats in variants.items():
+        run = hurdle_cv(x, feats).withColumn("variant", F.lit(name))
+        runs = run if runs is None else runs.unionByName(run)
+    err = F.abs(F.col("exp_ppg") - F.col("ppg"))
+    wide = runs.groupBy("position").pivot("variant", list(variants)).agg(F.avg(err))
+    return wide.select("position", r6(F.col("all")).alias("mae_all"), r6(F.col("no_production")).alias("mae_without"),
+                       r6(F.col("no_production") - F.col("all")).alias("delta"))
+
+
+@query("cv_param_sweep")
+def cv_param_sweep(spark, d):
+    """Training start year as a swept parameter."""
+    x = cohort_rows(spark, d)
+    rows = None
+    for start in (1996, 1998):
+        run = metrics(hurdle_cv(x.where(F.col("cohort_year") >= start), COHORT_FEATURES)).withColumn("start_year", F.lit(start))
+        rows = run if rows is None else rows.unionByName(run)
+    return rows.where("position = 'ALL'").select("start_year", "n", "mae", "rmse", "cor", "bias")
+
+
+@query("comp_grid_search")
+def comp_grid_search(spark, d):
+    """Holdout error of comparables under category weights, numbers of neighbours and bandwidths.
+
+    One search per weight vector keeps the largest number of neighbours; smaller numbers and the
+    bandwidths are prefixes and reweightings of its result.
+    """
+    from cohortcast.operators import comps as cp
+    from cohortcast.plans.comps import MAHAL, comp_base
+    b = comp_base(spark, d)
+    asked = b.where("cohort_year = 2000 AND made_it = 1")
+    params = cp.search_params(b, cp.cohort_years(asked, "cohort_year"), MAHAL)
+    rows = None
+    for production, measurables in ((1.5, 1.0), (1.0, 1.5)):
+        spec = cp.CompSpec(MAHAL.categories, {"production": production, "measurables": measurables}, k=8)
+        found = cp.nearest_comps(asked, b, spec, ["comp_ppg"], params).join(asked.select("entity_id", "ppg"), "entity_id")
+        for k in (4, 8):
+            for bw in (0.5, 1.0):
+                sim = cp.similarity(bw)
+                est = found.where(F.col("comp_rank") <= k).groupBy("entity_id").agg(
+                    F.first("ppg").alias("ppg"), F.try_divide(F.sum(sim * F.col("comp_ppg")), F.sum(sim)).alias("est"))
+                one = est.agg(F.sqrt(F.avg(F.pow(F.col("est") - F.col("ppg"), F.lit(2)))).alias("rmse")).select(
+                    F.lit(production).alias("w_production"), F.lit(measurables).alias("w_measurables"), F.lit(k).alias("k"),
+                    F.lit(bw).alias("bandwidth"), "rmse")
+                rows = one if rows is None else rows.unionByName(one)
+    table = materialize(rows, "grid")
+    best = table.agg(F.min("rmse").alias("__b"))
+    return table.join(F.broadcast(best)).withColumn("best", (F.col("rmse") == F.col("__b")).cast("int")).drop("__b").withColumn("rmse", r6(F.col("rmse")))
+
+
+@query("score_cohort")
+def score_cohort(spark, d):
+    """Flagship: attach features and comparables, fit on earlier cohorts, score the last one."""
+    from cohortcast.operators import comps as cp
+    from cohortcast.plans.comps import EUCLID
+    x = cohort_rows(spark, d).withColumn("comp_ppg", F.col("ppg"))
+    train, test = x.where("cohort_year < 2000"), x.where("cohort_year = 2000")
+    p = md.fit_classifier(train, COHORT_FEATURES, "made_it", None, FAST)
+    v = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
+    b = md.fit_buckets(train, COHORT_FEATURES, "bucket", trees=10)
+    params = cp.search_params(x, cp.cohort_years(test, "cohort_year"), EUCLID)
+    found = cp.nearest_comps(test, x, EUCLID, ["comp_ppg"], params)
+    comp = cp.comp_features(test, found, params, EUCLID, "comp_ppg").select("entity_id", "comp_weighted_ppg", "comp_bust_rate", "n_pool_used")
+    s = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "log_pred")
+    s = md.bucket_probabilities(b, s, "probs").join(comp, "entity_id", "left").withColumn("role", F.lit("WR"))
+    s = s.withColumn("p_eff", sc.deployed_combiner(F.col("role"), F.col("p_made_it"), F.col("p_made_it")))
+    s = s.withColumns({"exp_ppg": sc.hurdle(F.col("p_eff"), F.col("log_pred")),
+                       "exp_ppg_bucket": sc.expectation(F.col("probs"), sc.midpoints_of(F.col("role")))})
+    s = s.withColumn("model_ppg", sc.blend(F.col("role"), F.col("exp_ppg"), F.col("exp_ppg_bucket"), presets.HURDLE_WEIGHT))
+    s = s.withColumn("final_ppg", sc.blend(F.col("role"), F.col("model_ppg"), F.col("comp_weighted_ppg"), presets.MODEL_WEIGHT))
+    return s.select("entity_id", "name", "position", "cohort_year", "slot", *[r6(F.col(c)).alias(c) for c in (
+        "p_made_it", "p_eff", "exp_ppg", "exp_ppg_bucket", "comp_weighted_ppg", "comp_bust_rate", "final_ppg")], "n_pool_used")
