@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortcast import presets
 from cohortcast.operators.grouped import attach, top_per_group
 from cohortcast.operators.ranks import prefix_counts
-from cohortcast.operators.stats import cohort_years, past_covariance, past_scale
+from cohortcast.operators.stats import cohort_years, for_cohorts, past_covariance, past_scale
 from cohortcast.session import materialize
 
 
@@ -71,13 +71,12 @@ def _inverse(cov: np.ndarray) -> np.ndarray:
         return np.diag(1.0 / diag)
 
 
-def search_params(pool: DataFrame, cohorts: DataFrame, spec: CompSpec) -> DataFrame:
+def search_params(pool: DataFrame, cohorts: Sequence[int], spec: CompSpec) -> DataFrame:
     """One row per (block, cohort): pool size, feature scales and the inverse covariance of each
     category (flattened, in scaled units), all from earlier cohorts."""
     feats, block = spec.features, spec.block
-    other = F.col(spec.year) < F.col("cohort") if spec.strict else F.lit(True)
-    sizes = (pool.groupBy(block, spec.year).agg(F.count("*").alias("n")).join(F.broadcast(cohorts), other)
-             .groupBy(block, "cohort").agg(F.sum("n").alias("n_pool")))
+    per_year = pool.groupBy(block, spec.year).agg(F.count("*").alias("n"))
+    sizes = for_cohorts(per_year, spec.year, cohorts, spec.strict).groupBy(block, "cohort").agg(F.sum("n").alias("n_pool"))
     scale = past_scale(pool, cohorts, [block], spec.year, feats, strict=spec.strict)
     wide = scale.groupBy(block, "cohort").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("feature") == f, F.col("scale"))), F.lit(1.0)) for f in feats]).alias("scale"))
@@ -88,7 +87,7 @@ def search_params(pool: DataFrame, cohorts: DataFrame, spec: CompSpec) -> DataFr
         return materialize(out.withColumn("inv", eye), "comp-params")
     base = pool.select(block, F.col(spec.year), *[F.col(f).cast("double").alias(f) for f in feats])
     # one empty row per (block, cohort) makes a cohort visible that holds no pool rows of its own
-    frame = pool.select(block).distinct().join(F.broadcast(cohorts)).select(block, F.col("cohort").alias(spec.year))
+    frame = pool.select(block).distinct().withColumn(spec.year, F.explode(F.array(*[F.lit(c) for c in cohorts])))
     cov = past_covariance(base.unionByName(frame, allowMissingColumns=True), [block], spec.year, feats, spec.strict)
     cells = cov.groupBy(block, "cohort").agg(F.collect_list(F.struct("i", "j", "cov")).alias("cells"))
     layout, n = spec.layout, len(feats)
@@ -136,7 +135,7 @@ def pair_distance(q: str, p: str, scale: str, inv: str, spec: CompSpec) -> Colum
 # ── nearest by slot alone ───────────────────────────────────────────────────
 
 
-def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: DataFrame, spec: CompSpec, n: int) -> DataFrame:
+def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: Sequence[int], spec: CompSpec, n: int) -> DataFrame:
     """For each distinct (block, cohort, slot) of the queries the `n` pool ids nearest in slot.
 
     The answer depends on the key only, at most the first `n` ids of a slot can be in it, and they lie
@@ -146,8 +145,7 @@ def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: DataFrame, spe
     keys = queries.select(block, F.col(spec.year).alias("cohort"), slot).distinct()
     heads = top_per_group(pool.select(block, spec.year, slot, F.col(ids).alias("comp_id")),
                           [block, spec.year, slot], [F.col("comp_id").asc()], n)
-    other = F.col(spec.year) < F.col("cohort") if spec.strict else F.lit(True)
-    past = top_per_group(heads.join(F.broadcast(cohorts), other).drop(spec.year),
+    past = top_per_group(for_cohorts(heads, spec.year, cohorts, spec.strict).drop(spec.year),
                          [block, "cohort", slot], [F.col("comp_id").asc()], n)
     past = materialize(past, "slot-heads")
     marked = (past.select(block, "cohort", slot).distinct().withColumn("one", F.lit(1).cast("bigint"))
@@ -247,7 +245,7 @@ def _box_pruner(spec: CompSpec, need: int):
     return prune
 
 
-def _block_kernel(spec: CompSpec, payload: Sequence[str], id_types: tuple[str, str]):
+def _block_kernel(spec: CompSpec, payload: Sequence[str]):
     layout, window, k, strict = spec.layout, spec.window, spec.k, spec.strict
     cells_per_step = 2_000_000
     columns = ["qid", "comp_id", "distance", *payload]
@@ -333,28 +331,22 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         p = _cells(pool, spec, splits, [block, year])
         qbox = attach(_boxes(q, spec, [block, year]).withColumnRenamed(year, "cohort"),
                       params.select(block, "cohort", "scale", "inv"), [block, "cohort"])
-        # a box without any strictly earlier cohort is never a candidate
-        other = F.col(year) < F.col("cohort") if spec.strict else F.lit(True)
-        pbox = _boxes(p, spec, [block, year]).join(F.broadcast(cohorts), other)
+        pbox = for_cohorts(_boxes(p, spec, [block, year]), year, cohorts, spec.strict)
         need = spec.k if spec.strict else spec.k + 1
         pairs = qbox.groupBy(block, "cohort").cogroup(pbox.groupBy(block, "cohort")).applyInPandas(
             _box_pruner(spec, need), "qcell string, pcell string")
-        sizes = p.groupBy("cell").agg(F.count("*").alias("__n"))
     else:
         q = asked.withColumn("cell", F.concat_ws("|", F.col(block).cast("string"), F.col(year).cast("string")))
         p = pool.withColumn("cell", F.col(block).cast("string"))
         pairs = asked.select(block, year).distinct().select(
             F.concat_ws("|", F.col(block).cast("string"), F.col(year).cast("string")).alias("qcell"),
             F.col(block).cast("string").alias("pcell"))
-        sizes = None
     pairs = materialize(pairs, "cell-pairs")
 
-    # a cell larger than planned (many equal rows) is split by id so that every task stays bounded
+    # a cell larger than planned (equal rows, or many queries) is split by id: every task stays bounded
     limit = spec.rows_per_cell * 8
 
     def parts(df: DataFrame) -> DataFrame:
-        if sizes is None:
-            return df.groupBy("cell").agg(F.lit(1).alias("parts"))
         return df.groupBy("cell").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
 
     qparts, pparts = parts(q), parts(p)
@@ -382,7 +374,7 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     schema = f"qid {dict(qrows.dtypes)['qid']}, comp_id {kinds['comp_id']}, distance double" + "".join(
         f", {c} {kinds[c]}" for c in payload)
     found = left.cogroup(right).applyInPandas(
-        _block_kernel(spec, payload, (kinds["comp_id"], kinds["comp_id"])), schema).withColumnRenamed("qid", ids)
+        _block_kernel(spec, payload), schema).withColumnRenamed("qid", ids)
     order = [F.col("distance").asc(), F.col("comp_id").asc()]
     main = materialize(top_per_group(found, [ids], order, spec.k, rank_col="comp_rank"), "comps")
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left",
            null_safe: bool = True) -> DataFrame:
     """Join the non-key columns of `other` (one row per key) to `df`."""
-    if not keys:
-        return df.join(F.broadcast(other.limit(1)), how="cross")
     renamed = other.withColumnsRenamed({k: f"__on_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:

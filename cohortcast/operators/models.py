@@ -158,8 +158,11 @@ def fit_buckets(train: DataFrame, features: Sequence[str], bucket: str, trees: i
     return Pipeline(stages=[assembler(features), forest]).fit(train)
 
 
-def bucket_probabilities(model, df: DataFrame, out: str) -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")).drop(*MODEL_COLUMNS)
+def bucket_probabilities(model, df: DataFrame, out: str, levels: int) -> DataFrame:
+    """Probability array over all levels; levels above the largest seen in training get 0."""
+    p = vector_to_array("probability")
+    padded = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(levels) - F.size(p), F.lit(0))))
+    return model.transform(df).withColumn(out, padded).drop(*MODEL_COLUMNS)
 
 
 @dataclass(frozen=True)

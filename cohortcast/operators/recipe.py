@@ -37,10 +37,11 @@ def learn_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, medians: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Missing features take the learned medians (one parameter row, broadcast)."""
-    row = medians.agg(*[F.max(F.when(F.col("feature") == f, F.col("med"))).alias(f"__med_{f}") for f in features])
-    return df.join(F.broadcast(row)).withColumns(
-        {f: F.coalesce(f, f"__med_{f}") for f in features}).drop(*[f"__med_{f}" for f in features])
+    """Missing features take the learned medians (scalar subqueries on the parameter table)."""
+    def learned(f: str) -> Column:
+        return medians.agg(F.max(F.when(F.col("feature") == f, F.col("med")))).scalar()
+
+    return df.withColumns({f: F.coalesce(F.col(f), learned(f)) for f in features})
 
 
 def near_zero_variance(df: DataFrame, features: Sequence[str], freq_cut: float = 95 / 5,
@@ -63,6 +64,5 @@ def era_weight(year: Column, before: int, weight: float) -> Column:
 
 def class_balance(df: DataFrame, label: str, out: str) -> DataFrame:
     """Weight of the positive class = negatives / positives, 1 for the negatives."""
-    ratio = df.agg(F.try_divide(F.sum(1 - F.col(label)), F.sum(label)).alias("__ratio"))
-    return df.join(F.broadcast(ratio)).withColumn(
-        out, F.when(F.col(label) == 1, F.col("__ratio")).otherwise(F.lit(1.0))).drop("__ratio")
+    ratio = df.agg(F.try_divide(F.sum(1 - F.col(label)), F.sum(label))).scalar()
+    return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))

@@ -15,12 +15,10 @@ from cohortcast.session import materialize
 
 
 def standardize_with(df: DataFrame, train: DataFrame, values: Sequence[str], suffix: str = "_std") -> DataFrame:
-    """Scale by the mean and spread of a training set (one parameter row, broadcast)."""
-    params = train.agg(*[F.avg(v).alias(f"__m_{v}") for v in values],
-                       *[F.stddev_samp(v).alias(f"__s_{v}") for v in values])
-    out = df.join(F.broadcast(params))
-    return out.select(*df.columns, *[
-        F.try_divide(F.col(v) - F.col(f"__m_{v}"), F.col(f"__s_{v}")).alias(v + suffix) for v in values])
+    """Scale by the mean and spread of a training set (scalar subqueries, merged into one pass)."""
+    return df.withColumns({
+        v + suffix: F.try_divide(F.col(v) - train.agg(F.avg(v)).scalar(), train.agg(F.stddev_samp(v)).scalar())
+        for v in values})
 
 
 def long_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -46,21 +44,34 @@ def scale_of_counts(counts: DataFrame, by: Sequence[str], rows_per_range: int =
     return attach(med, mad, by).select(*by, "med", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
 
 
-def cohort_years(df: DataFrame, year: str) -> DataFrame:
-    return df.select(F.col(year).alias("cohort")).distinct()
+MAX_COHORTS = 1000
 
 
-def past_scale(pool: DataFrame, cohorts: DataFrame, keys: Sequence[str], year: str, features: Sequence[str],
+def cohort_years(df: DataFrame, year: str) -> list[int]:
+    """The distinct cohort years, in order: a short list, and an error where it is not."""
+    years = [r[0] for r in df.select(year).where(F.col(year).isNotNull()).distinct().limit(MAX_COHORTS + 1).collect()]
+    if len(years) > MAX_COHORTS:
+        raise ValueError(f"more than {MAX_COHORTS} cohorts in {year}")
+    return sorted(years)
+
+
+def for_cohorts(df: DataFrame, year: str, cohorts: Sequence[int], strict: bool = True) -> DataFrame:
+    """Copy each row to the cohorts it may inform: later ones, or all of them."""
+    known = F.array(*[F.lit(c) for c in cohorts])
+    chosen = F.filter(known, lambda c: c > F.col(year)) if strict else known
+    return df.withColumn("cohort", F.explode(chosen))
+
+
+def past_scale(pool: DataFrame, cohorts: Sequence[int], keys: Sequence[str], year: str, features: Sequence[str],
                strict: bool = True, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Robust scale per (keys, cohort, feature) from pool rows of earlier years only.
 
     Values are counted per year before they are copied to the later cohorts, and there are as many
-    copies as cohort years, not as pairs of rows. With `strict` off every other year takes part.
+    copies as cohort years, not as pairs of rows. With `strict` off every year takes part.
     """
     per_year = long_features(pool, [*keys, year], features).groupBy(*keys, year, "feature", "value").agg(
         F.count("*").alias("w"))
-    other = F.col(year) < F.col("cohort") if strict else F.col(year) != F.col("cohort")
-    spread = per_year.join(F.broadcast(cohorts), other)
+    spread = for_cohorts(per_year, year, cohorts, strict)
     by = [*keys, "cohort", "feature"]
     counts = spread.groupBy(*by, "value").agg(F.sum("w").alias("w"))
     return scale_of_counts(counts, by, rows_per_range)
@@ -68,7 +79,7 @@ def past_scale(pool: DataFrame, cohorts: DataFrame, keys: Sequence[str], year: s
 
 def past_covariance(pool: DataFrame, keys: Sequence[str], year: str, features: Sequence[str],
                     strict: bool = True) -> DataFrame:
-    """Pairwise-complete covariances per (keys, cohort, i, j) from the other (earlier) years.
+    """Pairwise-complete covariances per (keys, cohort, i, j) from the earlier (or all) years.
 
     Sums per year are additive: one pass over the rows, then running sums over the few years.
     """
@@ -86,9 +97,7 @@ def past_covariance(pool: DataFrame, keys: Sequence[str], year: str, features: S
     part = Window.partitionBy(*keys, "i", "j").orderBy("cohort")
     frame = part.rowsBetween(Window.unboundedPreceding, -1) if strict else part.rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.lit(0) if strict else F.lit(1)
-    acc = {c: F.sum(c).over(frame) - own * F.coalesce(F.col(c), F.lit(0)) for c in ("n", "sx", "sy", "sxy")}
-    past = sums.select(*keys, "cohort", "i", "j", *[v.alias(c) for c, v in acc.items()])
+    past = sums.select(*keys, "cohort", "i", "j", *[F.sum(c).over(frame).alias(c) for c in ("n", "sx", "sy", "sxy")])
     cov = F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1))
     return past.select(*keys, "cohort", "i", "j", "n", cov.alias("cov"))
 

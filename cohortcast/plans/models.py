@@ -97,7 +97,7 @@ def isotonic_calibrate(spark, d):
 def bucket_multiclass(spark, d):
     x = cohort_rows(spark, d)
     model = md.fit_buckets(x.where("cohort_year < 2000"), COHORT_FEATURES, "bucket", trees=10)
-    p = md.bucket_probabilities(model, x.where("cohort_year = 2000"), "p").select("entity_id", F.posexplode("p").alias("bucket", "p"))
+    p = md.bucket_probabilities(model, x.where("cohort_year = 2000"), "p", 5).select("entity_id", F.posexplode("p").alias("bucket", "p"))
     return p.withColumn("p", r6(F.col("p")))
 
 
@@ -216,8 +216,8 @@ def comp_grid_search(spark, d):
                     F.lit(bw).alias("bandwidth"), "rmse")
                 rows = one if rows is None else rows.unionByName(one)
     table = materialize(rows, "grid")
-    best = table.agg(F.min("rmse").alias("__b"))
-    return table.join(F.broadcast(best)).withColumn("best", (F.col("rmse") == F.col("__b")).cast("int")).drop("__b").withColumn("rmse", r6(F.col("rmse")))
+    best = table.agg(F.min("rmse")).scalar()
+    return table.withColumn("best", (F.col("rmse") == best).cast("int")).withColumn("rmse", r6(F.col("rmse")))
 
 
 @query("score_cohort")
@@ -234,7 +234,7 @@ def score_cohort(spark, d):
     found = cp.nearest_comps(test, x, EUCLID, ["comp_ppg"], params)
     comp = cp.comp_features(test, found, params, EUCLID, "comp_ppg").select("entity_id", "comp_weighted_ppg", "comp_bust_rate", "n_pool_used")
     s = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "log_pred")
-    s = md.bucket_probabilities(b, s, "probs").join(comp, "entity_id", "left").withColumn("role", F.lit("WR"))
+    s = md.bucket_probabilities(b, s, "probs", 5).join(comp, "entity_id", "left").withColumn("role", F.lit("WR"))
     s = s.withColumn("p_eff", sc.deployed_combiner(F.col("role"), F.col("p_made_it"), F.col("p_made_it")))
     s = s.withColumns({"exp_ppg": sc.hurdle(F.col("p_eff"), F.col("log_pred")),
                        "exp_ppg_bucket": sc.expectation(F.col("probs"), sc.midpoints_of(F.col("role")))})

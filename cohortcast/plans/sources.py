@@ -134,9 +134,9 @@ def optional_lookup(spark, d):
     FROM cohort JOIN nation ON n_nationkey = school_id""")
 def assert_unique_key(spark, d):
     nations = layouts.assert_unique(load(spark, d, "nation"), ["n_nationkey"])
-    dups = layouts.duplicate_keys(load(spark, d, "orders"), ["o_custkey"]).agg(F.count("*").alias("n_dup_keys"))
+    dups = layouts.duplicate_keys(load(spark, d, "orders"), ["o_custkey"]).agg(F.count("*"))
     out = base.cohort(spark, d).join(nations, F.col("school_id") == F.col("n_nationkey"))
-    return out.select("entity_id", F.col("n_name").alias("nation")).join(F.broadcast(dups))
+    return out.select("entity_id", F.col("n_name").alias("nation"), dups.scalar().alias("n_dup_keys"))
 
 
 @query("star_left_join", """

@@ -24,7 +24,7 @@ def fill_missing(source: DataFrame, path: str, column: str,
     spark = source.sparkSession
     kind = dict(source.dtypes)[column]
     have = present_partitions(spark, path, column, kind)
-    todo = source.join(F.broadcast(have), column, "left_anti")
+    todo = source.join(have, column, "left_anti")
     result = compute(todo)
     if kind not in ("int", "bigint", "string"):
         raise TypeError(f"partition column of type {kind}")
