@@ -38,6 +38,7 @@ class CompSpec:
     block: str = "position"
     year: str = "cohort_year"
     slot: str = "slot"
+    whole_block_rows: int = 32_000
     rows_per_cell: int = 4000
     max_cells: int = 4096
 
@@ -193,6 +194,22 @@ def _cells(df: DataFrame, spec: CompSpec, splits: Mapping[str, list[float]], lea
     return named.drop(*[f"__g_{f}" for f in splits], *[f"__d_{f}" for f in splits])
 
 
+def _grid_cells(asked: DataFrame, pool: DataFrame, spec: CompSpec) -> tuple[DataFrame, DataFrame]:
+    """Cells of both sides on one grid, fine enough for `rows_per_cell` rows in an average pool cell."""
+    present = F.concat(*[F.col(f).isNotNull().cast("string") for f in spec.features])
+    kinds = pool.groupBy(spec.block, spec.year, present).agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
+    dims = [spec.slot, *spec.features[:2]]
+    wanted = min(spec.max_cells, kinds / spec.rows_per_cell)
+    per_dim = max(1, round(wanted ** (1 / len(dims))))
+    probs = [i / per_dim for i in range(1, per_dim)]
+    splits = {}
+    for c in dims if probs else ():
+        cuts = pool.select(F.col(c).cast("double").alias("v")).where("v is not null").stat.approxQuantile("v", probs, 0.01)
+        splits[c] = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    lead = [spec.block, spec.year]
+    return _cells(asked, spec, splits, lead), _cells(pool, spec, splits, lead)
+
+
 def _boxes(df: DataFrame, spec: CompSpec, lead: Sequence[str]) -> DataFrame:
     dims = [spec.slot, *spec.features]
     return df.groupBy("cell").agg(
@@ -240,7 +257,8 @@ def _box_pruner(spec: CompSpec, need: int):
                 hits = np.flatnonzero((near[:, 0] <= window) & (low <= bound * (1 + 1e-9) + 1e-9))
                 keep_q.extend([row["cell"]] * len(hits))
                 keep_p.extend(pcell[hits])
-        return pd.DataFrame({"qcell": keep_q, "pcell": keep_p}, dtype=object)
+        # an empty frame carries no columns: empty text columns have no single Arrow form
+        return pd.DataFrame({"qcell": keep_q, "pcell": keep_p}) if keep_q else pd.DataFrame()
 
     return prune
 
@@ -248,14 +266,13 @@ def _box_pruner(spec: CompSpec, need: int):
 def _block_kernel(spec: CompSpec, payload: Sequence[str]):
     layout, window, k, strict = spec.layout, spec.window, spec.k, spec.strict
     cells_per_step = 2_000_000
-    columns = ["qid", "comp_id", "distance", *payload]
 
     def matrix(col: pd.Series) -> np.ndarray:
         return np.array([[np.nan if x is None else x for x in r] for r in col], dtype=float)
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame()
         p = p.sort_values("comp_id", kind="stable")
         scale = np.asarray(q["scale"].iloc[0], dtype=float)
         invs = [np.asarray(v, dtype=float) for v in q["inv"].iloc[0]]
@@ -286,15 +303,15 @@ def _block_kernel(spec: CompSpec, payload: Sequence[str]):
                 weight += w * frac
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = np.where(weight > 0, np.sqrt(total / weight), np.inf).round(9)
-            for r in range(dist.shape[0]):
-                cand = np.flatnonzero(allowed[r])
-                if not len(cand):
-                    continue
-                best = cand[np.argsort(dist[r, cand], kind="stable")[:k]]
-                found.append((np.repeat(qid[s + r], len(best)), best, dist[r, best]))
-        if not found:
-            return pd.DataFrame({c: [] for c in columns})
+            # rows that may not be paired become NaN and sort last; ties keep the id order of p
+            dist[~allowed] = np.nan
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(dist, best, axis=1)
+            at, col = np.nonzero(~np.isnan(near))
+            found.append((qid[sl][at], best[at, col], near[at, col]))
         at = np.concatenate([f[1] for f in found])
+        if not len(at):
+            return pd.DataFrame()
         out = {"qid": np.concatenate([f[0] for f in found]), "comp_id": pid[at],
                "distance": np.concatenate([f[2] for f in found])}
         for c in payload:
@@ -318,29 +335,26 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     asked = queries.join(enough.select(block, F.col("cohort").alias(year)), [block, year], "left_semi")
     asked, pool = materialize(asked, "comp-queries"), materialize(pool, "comp-pool")
 
-    cells = min(spec.max_cells, -(-pool.count() // spec.rows_per_cell))
-    dims = [slot, *spec.features[:2]]
-    per_dim = max(1, round(cells ** (1 / len(dims))))
-    if per_dim > 1:
-        probs = [i / per_dim for i in range(1, per_dim)]
-        splits = {}
-        for c in dims:
-            cuts = pool.select(F.col(c).cast("double").alias("v")).where("v is not null").stat.approxQuantile("v", probs, 0.01)
-            splits[c] = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        q = _cells(asked, spec, splits, [block, year])
-        p = _cells(pool, spec, splits, [block, year])
-        qbox = attach(_boxes(q, spec, [block, year]).withColumnRenamed(year, "cohort"),
+    # a block small enough for one task is one cell; only larger blocks are cut by the grid
+    sizes = pool.groupBy(block).agg((F.count("*") > spec.whole_block_rows).alias("__big"))
+    asked_by, pool_by = (attach(df, sizes, [block]).withColumn("__big", F.coalesce("__big", F.lit(False)))
+                         for df in (asked, pool))
+    whole = F.col(block).cast("string")
+    q = asked_by.where("not __big").withColumn("cell", F.concat_ws("|", whole, F.col(year).cast("string")))
+    p = pool_by.where("not __big").withColumn("cell", whole)
+    pairs = asked_by.where("not __big").select(block, year).distinct().select(
+        F.concat_ws("|", whole, F.col(year).cast("string")).alias("qcell"), whole.alias("pcell"))
+    if not sizes.where("__big").isEmpty():
+        big_pool = pool_by.where("__big")
+        q_big, p_big = _grid_cells(asked_by.where("__big"), big_pool, spec)
+        qbox = attach(_boxes(q_big, spec, [block, year]).withColumnRenamed(year, "cohort"),
                       params.select(block, "cohort", "scale", "inv"), [block, "cohort"])
-        pbox = for_cohorts(_boxes(p, spec, [block, year]), year, cohorts, spec.strict)
+        pbox = for_cohorts(_boxes(p_big, spec, [block, year]), year, cohorts, spec.strict)
         need = spec.k if spec.strict else spec.k + 1
-        pairs = qbox.groupBy(block, "cohort").cogroup(pbox.groupBy(block, "cohort")).applyInPandas(
+        near_cells = qbox.groupBy(block, "cohort").cogroup(pbox.groupBy(block, "cohort")).applyInPandas(
             _box_pruner(spec, need), "qcell string, pcell string")
-    else:
-        q = asked.withColumn("cell", F.concat_ws("|", F.col(block).cast("string"), F.col(year).cast("string")))
-        p = pool.withColumn("cell", F.col(block).cast("string"))
-        pairs = asked.select(block, year).distinct().select(
-            F.concat_ws("|", F.col(block).cast("string"), F.col(year).cast("string")).alias("qcell"),
-            F.col(block).cast("string").alias("pcell"))
+        q, p, pairs = q.unionByName(q_big), p.unionByName(p_big), pairs.unionByName(near_cells)
+    q, p = q.drop("__big"), p.drop("__big")
     pairs = materialize(pairs, "cell-pairs")
 
     # a cell larger than planned (equal rows, or many queries) is split by id: every task stays bounded
