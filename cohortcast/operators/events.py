@@ -24,14 +24,13 @@ def rushing(df: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     agg = df.groupBy(*keys).agg(
         F.count("*").alias("carries"), sum0("yards").alias("rush_yards"),
         F.count_if(y >= 10).alias("explosive"), F.count_if(y >= 15).alias("breakaway"),
-        sum0("epa").alias("total_epa"), F.count_distinct("game").alias("games"))
+        sum0("epa").alias("total_epa"), F.avg("epa").alias("epa_per_rush"), F.count_distinct("game").alias("games"))
     c = F.col("carries")
     return agg.withColumns({
         "ypc": guarded_ratio(F.col("rush_yards"), c),
         "explosive_rate": guarded_ratio(F.col("explosive"), c),
         "breakaway_rate": guarded_ratio(F.col("breakaway"), c),
-        "carries_per_game": guarded_ratio(c, F.col("games")),
-        "epa_per_rush": guarded_ratio(F.col("total_epa"), c)})
+        "carries_per_game": guarded_ratio(c, F.col("games"))})
 
 
 def receiving(df: DataFrame, caught: Column, keys: Sequence[str] = GROUP) -> DataFrame:
@@ -40,14 +39,13 @@ def receiving(df: DataFrame, caught: Column, keys: Sequence[str] = GROUP) -> Dat
         F.count("*").alias("targets"), F.count_if(caught).alias("receptions"),
         sum_if(caught, F.col("yards")).alias("rec_yards"),
         F.count_if(caught & (F.col("yards") >= 20)).alias("explosive_rec"),
-        sum0("epa").alias("total_epa_rec"), F.count_distinct("game").alias("rec_games"))
+        sum0("epa").alias("total_epa_rec"), F.avg("epa").alias("epa_per_target"), F.count_distinct("game").alias("rec_games"))
     t = F.col("targets")
     return agg.withColumns({
         "catch_rate": guarded_ratio(F.col("receptions"), t),
         "yards_per_target": guarded_ratio(F.col("rec_yards"), t),
         "targets_per_game": guarded_ratio(t, F.col("rec_games")),
-        "explosive_rec_rate": guarded_ratio(F.col("explosive_rec"), F.col("receptions")),
-        "epa_per_target": guarded_ratio(F.col("total_epa_rec"), t)})
+        "explosive_rec_rate": guarded_ratio(F.col("explosive_rec"), F.col("receptions"))})
 
 
 def dropbacks(df: DataFrame, attempt: Column, sack: Column, complete: Column, interception: Column,
