@@ -40,19 +40,21 @@ def prefix_counts(counts: DataFrame, keys: Sequence[str], value: str, measures:
             table.withColumn("__v", F.col(value).cast("double"))).drop("__v")
     else:
         table = table.withColumn("__range", F.lit(0.0))
-    per_range = table.groupBy(*keys, "__range").agg(*[F.sum(m).alias(f"__r_{m}") for m in measures])
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    # one struct key: equal where the same parts are null, and the same hash partitioning serves the
+    # windows and the join below, so the counts are shuffled once
+    table = table.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    per_range = table.groupBy("__key", "__range").agg(*[F.sum(m).alias(f"__r_{m}") for m in measures])
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__key")
     offsets = per_range.select(
-        *keys, "__range",
+        "__key", "__range",
         *[F.coalesce(F.sum(f"__r_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
         *[F.sum(f"__r_{m}").over(whole).alias(f"{m}_total") for m in measures],
     )
-    local = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("__key", "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = table.select(
         "*", *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"__in_{m}") for m in measures])
-    joined = attach(inner, offsets, [*keys, "__range"])
-    return joined.select(
+    return inner.join(offsets, ["__key", "__range"]).select(
         *counts.columns,
         *[(F.col(f"__off_{m}") + F.col(f"__in_{m}")).alias(f"{m}_below") for m in measures],
         *[F.col(f"{m}_total") for m in measures],
