@@ -102,3 +102,10 @@ def peer_count(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Number of other members of the group."""
     sizes = df.groupBy(*keys).agg((F.count("*") - 1).alias(out))
     return attach(df, sizes, keys)
+
+
+def inner_with_suffixes(left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str]) -> DataFrame:
+    """Inner join; columns both sides have besides the keys get a suffix each."""
+    clash = [c for c in left.columns if c in right.columns and c not in keys]
+    return left.withColumnsRenamed({c: c + suffixes[0] for c in clash}).join(
+        right.withColumnsRenamed({c: c + suffixes[1] for c in clash}), list(keys))

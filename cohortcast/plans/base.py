@@ -57,7 +57,7 @@ def outcome_seasons(spark: SparkSession, d: str) -> DataFrame:
         F.col("season").between(F.col("cohort_year"), F.col("cohort_year") + SEASONS - 1)
     ).select("entity_id", "position", "cohort_year",
              (F.col("season") - F.col("cohort_year") + 1).alias("season_num"), "games",
-             (F.col("cents") / F.lit(4000000.0) / F.col("games")).alias("season_ppg"))
+             (F.col("cents") / F.lit(3999971.0) / F.col("games")).alias("season_ppg"))
 
 
 def production(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,7 @@ VIEWS = {
         FROM customer""",
     "outcome_seasons": """
         SELECT c.entity_id, c.position, c.cohort_year, p.season - c.cohort_year + 1 AS season_num,
-               p.games, p.cents / 4000000.0 / p.games AS season_ppg
+               p.games, p.cents / 3999971.0 / p.games AS season_ppg
         FROM cohort c JOIN panel p ON c.entity_id = p.entity_id
         WHERE p.season BETWEEN c.cohort_year AND c.cohort_year + 2""",
     "production": """

@@ -156,3 +156,16 @@ def before_after(spark, d):
     a = F.avg(F.abs(F.col("ppg") - F.coalesce("exp_ppg_bucket", "exp_ppg")))
     return base.oos(spark, d).groupBy("position", group.alias("round_group")).agg(
         F.count("*").alias("n"), r6(b).alias("mae_before"), r6(a).alias("mae_after"), r6(a - b).alias("delta"))
+
+
+@query("inner_suffix_join", """
+    SELECT h.entity_id, h.position, round(h.exp_ppg, 6) AS exp_ppg_hurdle, round(b.exp_ppg, 6) AS exp_ppg_bucket, round(h.ppg, 6) AS ppg
+    FROM oos h JOIN (SELECT entity_id, exp_ppg_bucket AS exp_ppg FROM oos WHERE exp_ppg_bucket IS NOT NULL) b ON b.entity_id = h.entity_id""")
+def inner_suffix_join(spark, d):
+    """Two prediction tables side by side, clashing columns told apart by suffix."""
+    from cohortcast.operators.match import inner_with_suffixes
+    o = base.oos(spark, d)
+    hurdle = o.select("entity_id", "position", "ppg", "exp_ppg")
+    bucket = o.where("exp_ppg_bucket is not null").select("entity_id", F.col("exp_ppg_bucket").alias("exp_ppg"))
+    out = inner_with_suffixes(hurdle, bucket, ["entity_id"], ("_hurdle", "_bucket"))
+    return out.withColumns({c: r6(F.col(c)) for c in ("exp_ppg_hurdle", "exp_ppg_bucket", "ppg")})

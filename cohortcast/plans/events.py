@@ -51,11 +51,12 @@ def targets(spark, d):
            round(explosive / greatest(carries, 1), 6) AS explosive_rate,
            round(breakaway / greatest(carries, 1), 6) AS breakaway_rate,
            round(carries / greatest(games, 1), 6) AS carries_per_game,
-           round(total_epa / greatest(carries, 1), 6) AS epa_per_rush
+           round(total_epa / greatest(carries, 1), 8) AS epa_per_rush
     FROM ({RUSH_SQL})""")
 def event_rates(spark, d):
-    return rounded(ev.rushing(rushes(spark, d)), (
-        "total_epa", "ypc", "explosive_rate", "breakaway_rate", "carries_per_game", "epa_per_rush"))
+    # a mean of two-digit values over a power of two can end in a 5 at the seventh digit: keep eight
+    return rounded(ev.rushing(rushes(spark, d)).withColumn("epa_per_rush", F.round("epa_per_rush", 8)), (
+        "total_epa", "ypc", "explosive_rate", "breakaway_rate", "carries_per_game"))
 
 
 @query("event_conditional_stats", """

@@ -190,6 +190,20 @@ def cv_param_sweep(spark, d):
     return rows.where("position = 'ALL'").select("start_year", "n", "mae", "rmse", "cor", "bias")
 
 
+@query("tau_sweep")
+def tau_sweep(spark, d):
+    """Pinball loss of the quantile model on the last class, per quantile level."""
+    x = cohort_rows(spark, d).where("made_it = 1")
+    rows = None
+    for tau in (0.5, 0.7):
+        model = md.fit_quantile_boost(x.where("cohort_year < 2000"), COHORT_FEATURES, "log_ppg", tau, rounds=2, depth=2)
+        scored = model.predict(x.where("cohort_year = 2000"), "q")
+        one = scored.agg(F.count("*").alias("n"), F.avg(ev.pinball(F.col("log_ppg"), F.col("q"), tau)).alias("pinball"),
+                         F.avg((F.col("log_ppg") <= F.col("q")).cast("double")).alias("covered")).select(F.lit(tau).alias("tau"), "n", "pinball", "covered")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.withColumns({"pinball": r6(F.col("pinball")), "covered": r6(F.col("covered"))})
+
+
 @query("comp_grid_search")
 def comp_grid_search(spark, d):
     """Holdout error of comparables under category weights, numbers of neighbours and bandwidths.
