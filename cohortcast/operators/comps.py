@@ -326,14 +326,14 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     """The `k` nearest pool rows of each query within its slot window, or among the `3k` nearest slots
     where the window holds fewer than `k`; ranked, with distances and payload columns.
 
-    Queries whose earlier pool is smaller than `min_pool` get no rows.
+    Queries whose earlier pool is smaller than `min_pool` get no rows. `queries` and `pool` are read
+    several times: pass written tables (`materialize`) rather than long plans.
     """
     ids, block, year, slot = spec.ids, spec.block, spec.year, spec.slot
     cohorts = cohort_years(queries, year)
     params = params if params is not None else search_params(pool, cohorts, spec)
     enough = params.where(F.col("n_pool") >= spec.min_pool)
     asked = queries.join(enough.select(block, F.col("cohort").alias(year)), [block, year], "left_semi")
-    asked, pool = materialize(asked, "comp-queries"), materialize(pool, "comp-pool")
 
     # a block small enough for one task is one cell; only larger blocks are cut by the grid
     sizes = pool.groupBy(block).agg((F.count("*") > spec.whole_block_rows).alias("__big"))
@@ -353,9 +353,9 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         need = spec.k if spec.strict else spec.k + 1
         near_cells = qbox.groupBy(block, "cohort").cogroup(pbox.groupBy(block, "cohort")).applyInPandas(
             _box_pruner(spec, need), "qcell string, pcell string")
+        near_cells = materialize(near_cells, "cell-pairs")
         q, p, pairs = q.unionByName(q_big), p.unionByName(p_big), pairs.unionByName(near_cells)
     q, p = q.drop("__big"), p.drop("__big")
-    pairs = materialize(pairs, "cell-pairs")
 
     # a cell larger than planned (equal rows, or many queries) is split by id: every task stays bounded
     limit = spec.rows_per_cell * 8
@@ -395,7 +395,6 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     # fewer than k in the window: take the nearest slots instead
     short = asked.join(main.groupBy(ids).agg(F.count("*").alias("__k")), ids, "left").where(
         F.coalesce("__k", F.lit(0)) < spec.k).drop("__k")
-    short = materialize(short, "short-queries")
     if short.isEmpty():
         return main
     near = nearest_by_slot(short, pool, cohorts, spec, 3 * spec.k + (0 if spec.strict else 1))

@@ -21,6 +21,7 @@ from cohortcast.operators import recipe as rc
 from cohortcast.operators.grouped import attach, best_row, zscore_in_group
 from cohortcast.operators.match import add_stripped_variants, coalesce_passes
 from cohortcast.operators.ranks import percent_ranks
+from cohortcast.session import materialize
 from cohortcast.sources.layouts import conform, optional_lookup
 
 RAW = {
@@ -230,6 +231,7 @@ def comp_table(data: DataFrame, position: str, era_normalised: tuple[str, ...] =
     if have:
         z = zscore_in_group(mine, ["draft_year"], have)
         mine = z.drop(*have).withColumnsRenamed({f"{f}_z": f for f in have})
+    mine = materialize(mine, "comp-table")
     pool = mine.where(F.col("ppg").isNotNull()).withColumn("comp_ppg", F.col("ppg"))
     params = cp.search_params(pool, cp.cohort_years(mine, "draft_year"), spec)
     return cp.comp_features(mine, cp.nearest_comps(mine, pool, spec, ["comp_ppg"], params), params, spec, "comp_ppg")
