@@ -84,25 +84,24 @@ def pinball(actual: Column, predicted: Column, tau: float) -> Column:
     return F.greatest(tau * e, (tau - 1) * e)
 
 
-def combiner_grid() -> Column:
-    """All combiner settings as one constant array; rows are expanded in place, nothing is joined."""
-    alpha = "transform(sequence(0, 20), a -> round(a * 0.05D, 2))"
-    beta = "transform(sequence(-6, 6), b -> round(b * 0.025D, 3))"
-    gamma = "array(" + ", ".join(f"{g}D" for g in presets.GAMMA_GRID) + ")"
+def combiner_settings() -> list[tuple[str, float, float, float]]:
+    """(transform, alpha, beta, gamma) of every combiner tried."""
+    alphas = [round(0.05 * i, 2) for i in range(21)]
+    betas = [round(0.025 * i, 3) for i in range(-6, 7)]
+    out = [("identity", 1.0, 0.0, 1.0), ("isotonic", 1.0, 0.0, 1.0)]
+    out += [(t, a, 0.0, 1.0) for t in ("shrink", "iso_shrink") for a in alphas]
+    out += [(t, a, b, 1.0) for t in ("linear", "iso_linear") for a in alphas for b in betas]
+    return out + [("power_shrink", a, 0.0, g) for a in alphas for g in presets.GAMMA_GRID]
 
-    def one(t, a, b, g):
-        return f"named_struct('transform', '{t}', 'alpha', {a}, 'beta', {b}, 'gamma', {g})"
 
-    def over(outer, inner=None, body=""):
-        return f"flatten(transform({outer}, x -> transform({inner}, y -> {body})))" if inner else f"transform({outer}, x -> {body})"
+def combiner_grid() -> Column:
+    """All settings as one constant array; rows are expanded in place, nothing is joined.
 
-    parts = [
-        f"array({one('identity', '1D', '0D', '1D')})", f"array({one('isotonic', '1D', '0D', '1D')})",
-        over(alpha, body=one("shrink", "x", "0D", "1D")), over(alpha, body=one("iso_shrink", "x", "0D", "1D")),
-        over(alpha, beta, one("linear", "x", "y", "1D")), over(alpha, beta, one("iso_linear", "x", "y", "1D")),
-        over(alpha, gamma, one("power_shrink", "x", "0D", "y")),
-    ]
-    return F.expr(f"concat({', '.join(parts)})")
+    Plain literals, so that the optimizer folds it to a single value instead of building it per row.
+    """
+    items = ", ".join(f"named_struct('transform', '{t}', 'alpha', {a}D, 'beta', {b}D, 'gamma', {g}D)"
+                      for t, a, b, g in combiner_settings())
+    return F.expr(f"array({items})")
 
 
 SETTING = ("transform", "alpha", "beta", "gamma")
@@ -113,11 +112,16 @@ def combiner_errors(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Columns needed: p_made_it, p_iso, base_rate, prod_pred, ppg.
     """
-    wide = df.select(*keys, "p_made_it", "p_iso", "base_rate", "prod_pred", "ppg", F.explode(combiner_grid()).alias("g"))
+    # every row becomes as many as there are settings: spread the compact rows over all cores first
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(*keys, "p_made_it", "p_iso", "base_rate", "prod_pred", "ppg").repartition(tasks)
+    wide = rows.select("*", F.posexplode(combiner_grid()).alias("i", "g"))
     p_eff = combine(F.col("g.transform"), F.col("g.alpha"), F.col("g.beta"), F.col("g.gamma"),
                     F.col("p_made_it"), F.col("p_iso"), F.col("base_rate"))
     err = F.abs(F.col("ppg") - F.greatest(p_eff * F.col("prod_pred"), F.lit(0.0)))
-    return wide.groupBy(*keys, *[F.col(f"g.{c}").alias(c) for c in SETTING]).agg(F.count("*").alias("n"), F.sum(err).alias("err"))
+    sums = wide.groupBy(*keys, "i").agg(F.count("*").alias("n"), F.sum(err).alias("err"))
+    return sums.select(*keys, F.get(combiner_grid(), F.col("i")).alias("g"), "n", "err").select(*keys, "g.*", "n", "err")
 
 
 def leave_one_fold_out(errors: DataFrame, group: Sequence[str], fold: str) -> DataFrame:

@@ -81,10 +81,12 @@ def past_covariance(pool: DataFrame, keys: Sequence[str], year: str, features: S
                     strict: bool = True) -> DataFrame:
     """Pairwise-complete covariances per (keys, cohort, i, j) from the earlier (or all) years.
 
-    Sums per year are additive: one pass over the rows, then running sums over the few years.
+    Sums per year are additive: one pass over the rows, then running sums over the few years. Values
+    are taken from the overall mean first, which leaves covariances as they are and keeps the sums of
+    products small.
     """
     pairs = list(combinations_with_replacement(range(len(features)), 2))
-    cols = [F.col(f).cast("double") for f in features]
+    cols = [F.col(f).cast("double") - pool.agg(F.avg(f)).scalar() for f in features]
     aggs = []
     for i, j in pairs:
         both = cols[i].isNotNull() & cols[j].isNotNull()

@@ -74,7 +74,7 @@ def robust_scale(spark, d):
     JOIN v b ON b.entity_id = a.entity_id AND b.i >= a.i GROUP BY ALL""")
 def pairwise_cov(spark, d):
     f = base.features(spark, d).select("position", "cohort_year", (F.col("yards_final") / 100).alias("a"), F.col("ypr").alias("b"), F.col("forty").alias("c"))
-    out = stats.past_covariance(f, ["position"], "cohort_year", ["a", "b", "c"])
+    out = stats.past_covariance(materialize(f, "cov-input"), ["position"], "cohort_year", ["a", "b", "c"])
     first = F.min("cohort").over(Window.partitionBy("position", "i", "j"))
     return out.withColumn("__first", first).where("cohort > __first").select("position", "cohort", "i", "j", "n", r6(F.col("cov")).alias("cov"))
 
