@@ -20,7 +20,7 @@ from cohortcast.operators import panel as pn
 from cohortcast.operators import recipe as rc
 from cohortcast.operators.grouped import attach, best_row, zscore_in_group
 from cohortcast.operators.match import add_stripped_variants, coalesce_passes
-from cohortcast.operators.ranks import percent_ranks
+from cohortcast.operators.ranks import percent_ranks, row_index_in_group
 from cohortcast.session import materialize
 from cohortcast.sources.layouts import conform, optional_lookup
 
@@ -182,10 +182,7 @@ def mock_consensus(listed: DataFrame, cached_pages: DataFrame) -> DataFrame:
     """Projected pick per (name, class) from a list and from pages (year, page_no, html)."""
     rows = pg.labelled_entries(cached_pages, ["year", "page_no"], "html", list(MOCK_PATTERNS), ["name", "position", "school"])
     rows = rows.where(F.col("position").rlike(r"^[A-Z/]{1,8}$"))
-    order = F.struct("page_no", "pos")
-    # picks of a class are a few hundred rows: one small window per class
-    from pyspark.sql import Window
-    numbered = rows.withColumn("projected_pick", F.row_number().over(Window.partitionBy("year").orderBy(order)))
+    numbered = row_index_in_group(rows, ["year"], "page_no", "pos", "__at").withColumn("projected_pick", (F.col("__at") + 1).cast("int"))
     scraped = numbered.select(tx.clean_name(F.col("name")).alias("name_clean"), "name", "position", "school",
                               F.col("year").alias("draft_year"), "projected_pick", F.lit("pages").alias("source"))
     own = listed.select(tx.clean_name(F.col("player_name")).alias("name_clean"), F.col("player_name").alias("name"), "position", "school",
