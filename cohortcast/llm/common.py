@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,7 +34,7 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def map_texts(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], schema: str | StructType, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply `rows` to small Arrow slices of `columns`, so memory does not depend on the batch size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
