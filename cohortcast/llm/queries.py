@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortcast.llm import bpe, langid, mixing, quality, secrets, simhash, toxicity
+from cohortcast.llm import ann, bpe, chat, langid, mixing, quality, secrets, simhash, spans, toxicity
 from cohortcast.session import ship_package
 from cohortcast.sources.tables import load
 
@@ -42,6 +42,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@register("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeats(load(spark, sf_dir, "documents"))
+
+
 @register("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"), keep_text=False)
@@ -52,6 +57,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents"))
 
 
+@register("op6_ann")
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"))
+
+
+@register("op7_chat_format")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.turns_as_calls(load(spark, sf_dir, "conversations"))
+    return chat.link_calls(calls, results, {"reply": chat.REPLY_SCHEMA})
+
+
 @register("op8_langid")
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
