@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortcast.llm.common import map_texts, null_safe, word_count
 from cohortcast.session import materialize
 
-ROUNDS = 64
+ROUNDS = 32
 REPLY_SCHEMA = {
     "type": "object", "required": ["message", "words"], "additionalProperties": False,
     "properties": {"message": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1}},
@@ -57,7 +57,7 @@ def schema_errors(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
-    """Add order_turn and order_hop; both null for calls in a cycle or behind one, or behind more than `ROUNDS` forward links."""
+    """Add order_turn and order_hop; both null in a conversation that does not settle, for a cycle or more than `ROUNDS` forward links in a row."""
     links = materialize(calls.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("needs")).where("needs is not null"), "call-links")
     place = materialize(calls.select("conv", "call_id", F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hop")).alias("place")), "call-order")
     moving = None
@@ -70,8 +70,8 @@ def _ordered(calls: DataFrame) -> DataFrame:
         place = step.select("conv", "call_id", F.col("next").alias("place"))
         if moving.isEmpty():
             return calls.join(place, ["conv", "call_id"]).select(calls["*"], F.col("place.turn").alias("order_turn"), F.col("place.hop").alias("order_hop"))
-    stuck = moving.select("conv", "call_id", F.lit(True).alias("stuck"))
-    return calls.join(place, ["conv", "call_id"]).join(stuck, ["conv", "call_id"], "left").select(
+    stuck = moving.select("conv", F.lit(True).alias("stuck")).distinct()
+    return calls.join(place, ["conv", "call_id"]).join(stuck, "conv", "left").select(
         calls["*"], F.when(F.col("stuck").isNull(), F.col("place.turn")).alias("order_turn"), F.when(F.col("stuck").isNull(), F.col("place.hop")).alias("order_hop"))
 
 

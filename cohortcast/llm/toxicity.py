@@ -70,7 +70,8 @@ def letter_events(texts: list[str]) -> Iterator[Grams]:
             cut = joined.rfind(" ", at + 1, end)
             end = cut + 1 if cut > at else end
         yield _events(joined[at:end], at, starts)
-        at = end
+        # the blank that ends a stretch also starts the next one
+        at = end - 1 if end < len(joined) and joined[end - 1] == " " else end
 
 
 def _events(part: str, offset: int, starts: np.ndarray) -> Grams:
@@ -93,8 +94,9 @@ def _events(part: str, offset: int, starts: np.ndarray) -> Grams:
         context = np.where(within, context * _MUL + back, context)
         if k == 2:
             triple, pair = gram, context
-    doc = np.searchsorted(starts, at + offset, "right") - 1
-    return Grams(doc, _finish(gram), _finish(context), _finish(triple), _finish(pair), codes[at], ~letter[at])
+    ends = ~letter[at]
+    doc = np.searchsorted(starts, at + offset - ends, "right") - 1  # a word end belongs to its last letter's text
+    return Grams(doc, _finish(gram), _finish(context), _finish(triple), _finish(pair), codes[at], ends)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
