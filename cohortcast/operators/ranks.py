@@ -1,56 +1,63 @@
 """Exact ranks, distribution functions and quantiles that no single task has to sort alone.
 
 All of them derive from one table: per (group, distinct value) the number of rows holding the value
-and the number of rows below it. Equal values are counted before any shuffle, and the distinct values
-of a large table are cut into ranges of equal size, so one hot group is spread over many tasks.
+and the number of rows below it. Equal values are counted before any shuffle. Running sums are taken
+over ranges inside ranges: a value's place on a fixed monotone scale gives nested ranges of 2^16
+members each, every window sees one range, and the sums of the ranges before it are added. The
+scale is fixed, so there is one plan for every size and nothing runs before the caller asks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.operators.grouped import attach
-from cohortcast.session import materialize
 
-ROWS_PER_RANGE = 1_000_000
-
-
-def _split_points(table: DataFrame, value: str, ranges: int) -> list[float]:
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = table.stat.approxQuantile(value, probs, 1.0 / (4 * ranges))
-    inner = sorted({c for c in cuts if c == c})
-    return [float("-inf"), *inner, float("inf")]
-
-
-def prefix_counts(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+RANGE_BITS = 16
+LEVELS = 3
+SCALE_BITS = 37  # LEVELS * RANGE_BITS less the bits in front of the point
+
+
+def _place(value: str) -> Column:
+    """Number of the value's finest range; never falls as the value grows, infinities and NaN (above all) included."""
+    v = F.col(value).cast("double")
+    even = F.signum(v) * F.log2(F.abs(v) * F.lit(2.0 ** 40) + 1)
+    # the product overflows for the very largest numbers, which then share the outermost range
+    bounded = F.when(F.isnan(v), 2001.0).when(F.abs(v) == float("inf"), F.signum(v) * 2000.0).otherwise(
+        F.greatest(F.lit(-1999.0), F.least(F.lit(1999.0), even)))
+    return F.coalesce(F.floor(bounded * F.lit(2.0 ** SCALE_BITS)), F.lit(-(1 << 62))).cast("bigint")
+
+
+def _range_offsets(sums: DataFrame, measures: Sequence[str], level: int) -> DataFrame:
+    """Per (__key, __range): sums over the key's earlier ranges and over the whole key."""
+    if level == 1:
+        before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(
+            "__key", "__range", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
+            *[F.sum(m).over(Window.partitionBy("__key")).alias(f"{m}_total") for m in measures])
+    inner = sums.withColumn("__outer", F.shiftright("__range", RANGE_BITS))
+    outer = inner.groupBy("__key", F.col("__outer").alias("__range")).agg(*[F.sum(m).alias(m) for m in measures])
+    outer = _range_offsets(outer, measures, level - 1).withColumnRenamed("__range", "__outer")
+    before = Window.partitionBy("__key", "__outer").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = inner.select("__key", "__outer", "__range", *[
+        F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__in_{m}") for m in measures])
+    return placed.join(outer, ["__key", "__outer"]).select(
+        "__key", "__range", *[(F.col(f"__off_{m}") + F.col(f"__in_{m}")).alias(f"__off_{m}") for m in measures],
+        *[f"{m}_total" for m in measures])
+
+
+def prefix_counts(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Add `<m>_below` (sum over smaller values) and `<m>_total` for each measure.
 
-    `counts` has one row per (keys, value).
+    `counts` has one row per (keys, value); the value is numeric and may be infinite or NaN.
     """
-    table = materialize(counts, "value-counts")
-    ranges = -(-table.count() // rows_per_range)
-    if ranges > 1:
-        points = _split_points(table.withColumn("__v", F.col(value).cast("double")), "__v", ranges)
-        table = Bucketizer(splits=points, inputCol="__v", outputCol="__range").transform(
-            table.withColumn("__v", F.col(value).cast("double"))).drop("__v")
-    else:
-        table = table.withColumn("__range", F.lit(0.0))
-    # one struct key: equal where the same parts are null, and the same hash partitioning serves the
-    # windows and the join below, so the counts are shuffled once
-    table = table.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
-    per_range = table.groupBy("__key", "__range").agg(*[F.sum(m).alias(f"__r_{m}") for m in measures])
-    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__key")
-    offsets = per_range.select(
-        "__key", "__range",
-        *[F.coalesce(F.sum(f"__r_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
-        *[F.sum(f"__r_{m}").over(whole).alias(f"{m}_total") for m in measures],
-    )
+    # one struct key: equal where the same parts are null
+    table = counts.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))).withColumn("__range", _place(value))
+    sums = table.groupBy("__key", "__range").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = _range_offsets(sums, measures, LEVELS)
     local = Window.partitionBy("__key", "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = table.select(
         "*", *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"__in_{m}") for m in measures])
@@ -61,28 +68,25 @@ def prefix_counts(counts: DataFrame, keys: Sequence[str], value: str, measures:
     )
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str,
-                    rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per (keys, value): n, n_below, n_total over the non-null rows."""
     counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .groupBy(*keys, value).agg(F.count("*").alias("n")))
-    return prefix_counts(counts, keys, value, ["n"], rows_per_range)
+    return prefix_counts(counts, keys, value, ["n"])
 
 
-def percent_rank_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str,
-                          rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def percent_rank_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """(rank - 1) / (rows - 1) over the non-null rows; null elsewhere and for single-row groups."""
-    pos = value_positions(df, keys, value, rows_per_range).select(
+    pos = value_positions(df, keys, value).select(
         *keys, value, F.try_divide(F.col("n_below"), F.col("n_total") - 1).alias(out))
     return attach(df, pos, [*keys, value])
 
 
-def percent_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str],
-                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def percent_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str]) -> DataFrame:
     """Percent ranks of several columns (column -> output name) from one shared count table."""
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in outs]).unpivot(
         list(keys), list(outs), "__feature", "__value")
-    pos = value_positions(long, [*keys, "__feature"], "__value", rows_per_range).select(
+    pos = value_positions(long, [*keys, "__feature"], "__value").select(
         *keys, "__feature", "__value", F.try_divide(F.col("n_below"), F.col("n_total") - 1).alias("__rank"))
     out = df
     for c, name in outs.items():
@@ -92,54 +96,52 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str],
     return out
 
 
-def cume_dist_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str,
-                       rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def cume_dist_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Share of non-null rows with a value not above the row's own."""
-    pos = value_positions(df, keys, value, rows_per_range).select(
+    pos = value_positions(df, keys, value).select(
         *keys, value, ((F.col("n_below") + F.col("n")) / F.col("n_total")).alias(out))
     return attach(df, pos, [*keys, value])
 
 
-def row_index_in_group(df: DataFrame, keys: Sequence[str], value: str, tie_break: str, out: str,
-                       rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def row_index_in_group(df: DataFrame, keys: Sequence[str], value: str, tie_break: str, out: str) -> DataFrame:
     """0-based position in ascending (value, tie_break) order; both numeric, tie_break unique.
 
     Rows below come from the value counts; the position among equal values from a second pass, so a
     value shared by a third of the rows is no single task's work either.
     """
-    lower = value_positions(df, keys, value, rows_per_range).select(
+    lower = value_positions(df, keys, value).select(
         *keys, value, F.col("n_below").alias("__lower"))
-    within = value_positions(df, [*keys, value], tie_break, rows_per_range).select(
+    within = value_positions(df, [*keys, value], tie_break).select(
         *keys, value, tie_break, F.col("n_below").alias("__within"))
     out_df = attach(attach(df, lower, [*keys, value]), within, [*keys, value, tie_break])
     return out_df.withColumn(out, F.col("__lower") + F.col("__within")).drop("__lower", "__within")
 
 
 def distribution_against(probe: DataFrame, reference: DataFrame, keys: Sequence[str], value: str,
-                         out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                         out: str) -> DataFrame:
     """Share of `reference` values not above each probe value; null where either side is empty."""
     ok = F.col(value).isNotNull()
     ref = reference.where(ok).groupBy(*keys, value).agg(F.count("*").alias("n"))
     ask = probe.where(ok).select(*keys, value).distinct().withColumn("n", F.lit(0).cast("bigint"))
     counts = ref.unionByName(ask).groupBy(*keys, value).agg(F.sum("n").alias("n"))
-    pos = prefix_counts(counts, keys, value, ["n"], rows_per_range).select(
+    pos = prefix_counts(counts, keys, value, ["n"]).select(
         *keys, value, F.try_divide(F.col("n_below") + F.col("n"), F.col("n_total")).alias(out))
     return attach(probe, pos, [*keys, value])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    outs: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+                    outs: Sequence[str],
                     weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group, exact at any group size.
 
     With `weight`, `df` already holds counted values and the column gives the count.
     """
     if weight:
-        counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+        counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value)
                   .agg(F.sum(weight).alias("n")))
-        pos = prefix_counts(counts, keys, value, ["n"], rows_per_range)
+        pos = prefix_counts(counts, keys, value, ["n"])
     else:
-        pos = value_positions(df, keys, value, rows_per_range)
+        pos = value_positions(df, keys, value)
     aggs: list[Column] = []
     for i, p in enumerate(probs):
         h = F.lit(float(p)) * (F.col("n_total") - 1)
@@ -149,5 +151,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         aggs.append(F.max(h - F.floor(h)).alias(f"__f{i}"))
     picked = pos.groupBy(*keys).agg(*aggs)
     return picked.select(*keys, *[
-        (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(o)
+        F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}")).otherwise(
+            F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(o)
         for i, o in enumerate(outs)])

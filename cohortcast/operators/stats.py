@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortcast import presets
 from cohortcast.operators.grouped import attach
-from cohortcast.operators.ranks import ROWS_PER_RANGE, cume_dist_in_group, exact_quantiles, prefix_counts
+from cohortcast.operators.ranks import cume_dist_in_group, exact_quantiles, prefix_counts
 from cohortcast.session import materialize
 
 
@@ -27,19 +27,18 @@ def long_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -
         list(keys), list(features), "feature", "value").where(F.col("value").isNotNull())
 
 
-def robust_scale(df: DataFrame, keys: Sequence[str], features: Sequence[str],
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def robust_scale(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Median and scaled median absolute deviation per (keys, feature); 1 for a zero deviation."""
     by = [*keys, "feature"]
     counts = long_features(df, keys, features).groupBy(*by, "value").agg(F.count("*").alias("w"))
-    return scale_of_counts(counts, by, rows_per_range)
+    return scale_of_counts(counts, by)
 
 
-def scale_of_counts(counts: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def scale_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """The same from counted values (columns `value`, `w`)."""
-    med = exact_quantiles(counts, by, "value", [0.5], ["med"], rows_per_range, weight="w")
+    med = exact_quantiles(counts, by, "value", [0.5], ["med"], weight="w")
     dev = attach(counts, med, by).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    mad = exact_quantiles(dev, by, "dev", [0.5], ["mad"], rows_per_range, weight="w")
+    mad = exact_quantiles(dev, by, "dev", [0.5], ["mad"], weight="w")
     scale = F.col("mad") * presets.MAD_FACTOR
     return attach(med, mad, by).select(*by, "med", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
 
@@ -63,7 +62,7 @@ def for_cohorts(df: DataFrame, year: str, cohorts: Sequence[int], strict: bool =
 
 
 def past_scale(pool: DataFrame, cohorts: Sequence[int], keys: Sequence[str], year: str, features: Sequence[str],
-               strict: bool = True, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+               strict: bool = True) -> DataFrame:
     """Robust scale per (keys, cohort, feature) from pool rows of earlier years only.
 
     Values are counted per year before they are copied to the later cohorts, and there are as many
@@ -74,7 +73,7 @@ def past_scale(pool: DataFrame, cohorts: Sequence[int], keys: Sequence[str], yea
     spread = for_cohorts(per_year, year, cohorts, strict)
     by = [*keys, "cohort", "feature"]
     counts = spread.groupBy(*by, "value").agg(F.sum("w").alias("w"))
-    return scale_of_counts(counts, by, rows_per_range)
+    return scale_of_counts(counts, by)
 
 
 def past_covariance(pool: DataFrame, keys: Sequence[str], year: str, features: Sequence[str],
@@ -113,26 +112,25 @@ def calibration_lines(df: DataFrame, keys: Sequence[str], x: str, y: str, min_ro
 
 
 def value_score(df: DataFrame, position: str, expected: str, actual: str, resolved, min_rows: int,
-                replacement: float, out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                replacement: float, out: str) -> DataFrame:
     """One scale for all positions: calibrated estimate above the position's replacement level,
     as a share of all rows, in percent."""
     df = materialize(df, "value-score")
     lines = calibration_lines(df.where(resolved), [position], expected, actual, min_rows)
     cal = attach(df, lines, [position]).withColumn(
         "__cal", F.coalesce("cal_a", F.lit(0.0)) + F.coalesce("cal_b", F.lit(1.0)) * F.col(expected))
-    level = exact_quantiles(cal, [position], "__cal", [replacement], ["__level"], rows_per_range)
+    level = exact_quantiles(cal, [position], "__cal", [replacement], ["__level"])
     over = attach(cal, level, [position]).withColumn("vorp", F.round(F.col("__cal") - F.col("__level"), 9))
-    ranked = cume_dist_in_group(over, [], "vorp", "__cdf", rows_per_range)
+    ranked = cume_dist_in_group(over, [], "vorp", "__cdf")
     return ranked.withColumn(out, F.bround(F.col("__cdf") * 100).cast("int")).drop(
         "cal_a", "cal_b", "cal_n", "__cal", "__level", "__cdf")
 
 
-def auc_by_group(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def auc_by_group(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve: rank sum of the positives, ties counted half."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(F.col(label)).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
-    table = prefix_counts(counts, keys, score, ["pos", "neg"], rows_per_range)
+    table = prefix_counts(counts, keys, score, ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     sums = table.groupBy(*keys).agg(wins.alias("w"), F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg"))
     return sums.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
