@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +74,20 @@ def dropbacks(df: DataFrame, attempt: Column, sack: Column, complete: Column, in
         "share_of_team": guarded_ratio(n, F.col("__team"))}).drop("__team")
 
 
+def season_rollup(df: DataFrame, keys: Sequence[str], team: str, yards: Column,
+                  families: Mapping[str, tuple[Mapping[str, Column], Column, Column]], rest: Column) -> DataFrame:
+    """Season totals rebuilt from events in one pass: per family its counts, yards, scores and longest gain.
+
+    `families` maps a column prefix to (counts: name -> condition, gain, score); yards and scores come from gains only.
+    """
+    out = [F.max(team).alias(team)]
+    for prefix, (counts, gain, score) in families.items():
+        out += [F.count_if(condition).alias(name) for name, condition in counts.items()]
+        out += [sum_if(gain, yards).cast("bigint").alias(f"{prefix}yds"), F.count_if(gain & score).alias(f"{prefix}td"),
+                F.max(F.when(gain, yards)).cast("int").alias(f"{prefix}longest")]
+    return df.groupBy(*keys).agg(*out, F.count_if(rest).alias("other"))
+
+
 def usage_by_kind(rushes: DataFrame, targets: DataFrame, keys: Sequence[str],
                   team_keys: Sequence[str]) -> DataFrame:
     """Involvement from two event kinds: own counts over the team's, per kind and in total."""

@@ -89,14 +89,22 @@ def event_conditional_stats(spark, d):
 
 
 @query("event_rollup", """
-    SELECT player, season, max(team) AS team, count(*) AS att, CAST(sum(yards) AS BIGINT) AS yds,
-           CAST(sum(CASE WHEN yards >= 95 THEN 1 ELSE 0 END) AS BIGINT) AS td, CAST(max(yards) AS INTEGER) AS longest
-    FROM plays WHERE kind IN ('click', 'error') GROUP BY player, season""")
+    SELECT player, season, max(team) AS team, count(*) FILTER (WHERE kind IN ('click', 'error')) AS att,
+           CAST(coalesce(sum(yards) FILTER (WHERE kind IN ('click', 'error')), 0) AS BIGINT) AS yds,
+           count(*) FILTER (WHERE kind IN ('click', 'error') AND yards >= 95) AS td,
+           CAST(max(yards) FILTER (WHERE kind IN ('click', 'error')) AS INTEGER) AS longest,
+           count(*) FILTER (WHERE kind = 'view') AS targets, count(*) FILTER (WHERE kind = 'view' AND yards < 60) AS receptions,
+           CAST(coalesce(sum(yards) FILTER (WHERE kind = 'view' AND yards < 60), 0) AS BIGINT) AS rec_yds,
+           count(*) FILTER (WHERE kind = 'view' AND yards < 60 AND yards >= 55) AS rec_td,
+           CAST(max(yards) FILTER (WHERE kind = 'view' AND yards < 60) AS INTEGER) AS rec_longest,
+           count(*) FILTER (WHERE kind NOT IN ('click', 'error', 'view')) AS other
+    FROM plays GROUP BY player, season""")
 def event_rollup(spark, d):
-    p = base.plays(spark, d).where(F.col("kind").isin("click", "error"))
-    return p.groupBy("player", "season").agg(
-        F.max("team").alias("team"), F.count("*").alias("att"), F.sum("yards").alias("yds"),
-        F.count_if(F.col("yards") >= 95).alias("td"), F.max("yards").alias("longest"))
+    kind, yards = F.col("kind"), F.col("yards")
+    rush, target = kind.isin("click", "error"), kind == "view"
+    caught = target & (yards < 60)
+    return ev.season_rollup(base.plays(spark, d), ["player", "season"], "team", yards, {
+        "": ({"att": rush}, rush, yards >= 95), "rec_": ({"targets": target, "receptions": caught}, caught, yards >= 55)}, ~(rush | target))
 
 
 @query("event_usage", """

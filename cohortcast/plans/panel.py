@@ -121,13 +121,13 @@ def transitions(spark, d):
 
 
 @query("vacated_share", f"""
-    WITH t AS ({TRANS_SQL}), tot AS (SELECT team, season, CAST(sum(qty) AS BIGINT) AS team_qty FROM team_panel WHERE team < 20 GROUP BY ALL),
+    WITH t AS ({TRANS_SQL}), tot AS (SELECT team, season, CAST(sum(qty) AS BIGINT) AS team_qty FROM team_panel GROUP BY ALL),
     l AS (SELECT team, season, CAST(sum(CASE WHEN NOT stayed THEN qty ELSE 0 END) AS BIGINT) AS vacated,
                  CAST(sum(CASE WHEN stayed AND qty >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_returning FROM t GROUP BY ALL)
     SELECT l.team, l.season, vacated, n_returning, team_qty, round(CASE WHEN team_qty > 0 THEN CAST(vacated AS DOUBLE) / team_qty END, 6) AS vacated_share
     FROM l LEFT JOIN tot ON tot.team = l.team AND tot.season = l.season""")
 def vacated_share(spark, d):
-    totals = base.team_panel(spark, d).where("team < 20").groupBy("team", "season").agg(F.sum("qty").alias("team_qty"))
+    totals = base.team_panel(spark, d).groupBy("team", "season").agg(F.sum("qty").alias("team_qty"))
     out = pn.vacated_share(transitions(spark, d), ["team", "season"], "qty", 100, totals, "team_qty")
     return out.select("team", "season", "vacated", "n_returning", "team_qty", r6(F.col("vacated_share")).alias("vacated_share"))
 

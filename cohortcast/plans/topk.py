@@ -27,12 +27,11 @@ def argmin_config(spark, d):
 
 
 @query("board_sort", """
-    SELECT entity_id, position, round(exp_ppg_bucket, 6) AS exp_ppg, round(CASE WHEN p_made_it > 0 THEN exp_ppg_bucket / p_made_it END, 6) AS if_made_it
-    FROM oos WHERE test_year = 1999 ORDER BY exp_ppg_bucket DESC NULLS LAST, entity_id""")
+    SELECT test_year, entity_id, position, round(exp_ppg_bucket, 6) AS exp_ppg, round(CASE WHEN p_made_it > 0 THEN exp_ppg_bucket / p_made_it END, 6) AS if_made_it
+    FROM oos ORDER BY test_year, exp_ppg_bucket DESC NULLS LAST, entity_id""")
 def board_sort(spark, d):
-    o = base.oos(spark, d).where("test_year = 1999")
-    return o.orderBy(F.col("exp_ppg_bucket").desc_nulls_last(), F.col("entity_id").asc()).select(
-        "entity_id", "position", r6(F.col("exp_ppg_bucket")).alias("exp_ppg"),
+    return base.oos(spark, d).orderBy("test_year", F.col("exp_ppg_bucket").desc_nulls_last(), F.col("entity_id").asc()).select(
+        "test_year", "entity_id", "position", r6(F.col("exp_ppg_bucket")).alias("exp_ppg"),
         r6(conditional_value(F.col("exp_ppg_bucket"), F.col("p_made_it"))).alias("if_made_it"))
 
 
@@ -44,15 +43,17 @@ def notable_residuals(spark, d):
         "entity_id", "position", r6(res).alias("residual"))
 
 
+# the columns of a pivot are part of its result's schema; whatever is not among them is counted under `other`
 POSITIONS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 @query("pivot_counts", "SELECT cohort_year, " + ", ".join(
-    f"count(*) FILTER (WHERE position = '{p}' AND slot <= 60) AS {p.lower()}" for p in POSITIONS) + " FROM cohort GROUP BY cohort_year")
+    f"count(*) FILTER (WHERE position = '{p}') AS {p.lower()}" for p in POSITIONS) + f""",
+    count(*) FILTER (WHERE position IS NULL OR position NOT IN ({", ".join(f"'{p}'" for p in POSITIONS)})) AS other FROM cohort GROUP BY cohort_year""")
 def pivot_counts(spark, d):
-    c = base.cohort(spark, d).where("slot <= 60")
-    wide = c.groupBy("cohort_year").pivot("position", POSITIONS).count().fillna(0)
-    return wide.select("cohort_year", *[F.col(p).alias(p.lower()) for p in POSITIONS])
+    named = F.when(F.col("position").isin(*POSITIONS), F.lower("position")).otherwise("other")
+    columns = [*(p.lower() for p in POSITIONS), "other"]
+    return base.cohort(spark, d).withColumn("column", named).groupBy("cohort_year").pivot("column", columns).count().fillna(0)
 
 
 @query("class_depth", """
