@@ -8,26 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcast.operators.grouped import attach
-from cohortcast.operators.ranks import row_index_in_group
 
 EXPLICIT_NULLS = {"ignoreNullFields": "false"}
 
 
-def documents_per_group(df: DataFrame, group: str, order: str, ids: str, fields: Sequence[str],
-                        per_document: int = 1000) -> DataFrame:
-    """JSON documents of the ordered rows of each group.
+def lines_per_group(df: DataFrame, group: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One JSON line per row, ready to be written into a folder per group.
 
-    A group up to `per_document` rows is one document; a larger one continues over numbered parts, so
-    no document, and no task, grows with the group.
+    The lines of a group are in `order` within each file and from file to file, whatever the group's size.
     """
-    numbered = row_index_in_group(df, [group], order, ids, "__at")
-    part = F.floor(F.col("__at") / per_document).cast("int")
-    body = F.array_sort(F.collect_list(F.struct("__at", *fields)))
-    return numbered.groupBy(group, part.alias("part")).agg(body.alias("__rows")).select(
-        group, "part", F.to_json(F.struct(
-            F.col(group), F.col("part"),
-            F.transform("__rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("rows")),
-            EXPLICIT_NULLS).alias("document"))
+    placed = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    return placed.select(group, F.to_json(F.struct(*fields), EXPLICIT_NULLS).alias("document"))
 
 
 def documents_with_children(parents: DataFrame, children: DataFrame, ids: str, rank: str,

@@ -12,18 +12,16 @@ from cohortcast.session import scratch_path
 
 
 @query("json_per_group", """
-    SELECT test_year, CAST(floor((row_number() OVER (PARTITION BY test_year ORDER BY slot, entity_id) - 1) / 100) AS INTEGER) AS part,
-           CAST((row_number() OVER (PARTITION BY test_year ORDER BY slot, entity_id) - 1) % 100 AS INTEGER) AS pos,
-           entity_id, name, slot, round(exp_ppg, 4) AS exp_ppg, round(exp_ppg_bucket, 4) AS exp_ppg_bucket
-    FROM oos""")
+    SELECT test_year, entity_id, name, slot, round(exp_ppg, 4) AS exp_ppg, round(exp_ppg_bucket, 4) AS exp_ppg_bucket FROM oos""")
 def json_per_group(spark, d):
     o = base.oos(spark, d).select("test_year", "entity_id", "name", "slot", F.round("exp_ppg", 4).alias("exp_ppg"),
                                   F.round("exp_ppg_bucket", 4).alias("exp_ppg_bucket"))
     path = scratch_path(spark, "documents")
-    docs = ex.documents_per_group(o, "test_year", "slot", "entity_id", ["entity_id", "name", "slot", "exp_ppg", "exp_ppg_bucket"], 100)
-    ex.write_documents(docs, path, "test_year")
-    back = ex.read_documents(spark, path, "test_year INT, part INT, rows ARRAY<STRUCT<entity_id: BIGINT, name: STRING, slot: INT, exp_ppg: DOUBLE, exp_ppg_bucket: DOUBLE>>")
-    return back.select("test_year", "part", F.posexplode("rows").alias("pos", "r")).select("test_year", "part", "pos", "r.*")
+    lines = ex.lines_per_group(o, "test_year", ["slot", "entity_id"], ["entity_id", "name", "slot", "exp_ppg", "exp_ppg_bucket"])
+    ex.write_documents(lines, path, "test_year")
+    back = spark.read.schema("value STRING, test_year INT").text(path)
+    return back.select("test_year", F.from_json(
+        "value", "entity_id BIGINT, name STRING, slot INT, exp_ppg DOUBLE, exp_ppg_bucket DOUBLE").alias("d")).select("test_year", "d.*")
 
 
 @query("json_nested_children", """

@@ -136,14 +136,12 @@ def test_combiner_grid_size_and_lofo(spark):
     assert got == [(1, "a", 0.9), (2, "b", 0.7)]
 
 
-def test_documents_are_bounded_and_ordered(spark):
+def test_lines_of_a_group_are_ordered(spark, tmp_path):
     df = spark.createDataFrame([(1, i, 100 - i, None if i % 3 else 1.5) for i in range(25)] + [(2, 99, 1, 2.0)], "g INT, id INT, slot INT, v DOUBLE")
-    docs = export.documents_per_group(df, "g", "slot", "id", ["id", "slot", "v"], 10).collect()
-    parts = {(r["g"], r["part"]): json.loads(r["document"]) for r in docs}
-    assert sorted(parts) == [(1, 0), (1, 1), (1, 2), (2, 0)]
-    slots = [x["slot"] for p in range(3) for x in parts[(1, p)]["rows"]]
-    assert slots == sorted(slots) and len(slots) == 25 and max(len(d["rows"]) for d in parts.values()) == 10
-    assert parts[(1, 0)]["rows"][0]["v"] == 1.5 and parts[(1, 0)]["rows"][1]["v"] is None
+    export.write_documents(export.lines_per_group(df.repartition(5), "g", ["slot", "id"], ["id", "slot", "v"]), str(tmp_path / "d"), "g")
+    lines = [json.loads(t) for f in sorted((tmp_path / "d" / "g=1").glob("part-*")) for t in f.read_text().splitlines()]
+    assert [x["slot"] for x in lines] == sorted(100 - i for i in range(25))
+    assert lines[0] == {"id": 24, "slot": 76, "v": 1.5} and lines[1]["v"] is None
 
 
 def test_comp_document_shape(spark):
