@@ -1,9 +1,10 @@
-"""Model fits on Spark ML: boosted trees, quantile boosting, ordinal logit, calibration, intervals."""
+"""Model fits on Spark ML: boosted trees, quantiles by leaf, ordinal logit, calibration, intervals."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -14,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcast.session import materialize
+from cohortcast.operators.ranks import exact_quantiles
 
 SEED = 42
 
@@ -77,65 +78,44 @@ def importance_table(spark: SparkSession, model, features: Sequence[str], top: i
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows)], "rank INT, feature STRING, importance DOUBLE")
 
 
-# ── quantile boosting ───────────────────────────────────────────────────────
+# ── quantiles by leaf ───────────────────────────────────────────────────────
 
 
 @dataclass
-class QuantileBoost:
-    """Additive trees for one quantile: start value, and per round a tree with its leaf values."""
+class LeafQuantiles:
+    """A fitted tree and a table of exact outcome quantiles per leaf."""
 
     features: list[str]
-    tau: float
-    start: float
-    rounds: list[tuple[DecisionTreeRegressionModel, dict[float, float]]]
-
-    def predict(self, df: DataFrame, out: str) -> DataFrame:
-        data = assembler(self.features).transform(df).withColumn(out, F.lit(self.start))
-        for tree, leaves in self.rounds:
-            data = _add_leaves(tree.transform(data), leaves, out).drop("prediction", "leaf")
-        return data.drop("features")
-
-
-def _add_leaves(df: DataFrame, leaves: dict[float, float], out: str) -> DataFrame:
-    flat = [F.lit(x) for kv in leaves.items() for x in kv]
-    step = F.coalesce(F.try_element_at(F.create_map(*flat), F.col("leaf")), F.lit(0.0)) if flat else F.lit(0.0)
-    return df.withColumn(out, F.col(out) + step)
-
-
-def fit_quantile_boost(train: DataFrame, features: Sequence[str], label: str, tau: float, rounds: int = 8,
-                       rate: float = 0.2, depth: int = 3, min_rows: int = 8, keep_every: int = 4) -> QuantileBoost:
-    """Each round fits a tree to the sign of the pinball gradient and moves every leaf by its residual
-    quantile. Only the start value and 2^depth leaf values per round reach the driver; the working
-    table is written out every few rounds, so the lineage stays short."""
-    start = train.agg(F.percentile_approx(label, tau, 10000)).first()[0]
-    data = materialize(assembler(features).transform(train).select("features", label), "boost")
-    data = data.withColumn("__pred", F.lit(float(start)))
-    done: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = []
-    for i in range(rounds):
-        grad = F.when(F.col(label) >= F.col("__pred"), F.lit(tau)).otherwise(F.lit(tau - 1.0))
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="__grad", leafCol="leaf", maxDepth=depth,
-                                     minInstancesPerNode=min_rows, seed=SEED + i).fit(data.withColumn("__grad", grad))
-        leafed = tree.transform(data).drop("prediction")
-        values = leafed.groupBy("leaf").agg(
-            F.percentile_approx(F.col(label) - F.col("__pred"), tau, 10000).alias("v")).collect()
-        leaves = {float(r["leaf"]): rate * float(r["v"]) for r in values}
-        done.append((tree, leaves))
-        data = _add_leaves(leafed, leaves, "__pred").select("features", label, "__pred")
-        if (i + 1) % keep_every == 0 and i + 1 < rounds:
-            data = materialize(data, "boost")
-    return QuantileBoost(list(features), tau, float(start), done)
+    tree: DecisionTreeRegressionModel
+    table: DataFrame
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Add the quantile columns; the table has a row per leaf."""
+        leafed = self.tree.transform(assembler(self.features).transform(df)).drop("features", "prediction")
+        return leafed.join(self.table, "leaf", "left").drop("leaf")
+
+
+def fit_leaf_quantiles(train: DataFrame, features: Sequence[str], label: str, taus: Mapping[str, float], depth: int = 3,
+                       min_rows: int = 8) -> LeafQuantiles:
+    """Quantiles of the outcome among the training rows of a row's leaf, all levels (column -> level) from one tree."""
+    data = assembler(features).transform(train.where(F.col(label).isNotNull()))
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol=label, leafCol="leaf", maxDepth=depth,
+                                 minInstancesPerNode=min_rows, seed=SEED).fit(data)
+    leafed = tree.transform(data).select("leaf", label)
+    return LeafQuantiles(list(features), tree, exact_quantiles(leafed, ["leaf"], label, list(taus.values()), list(taus)))
 
 
 # ── calibration ─────────────────────────────────────────────────────────────
 
 
-def fit_isotonic(df: DataFrame, p: str, label: str, digits: int = 4):
+def fit_isotonic(df: DataFrame, p: str, label: str, digits: int | None = None):
     """Monotone map of a probability to the observed rate.
 
-    Scores are first averaged on a grid of 10^-digits, so the final pooling sees at most 10^digits + 1
-    weighted points however many rows there are.
+    Equal scores are averaged first. With `digits` scores are rounded to that grid, which bounds the rows of the final
+    pooling for very many distinct scores; by default they are taken as they are.
     """
-    grid = df.where(F.col(p).isNotNull()).groupBy(F.round(p, digits).alias("x")).agg(
+    x = F.col(p) if digits is None else F.round(p, digits)
+    grid = df.where(F.col(p).isNotNull()).groupBy(x.alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
     return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(grid)
 
@@ -199,20 +179,28 @@ def fit_ordinal(train: DataFrame, features: Sequence[str], bucket: str, levels:
 
 
 def poisson_weight(ids: str, replicate: int) -> Column:
-    """Poisson(1) draw that depends only on the row id and the replicate number."""
-    u = F.pmod(F.xxhash64(F.col(ids), F.lit(replicate)), F.lit(1 << 30)) / float(1 << 30)
-    total, out = 0.0, None
-    for k in range(7):
+    """Poisson(1) draw that depends only on the row id and the replicate number.
+
+    The steps run until their probabilities fill the resolution of the hash, so no draw is cut off.
+    """
+    steps = 1 << 52
+    u = F.pmod(F.xxhash64(F.col(ids), F.lit(replicate)), F.lit(steps)) / float(steps)
+    total, out, k = 0.0, None, 0
+    while 1 - total > 1 / steps and k < 20:
         total += math.exp(-1) / math.factorial(k)
         out = F.when(u < total, F.lit(float(k))) if out is None else out.when(u < total, F.lit(float(k)))
-    return out.otherwise(F.lit(7.0))
+        k += 1
+    return out.otherwise(F.lit(float(k)))
 
 
 def fit_bootstrap(train: DataFrame, ids: str, features: Sequence[str], bucket: str, levels: int,
                   replicates: int, **settings) -> list[OrdinalModel]:
-    """One ordinal fit per replicate on Poisson-weighted rows; a single pass over the data each."""
-    return [fit_ordinal(train.withColumn("__b", poisson_weight(ids, r)).where("__b > 0"), features, bucket, levels, "__b", **settings)
-            for r in range(replicates)]
+    """One ordinal fit per replicate on Poisson-weighted rows, side by side."""
+    def fit(r: int) -> OrdinalModel:
+        return fit_ordinal(train.withColumn("__b", poisson_weight(ids, r)).where("__b > 0"), features, bucket, levels, "__b", **settings)
+
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(fit, range(replicates)))
 
 
 def interval_columns(models: Sequence[OrdinalModel], levels: int, lo: float = 0.1, hi: float = 0.9) -> list[Column]:
@@ -236,13 +224,18 @@ def interval_columns(models: Sequence[OrdinalModel], levels: int, lo: float = 0.
 # ── loops over folds and settings ───────────────────────────────────────────
 
 
-def cross_validate(data: DataFrame, year: str, folds: Iterable[int], fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Out-of-sample rows of all folds: fit on earlier years, predict the fold's own year."""
-    parts = None
-    for k in folds:
-        scored = fit_predict(data.where(F.col(year) < k), data.where(F.col(year) == k)).withColumn("fold", F.lit(k))
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+def cross_validate(data: DataFrame, year: str, folds: Iterable[int], fit_predict: Callable[[DataFrame, DataFrame], DataFrame],
+                   threads: int = 4) -> DataFrame:
+    """Out-of-sample rows of all folds: fit on earlier years, predict the fold's own year. Folds are fitted side by side."""
+    def run(k: int) -> DataFrame:
+        return fit_predict(data.where(F.col(year) < k), data.where(F.col(year) == k)).withColumn("fold", F.lit(k))
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(run, folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def tune(data: DataFrame, year: str, cutoffs: Sequence[int], horizon: int, settings: Sequence[Trees],

@@ -11,6 +11,7 @@ from cohortcast.operators import models as md
 from cohortcast.operators import recipe as rc
 from cohortcast.plans import base
 from cohortcast.plans.base import r6
+from cohortcast.plans.blends import role
 from cohortcast.plans.recipe import docs
 from cohortcast.plans.registry import query
 from cohortcast.session import materialize, scratch_path
@@ -39,12 +40,27 @@ def cohort_rows(spark, d):
         F.coalesce("yards_final", F.lit(0.0)).alias("yards_final"), F.coalesce("ypr", F.lit(0.0)).alias("ypr"),
         F.coalesce("games_final", F.lit(0)).cast("double").alias("games_final"), "forty", F.col("weight").cast("double").alias("weight"),
         F.col("yards_final").isNotNull().cast("double").alias("has_final"),
-        F.when(F.col("ppg") > 0, F.log("ppg")).alias("log_ppg"), sc.assign_bucket(F.col("ppg"), F.lit("WR")).alias("bucket"))
+        F.when(F.col("ppg") > 0, F.log("ppg")).alias("log_ppg"))
+    f = f.withColumn("role", role()).withColumn("bucket", sc.assign_bucket(F.col("ppg"), F.col("role")))
     f = materialize(f, "cohort-raw")
     med = rc.learn_medians(f.where("cohort_year < 2000"), ["forty", "weight"])
     return materialize(rc.impute(f, med, ["forty", "weight"]), "cohort-rows")
 
 
+MIN_TRAIN_ROWS = 20
+
+
+def test_years(x) -> list[int]:
+    """Classes with enough earlier rows to fit on, in order; one row per class year reaches the driver."""
+    per_year = sorted((r["cohort_year"], r["count"]) for r in x.groupBy("cohort_year").count().collect())
+    seen, out = 0, []
+    for year, n in per_year:
+        if seen >= MIN_TRAIN_ROWS:
+            out.append(year)
+        seen += n
+    return out
+
+
 @query("gbt_classify")
 def gbt_classify(spark, d):
     x = doc_rows(spark, d)
@@ -58,17 +74,25 @@ def gbt_classify(spark, d):
 @query("gbt_regress")
 def gbt_regress(spark, d):
     x = cohort_rows(spark, d)
-    model = md.fit_regressor(x.where("cohort_year < 2000 AND made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
-    return md.prediction_of(model, x.where("cohort_year = 2000"), "prod_pred", log_scale=True).select(
-        "entity_id", "position", "ppg", r6(F.col("prod_pred")).alias("prod_pred"))
+
+    def fit_predict(train, test):
+        model = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
+        return md.prediction_of(model, test, "prod_pred", log_scale=True)
+
+    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict).select(
+        "entity_id", "position", "fold", "ppg", r6(F.col("prod_pred")).alias("prod_pred"))
 
 
 @query("quantile_boost")
 def quantile_boost(spark, d):
-    x = cohort_rows(spark, d)
-    model = md.fit_quantile_boost(x.where("cohort_year < 2000 AND made_it = 1"), COHORT_FEATURES, "log_ppg", 0.7, rounds=4)
-    return model.predict(x.where("cohort_year = 2000"), "log_q70").select(
-        "entity_id", "position", "ppg", r6(F.exp("log_q70")).alias("q70"))
+    """Upper quantile of the outcome by tree leaf, for every class from the ones before it."""
+    x = cohort_rows(spark, d).where("made_it = 1")
+
+    def fit_predict(train, test):
+        return md.fit_leaf_quantiles(train, COHORT_FEATURES, "log_ppg", {"log_q70": 0.7}).predict(test)
+
+    out = md.cross_validate(x, "cohort_year", test_years(x), fit_predict)
+    return out.select("entity_id", "position", "fold", "ppg", r6(F.exp("log_q70")).alias("q70"))
 
 
 @query("tune_time_folds")
@@ -85,7 +109,21 @@ def tune_time_folds(spark, d):
     return table.withColumn("best", (F.col("auc") == max(v for _, v, _ in found)).cast("int"))
 
 
-@query("isotonic_calibrate")
+ISOTONIC_SQL = """
+    WITH t AS (SELECT p_made_it AS x, avg(CAST(made_it AS DOUBLE)) AS y, CAST(count(*) AS DOUBLE) AS w FROM oos
+               WHERE test_year < 1999 AND p_made_it IS NOT NULL GROUP BY 1),
+    c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, y * w AS yw, w, sum(y * w) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM t),
+    low AS (SELECT a.i AS a, b.i AS b, min((b.sy - a.sy + a.yw) / (b.sw - a.sw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m
+            FROM c a JOIN c b ON b.i >= a.i),
+    f AS (SELECT c.x, max(low.m) AS y FROM c JOIN low ON low.b = c.i GROUP BY c.x),
+    q AS (SELECT entity_id, position, test_year, p_made_it AS p,
+                 (SELECT max(x) FROM f WHERE x <= p_made_it) AS x0, (SELECT min(x) FROM f WHERE x >= p_made_it) AS x1 FROM oos WHERE test_year >= 1999)
+    SELECT entity_id, position, round(p, 6) AS p_made_it, round(CASE WHEN p IS NULL THEN NULL WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL OR x0 = x1 THEN a.y
+             ELSE a.y + (b.y - a.y) * (p - x0) / (x1 - x0) END, 6) AS p_iso
+    FROM q LEFT JOIN f a ON a.x = q.x0 LEFT JOIN f b ON b.x = q.x1"""
+
+
+@query("isotonic_calibrate", ISOTONIC_SQL)
 def isotonic_calibrate(spark, d):
     o = materialize(base.oos(spark, d).select("entity_id", "position", "test_year", "made_it", "p_made_it"), "isotonic")
     model = md.fit_isotonic(o.where("test_year < 1999"), "p_made_it", "made_it")
@@ -95,36 +133,53 @@ def isotonic_calibrate(spark, d):
 
 @query("bucket_multiclass")
 def bucket_multiclass(spark, d):
-    x = cohort_rows(spark, d)
-    model = md.fit_buckets(x.where("cohort_year < 2000"), COHORT_FEATURES, "bucket", trees=10)
-    p = md.bucket_probabilities(model, x.where("cohort_year = 2000"), "p", 5).select("entity_id", F.posexplode("p").alias("bucket", "p"))
-    return p.withColumn("p", r6(F.col("p")))
+    x = cohort_rows(spark, d).where("bucket IS NOT NULL")
+
+    def fit_predict(train, test):
+        model = md.fit_buckets(train, COHORT_FEATURES, "bucket", trees=10)
+        return md.bucket_probabilities(model, test, "p", 5).select("entity_id", F.posexplode("p").alias("bucket", "p"))
+
+    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict).withColumn("p", r6(F.col("p")))
 
 
 LEAN = ["log_slot", "age", "rating", "forty", "weight"]
 
 
 def lean_rows(spark, d):
-    """Standardised lean feature set of the ordinal model."""
+    """Rows of the ordinal model: the positions that have bucket cuts."""
+    return cohort_rows(spark, d).where("bucket IS NOT NULL")
+
+
+def scaled(train, test):
+    """Both sides of a fold with the lean features in units of its training rows; one without spread there says nothing."""
     from cohortcast.operators.stats import standardize_with
-    x = cohort_rows(spark, d)
-    return materialize(standardize_with(x, x.where("cohort_year < 2000"), LEAN).select(
-        "entity_id", "position", "cohort_year", "ppg", "bucket", *[F.col(f"{c}_std").alias(c) for c in LEAN]), "lean-rows")
+    columns = ["entity_id", "position", "cohort_year", "ppg", "bucket", *[F.coalesce(f"{c}_std", F.lit(0.0)).alias(c) for c in LEAN]]
+    return tuple(standardize_with(side, train, LEAN).select(*columns) for side in (train, test))
 
 
 @query("ordinal_logit")
 def ordinal_logit(spark, d):
     x = lean_rows(spark, d)
-    m = md.fit_ordinal(x.where("cohort_year < 2000"), LEAN, "bucket", 5)
-    p = x.where("cohort_year = 2000").select("entity_id", F.posexplode(m.probabilities()).alias("bucket", "p"))
-    return p.withColumn("p", r6(F.col("p")))
+
+    def fit_predict(train, test):
+        train, test = scaled(train, test)
+        m = md.fit_ordinal(train, LEAN, "bucket", 5)
+        return test.select("entity_id", F.posexplode(m.probabilities()).alias("bucket", "p"))
+
+    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict).withColumn("p", r6(F.col("p")))
+
+
+REPLICATES = 30
 
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, d):
+    """Intervals of the latest class from refits on Poisson-weighted rows of the earlier ones."""
     x = lean_rows(spark, d)
-    ms = md.fit_bootstrap(x.where("cohort_year < 2000"), "entity_id", LEAN, "bucket", 5, replicates=4, iterations=10)
-    rows = x.where("cohort_year = 2000").select("entity_id", F.explode(F.array(*md.interval_columns(ms, 5))).alias("b")).select("entity_id", "b.*")
+    last = test_years(x)[-1]
+    train, test = scaled(x.where(F.col("cohort_year") < last), x.where(F.col("cohort_year") == last))
+    ms = md.fit_bootstrap(materialize(train, "bootstrap"), "entity_id", LEAN, "bucket", 5, replicates=REPLICATES, iterations=10)
+    rows = test.select("entity_id", F.explode(F.array(*md.interval_columns(ms, 5))).alias("b")).select("entity_id", "b.*")
     return rows.withColumns({c: r6(F.col(c)) for c in ("p", "p_lo", "p_hi")})
 
 
@@ -135,9 +190,6 @@ def importance(spark, d):
     return md.importance_table(spark, model, DOC_FEATURES)
 
 
-FOLDS = (1999, 2000)
-
-
 def hurdle_cv(x, features, trees=md.Trees(rounds=3), calibrate=False):
     """Rolling hurdle estimate: probability of making it times the back-transformed log outcome."""
     def fit_predict(train, test):
@@ -151,7 +203,7 @@ def hurdle_cv(x, features, trees=md.Trees(rounds=3), calibrate=False):
             scored = scored.withColumn("p_iso", F.col("p_made_it"))
         return scored.select("entity_id", "position", "cohort_year", "made_it", "ppg", "p_made_it", "p_iso", "prod_pred").withColumn(
             "exp_ppg", F.greatest(F.col("p_iso") * F.col("prod_pred"), F.lit(0.0)))
-    return md.cross_validate(x, "cohort_year", FOLDS, fit_predict)
+    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict)
 
 
 def metrics(oos):
@@ -190,18 +242,27 @@ def cv_param_sweep(spark, d):
     return rows.where("position = 'ALL'").select("start_year", "n", "mae", "rmse", "cor", "bias")
 
 
+TAUS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85)
+
+
 @query("tau_sweep")
 def tau_sweep(spark, d):
-    """Pinball loss of the quantile model on the last class, per quantile level."""
+    """Pinball loss, error, bias and correlation of the leaf quantiles over all classes, per quantile level."""
     x = cohort_rows(spark, d).where("made_it = 1")
-    rows = None
-    for tau in (0.5, 0.7):
-        model = md.fit_quantile_boost(x.where("cohort_year < 2000"), COHORT_FEATURES, "log_ppg", tau, rounds=2, depth=2)
-        scored = model.predict(x.where("cohort_year = 2000"), "q")
-        one = scored.agg(F.count("*").alias("n"), F.avg(ev.pinball(F.col("log_ppg"), F.col("q"), tau)).alias("pinball"),
-                         F.avg((F.col("log_ppg") <= F.col("q")).cast("double")).alias("covered")).select(F.lit(tau).alias("tau"), "n", "pinball", "covered")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.withColumns({"pinball": r6(F.col("pinball")), "covered": r6(F.col("covered"))})
+    names = {f"q{i}": tau for i, tau in enumerate(TAUS)}
+
+    def fit_predict(train, test):
+        return md.fit_leaf_quantiles(train, COHORT_FEATURES, "log_ppg", names, depth=2).predict(test)
+
+    scored = md.cross_validate(x, "cohort_year", test_years(x), fit_predict)
+    long = scored.select("log_ppg", "ppg", F.explode(F.array(*[
+        F.struct(F.lit(tau).alias("tau"), F.col(n).alias("q")) for n, tau in names.items()])).alias("s")).select("log_ppg", "ppg", "s.*")
+    miss = F.exp("q") - F.col("ppg")
+    out = long.groupBy("tau").agg(
+        F.count("*").alias("n"), F.avg(ev.pinball(F.col("log_ppg"), F.col("q"), F.col("tau"))).alias("pinball"),
+        F.avg((F.col("log_ppg") <= F.col("q")).cast("double")).alias("covered"), F.avg(F.abs(miss)).alias("mae"), F.avg(miss).alias("bias"),
+        F.corr(F.exp("q"), F.col("ppg")).alias("cor"))
+    return out.withColumns({c: r6(F.col(c)) for c in ("pinball", "covered", "mae", "bias", "cor")})
 
 
 @query("comp_grid_search")
@@ -243,13 +304,15 @@ def score_cohort(spark, d):
     train, test = x.where("cohort_year < 2000"), x.where("cohort_year = 2000")
     p = md.fit_classifier(train, COHORT_FEATURES, "made_it", None, FAST)
     v = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
-    b = md.fit_buckets(train, COHORT_FEATURES, "bucket", trees=10)
+    b = md.fit_buckets(train.where("bucket IS NOT NULL"), COHORT_FEATURES, "bucket", trees=10)
+    iso = md.fit_isotonic(md.probability_of(p, train, "p_made_it"), "p_made_it", "made_it")
     params = cp.search_params(x, cp.cohort_years(test, "cohort_year"), EUCLID)
     found = cp.nearest_comps(test, x, EUCLID, ["comp_ppg"], params)
     comp = cp.comp_features(test, found, params, EUCLID, "comp_ppg").select("entity_id", "comp_weighted_ppg", "comp_bust_rate", "n_pool_used")
     s = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "log_pred")
-    s = md.bucket_probabilities(b, s, "probs", 5).join(comp, "entity_id", "left").withColumn("role", F.lit("WR"))
-    s = s.withColumn("p_eff", sc.deployed_combiner(F.col("role"), F.col("p_made_it"), F.col("p_made_it")))
+    s = md.bucket_probabilities(b, s, "probs", 5).join(comp, "entity_id", "left")
+    s = md.apply_isotonic(iso, s, "p_made_it", "p_iso")
+    s = s.withColumn("p_eff", sc.deployed_combiner(F.col("role"), F.col("p_made_it"), F.col("p_iso")))
     s = s.withColumns({"exp_ppg": sc.hurdle(F.col("p_eff"), F.col("log_pred")),
                        "exp_ppg_bucket": sc.expectation(F.col("probs"), sc.midpoints_of(F.col("role")))})
     s = s.withColumn("model_ppg", sc.blend(F.col("role"), F.col("exp_ppg"), F.col("exp_ppg_bucket"), presets.HURDLE_WEIGHT))
