@@ -14,13 +14,13 @@ from cohortcast.llm.common import map_texts, text_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
-# line-level rules (fixed values)
+# line-level rules (fixed values); letters and word edges are ASCII ones
 BOILERPLATE = re.compile(
-    r"all rights reserved|©|\bcopyright\b|cookie (?:policy|settings|notice)|terms (?:of|and) (?:use|service|conditions)"
+    r"(?ai)all rights reserved|©|\bcopyright\b|cookie (?:policy|settings|notice)|terms (?:of|and) (?:use|service|conditions)"
     r"|privacy policy|click here|subscribe (?:now|to)|sign (?:in|up)\b|log in\b|lorem ipsum|javascript|licensed under"
-    r"|\blicen[cs]e\b", re.I)
-NAVIGATION = re.compile(r"^(?:home|menu|search|next|previous|back|top|share|login|contact(?: us)?|about(?: us)?|skip to .*)$", re.I)
-NAV_SEPARATOR = re.compile(r"[|›»·•]|\s[-/>]\s")
+    r"|\blicen[cs]e\b")
+NAVIGATION = re.compile(r"(?ai)^(?:home|menu|search|next|previous|back|top|share|login|contact(?: us)?|about(?: us)?|skip to .*)$")
+NAV_SEPARATOR = re.compile(r"(?a)[|›»·•]|\s[-/>]\s")
 CLOSERS = "\"'”’»)]"
 
 
@@ -39,13 +39,13 @@ class LineRules:
 
 def line_fails(line: str, n_words: int, rules: LineRules) -> bool:
     """Whether a line with words breaks a navigation, boilerplate or punctuation rule."""
-    body = line.strip()
+    body = line.strip(BLANKS)
     bare = body.rstrip(CLOSERS)
     if NAVIGATION.match(bare) or BOILERPLATE.search(body):
         return True
     if len(NAV_SEPARATOR.findall(body)) >= rules.nav_separators and n_words <= 12:
         return True
-    visible = sum(map(len, body.split()))
+    visible = len(body) - sum(map(body.count, BLANKS))
     if sum(map(body.count, SYMBOLS)) > rules.max_symbol_share * visible:
         return True
     if body.count("!") > rules.max_exclaim_share * n_words and n_words > 2:

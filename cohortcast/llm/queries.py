@@ -9,7 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortcast.llm import ann, bpe, chat, langid, mixing, quality, secrets, simhash, spans, toxicity
+from cohortcast.llm import ann, bpe, chat, langid, mixing, oracles, quality, secrets, simhash, spans, toxicity
 from cohortcast.session import ship_package
 from cohortcast.sources.tables import load
 
@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-@register("op1_secret_scan")
+@register("op1_secret_scan", oracles.secret_scan())
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -48,12 +48,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeats(load(spark, sf_dir, "documents"))
 
 
-@register("op4_quality_rules")
+@register("op4_quality_rules", oracles.quality_rules())
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"), keep_text=False)
 
 
-@register("op5_mixing")
+@register("op5_mixing", oracles.mix())
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents"))
 
