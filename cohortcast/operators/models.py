@@ -225,8 +225,8 @@ def interval_columns(models: Sequence[OrdinalModel], levels: int, lo: float = 0.
 
 
 def cross_validate(data: DataFrame, year: str, folds: Iterable[int], fit_predict: Callable[[DataFrame, DataFrame], DataFrame],
-                   threads: int = 4) -> DataFrame:
-    """Out-of-sample rows of all folds: fit on earlier years, predict the fold's own year. Folds are fitted side by side."""
+                   threads: int = 1) -> DataFrame:
+    """Out-of-sample rows of all folds: fit on earlier years, predict the fold's own year; `threads` folds side by side."""
     def run(k: int) -> DataFrame:
         return fit_predict(data.where(F.col(year) < k), data.where(F.col(year) == k)).withColumn("fold", F.lit(k))
 

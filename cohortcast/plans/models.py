@@ -79,7 +79,7 @@ def gbt_regress(spark, d):
         model = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
         return md.prediction_of(model, test, "prod_pred", log_scale=True)
 
-    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict).select(
+    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict, threads=4).select(
         "entity_id", "position", "fold", "ppg", r6(F.col("prod_pred")).alias("prod_pred"))
 
 
@@ -91,7 +91,7 @@ def quantile_boost(spark, d):
     def fit_predict(train, test):
         return md.fit_leaf_quantiles(train, COHORT_FEATURES, "log_ppg", {"log_q70": 0.7}).predict(test)
 
-    out = md.cross_validate(x, "cohort_year", test_years(x), fit_predict)
+    out = md.cross_validate(x, "cohort_year", test_years(x), fit_predict, threads=4)
     return out.select("entity_id", "position", "fold", "ppg", r6(F.exp("log_q70")).alias("q70"))
 
 
@@ -139,7 +139,7 @@ def bucket_multiclass(spark, d):
         model = md.fit_buckets(train, COHORT_FEATURES, "bucket", trees=10)
         return md.bucket_probabilities(model, test, "p", 5).select("entity_id", F.posexplode("p").alias("bucket", "p"))
 
-    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict).withColumn("p", r6(F.col("p")))
+    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict, threads=4).withColumn("p", r6(F.col("p")))
 
 
 LEAN = ["log_slot", "age", "rating", "forty", "weight"]
@@ -166,7 +166,7 @@ def ordinal_logit(spark, d):
         m = md.fit_ordinal(train, LEAN, "bucket", 5)
         return test.select("entity_id", F.posexplode(m.probabilities()).alias("bucket", "p"))
 
-    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict).withColumn("p", r6(F.col("p")))
+    return md.cross_validate(x, "cohort_year", test_years(x), fit_predict, threads=4).withColumn("p", r6(F.col("p")))
 
 
 REPLICATES = 30
@@ -203,7 +203,7 @@ def hurdle_cv(x, features, trees=md.Trees(rounds=3), calibrate=False):
             scored = scored.withColumn("p_iso", F.col("p_made_it"))
         return scored.select("entity_id", "position", "cohort_year", "made_it", "ppg", "p_made_it", "p_iso", "prod_pred").withColumn(
             "exp_ppg", F.greatest(F.col("p_iso") * F.col("prod_pred"), F.lit(0.0)))
-    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict)
+    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict, threads=4)
 
 
 def metrics(oos):
@@ -254,7 +254,7 @@ def tau_sweep(spark, d):
     def fit_predict(train, test):
         return md.fit_leaf_quantiles(train, COHORT_FEATURES, "log_ppg", names, depth=2).predict(test)
 
-    scored = md.cross_validate(x, "cohort_year", test_years(x), fit_predict)
+    scored = md.cross_validate(x, "cohort_year", test_years(x), fit_predict, threads=4)
     long = scored.select("log_ppg", "ppg", F.explode(F.array(*[
         F.struct(F.lit(tau).alias("tau"), F.col(n).alias("q")) for n, tau in names.items()])).alias("s")).select("log_ppg", "ppg", "s.*")
     miss = F.exp("q") - F.col("ppg")
