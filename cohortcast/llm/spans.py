@@ -1,8 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of `SENTENCES` consecutive sentences is hashed, equal hashes are joined over the whole corpus, and the
-sentences of every occurrence but the first are removed. Occurrences are ordered by doc_id (null last), text hash
-and position. A sentence longer than `LONGEST` words counts as several, so a long unbroken passage has runs too.
+From every sentence on, the run of `SENTENCES` consecutive ones, or as many more as it takes to hold `LEAST_WORDS`
+words, is hashed; equal hashes are joined over the whole corpus, and the sentences of every occurrence but the
+first are removed. Occurrences are ordered by doc_id (null last), text hash and position. A sentence longer than
+`LONGEST` words counts as several, so a passage of more than 2 * `LONGEST` words always holds a run, while a repeated
+line of one or two sentences is left alone.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from cohortcast.llm.common import TEXTS_PER_BATCH, text_of
 from cohortcast.session import materialize
 
-SENTENCES = 2
+SENTENCES = 3
 LEAST_WORDS = 12
 LONGEST = 25
 BREAK = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
@@ -43,17 +45,21 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def run_ends(words: list[int]) -> np.ndarray:
+    """Last sentence of the run that starts at each sentence; starts whose run would pass the end are left out."""
+    reach = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(reach, reach[:-1] + LEAST_WORDS) - 1
+    ends = np.maximum(ends, np.arange(len(words)) + SENTENCES - 1)
+    return ends[ends < len(words)]
+
+
 def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit hashes of the runs with enough words, on lower-case words joined by one space."""
+    """Positions and 64-bit hashes of the text's runs, on lower-case words joined by one space."""
     found = sentences(text)
-    total = len(found) - SENTENCES + 1
-    if total < 1:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    ends = run_ends([n for _, _, n in found])
     parts = [b" ".join(text[s:e].lower().encode("utf-8", "surrogatepass").split()) for s, e, _ in found]
-    words = np.array([n for _, _, n in found])
-    long_enough = np.flatnonzero(sum(words[i:total + i] for i in range(SENTENCES)) >= LEAST_WORDS)
-    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i:i + SENTENCES])) for i in long_enough], np.uint64)
-    return long_enough.astype(np.int32), hashes.view(np.int64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i:end + 1])) for i, end in enumerate(ends)], np.uint64)
+    return np.arange(len(ends), dtype=np.int32), hashes.view(np.int64)
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -113,7 +119,8 @@ def without(text: str | None, hits: list[int] | None) -> tuple[str | None, int,
     found = sentences(text or "")
     if not hits:
         return text, len(found), 0
-    gone = sorted({h + i for h in hits for i in range(SENTENCES)})
+    ends = run_ends([n for _, _, n in found])
+    gone = sorted({i for h in hits for i in range(h, ends[h] + 1)})
     kept, at = [], 0
     for number in gone:
         start = found[number][0]

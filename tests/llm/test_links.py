@@ -21,15 +21,16 @@ def brute_repeats(rows):
         found = spans.sentences(t)
         mark = xxhash.xxh64_intdigest(t.encode(), seed=42)
         mark = mark - (1 << 64) if mark >> 63 else mark
-        for at in range(len(found) - spans.SENTENCES + 1):
-            run = found[at:at + spans.SENTENCES]
-            if sum(n for _, _, n in run) >= spans.LEAST_WORDS:
+        for at in range(len(found)):
+            size = next((k for k in range(3, len(found) - at + 1) if sum(n for _, _, n in found[at:at + k]) >= 12), None)
+            if size:
+                run = found[at:at + size]
                 key = " ".join(" ".join(w.decode() for w in t[s:e].lower().encode().split()) for s, e, _ in run)
-                seen.setdefault(key, []).append(((i is None, i or 0, mark, at), (i, t), at))
+                seen.setdefault(key, []).append(((i is None, i or 0, mark, at), (i, t), at, size))
     gone = {}
     for places in seen.values():
-        for _, doc, at in sorted(places)[1:]:
-            gone.setdefault(doc, set()).update(range(at, at + spans.SENTENCES))
+        for _, doc, at, size in sorted(places)[1:]:
+            gone.setdefault(doc, set()).update(range(at, at + size))
     return gone
 
 
@@ -62,6 +63,14 @@ def test_spans_against_brute_force(spark):
     assert {(r["doc_id"], r["text"]) for r in clean} <= set(rows)
 
 
+def test_long_passages_always_hold_a_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join("w" + (rng.choice(["", "", "", "."]) if rng.random() < 0.5 else "") for _ in range(51))
+        assert len(spans.span_hashes(text)[0]) >= 1
+    assert len(spans.span_hashes("One line of a footer. It has two sentences and no more than that, in all twenty words or so here.")[0]) == 0
+
+
 def test_spans_empty(spark):
     assert spans.drop_repeats(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
