@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     """The mix itself, with the columns of `docs`: a row for each pass over a document that takes words of it.
 
     A pass that takes the whole document keeps its text as it is. One that takes some of its blocks has their words with
-    the blanks that follow them. `n_chars` is set to the new length. A document none of whose blocks
+    the blanks that follow them, and `n_chars` set to the new length. A document none of whose blocks
     is taken is not in the mix.
     """
     rows = _picked(docs.withColumnsRenamed({c: f"__in_{c}" for c in docs.columns}).withColumns(
@@ -178,5 +178,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     rows = rows.withColumn("__pieces", F.when(F.col("__held") < F.col("__n"), pieces))
     text = F.when(F.col("__held") < F.col("__n"), cut).otherwise(F.col("__in_text"))
     rows = rows.withColumn("__text", text)
-    put = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
+    put = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(F.col("__held") < F.col("__n"), F.length("__text").cast("bigint")).otherwise(F.col("__in_n_chars"))
     return rows.select(*[put.get(c, F.col(f"__in_{c}")).alias(c) for c in docs.columns])

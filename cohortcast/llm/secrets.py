@@ -159,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
-    """`docs` with every secret of `scan` replaced by `mark`, rule by rule; `n_chars` follows the new text.
+    """`docs` with every secret of `scan` replaced by `mark`, rule by rule; `n_chars` follows a changed text.
 
     The matches of a rule and the gaps between them are put together again in one pass. A null text stays null.
     """
@@ -173,5 +173,8 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
         parts = F.zip_with("__gaps", "__put", lambda gap, found: F.concat(gap, found))
         rows = rows.withColumn("__text", F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(F.col("__text")))
     text = F.when(F.col("__in_text").isNotNull(), F.col("__text"))
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    changed = F.col("__text") != text_of("__in_text")
+    new = {"text": text}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(changed, F.length("__text").cast("bigint")).otherwise(F.col("__in_n_chars"))
     return rows.select(*[new.get(c, F.col(f"__in_{c}")).alias(c) for c in names])
