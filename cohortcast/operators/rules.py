@@ -1,4 +1,4 @@
-"""Rule tables turned into one column expression: cascades, point lists, flags."""
+"""Rule lists turned into one column expression: points, strengths, concerns."""
 
 from __future__ import annotations
 
@@ -10,38 +10,6 @@ from pyspark.sql import functions as F
 from cohortcast.functions.nulls import is_true
 from cohortcast.functions.text import capitalise_first
 
-COMPARE = {
-    ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v,
-}
-
-
-def signals(spec: Mapping[str, tuple[str, str, float]], any_of: Mapping[str, Sequence[str]] | None = None,
-            columns: Mapping[str, str] | None = None) -> dict[str, Column]:
-    """Named threshold tests; a missing value never fires. `any_of` adds disjunctions of them."""
-    names = columns or {}
-    out = {s: is_true(COMPARE[op](F.col(names.get(c, c)), F.lit(v))) for s, (c, op, v) in spec.items()}
-    for s, parts in (any_of or {}).items():
-        test = out[parts[0]]
-        for p in parts[1:]:
-            test = test | out[p]
-        out[s] = test
-    return out
-
-
-def cascade(rules: Sequence[tuple[str, str]], tests: Mapping[str, Column]) -> Column:
-    """Label of the first rule whose signals all hold; a rule without signals is the default."""
-    chain = None
-    for label, needs in rules:
-        parts = needs.split()
-        if not parts:
-            return chain.otherwise(F.lit(label)) if chain is not None else F.lit(label)
-        test = F.lit(True)
-        for p in parts:
-            test = test & (~tests[p[1:]] if p[0] == "!" else tests[p])
-        chain = F.when(test, F.lit(label)) if chain is None else chain.when(test, F.lit(label))
-    return chain
-
-
 def points(rules: Sequence[tuple[Column, Column]], fallbacks: Sequence[tuple[Column, Column]] = (),
            limit: int = 3) -> Column:
     """Texts of the firing rules in order, the first `limit` kept, one fallback when none fires."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortcast import presets
+from cohortcast.archetypes import BACK_DEFAULT, BACK_STYLES, RECEIVER_DEFAULT, RECEIVER_STYLES, style_of
 from cohortcast.functions import nulls
 from cohortcast.functions.scores import speed_score
 from cohortcast.operators import rules
@@ -100,32 +100,33 @@ def rule_input(spark, d):
         "share": F.col("td_rate") * 0.7, "ydr": F.col("yards_final") * 2, "ypcx": F.col("ypr")})
 
 
-def sql_signal(spec, any_of, token):
-    neg, name = token[0] == "!", token.lstrip("!")
-    if any_of and name in any_of:
-        text = "(" + " OR ".join(sql_signal(spec, None, t) for t in any_of[name]) + ")"
-    else:
-        c, op, v = spec[name]
-        text = f"coalesce({COLUMNS.get(c, c)} {op} {v}, false)"
-    return f"NOT {text}" if neg else text
-
-
-def sql_cascade(table, spec, any_of=None):
-    whens = [f"WHEN {' AND '.join(sql_signal(spec, any_of, t) for t in needs.split())} THEN '{label}'"
-             for label, needs in table if needs]
-    return f"CASE {' '.join(whens)} ELSE '{table[-1][0]}' END"
+WR_SQL = """CASE
+    WHEN ydg >= 1100 AND (height_in >= 74 AND forty <= 4.42 OR height_in >= 73 AND td_rate >= 0.12 AND slot <= 15) THEN 'Alpha WR'
+    WHEN height_in >= 74 AND weight >= 215 AND (yprx >= 16.5 OR ydg >= 800) THEN 'Contested Catch'
+    WHEN forty <= 4.38 AND yprx >= 18 OR forty <= 4.42 AND yprx >= 16.5 AND NOT coalesce(recs >= 70, false) THEN 'Deep Threat'
+    WHEN height_in <= 71 AND recs >= 70 THEN 'Slot WR'
+    WHEN forty <= 4.42 AND ydg >= 1100 OR forty <= 4.38 AND ydg >= 800 THEN 'Speed WR'
+    WHEN recs >= 70 AND NOT coalesce(yprx >= 16.5, false) THEN 'Route Runner'
+    WHEN ydg >= 1100 THEN 'High-Volume WR' WHEN yprx >= 16.5 THEN 'Big-Play WR' WHEN forty <= 4.42 THEN 'Speed WR'
+    WHEN height_in >= 74 THEN 'Contested Catch' WHEN ydg >= 800 AND yprx >= 15 THEN 'Big-Play WR' WHEN ydg >= 800 THEN 'High-Volume WR'
+    WHEN td_rate >= 0.12 THEN 'Big-Play WR' WHEN slot <= 15 THEN 'Alpha WR' WHEN slot <= 40 THEN 'High-Upside WR' ELSE 'Developmental WR' END"""
+RB_SQL = """CASE
+    WHEN ydg >= 900 AND share >= 0.25 THEN 'Three-Down Back' WHEN ydg >= 1200 AND weight >= 220 AND recs >= 200 THEN 'Workhorse'
+    WHEN forty <= 4.38 AND ypcx >= 6 AND ydg >= 1200 THEN 'Explosive Back' WHEN forty <= 4.38 AND ypcx >= 6 THEN 'Speed Back'
+    WHEN weight >= 220 AND ydg >= 1200 THEN 'Power Back' WHEN ydg >= 1200 AND (ydr >= 200 OR share >= 0.15) THEN 'All-Purpose Back'
+    WHEN ydg >= 1200 AND recs >= 200 THEN 'Workhorse' WHEN forty <= 4.42 AND ydg >= 1200 THEN 'Speed Back' WHEN share >= 0.25 THEN 'Receiving Back'
+    WHEN ypcx >= 6 AND ydg >= 1200 THEN 'Big-Play Back' WHEN weight >= 220 AND recs >= 150 THEN 'Power Back' WHEN forty <= 4.42 AND ydg >= 900 THEN 'Speed Back'
+    WHEN forty <= 4.42 AND (ydr >= 200 OR share >= 0.15) THEN 'All-Purpose Back' WHEN ydg >= 900 THEN 'Workhorse' WHEN ypcx >= 7 THEN 'Big-Play Back'
+    WHEN ydr >= 200 OR share >= 0.15 THEN 'All-Purpose Back' WHEN recs >= 200 THEN 'Workhorse' WHEN slot <= 64 THEN 'High-Upside Back' ELSE 'Developmental Back' END"""
 
 
 @query("archetype_rules", f"""
-    SELECT entity_id, position, CASE WHEN position IN ('BUILDING', 'FURNITURE', 'MACHINERY')
-           THEN {sql_cascade(presets.WR_ARCHETYPES, presets.WR_SIGNALS)}
-           ELSE {sql_cascade(presets.RB_ARCHETYPES, presets.RB_SIGNALS, presets.RB_ANY_SIGNALS)} END AS archetype
+    SELECT entity_id, position, CASE WHEN position IN ('BUILDING', 'FURNITURE', 'MACHINERY') THEN {WR_SQL} ELSE {RB_SQL} END AS archetype
     FROM ({RULE_INPUT})""")
 def archetype_rules(spark, d):
-    wr = rules.cascade(presets.WR_ARCHETYPES, rules.signals(presets.WR_SIGNALS, columns=COLUMNS))
-    rb = rules.cascade(presets.RB_ARCHETYPES, rules.signals(presets.RB_SIGNALS, presets.RB_ANY_SIGNALS, COLUMNS))
     receiver = F.col("position").isin("BUILDING", "FURNITURE", "MACHINERY")
-    return rule_input(spark, d).select("entity_id", "position", F.when(receiver, wr).otherwise(rb).alias("archetype"))
+    style = F.when(receiver, style_of(RECEIVER_STYLES, RECEIVER_DEFAULT, COLUMNS)).otherwise(style_of(BACK_STYLES, BACK_DEFAULT, COLUMNS))
+    return rule_input(spark, d).select("entity_id", "position", style.alias("archetype"))
 
 
 @query("rule_points", r"""

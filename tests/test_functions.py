@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortcast import presets
+from cohortcast import archetypes, presets
 from cohortcast.functions import nulls, scores, text
 from cohortcast.operators import rules
 
@@ -64,7 +64,7 @@ def test_cascade_first_hit_and_default(spark):
     df = spark.createDataFrame([(75, 4.40, 1200.0), (None, None, None), (70, 4.36, 850.0)], "height_in INT, forty DOUBLE, rec_yards_final DOUBLE")
     for c in ("weight", "ypr", "rec_final", "rec_td_rate", "pick"):
         df = df.withColumn(c, F.lit(None).cast("double"))
-    label = rules.cascade(presets.WR_ARCHETYPES, rules.signals(presets.WR_SIGNALS))
+    label = archetypes.style_of(archetypes.RECEIVER_STYLES, archetypes.RECEIVER_DEFAULT)
     assert [r[0] for r in df.select(label).collect()] == ["Alpha WR", "Developmental WR", "Speed WR"]
 
 
