@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from cohortcast.functions.text import count_delimiter, squish
 from cohortcast.operators.grouped import attach
 from cohortcast.operators.ranks import prefix_counts
+from cohortcast.session import materialize
 
 LINK = r'<a href="([^"<>]*)">([^<]*)</a>'
 
 
 def all_matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
-    """Every match of a pattern as an array of structs, one field per named group, in page order."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for n, i in groups.items()]
-    return F.arrays_zip(*parts)
+    """Every match of a pattern as an array of structs, one field per named group, in page order.
+
+    The page is searched once; the groups are taken from the short matches.
+    """
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
+        *[F.regexp_extract(m, pattern, i).alias(n) for n, i in groups.items()]))
 
 
 def number_in_order(df: DataFrame, page: str, pos: str, out: str) -> DataFrame:
@@ -29,12 +33,17 @@ def number_in_order(df: DataFrame, page: str, pos: str, out: str) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """Links of each page with their order, the path depth and the first path part."""
-    found = pages.select(page, F.posexplode(all_matches(F.col(html), LINK, {"href": 1, "label": 2})).alias("p", "m"))
-    rows = found.select(page, (F.col("p") + 1).alias("pos"), "m.href", "m.label",
+    """Links of each page with their order, the path depth and the first path part.
+
+    The links are written once; their counts per page and their rows are read from that small table.
+    """
+    links = materialize(pages.select(page, all_matches(F.col(html), LINK, {"href": 1, "label": 2}).alias("links")), "page-links")
+    per_page = links.groupBy(page).agg(F.sum(F.size("links")).alias("__n"))
+    before = prefix_counts(per_page, [], page, ["__n"]).select(page, F.col("__n_below").alias("__before"))
+    found = attach(links, before, [page]).select(page, "__before", F.posexplode("links").alias("p", "m"))
+    return found.select(page, (F.col("p") + 1).alias("pos"), "m.href", "m.label",
                         count_delimiter(F.col("m.href"), "/").alias("slashes"),
-                        F.split(F.col("m.href"), "/", 2)[0].alias("lead"))
-    return number_in_order(rows, page, "pos", "global_pos")
+                        F.split(F.col("m.href"), "/", 2)[0].alias("lead"), (F.col("__before") + F.col("p")).alias("global_pos"))
 
 
 def split_fields(df: DataFrame, text: str, names: list[str], delimiter: str = r"\s*,\s*") -> DataFrame:
