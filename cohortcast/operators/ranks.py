@@ -2,9 +2,9 @@
 
 All of them derive from one table: per (group, distinct value) the number of rows holding the value
 and the number of rows below it. Equal values are counted before any shuffle. Running sums are taken
-over ranges inside ranges: a value's place on a fixed monotone scale gives nested ranges of 2^16
-members each, every window sees one range, and the sums of the ranges before it are added. The
-scale is fixed, so there is one plan for every size and nothing runs before the caller asks.
+over ranges inside ranges: a value's place on a fixed monotone scale (2^21 ranges per doubling) gives
+nested ranges of 2^16 members each, every window sees one range, and the sums of the ranges before it
+are added. The scale is fixed, so there is one plan for every size and nothing runs before the caller asks.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from cohortcast.operators.grouped import attach
 
 RANGE_BITS = 16
-LEVELS = 3
-SCALE_BITS = 37  # LEVELS * RANGE_BITS less the bits in front of the point
+LEVELS = 2
+SCALE_BITS = 21  # LEVELS * RANGE_BITS less the bits in front of the point
 
 
 def _place(value: str) -> Column:
