@@ -127,7 +127,7 @@ def plays(spark: SparkSession, d: str) -> DataFrame:
         (1 + F.col("user_id") % 3).cast("int").alias("season"), F.to_date("ts").alias("game"),
         F.col("event_type").alias("kind"),
         F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("int").alias("yards"),
-        F.col("value").alias("epa"), (1 + F.col("event_id") % 4).cast("int").alias("down"),
+        F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("epa"), (1 + F.col("event_id") % 4).cast("int").alias("down"),
         F.when(F.col("event_id") % 17 != 0, (F.col("event_id") % 71).cast("int") - 35).alias("score_diff"))
 
 

@@ -75,7 +75,7 @@ VIEWS = {
         SELECT event_id, user_id AS player, CAST(user_id % 10 AS INTEGER) AS team,
                CAST(1 + (user_id % 3) AS INTEGER) AS season,
                CAST(ts AS DATE) AS game, event_type AS kind,
-               CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS yards, value AS epa,
+               CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS yards, CASE WHEN event_id % 13 <> 0 THEN value END AS epa,
                CAST(1 + event_id % 4 AS INTEGER) AS down,
                CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 71 AS INTEGER) - 35 END AS score_diff
         FROM events""",

@@ -26,14 +26,15 @@ RUSH_SQL = """
     SELECT player, team, season, count(*) AS carries, CAST(sum(yards) AS BIGINT) AS rush_yards,
            CAST(sum(CASE WHEN yards >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS explosive,
            CAST(sum(CASE WHEN yards >= 15 THEN 1 ELSE 0 END) AS BIGINT) AS breakaway,
-           sum(epa) AS total_epa, count(DISTINCT game) AS games
+           coalesce(sum(epa), 0) AS total_epa, avg(epa) AS mean_epa, count(DISTINCT game) AS games
     FROM live_plays WHERE kind IN ('click', 'error') GROUP BY player, team, season"""
 
 REC_SQL = """
     SELECT player, team, season, count(*) AS targets,
            CAST(sum(CASE WHEN yards >= 40 THEN 1 ELSE 0 END) AS BIGINT) AS receptions,
            CAST(sum(CASE WHEN yards >= 40 THEN yards ELSE 0 END) AS BIGINT) AS rec_yards,
-           sum(epa) AS total_epa_rec, count(DISTINCT game) AS rec_games
+           coalesce(sum(epa), 0) AS total_epa_rec, avg(epa) AS epa_per_target, count(DISTINCT game) AS rec_games,
+           CAST(sum(CASE WHEN yards >= 40 THEN 1 ELSE 0 END) AS BIGINT) AS explosive_rec
     FROM live_plays WHERE kind = 'view' GROUP BY player, team, season"""
 
 
@@ -51,7 +52,7 @@ def targets(spark, d):
            round(explosive / greatest(carries, 1), 6) AS explosive_rate,
            round(breakaway / greatest(carries, 1), 6) AS breakaway_rate,
            round(carries / greatest(games, 1), 6) AS carries_per_game,
-           round(total_epa / greatest(carries, 1), 8) AS epa_per_rush
+           round(mean_epa, 8) AS epa_per_rush
     FROM ({RUSH_SQL})""")
 def event_rates(spark, d):
     # a mean of two-digit values over a power of two can end in a 5 at the seventh digit: keep eight
@@ -59,6 +60,16 @@ def event_rates(spark, d):
         "total_epa", "ypc", "explosive_rate", "breakaway_rate", "carries_per_game"))
 
 
+@query("receiving_rates", f"""
+    SELECT player, team, season, targets, receptions, rec_yards, explosive_rec, rec_games, round(total_epa_rec, 6) AS total_epa_rec,
+           round(epa_per_target, 8) AS epa_per_target, round(receptions / targets, 6) AS catch_rate, round(rec_yards / targets, 6) AS yards_per_target,
+           round(targets / greatest(rec_games, 1), 6) AS targets_per_game, round(explosive_rec / greatest(receptions, 1), 6) AS explosive_rec_rate
+    FROM ({REC_SQL})""")
+def receiving_rates(spark, d):
+    out = ev.receiving(targets(spark, d), caught()).withColumn("epa_per_target", F.round("epa_per_target", 8))
+    return rounded(out, ("total_epa_rec", "catch_rate", "yards_per_target", "targets_per_game", "explosive_rec_rate"))
+
+
 @query("event_conditional_stats", """
     WITH a AS (
       SELECT player, team, season, count(DISTINCT game) AS games, count(*) AS dropbacks,
@@ -67,13 +78,13 @@ def event_rates(spark, d):
              CAST(sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS sacks,
              CAST(sum(CASE WHEN kind <> 'error' AND regexp_matches(kind, '(?i)SIGN') AND yards < 35 THEN 1 ELSE 0 END) AS BIGINT) AS ints,
              CAST(sum(CASE WHEN kind <> 'error' AND yards >= 35 AND yards >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS explosive,
-             sum(epa) AS total_epa, sum(CASE WHEN kind <> 'error' THEN epa ELSE 0 END) AS total_epa_att,
-             avg(CASE WHEN down >= 3 THEN epa END) AS late_down_epa
+             coalesce(sum(epa), 0) AS total_epa, coalesce(sum(CASE WHEN kind <> 'error' THEN epa END), 0) AS total_epa_att,
+             avg(CASE WHEN down >= 3 THEN coalesce(epa, 0) END) AS late_down_epa
       FROM live_plays WHERE kind IN ('purchase', 'signup', 'error') GROUP BY player, team, season)
     SELECT player, team, season, games, dropbacks, attempts, completions, sacks, ints, explosive,
-           round(total_epa, 6) AS total_epa, round(total_epa_att, 6) AS total_epa_att, round(late_down_epa, 6) AS late_down_epa,
-           round(total_epa / greatest(dropbacks, 1), 6) AS epa_per_dropback,
-           round(total_epa_att / greatest(attempts, 1), 6) AS epa_per_attempt,
+           round(total_epa, 6) AS total_epa, round(total_epa_att, 6) AS total_epa_att, round(late_down_epa, 8) AS late_down_epa,
+           round(total_epa / greatest(dropbacks, 1), 8) AS epa_per_dropback,
+           round(total_epa_att / greatest(attempts, 1), 8) AS epa_per_attempt,
            round(completions / greatest(attempts, 1), 6) AS completion_pct,
            round(sacks / greatest(dropbacks, 1), 6) AS sack_rate, round(ints / greatest(dropbacks, 1), 6) AS int_rate,
            round((sacks + ints) / greatest(dropbacks, 1), 6) AS negative_play_rate,
@@ -84,7 +95,9 @@ def event_conditional_stats(spark, d):
     kind, yards = F.col("kind"), F.col("yards")
     out = ev.dropbacks(base.live_plays(spark, d), kind.isin("purchase", "signup"), kind == "error",
                        yards >= 35, kind.rlike("(?i)SIGN") & (yards < 35))
-    return rounded(out, ("total_epa", "total_epa_att", "late_down_epa", "epa_per_dropback", "epa_per_attempt",
+    # as in event_rates, means keep eight digits
+    out = out.withColumns({c: F.round(c, 8) for c in ("late_down_epa", "epa_per_dropback", "epa_per_attempt")})
+    return rounded(out, ("total_epa", "total_epa_att",
                          "completion_pct", "sack_rate", "int_rate", "negative_play_rate", "explosive_rate", "share_of_team"))
 
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def present_partitions(spark: SparkSession, path: str, column: str, kind: str) -> DataFrame:
-    """Partition values already stored, from the directory listing alone."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{column} {kind}")
-    return stored.select(F.col(column).cast(kind)).distinct()
+    """Partition values already stored: the names of the target's folders, none where it does not exist.
+
+    Any other fault of reading (rights, a broken file system) is raised.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()] if files.exists(folder) else []
+    values = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
+    return spark.createDataFrame([(v,) for v in values], f"{column} string").select(
+        F.when(F.col(column) != "__HIVE_DEFAULT_PARTITION__", F.col(column)).cast(kind).alias(column))
 
 
 def fill_missing(source: DataFrame, path: str, column: str,
