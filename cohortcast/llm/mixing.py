@@ -169,15 +169,14 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     rows = _picked(docs.withColumnsRenamed({c: f"__in_{c}" for c in docs.columns}).withColumns(
         {"doc_id": F.col("__in_doc_id"), "text": F.col("__in_text"), "source": F.col("__in_source")}),
         [f"__in_{c}" for c in docs.columns], block_words, shard_words, seed)
-    part = F.filter("__picks", lambda p: p["times"] >= F.col("__pass"))
-    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(MOST_TIMES)))).withColumn("__part", part)
-    held = F.aggregate("__part", F.lit(0).cast("bigint"), lambda acc, p: acc + p["to"] - p["from"])
+    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(MOST_TIMES))))
+    held = F.aggregate("__picks", F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["times"] >= F.col("__pass"), p["to"] - p["from"]).otherwise(0))
     rows = rows.withColumn("__held", held).where("__held > 0")
     pieces = F.regexp_extract_all(F.col("__in_text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__part", lambda p: F.slice("__pieces", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
-    rows = rows.withColumn("__pieces", F.when(F.col("__held") < F.col("__n"), pieces))
-    text = F.when(F.col("__held") < F.col("__n"), cut).otherwise(F.col("__in_text"))
-    rows = rows.withColumn("__text", text)
+    # one step per word: whether the pass takes the block that holds it
+    kept = F.filter(pieces, lambda _, i: _rounds(
+        F.floor((F.col("__end") - F.col("__n") + i) / block_words).cast("bigint"), seed) >= F.col("__pass"))
+    rows = rows.withColumn("__text", F.when(F.col("__held") < F.col("__n"), F.array_join(kept, "")).otherwise(F.col("__in_text")))
     put = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.when(F.col("__held") < F.col("__n"), F.length("__text").cast("bigint")).otherwise(F.col("__in_n_chars"))
