@@ -193,12 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Count, smooth and calibrate on the labelled rows of `docs` outside the held-out quarter.
 
     Labels are `doc_id` and `toxic`; null ids or labels are ignored and a document is toxic if any of its labels is.
+    Labels grow with the corpus, so they meet the texts in a sort-merge join at every size.
     Counts cover every training row and grow with them; they are smoothed as tables. What reaches the driver is bounded:
     `CELLS` cells (of n-grams that share one, the most frequent is kept, the others count as new) and `CALIBRATION_ROWS` rows of
     evidence. Returns None unless both classes have training rows.
     """
     said = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id"))
-            .agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")))
+            .agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")).hint("merge"))
     training = (docs.select(F.col("doc_id").cast("bigint").alias("__id"), text_of().alias("text"))
                 .where(crc_bucket(F.col("__id"), 4) != 2))
     part = F.pmod(F.xxhash64("__id"), F.lit(CALIBRATION_PART))
