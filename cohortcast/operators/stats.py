@@ -127,10 +127,16 @@ def value_score(df: DataFrame, position: str, expected: str, actual: str, resolv
 
 
 def auc_by_group(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve: rank sum of the positives, ties counted half."""
+    """Areas under the ROC curve (rank sum of the positives, ties counted half) and the precision-recall curve.
+
+    The latter is average precision: the precision at each positive's score, with ties on one side.
+    """
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(F.col(label)).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
     table = prefix_counts(counts, keys, score, ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    sums = table.groupBy(*keys).agg(wins.alias("w"), F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg"))
-    return sums.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+    found, false = F.col("pos_total") - F.col("pos_below"), F.col("neg_total") - F.col("neg_below")
+    precise = F.sum(F.col("pos") * F.try_divide(found, found + false))
+    sums = table.groupBy(*keys).agg(wins.alias("w"), precise.alias("p"), F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg"))
+    return sums.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"),
+                       F.try_divide(F.col("p"), F.col("n_pos")).alias("pr_auc"))

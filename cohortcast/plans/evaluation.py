@@ -49,13 +49,15 @@ def metrics_by_year(spark, d):
 
 
 @query("auc_rank", """
-    SELECT o.position, any_value(n_pos) AS n_pos, any_value(n_neg) AS n_neg, round(sum(CASE WHEN made_it = 1 THEN r END) / any_value(n_pos * n_neg) - (any_value(n_pos) + 1) / (2.0 * any_value(n_neg)), 6) AS auc
+    SELECT o.position, any_value(n_pos) AS n_pos, any_value(n_neg) AS n_neg, round(sum(CASE WHEN made_it = 1 THEN r END) / any_value(n_pos * n_neg) - (any_value(n_pos) + 1) / (2.0 * any_value(n_neg)), 6) AS auc,
+           round(sum(CASE WHEN made_it = 1 THEN found / CAST(above AS DOUBLE) END) / any_value(n_pos), 6) AS pr_auc
     FROM (SELECT position, made_it, rank() OVER w + (count(*) OVER (PARTITION BY position, s) - 1) / 2.0 AS r,
+                 count(*) FILTER (WHERE made_it = 1) OVER (PARTITION BY position ORDER BY s DESC) AS found, count(*) OVER (PARTITION BY position ORDER BY s DESC) AS above,
                  count(*) FILTER (WHERE made_it = 1) OVER (PARTITION BY position) AS n_pos, count(*) FILTER (WHERE made_it = 0) OVER (PARTITION BY position) AS n_neg
           FROM (SELECT position, made_it, round(p_made_it - 0.4 * made_it, 2) AS s FROM oos) WINDOW w AS (PARTITION BY position ORDER BY s)) o GROUP BY o.position""")
 def auc_rank(spark, d):
     o = base.oos(spark, d).select("position", "made_it", F.round(F.col("p_made_it") - 0.4 * F.col("made_it"), 2).alias("s"))
-    return auc_by_group(o, ["position"], "made_it", "s").withColumn("auc", r6(F.col("auc")))
+    return auc_by_group(o, ["position"], "made_it", "s").withColumns({c: r6(F.col(c)) for c in ("auc", "pr_auc")})
 
 
 def bins_sql(x):

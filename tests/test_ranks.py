@@ -74,7 +74,10 @@ def test_auc(spark):
     pos = [s for y, s in data if y]
     neg = [s for y, s in data if not y]
     want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
-    assert stats.auc_by_group(df, ["g"], "y", "s").first()["auc"] == pytest.approx(want)
+    got = stats.auc_by_group(df, ["g"], "y", "s").first()
+    assert got["auc"] == pytest.approx(want)
+    precise = [sum(y for y, s in data if s >= p) / sum(s >= p for _, s in data) for p in pos]
+    assert got["pr_auc"] == pytest.approx(np.mean(precise))
 
 
 def test_multi_column_percent_ranks(data):
