@@ -121,7 +121,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     ids = pool.select("doc_id", "lang", "mark", "tie")
     chosen = (ids.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "tie")))
               .where(F.col("at") <= rows_per_language).select("mark", "tie").distinct())
-    sample = pool.join(chosen, ["mark", "tie"], "left_semi")
+    # the marks are at most `rows_per_language` a language, so they go to the texts and not the other way round
+    sample = pool.join(F.broadcast(chosen), ["mark", "tie"], "left_semi")
 
     def featurise(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [subword_buckets(t) for t in batch.column(3).to_pylist()]
