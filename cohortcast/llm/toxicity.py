@@ -5,19 +5,24 @@ orders: a letter's continuation counts are taken over both classes together, so
 new in a class is smoothed by the same shared counts, and evidence comes only from what the classes saw differently.
 A text's evidence is the toxic minus the ordinary log-likelihood per word; a logistic curve
 fitted on labelled rows that the counts have not seen turns it into a score.
+
+The evidence of every n-gram and context stays a table that grows with the corpus. Tasks hold only that of the `HOT` most
+frequent n-grams; a word with any other n-gram is looked up in the tables by joins, once per distinct word. Evidence is
+counted in whole `UNIT`s, so sums are the same whichever way and order they are taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cohortcast.llm.common import crc_bucket, map_texts, text_of
 from cohortcast.session import materialize
@@ -25,7 +30,8 @@ from cohortcast.session import materialize
 ORDER = 5
 DISCOUNT = 0.75
 MARGIN = 3.0
-CELLS = 1 << 20
+UNIT = 1 << 20
+HOT = 1 << 16
 CALIBRATION_ROWS = 20_000
 CALIBRATION_PART = 5  # one in so many training rows fits the curve instead of the counts
 THRESHOLD = 0.3
@@ -49,7 +55,8 @@ def _finish(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """Hashed letter events of texts: whole n-gram, its context, last three letters, last two before the letter, letter."""
+    """Hashed letter events of a stretch: whole n-gram, its context, last three letters, last two before the letter, letter, place."""
+    part: str = field(repr=False)
     doc: np.ndarray
     gram: np.ndarray
     context: np.ndarray
@@ -57,10 +64,11 @@ class Grams:
     pair: np.ndarray
     letter: np.ndarray
     ends: np.ndarray = field(repr=False)
+    at: np.ndarray = field(repr=False)
 
 
 def letter_events(texts: list[str]) -> Iterator[Grams]:
-    """Events of all letters and word ends of `texts`, in stretches of bounded size; words are runs of letters."""
+    """Events of all letters and word ends of `texts`, in stretches of bounded size; words are runs of letters (one longer than a stretch is several)."""
     joined = "".join(" " + t.lower() for t in texts) + " "
     starts = np.cumsum([0] + [len(t.lower()) + 1 for t in texts])[:-1]
     at = 0
@@ -69,7 +77,8 @@ def letter_events(texts: list[str]) -> Iterator[Grams]:
         if end < len(joined):
             cut = joined.rfind(" ", at + 1, end)
             end = cut + 1 if cut > at else end
-        yield _events(joined[at:end], at, starts)
+        lead = " " * (joined[at] != " ")
+        yield _events(lead + joined[at:end] + " " * (joined[end - 1:end] != " " and end < len(joined)), at - len(lead), starts)
         # the blank that ends a stretch also starts the next one
         at = end - 1 if end < len(joined) and joined[end - 1] == " " else end
 
@@ -96,7 +105,7 @@ def _events(part: str, offset: int, starts: np.ndarray) -> Grams:
             triple, pair = gram, context
     ends = ~letter[at]
     doc = np.searchsorted(starts, at + offset - ends, "right") - 1  # a word end belongs to its last letter's text
-    return Grams(doc, _finish(gram), _finish(context), _finish(triple), _finish(pair), codes[at], ends)
+    return Grams(part, doc, _finish(gram), _finish(context), _finish(triple), _finish(pair), codes[at], ends, at)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,41 +142,79 @@ GRAM_SCHEMA = "gram bigint, context bigint, triple bigint, pair bigint, letter b
 
 
 @dataclass(frozen=True)
-class Model:
-    """Evidence of known n-grams and of contexts, in hashed cells with a tag each, and the fitted curve."""
-    gram_tag: np.ndarray
+class Hot:
+    """Sorted keys and evidence of the most frequent n-grams; if they are all there are (`whole`), of all contexts too."""
+    grams: np.ndarray
     gram_evidence: np.ndarray
-    context_tag: np.ndarray
+    contexts: np.ndarray
     context_evidence: np.ndarray
-    curve: tuple[float, ...] = ()
+    whole: bool
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """Per text: words, summed evidence of its words, and the sum of their evidence beyond `MARGIN`."""
-        out = np.zeros((len(texts), 3))
-        for g in letter_events(texts):
-            cell = (g.gram & np.uint64(len(self.gram_tag) - 1)).astype(np.int64)
-            known = self.gram_tag[cell] == (g.gram >> np.uint64(32)).astype(np.uint32)
-            value = self.gram_evidence[cell]
+    def look_up(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of every event, and which of them only the tables can tell."""
+        value, known = _found(self.grams, self.gram_evidence, g.gram)
+        if self.whole:
             new = np.flatnonzero(~known)
-            cell = (g.context[new] & np.uint64(len(self.context_tag) - 1)).astype(np.int64)
-            seen = self.context_tag[cell] == (g.context[new] >> np.uint64(32)).astype(np.uint32)
-            value[new] = np.where(seen, self.context_evidence[cell], 0.0)
+            value[new] = _found(self.contexts, self.context_evidence, g.context[new])[0]
+            known[:] = True
+        return value, ~known
+
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, dict[tuple[int, str], int]]:
+        """Per text: words, summed evidence of its words and the sum of it beyond `MARGIN`; and how often each text has a word left to the tables."""
+        out = np.zeros((len(texts), 3), np.int64)
+        left: dict[tuple[int, str], int] = {}
+        for g in letter_events(texts):
             last = np.flatnonzero(g.ends)
-            if len(last):
-                word = np.add.reduceat(value, np.concatenate([[0], last[:-1] + 1]))
-                doc = g.doc[last]
-                for i, v in enumerate((np.ones(len(last)), word, np.maximum(word - MARGIN, 0))):
-                    out[:, i] += np.bincount(doc, weights=v, minlength=len(texts))
-        return out
+            if not len(last):
+                continue
+            first = np.concatenate([[0], last[:-1] + 1])
+            value, unsure = self.look_up(g)
+            word, doc, unsure = np.add.reduceat(value, first), g.doc[last], np.logical_or.reduceat(unsure, first)
+            np.add.at(out[:, 0], doc, 1)
+            sure = ~unsure
+            np.add.at(out[:, 1], doc[sure], word[sure])
+            np.add.at(out[:, 2], doc[sure], beyond(word[sure]))
+            for i in np.flatnonzero(unsure):
+                key = int(doc[i]), g.part[g.at[first[i]]:g.at[last[i]]]
+                left[key] = left.get(key, 0) + 1
+        return out, left
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    distinct, inverse = np.unique(wanted.view(np.int64), return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    known = keys[at] == distinct
+    return np.where(known, values[at], 0)[inverse], known[inverse]
+
+
+def beyond(word: np.ndarray) -> np.ndarray:
+    return np.maximum(word - int(MARGIN * UNIT), 0)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Tables (key, evidence) of all n-grams and all contexts, what tasks hold of them, and the fitted curve."""
+    grams: DataFrame
+    contexts: DataFrame
+    hot: Hot
+    curve: tuple[float, ...] = DEFAULT_CURVE
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return _curve(features(self.evidence(texts)), self.curve)
+        if self.hot.whole:
+            return _curve(features(self.hot.evidence(texts)[0]), self.curve)
+        docs = self.grams.sparkSession.createDataFrame(list(enumerate(texts)), "at bigint, text string")
+        rows = measured(docs, ["at"], self).toArrow()
+        out = np.zeros((len(texts), 3), np.int64)
+        out[rows["at"].to_numpy()] = np.stack([rows[c].to_numpy() for c in ("words", "total", "beyond")], 1)
+        return _curve(features(out), self.curve)
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
     """Constant and the two length-normalised sums; a text without words has none."""
     n = np.maximum(evidence[:, :1], 1)
-    return np.concatenate([np.ones((len(evidence), 1)), evidence[:, 1:] / n], 1)
+    return np.concatenate([np.ones((len(evidence), 1)), evidence[:, 1:] / UNIT / n], 1)
 
 
 def _curve(x: np.ndarray, weights) -> np.ndarray:
@@ -194,9 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     Labels are `doc_id` and `toxic`; null ids or labels are ignored and a document is toxic if any of its labels is.
     Labels grow with the corpus, so they meet the texts in a sort-merge join at every size.
-    Counts cover every training row and grow with them; they are smoothed as tables. What reaches the driver is bounded:
-    `CELLS` cells (of n-grams that share one, the most frequent is kept, the others count as new) and `CALIBRATION_ROWS` rows of
-    evidence. Returns None unless both classes have training rows.
+    Counts cover every training row and grow with them; they are smoothed as tables, and all of them score. What reaches the
+    driver is bounded: a copy of the `HOT` most frequent n-grams' evidence and `CALIBRATION_ROWS` rows of evidence.
+    Returns None unless both classes have training rows.
     """
     said = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id"))
             .agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")).hint("merge"))
@@ -210,28 +257,84 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     total = grams.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     if not total["t"] or not total["o"]:
         return None
-    tables = _smoothed(grams, total["n"])
-    model = Model(*_cells(tables[0]), *_cells(tables[1]), DEFAULT_CURVE)
+    known, contexts = (materialize(t, "toxicity-evidence") for t in _smoothed(grams, total["n"]))
+    whole = total["n"] <= HOT
+    most = known.orderBy(F.desc("weight"), "key").limit(HOT)
+    model = Model(known, contexts, Hot(*_arrays(known if whole else most), *_arrays(contexts if whole else contexts.limit(0)), whole))
     order = F.xxhash64("__id", F.lit(1))
     sample = (training.where(part == 0).join(said, "__id").select(order.alias("rank"), F.xxhash64("text").alias("tie"), "text", "label"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        evidence = features(shared.value.evidence(batch.column(2).to_pylist()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(evidence[:, 1]), pa.array(evidence[:, 2])],
-                                          names=["rank", "tie", "label", "mean", "beyond"])
-
-    rows = (map_texts(sample, ["rank", "tie", "text", "label"], "rank bigint, tie bigint, label int, mean double, beyond double", measure)
-            .orderBy("rank", "tie").limit(CALIBRATION_ROWS).toArrow())
+    rows = measured(sample, ["rank", "tie", "label"], model).orderBy("rank", "tie").limit(CALIBRATION_ROWS).toArrow()
     y = rows["label"].to_numpy()
     if 0 < y.sum() < len(y):
-        x = np.stack([np.ones(len(y)), rows["mean"].to_numpy(), rows["beyond"].to_numpy()], 1)
-        model = Model(model.gram_tag, model.gram_evidence, model.context_tag, model.context_evidence, fit_curve(x, y))
+        x = features(np.stack([rows[c].to_numpy() for c in ("words", "total", "beyond")], 1))
+        model = replace(model, curve=fit_curve(x, y))
     return model
 
 
+def measured(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
+    """`keep` and words, total, beyond (see `Hot.evidence`) per row of `docs`, which has a `text` without nulls.
+
+    Texts give their words of unheld n-grams. Those are reduced to distinct words, whose n-grams meet the evidence tables, and
+    each distinct text adds up its words' evidence. Only small rows are shuffled, never texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
+    n = len(keep)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out, left = shared.value.evidence(batch.column(n + 1).to_pylist())
+        items: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        for (doc, word), count in left.items():
+            items[doc].append({"word": word, "n": count})
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), *(pa.array(out[:, i]) for i in range(3)),
+                                           pa.array(items, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                                          names=[*keep, "__text", "words", "total", "beyond", "left"])
+
+    source = docs.select(*keep, F.xxhash64("text").alias("__text"), "text")
+    schema = StructType([*source.schema.fields[:n + 1], *_parse("words bigint, total bigint, beyond bigint, left array<struct<word: string, n: bigint>>")])
+    rows = map_texts(source, source.columns, schema, run)
+    if model.hot.whole:
+        return rows.select(*keep, "words", "total", "beyond")
+    rows = materialize(rows, "toxicity-words")
+    left = rows.where(F.size("left") > 0).select("__text", F.inline("left")).select("__text", F.xxhash64("word").alias("id"), "word", "n")
+    found = materialize(_word_evidence(left.groupBy("id").agg(F.first("word").alias("word")), model, shared), "toxicity-found")
+    beyond_ = F.greatest(F.col("evidence") - F.lit(int(MARGIN * UNIT)), F.lit(0))
+    more = (left.groupBy("__text", "id").agg(F.max("n").alias("n")).join(found, "id").groupBy("__text")
+            .agg(F.sum(F.col("n") * F.col("evidence")).alias("__total"), F.sum(F.col("n") * beyond_).alias("__beyond")))
+    added = [(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in ("total", "beyond")]
+    return rows.drop("left").join(more, "__text", "left").select(*keep, "words", *added)
+
+
+def _word_evidence(words: DataFrame, model: Model, shared) -> DataFrame:
+    """(id, evidence) of every word of (id, word): of each n-gram its own evidence, else its context's, else none."""
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
+                held = np.zeros(len(ids), np.int64)
+                open_ = []
+                for g in letter_events(texts):
+                    value, unsure = shared.value.look_up(g)
+                    np.add.at(held, g.doc, value)
+                    open_.append(pd.DataFrame({"doc": g.doc, "gram": g.gram.view(np.int64), "context": g.context.view(np.int64)})[unsure])
+                counted = pd.concat(open_).groupby(["doc", "gram", "context"], sort=False).size().reset_index(name="n")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[counted["doc"]]), pa.array(held[counted["doc"]]), *(pa.array(counted[c].to_numpy(), pa.int64()) for c in ("gram", "context", "n"))],
+                                                 names=["id", "held", "gram", "context", "n"])
+
+    rows = words.mapInArrow(events, "id bigint, held bigint, gram bigint, context bigint, n bigint")
+    own = model.grams.select(F.col("key").alias("gram"), F.col("evidence").alias("own"))
+    fallback = model.contexts.select(F.col("key").alias("context"), F.col("evidence").alias("fallback"))
+    each = F.coalesce("own", "fallback", F.lit(0))
+    return (rows.join(own, "gram", "left").join(fallback, "context", "left")
+            .groupBy("id").agg((F.max("held") + F.sum(F.col("n") * each)).alias("evidence")))
+
+
+def _parse(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
 def _smoothed(grams: DataFrame, n_grams: int) -> tuple[DataFrame, DataFrame]:
-    """(key, evidence, weight) of every n-gram and of every context, for letters new in it.
+    """(key, evidence, weight) of every n-gram and (key, evidence) of every context, for letters new in it.
 
     Kneser-Ney from below: letters by the n-grams they end, letter triples by the n-grams they end given the pair
     before, then all counts of both classes, and only the last step has the counts of one class.
@@ -258,20 +361,21 @@ def _smoothed(grams: DataFrame, n_grams: int) -> tuple[DataFrame, DataFrame]:
 
     evidence = F.log(chance("toxic", "ct", "tt")) - F.log(chance("ordinary", "co", "to"))
     new = F.log(backoff("ct", "tt")) - F.log(backoff("co", "to"))
-    return (rows.select(F.col("gram").alias("key"), evidence.alias("evidence"), both.alias("weight")),
-            contexts.select(F.col("context").alias("key"), new.alias("evidence"), (F.col("ct") + F.col("co")).alias("weight")))
+    return (rows.select(F.col("gram").alias("key"), F.round(evidence * UNIT).cast("bigint").alias("evidence"), both.alias("weight")),
+            contexts.select(F.col("context").alias("key"), F.round(new * UNIT).cast("bigint").alias("evidence")))
+
 
+def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.select("key", "evidence").toArrow()
+    keys, evidence = rows["key"].to_numpy(), rows["evidence"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order].astype(np.int64), evidence[order].astype(np.int64)
 
-def _cells(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tag and evidence of every cell; of keys that share a cell the heaviest stays."""
-    best = (table.groupBy(F.col("key").bitwiseAND(F.lit(CELLS - 1)).alias("cell"))
-            .agg(F.max_by(F.struct("key", "evidence"), F.struct("weight", "key")).alias("best"))
-            .select("cell", F.shiftrightunsigned("best.key", 32).alias("tag"), F.col("best.evidence").cast("float").alias("evidence"))).toArrow()
-    tags, evidence = np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.float32)
-    cell = best["cell"].to_numpy()
-    tags[cell] = best["tag"].to_numpy().astype(np.uint32)
-    evidence[cell] = best["evidence"].to_numpy()
-    return tags, evidence
+
+def _score(curve: tuple[float, ...]) -> Column:
+    words = F.greatest("words", F.lit(1))
+    line = F.lit(curve[0]) + F.lit(curve[1]) * (F.col("total") / UNIT / words) + F.lit(curve[2]) * (F.col("beyond") / UNIT / words)
+    return 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(35.0)), F.lit(-35.0))))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -280,15 +384,10 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     A null or blank text has no evidence and gets the curve's base score. A null doc_id stays null, repeated
     rows give repeated results, other columns are ignored, an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        scores = shared.value.score(texts) if shared.value else np.zeros(len(texts))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
-
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return map_texts(source, ["doc_id", "text"], "doc_id bigint, score double", rows)
+    if model is None:
+        return source.select("doc_id", F.lit(0.0).alias("score"))
+    return measured(source, ["doc_id"], model).select("doc_id", _score(model.curve).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -303,13 +402,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows whose text scores `threshold` or more; all columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if shared.value is None:
-            return batch
-        texts = [t or "" for t in batch.column(at).to_pylist()]
-        return batch.filter(pa.array(shared.value.score(texts) < threshold))
-
-    return map_texts(docs, docs.columns, docs.schema, rows)
+    if model is None:
+        return docs
+    if model.hot.whole:
+        shared, curve = docs.sparkSession.sparkContext.broadcast(model.hot), model.curve
+        at = docs.columns.index("text")
+
+        def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            return batch.filter(pa.array(_curve(features(shared.value.evidence(texts)[0]), curve) < threshold))
+
+        return map_texts(docs, docs.columns, docs.schema, rows)
+    key = F.xxhash64(text_of())
+    rejected = (measured(docs.select(key.alias("__key"), text_of().alias("text")), ["__key"], model)
+                .where(_score(model.curve) >= threshold).select("__key").distinct())
+    return docs.join(rejected, key == F.col("__key"), "left_anti")

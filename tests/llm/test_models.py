@@ -67,6 +67,20 @@ def test_toxicity_without_labels(made):
     assert left.columns == docs.columns and 0.6 * len(rows) < left.count() < 0.9 * len(rows)
 
 
+def test_toxicity_uses_every_counted_gram(made, monkeypatch):
+    """However few n-grams the tasks hold, all of the tables score."""
+    docs, labels, _, _ = made
+    whole = toxicity.fit(docs, labels)
+    scores = sorted(map(str, toxicity.score_documents(docs, whole).collect()))
+    left = sorted(map(str, toxicity.drop_toxic(docs, whole).collect()))
+    monkeypatch.setattr(toxicity, "HOT", 100)
+    few = toxicity.fit(docs, labels)
+    assert whole.hot.whole and not few.hot.whole and len(few.hot.grams) == 100 < few.grams.count() and few.curve == whole.curve
+    assert sorted(map(str, toxicity.score_documents(docs, few).collect())) == scores
+    assert sorted(map(str, toxicity.drop_toxic(docs, few).collect())) == left
+    assert few.score(["kato vikkopzor rimo"])[0] == pytest.approx(whole.score(["kato vikkopzor rimo"])[0])
+
+
 def test_counts_match_plain_counting():
     texts = ["Abc abc, d", "", "abd"]
     g = list(toxicity.letter_events(texts))[0]
