@@ -3,7 +3,8 @@
 Calls and results are tables of their own. They meet in one hash join on (conversation, identifier). A call may name
 others that it comes after; the order is a fixed point of (turn, hop): a call takes the largest
 of its own turn and what it comes after, one hop later. Where the log is already in order a single
-join confirms it; each further round follows one more link that points forward in the log. Nothing gathers a conversation in one task.
+join confirms it; each further round follows one more link that points forward in the log. A conversation that still moves after
+`ROUNDS` rounds has a long chain or a cycle; only then the identifiers and links of that one conversation are sorted in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +58,30 @@ def schema_errors(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[
     return out
 
 
+def _settled(calls: pd.DataFrame) -> pd.DataFrame:
+    """Place of every call of one conversation by removing ready calls; null for all if some are on a cycle or after one."""
+    place = {c: (int(t), 0) for c, t in zip(calls["call_id"], calls["turn"])}
+    waits, followers = dict.fromkeys(place, 0), {}
+    for call, after in zip(calls["call_id"], calls["after"]):
+        for needed in {n for n in (() if after is None else after) if n in place}:
+            waits[call] += 1
+            followers.setdefault(needed, []).append(call)
+    ready = [c for c, n in waits.items() if not n]
+    for call in ready:
+        turn, hop = place[call]
+        for follower in followers.get(call, ()):
+            place[follower] = max(place[follower], (turn, hop + 1))
+            waits[follower] -= 1
+            if not waits[follower]:
+                ready.append(follower)
+    whole = len(ready) == len(place)
+    return pd.DataFrame({"key": calls["key"], "call_id": calls["call_id"],
+                         "late_turn": pd.array([place[c][0] if whole else None for c in calls["call_id"]], "Int64"),
+                         "late_hop": pd.array([place[c][1] if whole else None for c in calls["call_id"]], "Int64")})
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
-    """Add order_turn and order_hop; both null in a conversation that does not settle, for a cycle or more than `ROUNDS` forward links in a row."""
+    """Add order_turn and order_hop; both null in a conversation with a cycle."""
     links = materialize(calls.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("needs")).where("needs is not null"), "call-links")
     place = materialize(calls.select("conv", "call_id", F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hop")).alias("place")), "call-order")
     moving = None
@@ -71,8 +95,12 @@ def _ordered(calls: DataFrame) -> DataFrame:
         if moving.isEmpty():
             return calls.join(place, ["conv", "call_id"]).select(calls["*"], F.col("place.turn").alias("order_turn"), F.col("place.hop").alias("order_hop"))
     stuck = moving.select("conv", F.lit(True).alias("stuck")).distinct()
-    return calls.join(place, ["conv", "call_id"]).join(stuck, "conv", "left").select(
-        calls["*"], F.when(F.col("stuck").isNull(), F.col("place.turn")).alias("order_turn"), F.when(F.col("stuck").isNull(), F.col("place.hop")).alias("order_hop"))
+    key = F.concat(F.when(F.col("conv.none"), "n").otherwise("s"), F.coalesce(F.col("conv.some").cast("string"), F.lit("")))
+    late = (calls.join(stuck, "conv", "left_semi").select(key.alias("key"), F.col("call_id").cast("string").alias("call_id"), "turn", F.col("after").cast("array<string>").alias("after"))
+            .groupBy("key").applyInPandas(_settled, "key string, call_id string, late_turn bigint, late_hop int"))
+    rows = calls.join(place, ["conv", "call_id"]).join(stuck, "conv", "left").withColumn("key", F.when(F.col("stuck"), key))
+    rows = rows.join(late.withColumnRenamed("call_id", "late_id"), (rows["key"] == late["key"]) & (rows["call_id"].cast("string") == F.col("late_id")), "left")
+    return rows.select(calls["*"], *(F.when(F.col("stuck").isNull(), F.col(f"place.{c}")).otherwise(F.col(f"late_{c}")).alias(f"order_{c}") for c in ("turn", "hop")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -81,7 +109,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     `calls` has conv_id, call_id, turn, name, arguments (JSON text) and after (identifiers it must follow; unknown ones do not
     count); `results` has conv_id, call_id, turn and content. Output, one row per identifier of a conversation: conv_id, call_id,
     order_turn, order_hop, status (linked, unanswered or orphan), errors (array) and json. Sorting a conversation by order_turn,
-    order_hop, call_id gives a topological order. An identifier used twice means its first turn, for calls and for
+    order_hop, call_id gives a topological order, both are null where links form a cycle. An identifier used twice means its first turn, for calls and for
     results (ties by content). Rows with a null call_id link to nothing and are left out; a null conv_id is a conversation of its
     own; arguments that are null, no JSON or against the schema, and unknown tools, give errors. Other columns are ignored.
     """

@@ -101,6 +101,20 @@ def test_link_calls(spark):
     assert got["c", "k1"]["errors"] == []
 
 
+def test_long_chains_are_ordered(spark):
+    """A chain of 100 calls within a turn, one logged in reverse, and a cycle behind a long chain."""
+    calls = [("turn", f"k{i:03}", 1, "add", "{}", [f"k{i - 1:03}"] if i else [], "p", 1) for i in range(100)]
+    calls += [("back", f"k{i:03}", 100 - i, "add", "{}", [f"k{i - 1:03}", "gone", None] if i else None, "p", 1) for i in range(100)]
+    calls += [(None, f"k{i:03}", None, "add", "{}", [f"k{i - 1:03}"] if i else [], "p", 1) for i in range(100)]
+    calls += [("cycle", f"k{i:03}", 1, "add", "{}", [f"k{(i or 60) - 1:03}"], "p", 1) for i in range(60)]
+    got = chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    assert len(got) == len(calls)
+    for conv, turn in (("turn", 1), ("back", 100), (None, 0)):
+        mine = {r["call_id"]: (r["order_turn"], r["order_hop"]) for r in got if r["conv_id"] == conv}
+        assert mine == {f"k{i:03}": (turn, i) for i in range(100)}
+    assert {(r["order_turn"], r["order_hop"]) for r in got if r["conv_id"] == "cycle"} == {(None, None)}
+
+
 def test_turns_as_calls(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", 'say "é"'), (1, 2, "assistant", "ok"), (1, 3, "user", None), (2, 0, "assistant", "alone"), (None, 1, "user", "x"),
              (3, 1, "user", "word " * 100_000), (1, 1, "user", 'say "é"'), (4, None, "user", "x"), (5, 0, None, "x")]
