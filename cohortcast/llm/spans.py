@@ -1,10 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
 From every sentence on, the run of `SENTENCES` consecutive ones, or as many more as it takes to hold `LEAST_WORDS`
-words, is hashed; equal hashes are joined over the whole corpus, and the sentences of every occurrence but the
-first are removed. Occurrences are ordered by doc_id (null last), text hash and position. A sentence longer than
-`LONGEST` words counts as several, so a passage of more than 2 * `LONGEST` words always holds a run, while a repeated
-line of one or two sentences is left alone.
+words, is hashed, and so is the run of two that hold more than `LONGEST` words; equal hashes are joined over the whole corpus,
+and the sentences of every occurrence but the first are removed. Occurrences are ordered by doc_id (null last), text hash and position.
+A sentence longer than `LONGEST` words counts as several, cut before the words whose hash is least among `WINDOW` neighbours,
+so the cuts are the same wherever a passage starts. A passage of more than 3 * `LONGEST` words holds a run at any offset in its
+sentences, one of more than 2 * `LONGEST` does between sentence borders or within long sentences; of shorter ones in short
+sentences that it starts or ends inside, those at the ends may hide the rest. A repeated line of one or two sentences of up to
+`LONGEST` words in all is left alone.
 """
 
 from __future__ import annotations
@@ -24,27 +27,34 @@ from cohortcast.session import materialize
 SENTENCES = 3
 LEAST_WORDS = 12
 LONGEST = 25
+WINDOW = 9
 BREAK = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of every sentence: text up to a mark before blanks, or a line end; pieces of at most `LONGEST` words."""
+    """(start, end, words) of every sentence: text up to a mark before blanks, or a line end; a longer one than `LONGEST` words in pieces."""
     out = []
     start = 0
     for stop, following in [*((m.start(), m.end()) for m in BREAK.finditer(text)), (len(text), len(text))]:
         n = len(text[start:stop].encode("utf-8", "surrogatepass").split())
         if n > LONGEST:
             words = [(start + m.start(), start + m.end()) for m in WORD.finditer(text[start:stop])]
-            for at in range(0, n, LONGEST):
-                part = words[at:at + LONGEST]
-                out.append((part[0][0], part[-1][1], len(part)))
+            borders = [0, *cuts([text[s:e] for s, e in words]), n]
+            out += [(words[a][0], words[b - 1][1], b - a) for a, b in zip(borders, borders[1:])]
         elif n:
             out.append((start, stop, n))
         start = following
     return out
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Places of the words with the least hash in some window of `WINDOW` words after the first, the last such of equals."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in words[:0:-1]], np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(1)
+    return (len(words) - 1 - np.unique(least + np.arange(len(least))))[::-1].tolist()
+
+
 def run_ends(words: list[int]) -> np.ndarray:
     """Last sentence of the run that starts at each sentence; starts whose run would pass the end are left out."""
     reach = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
@@ -53,13 +63,22 @@ def run_ends(words: list[int]) -> np.ndarray:
     return ends[ends < len(words)]
 
 
+def runs(words: list[int]) -> dict[int, tuple[int, int]]:
+    """First and last sentence of every run by its number: twice the first for runs of `run_ends`, one more for those of two sentences."""
+    out = {2 * i: (i, int(end)) for i, end in enumerate(run_ends(words))}
+    for i in range(len(words) - 1):
+        if words[i] + words[i + 1] > LONGEST:
+            out[2 * i + 1] = i, i + 1
+    return dict(sorted(out.items()))
+
+
 def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit hashes of the text's runs, on lower-case words joined by one space."""
+    """Numbers and 64-bit hashes of the text's runs, on lower-case words joined by one space."""
     found = sentences(text)
-    ends = run_ends([n for _, _, n in found])
+    spans = runs([n for _, _, n in found])
     parts = [b" ".join(text[s:e].lower().encode("utf-8", "surrogatepass").split()) for s, e, _ in found]
-    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i:end + 1])) for i, end in enumerate(ends)], np.uint64)
-    return np.arange(len(ends), dtype=np.int32), hashes.view(np.int64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i:end + 1])) for i, end in spans.values()], np.uint64)
+    return np.array(list(spans), dtype=np.int32), hashes.view(np.int64)
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -119,8 +138,8 @@ def without(text: str | None, hits: list[int] | None) -> tuple[str | None, int,
     found = sentences(text or "")
     if not hits:
         return text, len(found), 0
-    ends = run_ends([n for _, _, n in found])
-    gone = sorted({i for h in hits for i in range(h, ends[h] + 1)})
+    spans = runs([n for _, _, n in found])
+    gone = sorted({i for h in hits for i in range(spans[h][0], spans[h][1] + 1)})
     kept, at = [], 0
     for number in gone:
         start = found[number][0]

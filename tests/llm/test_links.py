@@ -71,6 +71,26 @@ def test_long_passages_always_hold_a_run():
     assert len(spans.span_hashes("One line of a footer. It has two sentences and no more than that, in all twenty words or so here.")[0]) == 0
 
 
+def test_passages_planted_inside_sentences(spark):
+    """Passages at different offsets: 51 words within a long sentence, and 76 words over short ones cut at both ends."""
+    rng = random.Random(6)
+    other = lambda n: [f"w{rng.randint(0, 10 ** 9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for length, most in ((51, None), (60, None), (76, 25), (76, 13), (90, 25)):
+        for before in range(0, 24, 3):
+            words = other(length)
+            ends = range(0) if most is None else range(rng.randint(0, most - 1), length - 1, most)
+            body = " ".join(w + "." * (i in ends) for i, w in enumerate(words))
+            pair = [" ".join([*other(3), "start. " + " ".join([*other(n), body, *other(m)]) + "."]) for n, m in ((before % 7, 4), (before, 9))]
+            pairs.append((len(rows) + 1, length))
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = {r["doc_id"]: r["text"] for r in spans.drop_repeats(frame(spark, rows)).collect()}
+    for number, length in pairs:
+        assert got[number - 1] == rows[number - 1][1]
+        lost = len(rows[number][1].split()) - len(got[number].split())
+        assert 12 <= lost <= length, (number, length)
+
+
 def test_spans_empty(spark):
     assert spans.drop_repeats(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
