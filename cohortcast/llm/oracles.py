@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from cohortcast.llm import mixing, quality, secrets
+from cohortcast.llm import codes, mixing, negatives, quality, secrets, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -120,3 +120,84 @@ def mix(block: int = mixing.BLOCK_WORDS, shard: int = mixing.SHARD_WORDS, seed:
                 * (quota // blocks + CASE WHEN (b * {mixing.STRIDE} + {seed}) % blocks < quota % blocks THEN 1 ELSE 0 END)) AS k
               FROM parts JOIN stream USING (rid) JOIN quotas ON quotas.src = stream.place AND quotas.place = stream.sh GROUP BY rid)
     SELECT doc_id, n AS size, source_size, target, CAST(coalesce(k, 0) AS BIGINT) AS taken FROM stream LEFT JOIN taken USING (rid)"""
+
+
+def _descent(tree: sharding.Tree) -> str:
+    """(rid, shard): one level after another, the child with the smallest draw."""
+    nodes = ", ".join(f"({quoted(path)}, {quoted(f'{path}/{name}')}, {weight!r}::DOUBLE)" for path, held in tree.children().items() for name, weight in held)
+    digits = sharding.HASH_DIGITS
+    draw = f"-ln((('0x' || substr(md5(key || ':' || n.path), 1, {digits}))::BIGINT + 0.5) / {float(16 ** digits)!r}) / n.weight"
+    step = lambda source, at: (f"SELECT rid, key, min({{'draw': {draw}, 'path': n.path}}).path AS node "
+                               f"FROM {source} JOIN nodes n ON n.parent = {at} GROUP BY rid, key")
+    return f"""
+    (WITH nodes(parent, path, weight) AS (VALUES {nodes}),
+     region AS ({step('(SELECT rid, key FROM m)', "''")}), rack AS ({step('region', 'node')}), shard AS ({step('rack', 'node')})
+     SELECT rid, split_part(node, '/', 4)::INTEGER AS shard FROM shard)"""
+
+
+def sharding_places() -> str:
+    """The checksum goes byte by byte through the table of the reflected polynomial, which the first CTE builds."""
+    shift = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    steps = []
+    for bit in range(8):
+        steps.append(f"t{bit} AS (SELECT i, {shift.format('c')} AS c FROM {'(SELECT i, i AS c FROM range(256) r(i))' if bit == 0 else f't{bit - 1}'})")
+    table = ", ".join(steps)
+    return f"""
+    WITH {table}, crc AS (SELECT list(c ORDER BY i) AS tab FROM t7),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    c AS (SELECT rid, xor(list_reduce([('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(b), '..')],
+                 lambda acc, x: xor(acc >> 8, tab[1 + (xor(acc, x) & 255)]), 4294967295), 4294967295) AS text_crc32 FROM d, crc),
+    m AS (SELECT rid, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, octet_length(b) + {sharding.ROW_BYTES} AS size, text_crc32 FROM d JOIN c USING (rid)),
+    now AS {_descent(sharding.layout())},
+    grown AS {_descent(sharding.layout(added=1))}
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, now.shard,
+           row_number() OVER (PARTITION BY now.shard ORDER BY md5(key || ':' || size || ':' || text_crc32), rid) - 1 AS slot, grown.shard AS grown_shard
+    FROM m JOIN now USING (rid) JOIN grown USING (rid)"""
+
+
+def _finite(column: str) -> str:
+    return f"{column} IS NOT NULL AND len([x FOR x IN {column} IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _whole(column: str) -> str:
+    return f"[greatest(-{codes.LARGEST}, least({codes.LARGEST}, floor({codes.SCALE} * x::DOUBLE)))::BIGINT FOR x IN {column}]"
+
+
+def vector_codes(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    away = "list_sum([z[1] * z[1] FOR z IN list_transform(list_zip(p.x, c.x), lambda z: [z[1] - z[2]])])"
+    nearest = lambda r: f"""
+    a{r} AS (SELECT rid, part, one.d AS d, one.entry AS entry FROM (
+       SELECT p.rid, p.part, min({{'d': {away}, 'entry': c.entry}}) AS one FROM p JOIN c{r} c ON c.part = p.part GROUP BY p.rid, p.part))"""
+    steps = [nearest(0)]
+    for r in range(rounds):
+        steps.append(f"""
+    s{r} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM (
+       SELECT part, entry, i, floor(sum(v) / count(*))::BIGINT AS v FROM (
+         SELECT p.part, a.entry, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS i FROM p JOIN a{r} a ON a.rid = p.rid AND a.part = p.part) GROUP BY part, entry, i)
+       GROUP BY part, entry),
+    c{r + 1} AS (SELECT c.part, c.entry, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s ON s.part = c.part AND s.entry = c.entry)""")
+        steps.append(nearest(r + 1))
+    return f"""
+    WITH e AS (SELECT row_number() OVER () AS rid, vec_id, label, {_whole('embedding')} AS v FROM embeddings WHERE {_finite('embedding')}),
+    p AS (SELECT rid, vec_id, part::INTEGER AS part, v[(part * len(v) // {parts}) + 1 : (part + 1) * len(v) // {parts}] AS x FROM e, range({parts}) r(part)),
+    c0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::INTEGER AS entry, x FROM p QUALIFY entry < {entries}),
+    {','.join(steps)},
+    books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds}),
+    coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM books) AS codebooks_sha256
+    FROM e JOIN coded USING (rid)"""
+
+
+def hard_negatives() -> str:
+    return f"""
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_whole('embedding')}::DOUBLE[] AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_finite('embedding')}),
+    scored AS (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS alike, list_inner_product(a.v, e.v)::BIGINT AS score
+               FROM e a JOIN e ON e.vec_id <> a.vec_id WHERE a.vec_id % {negatives.ANCHORS_EVERY} = 0),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+    SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM positives JOIN scored s USING (anchor_id)
+    WHERE NOT s.alike AND {negatives.LOW} * positive_score <= {negatives.OF} * s.score AND {negatives.OF} * s.score <= {negatives.HIGH} * positive_score
+    WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER best <= {negatives.NEGATIVES}"""

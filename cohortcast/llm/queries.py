@@ -8,8 +8,9 @@ from functools import wraps
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortcast.llm import ann, bpe, chat, langid, mixing, oracles, quality, secrets, simhash, spans, toxicity
+from cohortcast.llm import ann, bpe, chat, codes, langid, mixing, negatives, oracles, quality, secrets, sharding, simhash, spans, toxicity
 from cohortcast.session import ship_package
 from cohortcast.sources.tables import load
 
@@ -85,4 +86,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@register("op11_sharding", oracles.sharding_places())
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(load(spark, sf_dir, "documents"), carry=False)
+
+
+@register("op12_vector_codes", oracles.vector_codes())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(load(spark, sf_dir, "embeddings")).drop("rescans")
+
+
+@register("op13_hard_negatives", oracles.hard_negatives())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
