@@ -72,12 +72,12 @@ def _leading(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 
 
-def _chosen(key: Column, path: Column, children: Column) -> Column:
+def _chosen(key: Column, children: Column) -> Column:
     """Path of the child with the smallest draw; ties go to the smaller path."""
     def draw(child: Column) -> Column:
-        to = F.concat(path, F.lit("/"), child["name"])
-        u = (_leading(F.md5(F.concat(key, F.lit(":"), to).cast("binary")), HASH_DIGITS) + F.lit(0.5)) / F.lit(float(16 ** HASH_DIGITS))
-        return F.struct((-F.ln(u) / child["weight"]).alias("draw"), to.alias("path"))
+        digest = F.md5(F.concat(key, F.lit(":"), child["path"]).cast("binary"))
+        u = (_leading(digest, HASH_DIGITS) + F.lit(0.5)) / F.lit(float(16 ** HASH_DIGITS))
+        return F.struct((-F.ln(u) / child["weight"]).alias("draw"), child["path"].alias("path"))
     return F.array_min(F.transform(children, draw))["path"]
 
 
@@ -85,10 +85,10 @@ def shard_of(key: Column, tree: Tree) -> Column:
     """The shard number a key goes to: one draw for each child of the root and of the two nodes on its way down."""
     inner = tree.children()
     nodes = F.create_map(*[x for path, held in inner.items() for x in (
-        F.lit(path), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, w in held]))])
+        F.lit(path), F.array(*[F.struct(F.lit(f"{path}/{n}").alias("path"), F.lit(w).alias("weight")) for n, w in held]))])
     path = F.lit("")
     for _ in range(3):
-        path = _chosen(key, path, F.element_at(nodes, path))
+        path = _chosen(key, F.element_at(nodes, path))
     return F.substring_index(path, "/", -1).cast("int")
 
 
