@@ -41,3 +41,8 @@ def map_texts(df: DataFrame, columns: list[str], schema: str | StructType, rows:
             for at in range(0, batch.num_rows, TEXTS_PER_BATCH):
                 yield rows(batch.slice(at, TEXTS_PER_BATCH))
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows of `df` as one struct `__row` beside columns made from them, so no column's name can clash; `select("__row.*")` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *more)

@@ -38,7 +38,7 @@ def subword_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
     low = text.lower()
     for at in range(0, len(low), SEGMENT):
         raw = np.frombuffer((" " + low[at:at + SEGMENT] + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-        letter = (raw > 0xFFFF) | _letters()[np.minimum(raw, 0xFFFF)]
+        letter = _letters()[raw]
         codes = np.where(letter, raw, SPACE).astype(np.uint64)
         if not letter.any():
             continue

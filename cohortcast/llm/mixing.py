@@ -78,7 +78,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total_sha
 
 def _measured(docs: DataFrame, seed: int, carry: Sequence[str]) -> DataFrame:
     """Size and seeded mark of every document, with the columns of `docs` named in `carry`."""
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text_of())))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("__doc"), F.col("source").cast("string").alias("__source"),
         word_count(text_of()).alias("__n"), mark.alias("__mark"), F.xxhash64(text_of()).alias("__hash"), *carry)
@@ -150,7 +150,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: in
     Input needs `doc_id`, `text` and `source`; other columns are ignored. Output, one row per input row:
     doc_id, size, source_size, target, taken. A null text has size 0 and gives nothing; a null source is a
     source of its own, listed last; a null doc_id is ordered like the text "null". Rows that repeat a doc_id
-    are documents of their own, alike in size interchangeable. An empty table gives an empty result.
+    are documents of their own, alike in size interchangeable. Shards follow id and text, so rows without an id spread. An empty table gives an empty result.
     A source's taken words miss its target by less than a block per shard. Reruns agree.
     """
     taken = F.aggregate("__picks", F.lit(0).cast("bigint"), lambda acc, p: acc + (p["to"] - p["from"]) * p["times"])

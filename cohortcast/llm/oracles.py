@@ -95,7 +95,7 @@ def mix(block: int = mixing.BLOCK_WORDS, shard: int = mixing.SHARD_WORDS, seed:
     weights = "[" + ", ".join(f"CAST({w} AS DOUBLE)" for w in mixing.WEIGHTS) + "]"
     return f"""
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS BIGINT) AS n,
-                      md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mark FROM documents),
+                      md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS mark FROM documents),
     s AS (SELECT source, CAST(sum(n) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
     w AS (SELECT *, {weights}[(place - 1) % {len(mixing.WEIGHTS)} + 1] AS wt, CAST({times} * source_size AS DOUBLE) AS cap FROM s),
     l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,

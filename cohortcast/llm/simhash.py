@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import map_texts, text_of
+from cohortcast.llm.common import map_texts, text_of, whole_rows
 from cohortcast.llm.components import components
 from cohortcast.session import materialize
 
@@ -196,14 +196,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: that of its smallest doc_id, smallest text hash on a tie.
 
     A null doc_id comes last, so such a row stays only where no row of its component has an id. Rows
-    equal in doc_id and text are one document. The columns are those of `docs`.
+    equal in doc_id and text are one document. The columns are those of `docs`, whatever their names;
+    an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"))
     keepers = (prints.join(_components(prints), "fp").groupBy("root").agg(F.min(rank).alias("best"))
                .select(_id_key(F.col("best.id")).alias("__id"), F.col("best.text_hash").alias("__text")))
-    keyed = docs.withColumns({"__id": _id_key(F.col("doc_id")), "__text": F.xxhash64(text_of())})
-    return keyed.join(keepers, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    keyed = whole_rows(docs, _id_key(F.col("doc_id")).alias("__id"), F.xxhash64(text_of()).alias("__text"))
+    return keyed.join(keepers, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select("__row.*")
 
 
 def _id_key(doc_id):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cohortcast.llm.common import crc_bucket, map_texts, text_of
+from cohortcast.llm.common import crc_bucket, map_texts, text_of, whole_rows
 from cohortcast.session import materialize
 
 ORDER = 5
@@ -45,7 +45,7 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def letter_events(texts: list[str]) -> Iterator[Grams]:
 
 def _events(part: str, offset: int, starts: np.ndarray) -> Grams:
     raw = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = (raw > 0xFFFF) | _letters()[np.minimum(raw, 0xFFFF)]
+    letter = _letters()[raw]
     codes = np.where(letter, raw, SPACE).astype(np.uint64)
     index = np.arange(len(codes))
     depth = index - np.maximum.accumulate(np.where(letter, -1, index))
@@ -401,7 +401,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the rows whose text scores `threshold` or more; all columns pass through."""
+    """`docs` without the rows whose text scores `threshold` or more; all columns pass through, whatever their names.
+
+    Without a model, as when the labels lack a class, all rows stay. A null text is an empty one, repeated rows
+    stay or go together, and an empty table gives an empty result.
+    """
     if model is None:
         return docs
     if model.hot.whole:
@@ -412,8 +416,9 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
             texts = [t or "" for t in batch.column(at).to_pylist()]
             return batch.filter(pa.array(_curve(features(shared.value.evidence(texts)[0]), curve) < threshold))
 
-        return map_texts(docs, docs.columns, docs.schema, rows)
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # Arrow functions take no names with dots
+        return map_texts(plain, plain.columns, plain.schema, rows).toDF(*docs.columns)
     key = F.xxhash64(text_of())
     rejected = (measured(docs.select(key.alias("__key"), text_of().alias("text")), ["__key"], model)
                 .where(_score(model.curve) >= threshold).select("__key").distinct())
-    return docs.join(rejected, key == F.col("__key"), "left_anti")
+    return whole_rows(docs, key.alias("__key")).join(rejected, "__key", "left_anti").select("__row.*")

@@ -111,6 +111,15 @@ def test_languages(made):
     assert next(r for r in got if r["doc_id"] == 9004)["lang_pred"] == "bb"
 
 
+def test_letters_beyond_the_basic_plane(spark, made):
+    """Emoji and astral digits are no letters, astral letters are."""
+    odd = {1: "😀🎉 😀", 2: "𝟘𝟙𝟚 123", 3: "𐐀𐐁 𐐂", 4: "😀 kato", 5: "\U0002070e", 6: "½ ² ①"}
+    docs = made[0].unionByName(spark.createDataFrame([(20_000 + i, t, None, None, None, None, None, None) for i, t in odd.items()], SCHEMA))
+    got = {r["doc_id"] - 20_000: r["lang_pred"] for r in langid.identify(docs).collect() if (r["doc_id"] or 0) > 20_000}
+    assert {i for i, lang in got.items() if lang == "und"} == {i for i, t in odd.items() if not any(c.isalpha() for c in t)} == {1, 2, 6}
+    assert [len(list(toxicity.letter_events([t]))) and sum(g.ends.sum() for g in toxicity.letter_events([t])) for t in odd.values()] == [0, 0, 2, 1, 1, 0]
+
+
 def test_no_language_to_learn(made):
     docs = made[0]
     assert {r["lang_pred"] for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}

@@ -7,7 +7,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cohortcast.llm import bpe, mixing, quality, secrets, simhash
+from cohortcast.llm import bpe, mixing, quality, secrets, simhash, toxicity
 from tests.llm import brute
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, fp STRING, size STRING, __n INT, __text STRING"
@@ -163,6 +163,39 @@ def test_keep_one(spark):
         [(2, texts[0]), (None, texts[4]), (8, "")], key=str)
 
 
+CLASHING = "doc_id BIGINT, text STRING, __id STRING, __text STRING, __key STRING, key INT, `a.b` STRING, __row INT"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(i, t, f"id{i}", f"text{i}", f"key{i}", i, "dot", i) for i, t in enumerate(texts)], CLASHING)
+
+
+def test_stages_leave_clashing_columns_alone(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ka", "to", "vik"] if i % 3 else ["smur", "gle"]) + rng.choice("abcdef") for _ in range(30)) for i in range(90)] + [None, ""]
+    docs = clashing(spark, texts + texts[:5])
+    rows = sorted(map(tuple, docs.collect()), key=str)
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns and left.dtypes == docs.dtypes
+    kept = sorted(map(tuple, left.collect()), key=str)
+    assert set(kept) < set(rows) and len({r[1] for r in kept}) == len(kept) and {r[0] for r in kept} <= set(range(len(texts)))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id BIGINT, quality INT, toxic INT")
+    results = []
+    for hot in (toxicity.HOT, 5):  # all n-grams held by the tasks, and joined as tables
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        model = toxicity.fit(docs, labels)
+        out = toxicity.drop_toxic(docs, model)
+        assert model.hot.whole == (hot != 5) and out.columns == docs.columns and out.dtypes == docs.dtypes
+        results.append(sorted(map(tuple, out.collect()), key=str))
+    assert results[0] == results[1] and set(results[0]) < set(rows) and len(results[0]) > 50
+
+
+def test_rows_without_ids_spread_over_shards(spark):
+    docs = frame(spark, [f"text {i}" for i in range(400)], ids=[None] * 400)
+    marks = [r["__mark"] for r in mixing._measured(docs, 11, []).collect()]
+    assert len(set(marks)) == 400
+
+
 def mix_case(seed):
     rng = random.Random(seed)
     sources = [rng.choice(["b", "a", "é", None, "hot", "hot", "hot", "z", ""]) for _ in range(300)]
