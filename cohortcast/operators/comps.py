@@ -1,8 +1,8 @@
 """Nearest comparable entities among strictly earlier cohorts.
 
-Exact k-nearest search without pairing every query with every pool row: rows are gathered into cells
-with bounding boxes, cells too far to hold a neighbour are dropped from the box distances, and only
-the remaining cell pairs are compared, as array blocks inside tasks.
+Exact k-nearest search by ring expansion. Pool rows lie in cells of a fixed grid over slot and leading features; a
+query meets its own cell first, then rings of cells around it in an equi-join, and leaves once no cell further out can
+hold a nearer row than its k-th. The pool of a cell is held as arrays in a task, the queries stream past it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +38,12 @@ class CompSpec:
     block: str = "position"
     year: str = "cohort_year"
     slot: str = "slot"
-    whole_block_rows: int = 32_000
     rows_per_cell: int = 4000
-    max_cells: int = 4096
+
+    @property
+    def axes(self) -> list[str]:
+        """The features that the grid is laid over."""
+        return self.features[:2]
 
     @property
     def features(self) -> list[str]:
@@ -72,9 +75,9 @@ def _inverse(cov: np.ndarray) -> np.ndarray:
         return np.diag(1.0 / diag)
 
 
-def search_params(pool: DataFrame, cohorts: Sequence[int], spec: CompSpec) -> DataFrame:
-    """One row per (block, cohort): pool size, feature scales and the inverse covariance of each
-    category (flattened, in scaled units), all from earlier cohorts."""
+def search_params(pool: DataFrame, cohorts: Column, spec: CompSpec) -> DataFrame:
+    """One row per (block, cohort): pool size, feature scales, the inverse covariance of each
+    category (flattened, in scaled units) and its least eigenvalue, all from earlier cohorts."""
     feats, block = spec.features, spec.block
     per_year = pool.groupBy(block, spec.year).agg(F.count("*").alias("n"))
     sizes = for_cohorts(per_year, spec.year, cohorts, spec.strict).groupBy(block, "cohort").agg(F.sum("n").alias("n_pool"))
@@ -85,17 +88,18 @@ def search_params(pool: DataFrame, cohorts: Sequence[int], spec: CompSpec) -> Da
     if not spec.covariance:
         eye = F.array(*[F.array(*[F.lit(float(r == c)) for r in range(b - a) for c in range(b - a)])
                         for a, b, _ in spec.layout])
-        return materialize(out.withColumn("inv", eye), "comp-params")
+        ones = F.array(*[F.lit(1.0) for _ in spec.layout])
+        return materialize(out.withColumns({"inv": eye, "least": ones}), "comp-params")
     base = pool.select(block, F.col(spec.year), *[F.col(f).cast("double").alias(f) for f in feats])
     # one empty row per (block, cohort) makes a cohort visible that holds no pool rows of its own
-    frame = pool.select(block).distinct().withColumn(spec.year, F.explode(F.array(*[F.lit(c) for c in cohorts])))
+    frame = for_cohorts(pool.select(block).distinct(), spec.year, cohorts, False).withColumnRenamed("cohort", spec.year)
     cov = past_covariance(base.unionByName(frame, allowMissingColumns=True), [block], spec.year, feats, spec.strict)
     cells = cov.groupBy(block, "cohort").agg(F.collect_list(F.struct("i", "j", "cov")).alias("cells"))
     layout, n = spec.layout, len(feats)
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            invs = []
+            invs, least = [], []
             for cells_, scale_ in zip(pdf["cells"], pdf["scale"]):
                 full = np.full((n, n), np.nan)
                 if cells_ is not None:
@@ -103,22 +107,25 @@ def search_params(pool: DataFrame, cohorts: Sequence[int], spec: CompSpec) -> Da
                         full[c["i"], c["j"]] = full[c["j"], c["i"]] = np.nan if c["cov"] is None else c["cov"]
                 s = np.ones(n) if scale_ is None else np.asarray(scale_, dtype=float)
                 full = full / np.outer(s, s)
-                invs.append([_inverse(full[a:b, a:b]).ravel().tolist() for a, b, _ in layout])
-            yield pdf.drop(columns=["cells"]).assign(inv=invs)
+                found = [_inverse(full[a:b, a:b]) for a, b, _ in layout]
+                invs.append([m.ravel().tolist() for m in found])
+                least.append([max(0.0, float(np.linalg.eigvalsh((m + m.T) / 2)[0])) for m in found])
+            yield pdf.drop(columns=["cells"]).assign(inv=invs, least=least)
 
     ready = attach(out, cells, [block, "cohort"])
     kinds = dict(ready.dtypes)
-    schema = f"{block} {kinds[block]}, cohort {kinds['cohort']}, n_pool bigint, scale array<double>, inv array<array<double>>"
+    schema = f"{block} {kinds[block]}, cohort {kinds['cohort']}, n_pool bigint, scale array<double>, inv array<array<double>>, least array<double>"
     ordered = ready.select(block, "cohort", "n_pool", "scale", "cells")
     return materialize(ordered.mapInPandas(invert, schema), "comp-params")
 
 
-def pair_distance(q: str, p: str, scale: str, inv: str, spec: CompSpec) -> Column:
+def pair_distance(q: str, p: str, scale: str, inv: str, spec: CompSpec, weights: Column | None = None) -> Column:
     """Distance of two feature arrays as a column expression, for an explicit list of pairs."""
     diffs = [(F.get(q, F.lit(i)) - F.get(p, F.lit(i))) / F.get(scale, F.lit(i)) for i in range(len(spec.features))]
     total, weight = F.lit(0.0), F.lit(0.0)
     for c, (a, b, w) in enumerate(spec.layout):
         size = b - a
+        w = F.lit(w) if weights is None else weights[c]
         frac = F.lit(0.0)
         for i in range(a, b):
             frac = frac + diffs[i].isNotNull().cast("double")
@@ -136,7 +143,7 @@ def pair_distance(q: str, p: str, scale: str, inv: str, spec: CompSpec) -> Colum
 # ── nearest by slot alone ───────────────────────────────────────────────────
 
 
-def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: Sequence[int], spec: CompSpec, n: int) -> DataFrame:
+def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: Column, spec: CompSpec, n: int) -> DataFrame:
     """For each distinct (block, cohort, slot) of the queries the `n` pool ids nearest in slot.
 
     The answer depends on the key only, at most the first `n` ids of a slot can be in it, and they lie
@@ -167,243 +174,275 @@ def nearest_by_slot(queries: DataFrame, pool: DataFrame, cohorts: Sequence[int],
 
 def distances_of(pairs: DataFrame, queries: DataFrame, pool: DataFrame, params: DataFrame, spec: CompSpec,
                  payload: Sequence[str]) -> DataFrame:
-    """Distances of given (query id, comp_id) pairs, with the payload columns of the comparable."""
+    """Distances of given (query id, comp_id) pairs, with the payload columns of the comparable; under the weights of `__variant` where `pairs` has that."""
     feats = F.array(*[F.col(f).cast("double") for f in spec.features])
     left = queries.select(spec.ids, spec.block, F.col(spec.year).alias("cohort"), feats.alias("__q"))
     right = pool.select(F.col(spec.ids).alias("comp_id"), *payload, feats.alias("__p"))
-    rows = attach(pairs.select(spec.ids, "comp_id").join(left, spec.ids).join(right, "comp_id"),
+    given = [c for c in ("variant", "__variant") if c in pairs.columns]
+    weights = F.col("__variant.weights") if given else None
+    rows = attach(pairs.select(spec.ids, "comp_id", *given).join(left, spec.ids).join(right, "comp_id"),
                   params.select(spec.block, "cohort", "scale", "inv"), [spec.block, "cohort"])
-    return rows.select(spec.ids, "comp_id", F.round(pair_distance("__q", "__p", "scale", "inv", spec), 9).alias("distance"), *payload)
-
-
-# ── cells ───────────────────────────────────────────────────────────────────
-
-
-def _cells(df: DataFrame, spec: CompSpec, splits: Mapping[str, list[float]], lead: Sequence[str]) -> DataFrame:
-    """Name the cell of each row: leading keys, missing-value pattern, coordinates on the grid."""
-    mask = F.lit("")
-    for f in spec.features:
-        mask = F.concat(mask, F.col(f).isNotNull().cast("int").cast("string"))
-    out, coords = df, []
-    for f, points in splits.items():
-        tmp = f"__g_{f}"
-        out = Bucketizer(splits=points, inputCol=f"__d_{f}", outputCol=tmp, handleInvalid="keep").transform(
-            out.withColumn(f"__d_{f}", F.col(f).cast("double")))
-        coords.append(F.col(tmp).cast("int").cast("string"))
-    named = out.withColumn("cell", F.concat_ws("|", *[F.col(c).cast("string") for c in lead], mask, *coords))
-    return named.drop(*[f"__g_{f}" for f in splits], *[f"__d_{f}" for f in splits])
-
-
-def _grid_cells(asked: DataFrame, pool: DataFrame, spec: CompSpec) -> tuple[DataFrame, DataFrame]:
-    """Cells of both sides on one grid, fine enough for `rows_per_cell` rows in an average pool cell."""
-    present = F.concat(*[F.col(f).isNotNull().cast("string") for f in spec.features])
-    kinds = pool.groupBy(spec.block, spec.year, present).agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
-    dims = [spec.slot, *spec.features[:2]]
-    wanted = min(spec.max_cells, kinds / spec.rows_per_cell)
-    per_dim = max(1, round(wanted ** (1 / len(dims))))
-    probs = [i / per_dim for i in range(1, per_dim)]
-    splits = {}
-    for c in dims if probs else ():
-        cuts = pool.select(F.col(c).cast("double").alias("v")).where("v is not null").stat.approxQuantile("v", probs, 0.01)
-        splits[c] = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    lead = [spec.block, spec.year]
-    return _cells(asked, spec, splits, lead), _cells(pool, spec, splits, lead)
-
-
-def _boxes(df: DataFrame, spec: CompSpec, lead: Sequence[str]) -> DataFrame:
-    dims = [spec.slot, *spec.features]
-    return df.groupBy("cell").agg(
-        *[F.first(c).alias(c) for c in lead], F.count("*").alias("n"),
-        F.array(*[F.min(F.col(c).cast("double")) for c in dims]).alias("lo"),
-        F.array(*[F.max(F.col(c).cast("double")) for c in dims]).alias("hi"))
-
-
-def _box_pruner(spec: CompSpec, need: int):
-    layout, window = spec.layout, spec.window
-
-    def prune(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        keep_q, keep_p = [], []
-        if len(q) and len(p):
-            plo, phi = (np.array([[np.nan if x is None else x for x in r] for r in p[c]], dtype=float) for c in ("lo", "hi"))
-            counts, pcell = p["n"].to_numpy(), p["cell"].to_numpy()
-            for _, row in q.iterrows():
-                lo = np.array([np.nan if x is None else x for x in row["lo"]], dtype=float)
-                hi = np.array([np.nan if x is None else x for x in row["hi"]], dtype=float)
-                near = np.maximum(0.0, np.maximum(lo - phi, plo - hi))
-                far = np.maximum(hi - plo, phi - lo)
-                scale = np.asarray(row["scale"], dtype=float)
-                low_t = np.zeros(len(p))
-                high_t = np.zeros(len(p))
-                weight = np.zeros(len(p))
-                for c, (a, b, w) in enumerate(layout):
-                    size = b - a
-                    eig = np.linalg.eigvalsh(np.asarray(row["inv"][c], dtype=float).reshape(size, size))
-                    g_lo = near[:, 1 + a:1 + b] / scale[a:b]
-                    g_hi = far[:, 1 + a:1 + b] / scale[a:b]
-                    ok = ~np.isnan(g_lo)
-                    frac = ok.sum(axis=1) / size
-                    low_t += w * frac * max(eig[0], 0.0) * np.nansum(g_lo ** 2, axis=1)
-                    high_t += w * frac * max(eig[-1], 0.0) * np.nansum(g_hi ** 2, axis=1)
-                    weight += w * frac
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    low = np.where(weight > 0, np.sqrt(low_t / weight), np.inf)
-                    high = np.where(weight > 0, np.sqrt(high_t / weight), np.inf)
-                sure = far[:, 0] <= window
-                order = np.argsort(high[sure], kind="stable")
-                total = np.cumsum(counts[sure][order])
-                reach = np.searchsorted(total, need)
-                bound = high[sure][order][reach] if reach < len(total) else np.inf
-                # boxes are exact, distances are floating point: leave a hair of room
-                hits = np.flatnonzero((near[:, 0] <= window) & (low <= bound * (1 + 1e-9) + 1e-9))
-                keep_q.extend([row["cell"]] * len(hits))
-                keep_p.extend(pcell[hits])
-        # an empty frame carries no columns: empty text columns have no single Arrow form
-        return pd.DataFrame({"qcell": keep_q, "pcell": keep_p}) if keep_q else pd.DataFrame()
-
-    return prune
-
-
-def _block_kernel(spec: CompSpec, payload: Sequence[str]):
-    layout, window, k, strict = spec.layout, spec.window, spec.k, spec.strict
-    cells_per_step = 2_000_000
-
-    def matrix(col: pd.Series) -> np.ndarray:
-        return np.array([[np.nan if x is None else x for x in r] for r in col], dtype=float)
-
-    def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame()
-        p = p.sort_values("comp_id", kind="stable")
-        scale = np.asarray(q["scale"].iloc[0], dtype=float)
-        invs = [np.asarray(v, dtype=float) for v in q["inv"].iloc[0]]
-        pm = matrix(p["f"]) / scale
-        pslot, pyear, pid = p["slot"].to_numpy(float), p["year"].to_numpy(), p["comp_id"].to_numpy()
-        qm = matrix(q["f"]) / scale
-        qslot, qyear, qid = q["slot"].to_numpy(float), q["cohort"].to_numpy(), q["qid"].to_numpy()
-        step = max(1, cells_per_step // len(p))
-        found = []
-        for s in range(0, len(q), step):
-            sl = slice(s, s + step)
-            allowed = np.abs(qslot[sl, None] - pslot[None, :]) <= window
-            allowed &= (pyear[None, :] < qyear[sl, None]) if strict else (pid[None, :] != qid[sl, None])
-            total = np.zeros(allowed.shape)
-            weight = np.zeros(allowed.shape)
-            for (a, b, w), inv in zip(layout, invs):
-                size = b - a
-                inv = inv.reshape(size, size)
-                diffs = [qm[sl, i][:, None] - pm[:, i][None, :] for i in range(a, b)]
-                frac = sum((~np.isnan(d)).astype(float) for d in diffs) / size
-                diffs = [np.nan_to_num(d) for d in diffs]
-                quad = np.zeros(allowed.shape)
-                for i in range(size):
-                    for j in range(size):
-                        if inv[i, j] != 0.0:
-                            quad += inv[i, j] * diffs[i] * diffs[j]
-                total += w * frac * np.maximum(quad, 0.0)
-                weight += w * frac
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.where(weight > 0, np.sqrt(total / weight), np.inf).round(9)
-            # rows that may not be paired become NaN and sort last; ties keep the id order of p
-            dist[~allowed] = np.nan
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(dist, best, axis=1)
-            at, col = np.nonzero(~np.isnan(near))
-            found.append((qid[sl][at], best[at, col], near[at, col]))
-        at = np.concatenate([f[1] for f in found])
-        if not len(at):
-            return pd.DataFrame()
-        out = {"qid": np.concatenate([f[0] for f in found]), "comp_id": pid[at],
-               "distance": np.concatenate([f[2] for f in found])}
-        for c in payload:
-            out[c] = p[c].to_numpy()[at]
-        return pd.DataFrame(out)
-
-    return compare
+    return rows.select(spec.ids, *given[:1], "comp_id", F.round(pair_distance("__q", "__p", "scale", "inv", spec, weights), 9).alias("distance"), *payload)
+
+
+# ── cells and rings ─────────────────────────────────────────────────────────
+
+
+def _grid(pool: DataFrame, spec: CompSpec) -> DataFrame:
+    """Per block: cells along each axis, and where the cells of each axis begin and how wide they are.
+
+    Four deviations around the mean are cut evenly, so that an average cell of the block holds about `rows_per_cell` rows; the
+    outermost cells are open. The number of cells follows the rows at every size.
+    """
+    axes = spec.axes
+    stats = pool.groupBy(spec.block).agg(F.count("*").alias("__n"), *[
+        x for f in axes for x in (F.avg(F.col(f).cast("double")).alias(f"__m_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"__s_{f}"))])
+    cells = F.greatest(F.lit(1), F.floor(F.pow(F.col("__n") / spec.rows_per_cell, F.lit(1.0 / len(axes)))).cast("int"))
+    stats = stats.withColumn("__g", cells)
+    return stats.select(spec.block, "__g", *[F.struct(
+        (F.col(f"__m_{f}") - 2 * F.col(f"__s_{f}")).alias("start"),
+        F.when(F.col(f"__s_{f}") > 0, 4 * F.col(f"__s_{f}") / F.col("__g")).otherwise(1.0).alias("width")).alias(f"__a{i}") for i, f in enumerate(axes)])
+
+
+def _place(feature: str, axis: str) -> Column:
+    """The cell of a value on an axis, -1 for none."""
+    at = F.floor((F.col(feature).cast("double") - F.col(f"{axis}.start")) / F.col(f"{axis}.width")).cast("int")
+    return F.when(at.isNotNull(), F.greatest(F.lit(0), F.least(F.col("__g") - 1, at))).otherwise(-1)
+
+
+def _cell_name(block: Column, slot: Column, places: Sequence[Column], part: Column) -> Column:
+    return F.concat_ws("|", block.cast("string"), *[c.cast("string") for c in (slot, *places, part)])
+
+
+def _steps(i: int, outer: int) -> Column:
+    """(c, d, low) of the places of axis `i` up to `outer` cells away: number, cells away, least distance of a row there."""
+    at, start, width, x = F.col(f"__c{i}"), F.col(f"__a{i}.start"), F.col(f"__a{i}.width"), F.col(f"__x{i}")
+    known = F.sequence(F.greatest(at - outer, F.lit(0)), F.least(at + outer, F.col("__g") - 1))
+    places = F.concat(F.array(F.lit(-1)), F.when(at < 0, F.sequence(F.lit(0), F.col("__g") - 1)).otherwise(known))
+
+    def step(c: Column) -> Column:
+        gap = F.greatest(F.when(c > at, start + c * width - x), F.when(c < at, x - (start + (c + 1) * width)), F.lit(0.0))
+        open_ = (c < 0) | (at < 0)
+        return F.struct(c.alias("c"), F.when(open_, 0).otherwise(F.abs(c - at)).alias("d"),
+                        F.when(open_, 0.0).otherwise(gap * F.col("__least")[i]).alias("low"))
+
+    return F.filter(F.transform(places, step), lambda s: s["low"] <= F.col("__worst") * (1 + 1e-9) + 1e-8)
+
+
+def _ring(inner: int, outer: int, spec: CompSpec) -> Column:
+    """Grid cells (c0, c1) whose distance in cells from the query's own is above `inner` and up to `outer`, unless too far for its k-th row.
+
+    A place without a value, on either side, is next to every place of its axis.
+    """
+    steps = [_steps(i, outer) for i in range(len(spec.axes))]
+    if len(steps) == 1:
+        return F.filter(F.transform(steps[0], lambda s: F.struct(F.array(s["c"]).alias("c"), s["d"].alias("d"))), lambda s: (s["d"] > inner) & (s["d"] <= outer))
+    both = F.flatten(F.transform(steps[0], lambda a: F.transform(steps[1], lambda b: F.struct(
+        F.array(a["c"], b["c"]).alias("c"), F.greatest(a["d"], b["d"]).alias("d")))))
+    return F.filter(both, lambda s: (s["d"] > inner) & (s["d"] <= outer))
+
+
+def _beyond(reach: int, spec: CompSpec) -> Column:
+    """Least distance of a row further out than `reach` cells; infinite where the grid ends."""
+    sides = []
+    for i in range(len(spec.axes)):
+        at, x, start, width = F.col(f"__c{i}"), F.col(f"__x{i}"), F.col(f"__a{i}.start"), F.col(f"__a{i}.width")
+        left = F.when((at >= 0) & (at - reach - 1 >= 0), x - (start + (at - reach) * width))
+        right = F.when((at >= 0) & (at + reach + 1 <= F.col("__g") - 1), start + (at + reach + 1) * width - x)
+        sides += [F.when(side.isNotNull(), F.greatest(side, F.lit(0.0)) * F.col("__least")[i]).otherwise(float("inf")) for side in (left, right)]
+    return F.least(*sides)
+
+
+def _least_factor(spec: CompSpec) -> Column:
+    """Per axis: a factor that turns a difference in the feature into a lower bound of the distance, under the weights of `__variant`.
+
+    A category's form is at least its least eigenvalue times the squared difference, and the mean over the
+    categories at least the smallest share of the weight that the category can have.
+    """
+    weights = F.col("__variant.weights")
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    out = []
+    for i in range(len(spec.axes)):
+        c, (a, b, _) = next((c, part) for c, part in enumerate(spec.layout) if part[0] <= i < part[1])
+        least = weights[c] / (b - a)
+        share = F.coalesce(F.try_divide(least, least + total - weights[c]), F.lit(0.0))
+        out.append(F.sqrt(share * F.get("__low", F.lit(c))) / F.get("scale", F.lit(i)))
+    return F.array(*out)
+
+
+def _distances(qm: np.ndarray, pm: np.ndarray, layout, invs: Sequence[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Distances of all rows of `qm`, each with a row of category weights, to all of `pm`, in scaled features."""
+    total, weight = np.zeros((len(qm), len(pm))), np.zeros((len(qm), len(pm)))
+    for (a, b, _), inv, w in zip(layout, invs, weights.T[:, :, None]):
+        size = b - a
+        inv = inv.reshape(size, size)
+        diffs = [qm[:, i][:, None] - pm[:, i][None, :] for i in range(a, b)]
+        frac = sum((~np.isnan(d)).astype(float) for d in diffs) / size
+        diffs = [np.nan_to_num(d) for d in diffs]
+        quad = np.zeros(total.shape)
+        for i in range(size):
+            for j in range(size):
+                if inv[i, j] != 0.0:
+                    quad += inv[i, j] * diffs[i] * diffs[j]
+        total += w * frac * np.maximum(quad, 0.0)
+        weight += w * frac
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(weight > 0, np.sqrt(total / weight), np.inf).round(9)
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix, nulls as NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
+def _search(spec: CompSpec):
+    """Over rows sorted by cell, pool before queries and pool by id: each query's `k` nearest in the cell, in its window."""
+    layout, n_features, at_once = spec.layout, len(spec.features), 1_000_000
+
+    def compare(held, query: pa.RecordBatch):
+        ids, years, slots, features = held
+        qid, cohort = query.column("id").to_numpy(), query.column("year").to_numpy()
+        slot, qf = query.column("slot").to_numpy(), _numbers(query.column("f"), n_features)
+        variants, weights = query.column("variant"), _numbers(query.column("weights"), len(layout))
+        window = query.column("window").to_numpy().astype(float)
+        for year in np.unique(cohort):
+            mine = np.flatnonzero(cohort == year)
+            first = int(mine[0])
+            scale = np.array(query.column("scale")[first].as_py(), float)
+            invs = [np.array(m, float) for m in query.column("inv")[first].as_py()]
+            may = np.flatnonzero(years < year) if spec.strict else np.arange(len(ids))
+            pf = features[may] / scale
+            step = max(1, at_once // max(1, len(may)))
+            for s in range(0, len(mine) if len(may) else 0, step):
+                some = mine[s:s + step]
+                near = _distances(qf[some] / scale, pf, layout, invs, weights[some])
+                out = np.abs(slot[some][:, None] - slots[may][None, :]) > window[some][:, None]
+                if not spec.strict:
+                    out |= qid[some][:, None] == ids[may][None, :]
+                near[out] = np.nan
+                best = np.argsort(near, axis=1, kind="stable")[:, :spec.k]  # ties keep the order of the ids, NaN comes last
+                near = np.take_along_axis(near, best, axis=1)
+                row, col = np.nonzero(~np.isnan(near))
+                if len(row):
+                    yield qid[some][row], variants.take(pa.array(some[row])), may[best[row, col]], near[row, col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, held, extra = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, side = batch.column("cell"), batch.column("side").to_numpy()
+            names = cells.to_pylist()
+            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or side[i] != side[i - 1]], len(names)]
+            for start, end in zip(edges, edges[1:]):
+                if names[start] != cell:
+                    cell, parts, held = names[start], [], None
+                part = batch.slice(start, end - start)
+                if not side[start]:
+                    parts.append(part)
+                    continue
+                if held is None and parts:
+                    pool = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                    held = (pool.column("id").to_numpy(), pool.column("year").to_numpy(), pool.column("slot").to_numpy(), _numbers(pool.column("f"), n_features))
+                    extra, parts = pool.column("payload"), []
+                if held is None:
+                    continue
+                for qid, variant, row, distance in compare(held, part):
+                    yield pa.RecordBatch.from_arrays([pa.array(qid), variant, pa.array(held[0][row]), pa.array(distance), extra.take(pa.array(row))],
+                                                     names=["qid", "variant", "comp_id", "distance", "payload"])
+    return run
 
 
 def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload: Sequence[str] = (),
-                  params: DataFrame | None = None) -> DataFrame:
+                  params: DataFrame | None = None, variants: Column | None = None) -> DataFrame:
     """The `k` nearest pool rows of each query within its slot window, or among the `3k` nearest slots
     where the window holds fewer than `k`; ranked, with distances and payload columns.
 
     Queries whose earlier pool is smaller than `min_pool` get no rows. `queries` and `pool` are read
-    several times: pass written tables (`materialize`) rather than long plans.
+    several times: pass written tables (`materialize`) rather than long plans. Ids and years are whole numbers.
+
+    `variants`, an array of (weights per category, window), has every query searched under each of them in the same rounds, and the
+    column `variant` tells their results apart.
     """
-    ids, block, year, slot = spec.ids, spec.block, spec.year, spec.slot
+    own = F.array(F.struct(F.array(*[F.lit(w) for _, _, w in spec.layout]).alias("weights"), F.lit(spec.window).alias("window")))
+    listed_variants = own if variants is None else variants
+    ids, block, year, slot, k = spec.ids, spec.block, spec.year, spec.slot, spec.k
     cohorts = cohort_years(queries, year)
     params = params if params is not None else search_params(pool, cohorts, spec)
-    enough = params.where(F.col("n_pool") >= spec.min_pool)
-    asked = queries.join(enough.select(block, F.col("cohort").alias(year)), [block, year], "left_semi")
-
-    # a block small enough for one task is one cell; only larger blocks are cut by the grid
-    sizes = pool.groupBy(block).agg((F.count("*") > spec.whole_block_rows).alias("__big"))
-    asked_by, pool_by = (attach(df, sizes, [block]).withColumn("__big", F.coalesce("__big", F.lit(False)))
-                         for df in (asked, pool))
-    whole = F.col(block).cast("string")
-    q = asked_by.where("not __big").withColumn("cell", F.concat_ws("|", whole, F.col(year).cast("string")))
-    p = pool_by.where("not __big").withColumn("cell", whole)
-    pairs = asked_by.where("not __big").select(block, year).distinct().select(
-        F.concat_ws("|", whole, F.col(year).cast("string")).alias("qcell"), whole.alias("pcell"))
-    if not sizes.where("__big").isEmpty():
-        big_pool = pool_by.where("__big")
-        q_big, p_big = _grid_cells(asked_by.where("__big"), big_pool, spec)
-        qbox = attach(_boxes(q_big, spec, [block, year]).withColumnRenamed(year, "cohort"),
-                      params.select(block, "cohort", "scale", "inv"), [block, "cohort"])
-        pbox = for_cohorts(_boxes(p_big, spec, [block, year]), year, cohorts, spec.strict)
-        need = spec.k if spec.strict else spec.k + 1
-        near_cells = qbox.groupBy(block, "cohort").cogroup(pbox.groupBy(block, "cohort")).applyInPandas(
-            _box_pruner(spec, need), "qcell string, pcell string")
-        near_cells = materialize(near_cells, "cell-pairs")
-        q, p, pairs = q.unionByName(q_big), p.unionByName(p_big), pairs.unionByName(near_cells)
-    q, p = q.drop("__big"), p.drop("__big")
-
-    # a cell larger than planned (equal rows, or many queries) is split by id: every task stays bounded
-    limit = spec.rows_per_cell * 8
-
-    def parts(df: DataFrame) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
-
-    qparts, pparts = parts(q), parts(p)
-
-    def part_of(col: str) -> Column:
-        return F.pmod(F.xxhash64(col), F.col("parts")).cast("int")
-
-    jobs = (pairs.join(qparts.select(F.col("cell").alias("qcell"), F.col("parts").alias("__qp")), "qcell")
-            .join(pparts.select(F.col("cell").alias("pcell"), F.col("parts").alias("__pp")), "pcell")
-            .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("__qp") - 1)))
-            .withColumn("ppart", F.explode(F.sequence(F.lit(0), F.col("__pp") - 1)))
-            .select("qcell", "pcell", "qpart", "ppart"))
-    feats = F.array(*[F.col(f).cast("double") for f in spec.features])
-    qrows = attach(q.join(qparts, "cell").select(
-        F.col("cell").alias("qcell"), part_of(ids).alias("qpart"), F.col(ids).alias("qid"), block,
-        F.col(year).alias("cohort"), F.col(slot).alias("slot"), feats.alias("f")),
-        params.select(block, "cohort", "scale", "inv"), [block, "cohort"]).drop(block)
-    prows = p.join(pparts, "cell").select(
-        F.col("cell").alias("pcell"), part_of(ids).alias("ppart"), F.col(ids).alias("comp_id"),
-        F.col(year).alias("year"), F.col(slot).alias("slot"), feats.alias("f"), *payload)
-    key = ["qcell", "pcell", "qpart", "ppart"]
-    left = qrows.join(jobs, ["qcell", "qpart"]).groupBy(*key)
-    right = prows.join(jobs, ["pcell", "ppart"]).groupBy(*key)
-    kinds = dict(prows.dtypes)
-    schema = f"qid {dict(qrows.dtypes)['qid']}, comp_id {kinds['comp_id']}, distance double" + "".join(
-        f", {c} {kinds[c]}" for c in payload)
-    found = left.cogroup(right).applyInPandas(
-        _block_kernel(spec, payload), schema).withColumnRenamed("qid", ids)
+    grid = materialize(_grid(pool, spec), "comp-grid")
+    features = F.array(*[F.col(f).cast("double") for f in spec.features])
+    band = max(1, spec.window)  # fixed width of the slots' cells
+    extra = F.struct(F.lit(0).alias("none"), *payload)
+
+    # a cell with far more rows than planned (equal rows, a common slot) is split by id, so what a task holds stays bounded
+    places = [_place(f, f"__a{i}") for i, f in enumerate(spec.axes)]
+    listed = attach(pool, grid, [block], "inner").select(
+        F.col(block).alias("__b"), F.floor(F.col(slot) / band).cast("bigint").alias("__slot"), *[c.alias(f"__c{i}") for i, c in enumerate(places)],
+        F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"), features.alias("f"), extra.alias("payload"))
+    key = ["__b", "__slot", *[f"__c{i}" for i in range(len(places))]]
+    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / (8 * spec.rows_per_cell)).cast("int").alias("__parts")), "comp-cells")
+    part = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
+    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window")]
+    side = attach(listed, sizes, key, "inner").select(
+        _cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], part).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
+        F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload", *none)
+
+    # the values that place a query are those of its features; rows that lack one are next to every place of the axis
+    known = params.where(F.col("n_pool") >= spec.min_pool).select(block, F.col("cohort").alias(year), "scale", "inv", F.col("least").alias("__low"))
+    placed = attach(attach(queries, known, [block, year], "inner"), grid, [block], "inner")
+    asked = placed.select("*", F.posexplode(listed_variants).alias("variant", "__variant")).select(
+        F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"), features.alias("f"), "scale", "inv",
+        "variant", F.col("__variant.weights").alias("weights"), F.col("__variant.window").cast("int").alias("window"),
+        F.col(block).alias("__b"), "__g", _least_factor(spec).alias("__least"), *[F.col(f"__a{i}") for i in range(len(places))], *[c.alias(f"__c{i}") for i, c in enumerate(places)],
+        *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(spec.axes)], F.lit(float("inf")).alias("__worst"))
+    slots = F.sequence(F.floor((F.col("slot") - F.col("window")) / band).cast("bigint"), F.floor((F.col("slot") + F.col("window")) / band).cast("bigint"))
+    kinds = dict(side.dtypes)
+    schema = f"qid bigint, variant int, comp_id bigint, distance double, payload {kinds['payload']}"
+
+    def round_of(open_: DataFrame, inner: int, outer: int) -> DataFrame:
+        visits = open_.withColumn("__ring", F.explode(_ring(inner, outer, spec))).withColumn("__slot", F.explode(slots))
+        visits = visits.withColumns({f"__c{i}": F.col("__ring.c")[i] for i in range(len(places))})
+        visits = attach(visits, sizes, key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        visits = visits.select(_cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], F.col("__part")).alias("cell"), F.lit(1).alias("side"),
+                               "id", "year", "slot", "f", "scale", "inv", F.lit(None).cast(kinds["payload"]).alias("payload"),
+                               "variant", "weights", "window")
+        both = side.union(visits).repartition("cell").sortWithinPartitions("cell", "side", "id")
+        return both.mapInArrow(_search(spec), schema)
+
     order = [F.col("distance").asc(), F.col("comp_id").asc()]
-    main = materialize(top_per_group(found, [ids], order, spec.k, rank_col="comp_rank"), "comps")
-
-    # fewer than k in the window: take the nearest slots instead
-    short = asked.join(main.groupBy(ids).agg(F.count("*").alias("__k")), ids, "left").where(
-        F.coalesce("__k", F.lit(0)) < spec.k).drop("__k")
-    if short.isEmpty():
-        return main
-    near = nearest_by_slot(short, pool, cohorts, spec, 3 * spec.k + (0 if spec.strict else 1))
-    pairs = short.select(ids, block, F.col(year).alias("cohort"), slot).join(near, [block, "cohort", slot])
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return top_per_group(found, ["qid", "variant"], order, k, rank_col="comp_rank")
+
+    main = materialize(best_of(round_of(asked, -1, 0)), "comps")
+    reach, most = 0, grid.agg(F.max("__g")).first()[0] or 1
+    while reach < most - 1:
+        held = main.groupBy(F.col("qid").alias("id"), "variant").agg(F.count("*").alias("__k"), F.max("distance").alias("__far"))
+        worst = F.when(F.col("__k") >= k, F.col("__far")).otherwise(float("inf"))
+        further = asked.drop("__worst").join(held, ["id", "variant"], "left").withColumn("__worst", F.coalesce(worst, F.lit(float("inf")))).drop("__k", "__far")
+        further = materialize(further.where((_beyond(reach, spec) <= F.col("__worst") * (1 + 1e-9) + 1e-8) & (_beyond(reach, spec) < float("inf"))), "comp-open")
+        if not further.count():
+            break
+        main = materialize(best_of(main.drop("comp_rank").union(round_of(further, reach, 2 * reach + 1))), "comps")
+        reach = 2 * reach + 1
+
+    # fewer than k in the window: the nearest slots instead
+    kept = main.select(F.col("qid").alias(ids), "variant", "comp_id", "distance", *[F.col(f"payload.{c}").alias(c) for c in payload], "comp_rank")
+    counts = main.groupBy(F.col("qid").alias(ids), "variant").agg(F.count("*").alias("__k"))
+    every = (queries.join(known.select(block, year), [block, year], "left_semi")
+             .select("*", F.posexplode(listed_variants).alias("variant", "__variant")))
+    short = materialize(every.join(counts, [ids, "variant"], "left").where(F.coalesce("__k", F.lit(0)) < k).drop("__k"), "comp-short")
+    near = nearest_by_slot(short, pool, cohorts, spec, 3 * k + (0 if spec.strict else 1))
+    pairs = short.select(ids, "variant", "__variant", block, F.col(year).alias("cohort"), slot).join(near, [block, "cohort", slot])
     if not spec.strict:
         pairs = pairs.where(F.col("comp_id") != F.col(ids))
-    wide = top_per_group(distances_of(pairs, short, pool, params, spec, payload), [ids], order, spec.k, rank_col="comp_rank")
-    kept = main.join(short.select(ids), ids, "left_anti")
-    return kept.unionByName(wide.select(kept.columns))
+    once = short.drop("variant", "__variant").dropDuplicates([ids])
+    wide = distances_of(pairs.select(ids, "comp_id", "variant", "__variant"), once, pool, params, spec, payload)
+    wide = top_per_group(wide, [ids, "variant"], order, k, rank_col="comp_rank")
+    out = kept.join(short.select(ids, "variant"), [ids, "variant"], "left_anti").unionByName(wide.select(kept.columns))
+    if variants is None:
+        return out.drop("variant")
+    return out.withColumn("variant", F.element_at(variants, F.col("variant") + 1))
 
 
 # ── what the comparables say ────────────────────────────────────────────────

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcast.operators.ranks import exact_quantiles
+from cohortcast.session import materialize
 
 SEED = 42
 
@@ -238,6 +239,22 @@ def cross_validate(data: DataFrame, year: str, folds: Iterable[int], fit_predict
     return out
 
 
+def calibrate_forward(scored: DataFrame, fold: str, folds: Sequence[int], p: str, label: str, out: str) -> DataFrame:
+    """Add `out`, the score after an isotonic map learned from the out-of-sample scores of earlier folds only.
+
+    A fold's rows were scored by models that had not seen them, and its map has not seen the fold, so no row takes part in what
+    scores or calibrates it. The first fold has no earlier one and keeps its scores.
+    """
+    scored = materialize(scored, "out-of-sample")
+    first, *later = sorted(folds)
+    done = scored.where(F.col(fold) == first).withColumn(out, F.col(p))
+    with ThreadPoolExecutor(4) as pool:
+        maps = list(pool.map(lambda k: fit_isotonic(scored.where(F.col(fold) < k), p, label), later))
+    for k, model in zip(later, maps):
+        done = done.unionByName(apply_isotonic(model, scored.where(F.col(fold) == k), p, out))
+    return done
+
+
 def tune(data: DataFrame, year: str, cutoffs: Sequence[int], horizon: int, settings: Sequence[Trees],
          score: Callable[[DataFrame, DataFrame, Trees], float]) -> list[tuple[Trees, float, int]]:
     """Mean score of each setting over expanding time folds, and the number of folds used."""

@@ -129,28 +129,56 @@ def distribution_against(probe: DataFrame, reference: DataFrame, keys: Sequence[
     return attach(probe, pos, [*keys, value])
 
 
+SPLITS = 65_536
+
+
+def _wanted(probs: Sequence[float], total: Column) -> list[tuple[Column, Column]]:
+    """(position, the one above it) whose values each quantile lies between."""
+    return [(F.floor(F.lit(float(p)) * (total - 1)), F.ceil(F.lit(float(p)) * (total - 1))) for p in probs]
+
+
+def _holding(sums: DataFrame, by: Sequence[str], order: str, start: Column, probs: Sequence[float]) -> DataFrame:
+    """Rows of `sums` (counts in `__n`) that hold a wanted position, with the rows below them in `__below`."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("__below", start + F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    hit = F.lit(False)
+    for pair in _wanted(probs, F.col("__total")):
+        for index in pair:
+            hit = hit | ((F.col("__below") <= index) & (index < F.col("__below") + F.col("__n")))
+    return placed.where(hit)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     outs: Sequence[str],
                     weight: str | None = None) -> DataFrame:
-    """Linearly interpolated quantiles per group, exact at any group size.
+    """Linearly interpolated quantiles per group, exact at any group size, found by selection.
 
-    With `weight`, `df` already holds counted values and the column gives the count.
+    Counts per range of the fixed scale tell which ranges hold the wanted positions. Those are split evenly between their
+    smallest and largest value, whatever their offset, and only values of the pieces that hold a position are put in order.
+    With `weight`, `df` already holds counted values and the column gives the count; values may repeat.
     """
-    if weight:
-        counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value)
-                  .agg(F.sum(weight).alias("n")))
-        pos = prefix_counts(counts, keys, value, ["n"])
-    else:
-        pos = value_positions(df, keys, value)
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        key.alias("__key"), F.col(value).cast("double").alias("__v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("__n"))
+    rows = rows.groupBy("__key", "__v").agg(F.sum("__n").alias("__n")).withColumn("__range", F.shiftright(_place("__v"), RANGE_BITS))
+    ranges = rows.groupBy("__key", "__range").agg(F.sum("__n").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    ranges = ranges.withColumn("__total", F.sum("__n").over(Window.partitionBy("__key")))
+    ranges = _holding(ranges, ["__key"], "__range", F.lit(0), probs).select("__key", "__range", "__low", "__high", "__total", F.col("__below").alias("__start"))
+    width = F.col("__high") - F.col("__low")
+    piece = F.when(width > 0, F.floor((F.col("__v") - F.col("__low")) / width * (SPLITS - 1))).otherwise(0).cast("int")
+    near = rows.join(ranges, ["__key", "__range"]).withColumn("__piece", piece)
+    pieces = near.groupBy("__key", "__range", "__piece").agg(F.sum("__n").alias("__n"), F.first("__start").alias("__start"), F.first("__total").alias("__total"))
+    pieces = _holding(pieces, ["__key", "__range"], "__piece", F.col("__start"), probs).select("__key", "__range", "__piece", F.col("__below").alias("__start"))
+    last = near.drop("__start").join(pieces, ["__key", "__range", "__piece"])
+    last = _holding(last, ["__key", "__range", "__piece"], "__v", F.col("__start"), probs)
     aggs: list[Column] = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("n_total") - 1)
-        for side, index in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            holds = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))
-            aggs.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"__{side}{i}"))
-        aggs.append(F.max(h - F.floor(h)).alias(f"__f{i}"))
-    picked = pos.groupBy(*keys).agg(*aggs)
-    return picked.select(*keys, *[
+    for i, (p, pair) in enumerate(zip(probs, _wanted(probs, F.col("__total")))):
+        for side, index in zip(("lo", "hi"), pair):
+            holds = (F.col("__below") <= index) & (index < F.col("__below") + F.col("__n"))
+            aggs.append(F.max(F.when(holds, F.col("__v"))).alias(f"__{side}{i}"))
+        aggs.append(F.max(F.lit(float(p)) * (F.col("__total") - 1) - pair[0]).alias(f"__f{i}"))
+    picked = last.groupBy("__key").agg(*aggs)
+    return picked.select(*[F.col(f"__key.{k}") for k in keys], *[
         F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}")).otherwise(
             F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(o)
         for i, o in enumerate(outs)])

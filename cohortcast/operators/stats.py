@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast import presets
@@ -43,25 +43,19 @@ def scale_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return attach(med, mad, by).select(*by, "med", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
 
 
-MAX_COHORTS = 1000
+def cohort_years(df: DataFrame, year: str) -> Column:
+    """The distinct cohort years in order, as an array that the plan itself works out: one number per cohort, however many there are."""
+    return df.where(F.col(year).isNotNull()).agg(F.array_sort(F.collect_set(year))).scalar()
 
 
-def cohort_years(df: DataFrame, year: str) -> list[int]:
-    """The distinct cohort years, in order: a short list, and an error where it is not."""
-    years = [r[0] for r in df.select(year).where(F.col(year).isNotNull()).distinct().limit(MAX_COHORTS + 1).collect()]
-    if len(years) > MAX_COHORTS:
-        raise ValueError(f"more than {MAX_COHORTS} cohorts in {year}")
-    return sorted(years)
+def for_cohorts(df: DataFrame, year: str, cohorts: Column, strict: bool = True) -> DataFrame:
+    """Copy each row to the cohorts (an array column) it may inform: later ones, or all of them."""
+    each = df.withColumn("__cohorts", cohorts)  # a subquery may not stand inside the filter itself
+    chosen = F.filter("__cohorts", lambda c: c > F.col(year)) if strict else F.col("__cohorts")
+    return each.withColumn("cohort", F.explode(chosen)).drop("__cohorts")
 
 
-def for_cohorts(df: DataFrame, year: str, cohorts: Sequence[int], strict: bool = True) -> DataFrame:
-    """Copy each row to the cohorts it may inform: later ones, or all of them."""
-    known = F.array(*[F.lit(c) for c in cohorts])
-    chosen = F.filter(known, lambda c: c > F.col(year)) if strict else known
-    return df.withColumn("cohort", F.explode(chosen))
-
-
-def past_scale(pool: DataFrame, cohorts: Sequence[int], keys: Sequence[str], year: str, features: Sequence[str],
+def past_scale(pool: DataFrame, cohorts: Column, keys: Sequence[str], year: str, features: Sequence[str],
                strict: bool = True) -> DataFrame:
     """Robust scale per (keys, cohort, feature) from pool rows of earlier years only.
 

@@ -41,9 +41,10 @@ def lagged_season(spark, d):
 
 
 def stats_people(spark, d):
-    """Statistics side: every second person, under the cleaned name, at a shifted school."""
-    return base.people(spark, d).where(F.col("person_id") % 2 == 0).select(
-        tx.clean_name(F.col("person")).alias("name_clean"), tx.normalize_school(F.col("school")).alias("school_norm"),
+    """Statistics side: every person, every second one under a name that no draft row has."""
+    clean = tx.clean_name(F.col("person"))
+    return base.people(spark, d).select(
+        F.when(F.col("person_id") % 2 == 0, clean).otherwise(F.concat(F.lit("unlisted "), clean)).alias("name_clean"), tx.normalize_school(F.col("school")).alias("school_norm"),
         F.col("price").alias("stat"), F.col("size").alias("stat_size"), F.col("person_id").alias("stat_id"))
 
 
@@ -57,8 +58,8 @@ def draft_people(spark, d):
         tx.normalize_school(F.col("school")).alias("school_norm"), "draft_year")
 
 
-STATS_SQL = f"""SELECT {CN} AS name_clean, {SCHOOL.format('school')} AS school_norm, price AS stat, size AS stat_size,
-                       person_id AS stat_id FROM people WHERE person_id % 2 = 0"""
+STATS_SQL = f"""SELECT CASE WHEN person_id % 2 = 0 THEN {CN} ELSE 'unlisted ' || {CN} END AS name_clean, {SCHOOL.format('school')} AS school_norm, price AS stat, size AS stat_size,
+                       person_id AS stat_id FROM people"""
 DRAFT_SQL = rf"""SELECT person_id, CASE WHEN person_id % 10 = 3 THEN 'zed ' || regexp_extract({SN}, '(\S+)$', 1) ELSE {CN} END AS name_clean,
                         {SCHOOL.format('school')} AS school_norm, draft_year FROM people"""
 LAST = r"regexp_extract(regexp_replace({0}.name_clean, '\s+(jr|sr|ii|iii|iv|v)$', ''), '(\S+)$', 1)"

@@ -191,19 +191,19 @@ def importance(spark, d):
 
 
 def hurdle_cv(x, features, trees=md.Trees(rounds=3), calibrate=False):
-    """Rolling hurdle estimate: probability of making it times the back-transformed log outcome."""
+    """Rolling hurdle estimate: probability of making it times the back-transformed log outcome.
+
+    With `calibrate` the probability first goes through a map learned from earlier classes' out-of-sample ones.
+    """
     def fit_predict(train, test):
         p = md.fit_classifier(train, features, "made_it", None, trees)
         v = md.fit_regressor(train.where("made_it = 1"), features, "log_ppg", None, trees)
         scored = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "prod_pred", log_scale=True)
-        if calibrate:
-            iso = md.fit_isotonic(md.probability_of(p, train, "p_made_it"), "p_made_it", "made_it")
-            scored = md.apply_isotonic(iso, scored, "p_made_it", "p_iso")
-        else:
-            scored = scored.withColumn("p_iso", F.col("p_made_it"))
-        return scored.select("entity_id", "position", "cohort_year", "made_it", "ppg", "p_made_it", "p_iso", "prod_pred").withColumn(
-            "exp_ppg", F.greatest(F.col("p_iso") * F.col("prod_pred"), F.lit(0.0)))
-    return md.cross_validate(x, "cohort_year", test_years(x.where("made_it = 1")), fit_predict, threads=4)
+        return scored.select("entity_id", "position", "cohort_year", "made_it", "ppg", "p_made_it", "prod_pred")
+    years = test_years(x.where("made_it = 1"))
+    scored = md.cross_validate(x, "cohort_year", years, fit_predict, threads=4)
+    scored = md.calibrate_forward(scored, "fold", years, "p_made_it", "made_it", "p_iso") if calibrate else scored.withColumn("p_iso", F.col("p_made_it"))
+    return scored.withColumn("exp_ppg", F.greatest(F.col("p_iso") * F.col("prod_pred"), F.lit(0.0)))
 
 
 def metrics(oos):
@@ -265,53 +265,84 @@ def tau_sweep(spark, d):
     return out.withColumns({c: r6(F.col(c)) for c in ("pinball", "covered", "mae", "bias", "cor")})
 
 
-@query("comp_grid_search")
+GRID_WEIGHTS = ((1.5, 1.0), (1.0, 1.0), (1.0, 1.5), (2.0, 0.5))  # production, measurables
+GRID_WINDOWS = (20, 40, 80)
+GRID_K = (4, 8, 12)
+GRID_BANDWIDTHS = (0.5, 1.0, 2.0)
+
+
+def grid_search_sql():
+    """Partial forms per category once, then every weight vector and window as a re-ranking of the pairs."""
+    k = max(GRID_K)
+    cells = ", ".join(f"({p}::DOUBLE, {m}::DOUBLE, {w})" for p, m in GRID_WEIGHTS for w in GRID_WINDOWS)
+    return f"""
+    WITH parts AS (
+      SELECT a.entity_id, a.comp_id, a.comp_ppg, a.gap,
+             (CASE WHEN d0 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d1 IS NULL THEN 0 ELSE 0.5 END) AS f1,
+             greatest(0, coalesce(a00 * d0 * d0, 0) + coalesce(2 * a01 * d0 * d1, 0) + coalesce(a11 * d1 * d1, 0)) AS q1,
+             (CASE WHEN d2 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN d3 IS NULL THEN 0 ELSE 0.5 END) AS f2,
+             greatest(0, coalesce(b00 * d2 * d2, 0) + coalesce(2 * b01 * d2 * d3, 0) + coalesce(b11 * d3 * d3, 0)) AS q2,
+             row_number() OVER (PARTITION BY a.entity_id ORDER BY gap, comp_id) AS gap_rk
+      FROM all_pairs a JOIN comp_inv v ON v.position = a.position AND v.cohort = a.cohort_year),
+    cells(p, m, w) AS (VALUES {cells}),
+    counted AS (SELECT *, count(*) FILTER (WHERE gap <= w) OVER (PARTITION BY entity_id, w, p, m) AS n_in FROM parts, cells),
+    ranked AS (SELECT p, m, w, entity_id, comp_ppg, distance, row_number() OVER (PARTITION BY p, m, w, entity_id ORDER BY distance, comp_id) AS rk FROM (
+      SELECT *, round(coalesce(sqrt((p * f1 * q1 + m * f2 * q2) / nullif(p * f1 + m * f2, 0)), CAST('inf' AS DOUBLE)), 9) AS distance FROM counted)
+      WHERE CASE WHEN n_in >= {k} THEN gap <= w ELSE gap_rk <= {3 * k} END),
+    est AS (SELECT p, m, w, k, bw, entity_id, sum(exp(-distance / bw) * comp_ppg) / nullif(sum(exp(-distance / bw)), 0) AS est
+      FROM ranked, (VALUES {", ".join(f"({n})" for n in GRID_K)}) ks(k), (VALUES {", ".join(f"({b}::DOUBLE)" for b in GRID_BANDWIDTHS)}) bs(bw) WHERE rk <= k GROUP BY ALL),
+    errors AS (SELECT p AS w_production, m AS w_measurables, CAST(w AS INTEGER) AS slot_window, CAST(k AS INTEGER) AS k, bw AS bandwidth, count(*) AS n,
+      sqrt(avg(pow(est - o.ppg, 2))) AS rmse FROM est JOIN comp_base o ON o.entity_id = est.entity_id WHERE est IS NOT NULL GROUP BY ALL)
+    SELECT w_production, w_measurables, slot_window, k, bandwidth, n, round(rmse, 6) AS rmse FROM errors"""
+
+
+@query("comp_grid_search", grid_search_sql())
 def comp_grid_search(spark, d):
-    """Holdout error of comparables under category weights, numbers of neighbours and bandwidths.
+    """Error of the comparables of every class under category weights, slot windows, numbers of neighbours and bandwidths.
 
-    One search per weight vector keeps the largest number of neighbours; smaller numbers and the
-    bandwidths are prefixes and reweightings of its result.
+    One search serves all: a query asks once per weight vector and window, keeps the largest number of neighbours, and
+    smaller numbers and the bandwidths are prefixes and reweightings of its result.
     """
     from cohortcast.operators import comps as cp
     from cohortcast.plans.comps import MAHAL, comp_base
     b = comp_base(spark, d)
-    asked = b.where("cohort_year = 2000 AND made_it = 1")
-    params = cp.search_params(b, cp.cohort_years(asked, "cohort_year"), MAHAL)
-    rows = None
-    for production, measurables in ((1.5, 1.0), (1.0, 1.5)):
-        spec = cp.CompSpec(MAHAL.categories, {"production": production, "measurables": measurables}, k=8)
-        found = cp.nearest_comps(asked, b, spec, ["comp_ppg"], params).join(asked.select("entity_id", "ppg"), "entity_id")
-        for k in (4, 8):
-            for bw in (0.5, 1.0):
-                sim = cp.similarity(bw)
-                est = found.where(F.col("comp_rank") <= k).groupBy("entity_id").agg(
-                    F.first("ppg").alias("ppg"), F.try_divide(F.sum(sim * F.col("comp_ppg")), F.sum(sim)).alias("est"))
-                one = est.agg(F.sqrt(F.avg(F.pow(F.col("est") - F.col("ppg"), F.lit(2)))).alias("rmse")).select(
-                    F.lit(production).alias("w_production"), F.lit(measurables).alias("w_measurables"), F.lit(k).alias("k"),
-                    F.lit(bw).alias("bandwidth"), "rmse")
-                rows = one if rows is None else rows.unionByName(one)
-    table = materialize(rows, "grid")
-    best = table.agg(F.min("rmse")).scalar()
-    return table.withColumn("best", (F.col("rmse") == best).cast("int")).withColumn("rmse", r6(F.col("rmse")))
+    variants = F.array(*[F.struct(F.array(F.lit(p), F.lit(m)).alias("weights"), F.lit(w).alias("window")) for p, m in GRID_WEIGHTS for w in GRID_WINDOWS])
+    spec = cp.CompSpec(MAHAL.categories, k=max(GRID_K))
+    found = cp.nearest_comps(b, b, spec, ["comp_ppg"], variants=variants)
+    settings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(bw).alias("bandwidth")) for k in GRID_K for bw in GRID_BANDWIDTHS])
+    each = found.withColumn("s", F.explode(settings)).where(F.col("comp_rank") <= F.col("s.k"))
+    sim = F.exp(-F.col("distance") / F.col("s.bandwidth"))
+    est = each.groupBy("variant", "s", "entity_id").agg(F.try_divide(F.sum(sim * F.col("comp_ppg")), F.sum(sim)).alias("est")).where("est IS NOT NULL")
+    errors = est.join(b.select("entity_id", "ppg"), "entity_id").groupBy("variant", "s").agg(
+        F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("est") - F.col("ppg"), F.lit(2)))).alias("rmse"))
+    return errors.select(F.col("variant.weights")[0].alias("w_production"), F.col("variant.weights")[1].alias("w_measurables"),
+                         F.col("variant.window").alias("slot_window"), "s.k", "s.bandwidth", "n", r6(F.col("rmse")).alias("rmse"))
 
 
 @query("score_cohort")
 def score_cohort(spark, d):
-    """Flagship: attach features and comparables, fit on earlier cohorts, score the last one."""
+    """Flagship: attach features and comparables, and score every class with models of the classes before it.
+
+    The combined probability uses a map learned from earlier classes' out-of-sample scores.
+    """
     from cohortcast.operators import comps as cp
     from cohortcast.plans.comps import EUCLID
     x = cohort_rows(spark, d).withColumn("comp_ppg", F.col("ppg"))
-    train, test = x.where("cohort_year < 2000"), x.where("cohort_year = 2000")
-    p = md.fit_classifier(train, COHORT_FEATURES, "made_it", None, FAST)
-    v = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
-    b = md.fit_buckets(train.where("bucket IS NOT NULL"), COHORT_FEATURES, "bucket", trees=10)
-    iso = md.fit_isotonic(md.probability_of(p, train, "p_made_it"), "p_made_it", "made_it")
-    params = cp.search_params(x, cp.cohort_years(test, "cohort_year"), EUCLID)
-    found = cp.nearest_comps(test, x, EUCLID, ["comp_ppg"], params)
-    comp = cp.comp_features(test, found, params, EUCLID, "comp_ppg").select("entity_id", "comp_weighted_ppg", "comp_bust_rate", "n_pool_used")
-    s = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "log_pred")
-    s = md.bucket_probabilities(b, s, "probs", 5).join(comp, "entity_id", "left")
-    s = md.apply_isotonic(iso, s, "p_made_it", "p_iso")
+    years = test_years(x.where("bucket IS NOT NULL"))
+
+    def fit_predict(train, test):
+        p = md.fit_classifier(train, COHORT_FEATURES, "made_it", None, FAST)
+        v = md.fit_regressor(train.where("made_it = 1"), COHORT_FEATURES, "log_ppg", None, FAST)
+        b = md.fit_buckets(train.where("bucket IS NOT NULL"), COHORT_FEATURES, "bucket", trees=10)
+        scored = md.prediction_of(v, md.probability_of(p, test, "p_made_it"), "log_pred")
+        return md.bucket_probabilities(b, scored, "probs", 5)
+
+    scored = md.cross_validate(x, "cohort_year", years, fit_predict, threads=4)
+    s = md.calibrate_forward(scored, "fold", years, "p_made_it", "made_it", "p_iso")
+    params = cp.search_params(x, cp.cohort_years(x, "cohort_year"), EUCLID)
+    found = cp.nearest_comps(x, x, EUCLID, ["comp_ppg"], params)
+    comp = cp.comp_features(x, found, params, EUCLID, "comp_ppg").select("entity_id", "comp_weighted_ppg", "comp_bust_rate", "n_pool_used")
+    s = s.join(comp, "entity_id", "left")
     s = s.withColumn("p_eff", sc.deployed_combiner(F.col("role"), F.col("p_made_it"), F.col("p_iso")))
     s = s.withColumns({"exp_ppg": sc.hurdle(F.col("p_eff"), F.col("log_pred")),
                        "exp_ppg_bucket": sc.expectation(F.col("probs"), sc.midpoints_of(F.col("role")))})

@@ -120,11 +120,12 @@ def deaggregate(spark, d):
 @query("optional_lookup", """
     SELECT entity_id, n_name AS nation, CASE WHEN n_name IS NULL THEN 0 ELSE 1 END AS has_nation,
            CAST(NULL AS DOUBLE) AS grade, 0 AS has_grade
-    FROM cohort LEFT JOIN nation ON n_nationkey = school_id AND n_nationkey < 10""")
+    FROM cohort LEFT JOIN nation ON CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE -n_nationkey END = school_id""")
 def optional_lookup(spark, d):
     c = base.cohort(spark, d).select("entity_id", "school_id")
-    nations = load(spark, d, "nation").where("n_nationkey < 10").select(
-        F.col("n_nationkey").alias("school_id"), F.col("n_name").alias("nation"))
+    key = F.col("n_nationkey")  # from 10 on under numbers that no member has
+    nations = load(spark, d, "nation").select(
+        F.when(key < 10, key).otherwise(-key).alias("school_id"), F.col("n_name").alias("nation"))
     out = layouts.optional_lookup(c, nations, ["school_id"], {"nation": "string"}, "has_nation")
     return layouts.optional_lookup(out, None, ["school_id"], {"grade": "double"}, "has_grade").drop("school_id")
 

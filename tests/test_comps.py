@@ -57,9 +57,9 @@ def brute(spec, params):
 
 SPECS = {
     "plain": cp.CompSpec({"all": FEATURES}, covariance=False, k=5, window=20),
-    "grid": cp.CompSpec({"all": FEATURES}, covariance=False, k=5, window=20, whole_block_rows=50, rows_per_cell=2),
-    "mahalanobis-grid": cp.CompSpec({"m": ["a", "b", "c"], "n": ["d"]}, {"m": 1.5, "n": 0.5}, k=4, window=60, whole_block_rows=50, rows_per_cell=2),
-    "leaky-mixed": cp.CompSpec({"m": ["a", "b"], "n": ["c", "d"]}, k=4, window=60, strict=False, whole_block_rows=150, rows_per_cell=20),
+    "grid": cp.CompSpec({"all": FEATURES}, covariance=False, k=5, window=20, rows_per_cell=2),
+    "mahalanobis-grid": cp.CompSpec({"m": ["a", "b", "c"], "n": ["d"]}, {"m": 1.5, "n": 0.5}, k=4, window=60, rows_per_cell=2),
+    "leaky-mixed": cp.CompSpec({"m": ["a", "b"], "n": ["c", "d"]}, k=4, window=60, strict=False, rows_per_cell=6),
     "narrow": cp.CompSpec({"all": FEATURES}, covariance=False, k=6, window=1),
 }
 
@@ -101,3 +101,20 @@ def test_features_and_reasons(data):
             assert 0 <= r["comp_bust_rate"] <= 1
     reasons = cp.comp_reasons(found, data, data, params, spec, {"a": "A", "b": "B", "c": "C", "d": ""}).limit(50).collect()
     assert all(len(r["reasons"].split(", ")) <= 3 for r in reasons)
+
+
+def test_variants_equal_searches_of_their_own(data):
+    base = {"m": ["a", "b"], "n": ["c", "d"]}
+    cases = [((1.5, 0.5), 20), ((0.0, 1.0), 60)]
+    params = cp.search_params(data, cp.cohort_years(data, "cohort_year"), cp.CompSpec(base))
+    from pyspark.sql import functions as F
+    variants = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("weights"), F.lit(window).alias("window")) for w, window in cases])
+    both = cp.nearest_comps(data, data, cp.CompSpec(base, k=4, rows_per_cell=8), [], params, variants).collect()
+    for weights, window in cases:
+        spec = cp.CompSpec(base, dict(zip(base, weights)), k=4, window=window)
+        got = {}
+        for r in both:
+            if (tuple(r["variant"]["weights"]), r["variant"]["window"]) == (weights, window):
+                got.setdefault(r["entity_id"], []).append(round(r["distance"], 7))
+        want = brute(spec, params)
+        assert set(got) == set(want) and all(sorted(got[i]) == pytest.approx([w[0] for w in want[i]], abs=2e-6) for i in got)

@@ -71,3 +71,16 @@ def test_bucket_padding_and_ensemble(data):
     assert p.where("size(p) <> 5").count() == 0
     e = p.select(geometric_ensemble(F.col("p"), F.array(*[F.lit(0.2)] * 5)).alias("e")).select(F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert e.where("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_forward_calibration_sees_earlier_folds_only(data):
+    scored = data.withColumn("p", F.lit(0.9) / (1 + F.exp(-3 * F.col("x")))).withColumnRenamed("year", "fold")
+    years = [2000, 2001, 2002, 2003]
+    got = {r["id"]: r for r in md.calibrate_forward(scored, "fold", years, "p", "hit", "q").collect()}
+    assert len(got) == 240 and all(r["q"] == r["p"] for r in got.values() if r["fold"] == 2000)
+    flipped = scored.withColumn("hit", F.when(F.col("fold") >= 2002, 1 - F.col("hit")).otherwise(F.col("hit")))
+    other = {r["id"]: r for r in md.calibrate_forward(flipped, "fold", years, "p", "hit", "q").collect()}
+    assert all(other[i]["q"] == r["q"] for i, r in got.items() if r["fold"] <= 2002) and any(other[i]["q"] != r["q"] for i, r in got.items())
+    late = [r for r in got.values() if r["fold"] > 2001]
+    brier = lambda c: sum((r[c] - r["hit"]) ** 2 for r in late)
+    assert brier("q") <= brier("p") * 1.05

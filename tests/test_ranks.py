@@ -122,3 +122,14 @@ def test_nothing_runs_before_the_caller_asks(spark, data):
     ranks.distribution_against(data, data, ["g"], "v", "p")
     ranks.exact_quantiles(data, ["g"], "v", [0.5], ["m"])
     assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+
+
+@pytest.mark.parametrize("offset,step", [(1.7e15, 1.0), (1e12, 1.0), (-3e9, 0.25), (0.0, 1e-300)])
+def test_quantiles_of_offset_values(spark, offset, step):
+    """Timestamps and large ids share few ranges of the scale; the even split inside a range keeps them apart."""
+    rng = np.random.default_rng(4)
+    values = [[offset + step * float(v) for v in rng.integers(0, 50_000, 700)] + [offset] * 300 for _ in range(3)]
+    df = spark.createDataFrame([(g if g else None, v) for g, vs in enumerate(values) for v in vs], "g INT, v DOUBLE")
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in ranks.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 0.933], ["a", "b", "c"]).collect()}
+    for g, vs in enumerate(values):
+        assert got[g if g else None] == pytest.approx(tuple(np.quantile(vs, [0.0, 0.5, 0.933])), rel=1e-15, abs=1e-310)
