@@ -14,19 +14,6 @@ def clip01(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def combine(transform: Column, alpha: Column, beta: Column, gamma: Column, p: Column, p_iso: Column,
-            base_rate: Column) -> Column:
-    """Effective probability under one row of combiner parameters."""
-    pull = (F.lit(1.0) - alpha) * base_rate
-    return (F.when(transform == "identity", p)
-            .when(transform == "shrink", clip01(alpha * p + pull))
-            .when(transform == "linear", clip01(alpha * p + beta))
-            .when(transform == "power_shrink", clip01(alpha * F.pow(p, gamma) + pull))
-            .when(transform == "isotonic", p_iso)
-            .when(transform == "iso_shrink", clip01(alpha * p_iso + pull))
-            .when(transform == "iso_linear", clip01(alpha * p_iso + beta)))
-
-
 def deployed_combiner(position: Column, p: Column, p_iso: Column,
                       settings: Mapping[str, tuple] = presets.COMBINERS) -> Column:
     """Clipped probability per position, without the pull to a base rate."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast import presets
-from cohortcast.functions.scores import combine
 from cohortcast.operators.grouped import attach, best_row, top_per_group
 
 
@@ -94,34 +95,58 @@ def combiner_settings() -> list[tuple[str, float, float, float]]:
     return out + [("power_shrink", a, 0.0, g) for a in alphas for g in presets.GAMMA_GRID]
 
 
-def combiner_grid() -> Column:
-    """All settings as one constant array; rows are expanded in place, nothing is joined.
-
-    Plain literals, so that the optimizer folds it to a single value instead of building it per row.
-    """
-    items = ", ".join(f"named_struct('transform', '{t}', 'alpha', {a}D, 'beta', {b}D, 'gamma', {g}D)"
-                      for t, a, b, g in combiner_settings())
-    return F.expr(f"array({items})")
+SETTING = ("transform", "alpha", "beta", "gamma")
 
 
-SETTING = ("transform", "alpha", "beta", "gamma")
+def _setting_errors(rows: np.ndarray) -> np.ndarray:
+    """Absolute error of every row (p_made_it, p_iso, base_rate, prod_pred, ppg) under every setting, NaN where the outcome is missing; a missing estimate counts as 0."""
+    p, iso, base, value, actual = rows.T[:, :, None]
+    settings = combiner_settings()
+    kind = np.array([s[0] for s in settings])
+    alpha, beta, gamma = (np.array([s[i] for s in settings], float) for i in (1, 2, 3))
+    start = np.where(np.isin(kind, ["isotonic", "iso_shrink", "iso_linear"]), iso, p)
+    powered = np.isin(kind, ["power_shrink"])
+    start = np.where(powered, np.power(p, gamma), start)
+    shrunk = alpha * start + (1 - alpha) * base
+    mixed = np.where(np.isin(kind, ["linear", "iso_linear"]), alpha * start + beta, shrunk)
+    p_eff = np.where(np.isin(kind, ["identity", "isotonic"]), start, np.clip(mixed, 0.0, 1.0))
+    return np.abs(actual - np.fmax(p_eff * value, 0.0))
 
 
 def combiner_errors(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Absolute-error sums of every combiner setting per key.
 
-    Columns needed: p_made_it, p_iso, base_rate, prod_pred, ppg.
+    Columns needed: p_made_it, p_iso, base_rate, prod_pred, ppg. A task lays its rows against all settings as arrays and sends on
+    one sum per key and setting; rows are neither copied nor shuffled.
     """
-    # every row becomes as many as there are settings: spread the compact rows over all cores first
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(*keys, "p_made_it", "p_iso", "base_rate", "prod_pred", "ppg").repartition(tasks)
-    wide = rows.select("*", F.posexplode(combiner_grid()).alias("i", "g"))
-    p_eff = combine(F.col("g.transform"), F.col("g.alpha"), F.col("g.beta"), F.col("g.gamma"),
-                    F.col("p_made_it"), F.col("p_iso"), F.col("base_rate"))
-    err = F.abs(F.col("ppg") - F.greatest(p_eff * F.col("prod_pred"), F.lit(0.0)))
-    sums = wide.groupBy(*keys, "i").agg(F.count("*").alias("n"), F.sum(err).alias("err"))
-    return sums.select(*keys, F.get(combiner_grid(), F.col("i")).alias("g"), "n", "err").select(*keys, "g.*", "n", "err")
+    inputs = ["p_made_it", "p_iso", "base_rate", "prod_pred", "ppg"]
+    n_keys, settings = len(keys), combiner_settings()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 4096):
+                batch = big.slice(at, 4096)
+                table = np.stack([batch.column(n_keys + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(inputs))], 1)
+                errors = _setting_errors(table)
+                groups: dict[tuple, list[int]] = {}
+                for row, key in enumerate(zip(*[batch.column(i).to_pylist() for i in range(n_keys)])):
+                    groups.setdefault(key, []).append(row)
+                names = list(groups)
+                held = ~np.isnan(errors)
+                n = [len(groups[k]) for k in names]
+                sums = [np.where(held[groups[k]], errors[groups[k]], 0.0).sum(0) for k in names]
+                seen = [held[groups[k]].any(0) for k in names]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([k[i] for k in names], batch.schema.field(i).type) for i in range(n_keys)), pa.array(n, pa.int64()),
+                     pa.array([[float(v) if ok else None for v, ok in zip(s, any_)] for s, any_ in zip(sums, seen)], pa.list_(pa.float64()))],
+                    names=[*keys, "n", "errors"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in inputs])
+    parts = rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, errors array<double>")
+    sums = parts.select(*keys, "n", F.posexplode("errors").alias("i", "e")).groupBy(*keys, "i").agg(F.sum("n").alias("n"), F.sum("e").alias("err"))
+    columns = {name: F.array(*[F.lit(s[i]) for s in settings]) for i, name in enumerate(SETTING)}
+    return sums.select(*keys, *[F.get(column, F.col("i")).alias(name) for name, column in columns.items()], "n", "err")
 
 
 def leave_one_fold_out(errors: DataFrame, group: Sequence[str], fold: str) -> DataFrame:

@@ -123,8 +123,8 @@ def fit_isotonic(df: DataFrame, p: str, label: str, digits: int | None = None):
 
 def apply_isotonic(model, df: DataFrame, p: str, out: str) -> DataFrame:
     """Linear interpolation between the stored points, constant beyond the ends."""
-    scored = model.transform(df.withColumn("x", F.col(p)))
-    return scored.withColumnRenamed("prediction", out).drop("x")
+    own = model.copy().setFeaturesCol("__score").setPredictionCol(out)
+    return own.transform(df.withColumn("__score", F.col(p))).drop("__score")
 
 
 def isotonic_points(spark: SparkSession, model) -> DataFrame:
