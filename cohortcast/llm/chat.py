@@ -150,18 +150,55 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     return map_texts(rows, rows.columns, schema, write)
 
 
+TURN = ["conv_id", "turn", "role"]
+
+
+def first_turns(conversations: DataFrame) -> DataFrame:
+    """One row per conversation, turn and role: the smallest text, null only where all are, with the number of its rows."""
+    counted = conversations.groupBy(*TURN, "text").agg(F.count("*").alias("copies"))
+    return counted.groupBy(*TURN).agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "copies")).alias("one")).select(*TURN, "one.text", "one.copies")
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The turns of plain conversations as calls and results.
 
     A user turn asks for a reply: a call named "reply" whose identifier is conversation:turn, after the one two turns before. An
-    assistant turn is the result of the turn before it. System turns call nothing. Null turns get no identifier.
+    assistant turn is the result of the turn before it. Of repeated turns the first counts (see `other_turns` for the rest). Null turns get no identifier.
     """
     def name(back: int):
         return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(":"), (F.col("turn") - back).cast("string"))
 
-    message = F.coalesce("text", F.lit(""))
-    calls = conversations.where("role = 'user'").select(
+    message, firsts = F.coalesce("text", F.lit("")), first_turns(conversations)
+    calls = firsts.where("role = 'user'").select(
         "conv_id", name(0).alias("call_id"), "turn", F.lit("reply").alias("name"),
         F.to_json(F.struct(message.alias("message"), word_count(message).alias("words"))).alias("arguments"), F.array(name(2)).alias("after"))
-    results = conversations.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = firsts.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
+
+
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that are neither a call nor a result, in the columns of `link_calls`.
+
+    Status `context`: turns of other roles or none; `unplaced`: user and assistant turns without a number; `repeated`: further
+    rows of a numbered user or assistant turn. `json` holds role, content, status and, for equal rows, how many they are.
+    """
+    counted = conversations.groupBy(*TURN, "text").agg(F.count("*").alias("copies"))
+    speaks = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    firsts = first_turns(conversations.where(speaks & F.col("turn").isNotNull())).select(
+        *[F.col(c).alias(f"first_{c}") for c in TURN], F.col("text").alias("first_text"), F.lit(True).alias("first"))
+    same = F.lit(True)
+    for c in [*TURN, "text"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    left = F.col("copies") - F.coalesce(F.col("first"), F.lit(False)).cast("bigint")
+    status = F.when(~speaks, "context").when(F.col("turn").isNull(), "unplaced").otherwise("repeated")
+    rows = (counted.join(firsts, same, "left").withColumn("left", left).where("left > 0")
+            .select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text", "left", status.alias("status")))
+
+    def write(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines = [canonical({"role": r["role"], "content": r["text"], "copies": r["left"], "status": r["status"]}) for r in batch.to_pylist()]
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.nulls(n, pa.string()), batch.column(1), pa.nulls(n, pa.int32()), batch.column(5), pa.array([[]] * n, pa.list_(pa.string())), pa.array(lines, pa.string())],
+            names=["conv_id", "call_id", "order_turn", "order_hop", "status", "errors", "json"])
+
+    return map_texts(rows, rows.columns, "conv_id string, call_id string, order_turn bigint, order_hop int, status string, errors array<string>, json string", write)

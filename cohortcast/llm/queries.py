@@ -66,8 +66,9 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_chat_format")
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.turns_as_calls(load(spark, sf_dir, "conversations"))
-    return chat.link_calls(calls, results, {"reply": chat.REPLY_SCHEMA})
+    turns = load(spark, sf_dir, "conversations")
+    calls, results = chat.turns_as_calls(turns)
+    return chat.link_calls(calls, results, {"reply": chat.REPLY_SCHEMA}).unionByName(chat.other_turns(turns))
 
 
 @register("op8_langid")

@@ -191,3 +191,20 @@ def test_turns_as_calls(spark):
     assert got["1:3"]["errors"] == ["$.message: too short", "$.words: below minimum"] and got["2:-1"]["status"] == "orphan"
     assert got["1:1"]["json"] == chat.canonical(json.loads(got["1:1"]["json"]))
     assert chat.link_calls(calls.limit(0), results.limit(0), {}).count() == 0
+
+
+def test_every_turn_has_a_row(spark):
+    turns = [(1, 0, "system", "s"), (1, 0, "system", "s"), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, 1, "user", None), (1, 2, "assistant", "ok"),
+             (1, 2, "assistant", "ok"), (None, 1, "user", "x"), (None, 1, "user", "y"), (2, None, "user", "n"), (2, None, "assistant", None), (2, 5, None, "r"), (2, 6, "tool", "t"), (3, 1, "user", None)]
+    frame_ = spark.createDataFrame(turns, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    calls, results = chat.turns_as_calls(frame_)
+    linked = {r["call_id"]: json.loads(r["json"]) for r in chat.link_calls(calls, results, {"reply": chat.REPLY_SCHEMA}).collect()}
+    assert {k: (v["arguments"]["message"], v["result"]) for k, v in linked.items()} == {"1:1": ("a", "ok"), "none:1": ("x", None), "3:1": ("", None)}
+    rows = [(r["conv_id"], r["order_turn"], json.loads(r["json"])) for r in chat.other_turns(frame_).collect()]
+    got = sorted(((c, t, j["role"], j["content"], j["copies"], j["status"]) for c, t, j in rows), key=str)
+    assert got == sorted([("1", 0, "system", "s", 2, "context"), ("1", 1, "user", "a", 1, "repeated"), ("1", 1, "user", "b", 1, "repeated"), ("1", 1, "user", None, 1, "repeated"),
+                          ("1", 2, "assistant", "ok", 1, "repeated"), (None, 1, "user", "y", 1, "repeated"), ("2", None, "user", "n", 1, "unplaced"),
+                          ("2", None, "assistant", None, 1, "unplaced"), ("2", 5, None, "r", 1, "context"), ("2", 6, "tool", "t", 1, "context")], key=str)
+    used = sum(1 for v in linked.values()) + sum(v["result"] is not None for v in linked.values())
+    assert used + sum(g[4] for g in got) == len(turns)
+    assert chat.other_turns(frame_.limit(0)).count() == 0
