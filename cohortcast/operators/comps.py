@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcast import presets
@@ -353,8 +353,50 @@ def _search(spec: CompSpec):
     return run
 
 
+@dataclass(frozen=True)
+class CompIndex:
+    """A pool laid out for the search: its rows by cell, the sizes of the cells, the grid, and the pool's own columns."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    grid: DataFrame
+    pool: DataFrame
+
+    def save(self, path: str) -> None:
+        """Write the tables; the rows in order of their cells, so that files hold whole cells where they can."""
+        self.rows.repartition("cell").sortWithinPartitions("cell", "side", "id").write.mode("errorifexists").parquet(f"{path}/rows")
+        for name in ("sizes", "grid", "pool"):
+            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> CompIndex:
+    return CompIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("rows", "sizes", "grid", "pool")])
+
+
+def _cell_key(spec: CompSpec) -> list[str]:
+    return ["__b", "__slot", *[f"__c{i}" for i in range(len(spec.axes))]]
+
+
+def index_of(pool: DataFrame, spec: CompSpec, payload: Sequence[str] = ()) -> CompIndex:
+    """The index of a pool. A cell with far more rows than planned (equal rows, a common slot) is split by id, so what a task holds stays bounded."""
+    ids, block, year, slot = spec.ids, spec.block, spec.year, spec.slot
+    grid = materialize(_grid(pool, spec), "comp-grid")
+    key, band = _cell_key(spec), max(1, spec.window)
+    listed = attach(pool, grid, [block], "inner").select(
+        F.col(block).alias("__b"), F.floor(F.col(slot) / band).cast("bigint").alias("__slot"), *[_place(f, f"__a{i}").alias(f"__c{i}") for i, f in enumerate(spec.axes)],
+        F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"),
+        F.array(*[F.col(f).cast("double") for f in spec.features]).alias("f"), F.struct(F.lit(0).alias("none"), *payload).alias("payload"))
+    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / (8 * spec.rows_per_cell)).cast("int").alias("__parts")), "comp-cells")
+    part = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
+    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window")]
+    rows = attach(listed, sizes, key, "inner").select(
+        _cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], part).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
+        F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload", *none)
+    return CompIndex(rows, sizes, grid, pool.select(*dict.fromkeys([ids, block, year, slot, *spec.features, *payload])))
+
+
 def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload: Sequence[str] = (),
-                  params: DataFrame | None = None, variants: Column | None = None) -> DataFrame:
+                  params: DataFrame | None = None, variants: Column | None = None, index: CompIndex | None = None) -> DataFrame:
     """The `k` nearest pool rows of each query within its slot window, or among the `3k` nearest slots
     where the window holds fewer than `k`; ranked, with distances and payload columns.
 
@@ -362,30 +404,19 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     several times: pass written tables (`materialize`) rather than long plans. Ids and years are whole numbers.
 
     `variants`, an array of (weights per category, window), has every query searched under each of them in the same rounds, and the
-    column `variant` tells their results apart.
+    column `variant` tells their results apart. `index` is one of this pool, for instance a stored one.
     """
     own = F.array(F.struct(F.array(*[F.lit(w) for _, _, w in spec.layout]).alias("weights"), F.lit(spec.window).alias("window")))
     listed_variants = own if variants is None else variants
     ids, block, year, slot, k = spec.ids, spec.block, spec.year, spec.slot, spec.k
     cohorts = cohort_years(queries, year)
     params = params if params is not None else search_params(pool, cohorts, spec)
-    grid = materialize(_grid(pool, spec), "comp-grid")
+    index = index if index is not None else index_of(pool, spec, payload)
+    grid, sizes, side = index.grid, index.sizes, index.rows
     features = F.array(*[F.col(f).cast("double") for f in spec.features])
     band = max(1, spec.window)  # fixed width of the slots' cells
-    extra = F.struct(F.lit(0).alias("none"), *payload)
-
-    # a cell with far more rows than planned (equal rows, a common slot) is split by id, so what a task holds stays bounded
     places = [_place(f, f"__a{i}") for i, f in enumerate(spec.axes)]
-    listed = attach(pool, grid, [block], "inner").select(
-        F.col(block).alias("__b"), F.floor(F.col(slot) / band).cast("bigint").alias("__slot"), *[c.alias(f"__c{i}") for i, c in enumerate(places)],
-        F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"), features.alias("f"), extra.alias("payload"))
-    key = ["__b", "__slot", *[f"__c{i}" for i in range(len(places))]]
-    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / (8 * spec.rows_per_cell)).cast("int").alias("__parts")), "comp-cells")
-    part = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
-    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window")]
-    side = attach(listed, sizes, key, "inner").select(
-        _cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], part).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
-        F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload", *none)
+    key = _cell_key(spec)
 
     # the values that place a query are those of its features; rows that lack one are next to every place of the axis
     known = params.where(F.col("n_pool") >= spec.min_pool).select(block, F.col("cohort").alias(year), "scale", "inv", F.col("least").alias("__low"))

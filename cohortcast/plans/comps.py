@@ -8,7 +8,7 @@ from cohortcast.operators.grouped import attach
 from cohortcast.plans import base
 from cohortcast.plans.base import r6
 from cohortcast.plans.registry import query
-from cohortcast.session import materialize
+from cohortcast.session import materialize, scratch_path
 
 EUCLID = cp.CompSpec({"all": ("yards_final", "ypr", "forty", "weight")}, covariance=False)
 MAHAL = cp.CompSpec({"production": ("yards_final", "ypr"), "measurables": ("forty", "weight")}, presets.COMP_WEIGHTS)
@@ -99,6 +99,21 @@ def knn_mahalanobis(spark, d):
     return found.select("entity_id", "comp_rank", "comp_id", r6(F.col("distance")).alias("distance"), r6(F.col("comp_ppg")).alias("comp_ppg"))
 
 
+@query("comps_new_class", """
+    SELECT entity_id, comp_rank, comp_id, round(distance, 6) AS distance, round(comp_ppg, 6) AS comp_ppg FROM euclid_comps
+    WHERE cohort_year = (SELECT max(cohort_year) FROM cohort)""")
+def comps_new_class(spark, d):
+    """The newest class, which the pool lacks, against a stored index of the classes before it."""
+    b = comp_base(spark, d)
+    newest = b.agg(F.max("cohort_year")).scalar()
+    pool = materialize(b.where(F.col("cohort_year") < newest), "comp-pool")
+    path = scratch_path(spark, "comp-index")
+    cp.index_of(pool, EUCLID, ["comp_ppg"]).save(path)
+    index = cp.load_index(spark, path)
+    found = cp.nearest_comps(materialize(b.where(F.col("cohort_year") == newest), "comp-new"), index.pool, EUCLID, ["comp_ppg"], index=index)
+    return found.select("entity_id", "comp_rank", "comp_id", r6(F.col("distance")).alias("distance"), r6(F.col("comp_ppg")).alias("comp_ppg"))
+
+
 @query("comp_features", """
     SELECT c.entity_id, coalesce(n.n_pool, 0) AS n_pool_used, round(w, 6) AS comp_weighted_ppg, round(b, 6) AS comp_bust_rate, round(m, 6) AS comp_median_ppg
     FROM cohort c LEFT JOIN comp_pool n ON n.position = c.position AND n.cohort = c.cohort_year
