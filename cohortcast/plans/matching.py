@@ -82,6 +82,49 @@ def two_pass_match(spark, d):
         ["stat", "stat_size", "stat_id"], [F.col("stat").desc(), F.col("stat_id").asc()])
 
 
+AUTO_SQL = f"""
+    WITH l AS (SELECT person_id, official_id AS score_id, CASE WHEN person_id % 10 = 3 THEN {CN} || ' jr' ELSE {CN} END AS name_clean FROM people),
+    r AS (SELECT CASE WHEN person_id % {{missing}} <> 0 THEN official_id END AS score_id,
+                 CASE WHEN person_id % 8 = 1 THEN 'unlisted ' || {CN} ELSE {CN} END AS name_clean, price AS stat, person_id AS stat_id FROM people),
+    k AS (SELECT 'score_id' AS candidate, 1 AS trust, (SELECT count(score_id) / count(*) FROM l) AS cl, (SELECT count(score_id) / count(*) FROM r) AS cr,
+            (SELECT count(DISTINCT score_id) FROM l WHERE score_id IN (SELECT score_id FROM r)) / (SELECT count(DISTINCT score_id) FROM l) AS o
+          UNION ALL SELECT 'name_clean', 2, (SELECT count(name_clean) / count(*) FROM l), (SELECT count(name_clean) / count(*) FROM r),
+            (SELECT count(DISTINCT name_clean) FROM l WHERE name_clean IN (SELECT name_clean FROM r)) / (SELECT count(DISTINCT name_clean) FROM l)),
+    chosen AS (SELECT candidate FROM k ORDER BY CASE WHEN cl >= 0.5 AND cr >= 0.5 AND o >= 0.5 THEN 0 ELSE 1 END,
+               CASE WHEN cl >= 0.5 AND cr >= 0.5 AND o >= 0.5 THEN 0 ELSE -o END, trust LIMIT 1),
+    lk AS (SELECT l.*, CASE WHEN candidate = 'score_id' THEN score_id ELSE name_clean END AS key FROM l, chosen),
+    rk AS (SELECT * FROM (SELECT r.*, candidate, CASE WHEN candidate = 'score_id' THEN score_id ELSE name_clean END AS key, row_number() OVER (
+             PARTITION BY CASE WHEN candidate = 'score_id' THEN score_id ELSE name_clean END ORDER BY stat DESC, stat_id) AS rn FROM r, chosen) WHERE rn = 1 AND key IS NOT NULL),
+    p AS (SELECT *, regexp_replace(name_clean, '\\s+(jr|sr|ii|iii|iv|v)$', '') AS plain FROM r),
+    rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY stat DESC, stat_id) AS rn FROM p) WHERE rn = 1)
+    SELECT lk.person_id, CASE WHEN rk.stat_id IS NOT NULL THEN rk.candidate WHEN rp.stat_id IS NOT NULL THEN 'name_clean_stripped' END AS match_key,
+           coalesce(rk.stat, rp.stat) AS stat, coalesce(rk.stat_id, rp.stat_id) AS stat_id
+    FROM lk LEFT JOIN rk ON rk.key = lk.key
+    LEFT JOIN rp ON rk.stat_id IS NULL AND rp.plain = regexp_replace(lk.name_clean, '\\s+(jr|sr|ii|iii|iv|v)$', '')"""
+
+
+def auto_key(spark, d, missing):
+    """Both sides carry a score key and a name; on the statistics side every `missing`-th row lacks the score key."""
+    k, clean = F.col("person_id"), tx.clean_name(F.col("person"))
+    people = base.people(spark, d)
+    left = people.select("person_id", F.col("official_id").alias("score_id"), F.when(k % 10 == 3, F.concat(clean, F.lit(" jr"))).otherwise(clean).alias("name_clean"))
+    stats = people.select(F.when(k % missing != 0, F.col("official_id")).alias("score_id"),
+                          F.when(k % 8 == 1, F.concat(F.lit("unlisted "), clean)).otherwise(clean).alias("name_clean"), F.col("price").alias("stat"), k.alias("stat_id"))
+    return match.auto_key_match(left, stats, "person_id", ["score_id", "name_clean"], "name_clean", ["stat", "stat_id"], [F.col("stat").desc(), F.col("stat_id").asc()])
+
+
+@query("auto_key_score", AUTO_SQL.format(missing=7))
+def auto_key_score(spark, d):
+    """Enough rows carry the score key: it is chosen."""
+    return auto_key(spark, d, 7)
+
+
+@query("auto_key_name", AUTO_SQL.format(missing=1))
+def auto_key_name(spark, d):
+    """The statistics have no score key: the name is chosen."""
+    return auto_key(spark, d, 1)
+
+
 @query("two_pass_coalesce", f"""
     WITH st AS ({STATS_SQL}), dr AS ({DRAFT_SQL}),
     a AS (SELECT name_clean, school_norm, max(stat) AS stat, max(stat_size) AS stat_size FROM st WHERE stat_size > 20 GROUP BY ALL),

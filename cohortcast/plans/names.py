@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortcast import presets
 from cohortcast.functions import text as tx
+from cohortcast.operators import match
 from cohortcast.operators import events as ev
 from cohortcast.operators.grouped import best_row, top_per_group
 from cohortcast.plans import base
@@ -116,9 +117,8 @@ def entity_search(spark, d):
     WHERE rn <= 5""")
 def fuzzy_suggest(spark, d):
     names = base.people(spark, d).select(tx.clean_name(F.col("person")).alias("name_clean")).distinct()
-    asks = F.array(*[F.lit(a) for a in ("smal rong", "blu gear", "hot plat")])
-    pairs = names.select(F.explode(asks).alias("ask"), "name_clean").withColumn("dist", F.levenshtein("ask", "name_clean"))
-    return top_per_group(pairs, ["ask"], [F.col("dist").asc(), F.col("name_clean").asc()], 5)
+    asks = spark.createDataFrame([(a,) for a in ("smal rong", "blu gear", "hot plat")], "ask STRING")
+    return match.nearest_texts(asks, names, "ask", "name_clean", 5).withColumnRenamed("text", "name_clean")
 
 
 @query("name_reattribution", r"""

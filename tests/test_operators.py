@@ -178,3 +178,40 @@ def test_recipe_edges(spark):
     assert rowset(recipe.impute(df, recipe.learn_medians(df, ["f"]), ["f"]), "id", "f")[1] == (2, 3.0)
     const = spark.createDataFrame([(1.0,)] * 30, "c DOUBLE")
     assert recipe.near_zero_variance(const, ["c"]).first()["near_zero"]
+
+
+def test_nearest_texts_against_all_pairs(spark):
+    import random
+    from cohortcast.operators import match
+    rng = random.Random(1)
+    texts = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(0, 12))) for _ in range(400)}) + ["a", "é", "abab", "aaaa", "aaa"]
+    asks = ["abcde", "", "zzzz", "aaaaa", "a", "dead bee", "zz", "abababab"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = match.nearest_texts(spark.createDataFrame([(a,) for a in asks + [None]], "q STRING"), spark.createDataFrame([(t,) for t in texts + texts[:9] + [None]], "t STRING"), "q", "t", 4)
+    want = {a: sorted((distance(a, t), t) for t in set(texts))[:4] for a in asks}
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["ask"], []).append((r["dist"], r["text"]))
+    assert {a: sorted(v) for a, v in rows.items()} == want
+
+
+def test_key_choice_follows_the_profile(spark):
+    from cohortcast.operators import match
+    left = spark.createDataFrame([(i, f"s{i}" if i % 4 else None, f"name {i}" + (" jr" if i == 5 else "")) for i in range(40)], "id INT, score STRING, name STRING")
+    stats = lambda has, same: spark.createDataFrame([(f"s{i}" if i < has else None, f"name {i}" if i < same else f"other {i}", i) for i in range(40)], "score STRING, name STRING, v INT")
+    run = lambda s: {r["id"]: (r["match_key"], r["v"]) for r in match.auto_key_match(left, s, "id", ["score", "name"], "name", ["v"], [F.col("v").asc()]).collect()}
+    by_score = run(stats(40, 0))
+    assert by_score == {i: ("score", i) if i % 4 else (None, None) for i in range(40)}
+    by_name = run(stats(5, 40))
+    assert by_name == {i: ("name", i) if i != 5 else ("name_stripped", 5) for i in range(40)}
+    assert run(stats(40, 40).drop("score"))[7] == ("name", 7)
+    profile = {r["candidate"]: r for r in match.key_profile(left, stats(5, 40), ["score", "name"]).collect()}
+    assert (profile["score"]["in_left"], profile["score"]["in_right"], profile["score"]["shared"], profile["name"]["shared"]) == (30, 5, 3, 39)
