@@ -1,4 +1,8 @@
-"""From raw documents to token ids: toxicity, near-dedup, secrets, mix, encoding."""
+"""From raw documents to token ids: toxicity, near-dedup, secrets, mix, encoding.
+
+All stages take null texts as empty ones and leave them null, keep rows with null ids apart by their texts, pass on columns of any
+name, and make an empty table of an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,24 +19,24 @@ RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models, trained on the labelled ones among `docs`, do not reject."""
+    """Documents that the toxicity models, trained on the labelled ones among `docs`, do not reject; all of them where the labels lack a class."""
     ship_package(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash component."""
+    """One document of every SimHash component: that of the smallest id, null ids last; empty and null texts are one component."""
     ship_package(spark)
     return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark; repeated rows alike."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row per pass over a document, with the words that the pass takes."""
+    """The mix of sources: a row per pass over a document, with the words that the pass takes; a null source is one of its own, texts without words go."""
     return mixing.mixed_documents(docs)
 
 
