@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.text import count_delimiter, squish
@@ -22,14 +24,16 @@ def all_matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
         *[F.regexp_extract(m, pattern, i).alias(n) for n, i in groups.items()]))
 
 
-def number_in_order(df: DataFrame, page: str, pos: str, out: str) -> DataFrame:
-    """0-based position over all pages: rows of earlier pages plus the position within the page.
+def number_in_order(df: DataFrame, page: str, pos: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """0-based place among the rows of all pages (of the same `within` values), by page and position; positions may have gaps.
 
-    Only one count per page takes part in the running sum, and that sum is spread over ranges.
+    Rows are ranked within their page, and only one count per page takes part in the running sum, which is spread over ranges.
     """
-    per_page = df.groupBy(page).agg(F.count("*").alias("__n"))
-    before = prefix_counts(per_page, [], page, ["__n"]).select(page, F.col("__n_below").alias("__before"))
-    return attach(df, before, [page]).withColumn(out, F.col("__before") + F.col(pos) - 1).drop("__before")
+    keys = [*within, page]
+    ranked = df.withColumn("__in_page", F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1)
+    per_page = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = prefix_counts(per_page, list(within), page, ["__n"]).select(*keys, F.col("__n_below").alias("__before"))
+    return attach(ranked, before, keys).withColumn(out, F.col("__before") + F.col("__in_page")).drop("__before", "__in_page")
 
 
 def extract_links(pages: DataFrame, page: str, html: str) -> DataFrame:

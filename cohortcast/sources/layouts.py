@@ -35,10 +35,22 @@ def read_documents(spark: SparkSession, path: str, schema: str, child: str) -> D
     return docs.select(*rest, F.explode(child).alias("__c")).select(*rest, "__c.*")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per cached page file: its path and whole text."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("page"), F.col("value").alias("html"))
+def write_pages(pages: DataFrame, path: str, keys: Sequence[str], html: str) -> None:
+    """Cache pages as text files, one per page, in a folder `<key>=<value>/...` each."""
+    pages.select(*keys, html).repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_pages(spark: SparkSession, path: str, keys: str, shortest: int = 0) -> DataFrame:
+    """One row per cached page file: its folder below `path`, its keys and its whole text.
+
+    The folder names the page alike in every run, unlike the file in it. Pages shorter than `shortest` have no text: an
+    error page or a broken download.
+    """
+    files = spark.read.schema(f"value STRING, {keys}").text(path, wholetext=True)
+    depth = len(files.columns) - 1
+    text = F.when(F.length("value") >= shortest, F.col("value"))
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"((?:[^/]+/){" + str(depth) + r"})[^/]+$", 1).alias("page"),
+                        *files.columns[1:], text.alias("html")).withColumn("page", F.rtrim("page", F.lit("/")))
 
 
 def era_union(older: DataFrame, newer: DataFrame, season: str, cutover: int) -> DataFrame:

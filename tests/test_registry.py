@@ -11,7 +11,7 @@ from cohortcast.sources.tables import SCHEMAS
 
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = ("scan_star", "outcome_target", "event_conditional_stats", "two_pass_match", "first_threshold", "ecdf_against_ref",
-          "archetype_rules", "rule_points", "final_blend", "metrics_rollup", "calibration_bins", "temporal_folds", "class_summary")
+          "archetype_rules", "rule_points", "talking_points", "page_files", "clean_export", "final_blend", "metrics_rollup", "calibration_bins", "temporal_folds", "class_summary")
 
 
 def test_contract():
