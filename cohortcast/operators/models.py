@@ -100,10 +100,15 @@ def fit_leaf_quantiles(train: DataFrame, features: Sequence[str], label: str, ta
                        min_rows: int = 8) -> LeafQuantiles:
     """Quantiles of the outcome among the training rows of a row's leaf, all levels (column -> level) from one tree."""
     data = assembler(features).transform(train.where(F.col(label).isNotNull()))
+    return LeafQuantiles(list(features), *leaf_quantiles(data, label, taus, depth, min_rows))
+
+
+def leaf_quantiles(data: DataFrame, label: str, taus: Mapping[str, float], depth: int = 3,
+                   min_rows: int = 8) -> tuple[DecisionTreeRegressionModel, DataFrame]:
+    """A tree on the vector `features`, and the quantiles of the label in its leaves."""
     tree = DecisionTreeRegressor(featuresCol="features", labelCol=label, leafCol="leaf", maxDepth=depth,
                                  minInstancesPerNode=min_rows, seed=SEED).fit(data)
-    leafed = tree.transform(data).select("leaf", label)
-    return LeafQuantiles(list(features), tree, exact_quantiles(leafed, ["leaf"], label, list(taus.values()), list(taus)))
+    return tree, exact_quantiles(tree.transform(data).select("leaf", label), ["leaf"], label, list(taus.values()), list(taus))
 
 
 # ── calibration ─────────────────────────────────────────────────────────────

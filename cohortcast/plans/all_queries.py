@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = ("sources", "events", "names", "features", "matching", "panel", "statistics", "topk",
-            "comps", "recipe", "blends", "evaluation", "models", "exports", "points", "files")
+            "comps", "recipe", "blends", "evaluation", "models", "exports", "points", "files", "bundles")
 
 
 def load() -> None:
