@@ -6,7 +6,7 @@ from cohortcast.operators import pages as pg
 from cohortcast.plans import base
 from cohortcast.plans.football import MOCK_PATTERNS
 from cohortcast.plans.registry import query
-from cohortcast.session import scratch_path
+from cohortcast.session import materialize, scratch_path
 from cohortcast.sources import layouts
 
 PAGE_ROWS = 32  # entries of one page
@@ -43,7 +43,7 @@ def page_files(spark, d):
     layouts.write_pages(listing_pages(spark, d), path, ["year", "page_no"], "html")
     cached = layouts.read_pages(spark, path, "year INT, page_no BIGINT", shortest=SHORT_PAGE)
     rows = pg.labelled_entries(cached.where("html IS NOT NULL"), ["page", "year", "page_no"], "html", list(MOCK_PATTERNS), ["name", "position", "school"])
-    rows = rows.where(F.col("position").rlike(r"^[A-Z/]{1,8}$"))
+    rows = materialize(rows.where(F.col("position").rlike(r"^[A-Z/]{1,8}$")), "page-entries")  # numbered in several steps, read from files once
     return pg.number_in_order(rows, "page_no", "pos", "__at", within=["year"]).select(
         "page", "year", "page_no", "team", "name", "position", "school", (F.col("__at") + 1).alias("pick"))
 
