@@ -10,6 +10,7 @@ from cohortcast.operators.grouped import add_group_stats
 from cohortcast.plans import base
 from cohortcast.plans.base import r6
 from cohortcast.plans.registry import query
+from cohortcast.session import materialize
 
 RECEIVERS = ("BUILDING", "FURNITURE", "MACHINERY")
 
@@ -25,7 +26,7 @@ def point_input(spark, d):
             "ypr": F.col("yards_final") * 3 / F.col("rec_final"), "ypc": F.col("yards_final") / F.col("rec_final"),
             "share": F.col("td_rate") * 0.7, "back_rec_yards": F.col("yards_penult") * 3,
             "stars": F.when(e % 4 != 0, (2 + e % 4).cast("int")), "tier": F.when(e % 6 == 0, "G5").when(e % 6 < 4, "P5")})
-    f = add_group_stats(f, ["position", "round"],
+    f = add_group_stats(materialize(f, "point-input"), ["position", "round"],
         F.sum(F.round(F.col("ppg") * 1e6).cast("bigint")).alias("__ppg"), F.sum(1 - F.col("made_it")).alias("__busts"), F.count("*").alias("__n"))
     return f.withColumns({"comp_ppg": F.col("__ppg") / F.col("__n") / 1e6, "bust_rate": F.col("__busts") / F.col("__n")})
 
