@@ -96,10 +96,13 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str]) -> D
     return out
 
 
-def cume_dist_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Share of non-null rows with a value not above the row's own."""
+def cume_dist_in_group(df: DataFrame, keys: Sequence[str], value: str, out: str, whole: int = 1) -> DataFrame:
+    """Share of non-null rows with a value not above the row's own, in parts of `whole`.
+
+    The count is multiplied before the one division, so that a share that ends in a half is a half.
+    """
     pos = value_positions(df, keys, value).select(
-        *keys, value, ((F.col("n_below") + F.col("n")) / F.col("n_total")).alias(out))
+        *keys, value, (whole * (F.col("n_below") + F.col("n")) / F.col("n_total")).alias(out))
     return attach(df, pos, [*keys, value])
 
 
@@ -118,14 +121,14 @@ def row_index_in_group(df: DataFrame, keys: Sequence[str], value: str, tie_break
 
 
 def distribution_against(probe: DataFrame, reference: DataFrame, keys: Sequence[str], value: str,
-                         out: str) -> DataFrame:
-    """Share of `reference` values not above each probe value; null where either side is empty."""
+                         out: str, whole: int = 1) -> DataFrame:
+    """Share of `reference` values not above each probe value, in parts of `whole`; null where either side is empty."""
     ok = F.col(value).isNotNull()
     ref = reference.where(ok).groupBy(*keys, value).agg(F.count("*").alias("n"))
     ask = probe.where(ok).select(*keys, value).distinct().withColumn("n", F.lit(0).cast("bigint"))
     counts = ref.unionByName(ask).groupBy(*keys, value).agg(F.sum("n").alias("n"))
     pos = prefix_counts(counts, keys, value, ["n"]).select(
-        *keys, value, F.try_divide(F.col("n_below") + F.col("n"), F.col("n_total")).alias(out))
+        *keys, value, F.try_divide(whole * (F.col("n_below") + F.col("n")), F.col("n_total")).alias(out))
     return attach(probe, pos, [*keys, value])
 
 

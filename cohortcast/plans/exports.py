@@ -48,8 +48,8 @@ def json_nested_children(spark, d):
     FROM f LEFT JOIN h ON h.entity_id = f.entity_id""")
 def entity_dossier(spark, d):
     f = base.features(spark, d).select("entity_id", "name", "position", "cohort_year", "slot", "yards_final", "weight", "forty")
-    f = ranks.cume_dist_in_group(f, ["position"], "yards_final", "__p")
-    block = ex.feature_block({"yards_final": (F.round("yards_final", 4), F.bround(F.col("__p") * 100), "Volume in the final season"),
+    f = ranks.cume_dist_in_group(f, ["position"], "yards_final", "__p", 100)
+    block = ex.feature_block({"yards_final": (F.round("yards_final", 4), F.bround("__p"), "Volume in the final season"),
                               "forty": (F.col("forty"), F.lit(None).cast("int"), "Sprint time")})
     raw = ex.key_values(["name", "slot", "weight", "forty"], skip=["forty"])
     docs = ex.dossiers(f, base.panel(spark, d), "entity_id", "season", ["games", "cents"], ["entity_id", "name", "position"], block, raw)

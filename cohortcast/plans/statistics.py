@@ -47,8 +47,8 @@ def standardize_train_params(spark, d):
     FROM (SELECT entity_id, position, yards_final AS v FROM features WHERE cohort_year >= 1999) c""")
 def ecdf_against_ref(spark, d):
     f = base.features(spark, d).select("entity_id", "position", "cohort_year", "yards_final")
-    out = ranks.distribution_against(f.where("cohort_year >= 1999"), f.where("cohort_year < 1999"), ["position"], "yards_final", "__p")
-    return out.select("entity_id", F.bround(F.col("__p") * 100).cast("int").alias("yards_pct"))
+    out = ranks.distribution_against(f.where("cohort_year >= 1999"), f.where("cohort_year < 1999"), ["position"], "yards_final", "__p", 100)
+    return out.select("entity_id", F.bround("__p").cast("int").alias("yards_pct"))
 
 
 ROBUST = ("yards_final", "ypr", "forty", "weight")

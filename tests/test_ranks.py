@@ -133,3 +133,12 @@ def test_quantiles_of_offset_values(spark, offset, step):
     got = {r["g"]: (r["a"], r["b"], r["c"]) for r in ranks.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 0.933], ["a", "b", "c"]).collect()}
     for g, vs in enumerate(values):
         assert got[g if g else None] == pytest.approx(tuple(np.quantile(vs, [0.0, 0.5, 0.933])), rel=1e-15, abs=1e-310)
+
+
+def test_percentages_that_end_in_a_half(spark):
+    """100 * 115 / 200 is 57.5, 115 / 200 * 100 falls short of it."""
+    df = spark.range(200).selectExpr("'g' AS g", "CAST(id AS DOUBLE) AS v")
+    for out in (ranks.cume_dist_in_group(df, ["g"], "v", "p", 100), ranks.distribution_against(df, df, ["g"], "v", "p", 100)):
+        got = {r["v"]: r["p"] for r in out.collect()}
+        assert all(got[float(i)] == 100 * (i + 1) / 200 for i in range(200))
+        assert out.where("v = 114").select(F.bround("p").cast("int")).first()[0] == 58
