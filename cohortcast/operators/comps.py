@@ -2,7 +2,8 @@
 
 Exact k-nearest search by ring expansion. Pool rows lie in cells of a fixed grid over slot and leading features; a
 query meets its own cell first, then rings of cells around it in an equi-join, and leaves once no cell further out can
-hold a nearer row than its k-th. The pool of a cell is held as arrays in a task, the queries stream past it.
+hold a nearer row than its k-th. The pool of a cell is held as arrays in a task, in blocks of rows close together, and the
+queries stream past it, each block of them meeting only the blocks that may hold a nearer row.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class CompSpec:
     block: str = "position"
     year: str = "cohort_year"
     slot: str = "slot"
-    rows_per_cell: int = 4000
+    rows_per_cell: int = 1_000_000
+    rows_per_block: int = 256
 
     @property
     def axes(self) -> list[str]:
@@ -295,36 +297,216 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
+def _leaves(z: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of `z` in groups of up to `size` that lie close together, by halving along the widest axis."""
+    left, out = [np.arange(len(z))], []
+    while left:
+        part = left.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        here = z[part]
+        half = len(part) // 2
+        order = np.argpartition(here[:, int(np.argmax(np.ptp(here, axis=0)))], half)
+        left += [part[order[half:]], part[order[:half]]]
+    return out
+
+
+def _limit(far: np.ndarray) -> np.ndarray:
+    """Squared distance up to which a row may still be among the nearest, rounding included."""
+    return np.square(far * (1 + 1e-9) + 1e-8)
+
+
+@dataclass
+class _Measure:
+    """The distance over the features that two rows share, squared: per category the columns, their form and their share of the weight."""
+
+    parts: list[tuple[list[int], np.ndarray, float]]
+
+    def between(self, qm: np.ndarray, pm: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(qm), len(pm)))
+        for columns, inv, share in self.parts:
+            diffs = [qm[:, c][:, None] - pm[:, c][None, :] for c in columns]
+            quad = np.zeros(total.shape)
+            for i in range(len(columns)):
+                for j in range(i, len(columns)):
+                    factor = inv[i, i] if i == j else inv[i, j] + inv[j, i]
+                    if factor != 0.0:
+                        quad += factor * (diffs[i] * diffs[j])
+            total += share * np.maximum(quad, 0.0, out=quad)
+        return total
+
+    def straight(self, m: np.ndarray) -> np.ndarray:
+        """Coordinates whose plain distance is never above this one: equal to it, but for a form that is not positive, which counts nothing."""
+        out = [np.zeros((len(m), 1))]
+        for columns, inv, share in self.parts:
+            values, vectors = np.linalg.eigh((inv + inv.T) / 2)
+            if share > 0 and values[0] >= 0:
+                out.append(m[:, columns] @ vectors * np.sqrt(values * share))
+        return np.hstack(out)
+
+
+def _measure(shared: np.ndarray, layout, invs: Sequence[np.ndarray], weights: Sequence[float]) -> _Measure | None:
+    """The measure over the shared features; none if they carry no weight."""
+    parts = []
+    for (a, b, _), inv, w in zip(layout, invs, weights):
+        inside = [i for i in range(b - a) if shared[a + i]]
+        if inside:
+            parts.append(([a + i for i in inside], inv.reshape(b - a, b - a)[np.ix_(inside, inside)], w * len(inside) / (b - a)))
+    total = sum(share for *_, share in parts)
+    return _Measure([(c, m, share / total) for c, m, share in parts]) if total > 0 else None
+
+
+@dataclass
+class _Cell:
+    """The pool rows of a cell in order of their ids, told apart by which features they have."""
+
+    ids: np.ndarray
+    years: np.ndarray
+    slots: np.ndarray
+    features: np.ndarray
+    few: int
+
+    def __post_init__(self):
+        known = ~np.isnan(self.features)
+        kinds, kind = np.unique(known, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        kind[np.isinf(self.features).any(axis=1)] = -1
+        large = [i for i in range(len(kinds)) if (kind == i).sum() >= self.few]
+        self.kinds = [(kinds[i], np.flatnonzero(kind == i)) for i in large]
+        self.rest = np.flatnonzero(~np.isin(kind, large))
+        self.laid: dict = {}
+        self.laid_for = None
+
+
 def _search(spec: CompSpec):
-    """Over rows sorted by cell, pool before queries and pool by id: each query's `k` nearest in the cell, in its window."""
-    layout, n_features, at_once = spec.layout, len(spec.features), 1_000_000
+    """Over rows sorted by cell, pool before queries and pool by id: each query's `k` nearest in the cell, in its window.
 
-    def compare(held, query: pa.RecordBatch):
-        ids, years, slots, features = held
+    Pool rows with the same features known lie in blocks of rows close together, under the measure of the features that they share
+    with a query; queries are taken in blocks too, nearest pool blocks first, until no further block can hold a nearer row.
+    """
+    layout, n_features, at_once, k = spec.layout, len(spec.features), 1_000_000, spec.k
+
+    def lay(cell: _Cell, rows: np.ndarray, kind: int, shared: np.ndarray, scale, measure: _Measure):
+        """Blocks of the rows: their numbers, scaled features, slots, and each block's start and bounds; once per measure."""
+        key = (kind, shared.tobytes())
+        if key not in cell.laid:
+            scaled = cell.features[rows] / scale
+            z = measure.straight(scaled)
+            leaves = _leaves(z, spec.rows_per_block)
+            order = np.concatenate(leaves)
+            starts = np.cumsum([0, *map(len, leaves)])
+            z = z[order]
+            cell.laid[key] = (rows[order], scaled[order], cell.slots[rows[order]], starts, np.minimum.reduceat(z, starts[:-1]), np.maximum.reduceat(z, starts[:-1]))
+        return cell.laid[key]
+
+    def through_blocks(cell, laid, measure, qm, qid, slot, window, worst):
+        """Every pool row that may be among the nearest, as (query, row, squared distance); `worst` falls as rows are found."""
+        rows, pm, slots, starts, low, high = laid
+        zq = measure.straight(qm)
+        for some in _leaves(zq, 32):
+            gap = np.maximum(np.maximum(low - zq[some].max(axis=0), zq[some].min(axis=0) - high), 0.0)
+            bound = np.square(gap).sum(axis=1)
+            order = np.argsort(bound, kind="stable")
+            bound, at, take = bound[order], 0, 2
+            while at < len(order):
+                stop = int(np.searchsorted(bound, _limit(worst[some].max()), "right"))
+                if at >= stop:
+                    break
+                end = min(stop, at + take)
+                at, take, blocks = end, min(2 * take, 64), order[at:end]
+                here = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in blocks])
+                near = measure.between(qm[some], pm[here])
+                near[np.abs(slot[some][:, None] - slots[here][None, :]) > window] = np.inf
+                if not spec.strict:
+                    near[qid[some][:, None] == cell.ids[rows[here]][None, :]] = np.inf
+                keep = near <= _limit(worst[some])[:, None]
+                if len(here) >= k and keep.sum() > 2 * k * len(some):
+                    worst[some] = np.minimum(worst[some], np.sqrt(np.partition(near, k - 1, axis=1)[:, k - 1]))
+                    keep = near <= _limit(worst[some])[:, None]
+                row, col = np.nonzero(keep & np.isfinite(near))
+                yield some[row], rows[here[col]], near[row, col]
+
+    def through_rest(cell, may, qm, scale, invs, weights, qid, slot, window):
+        """The same for rows of rare kinds, one by one."""
+        pf = cell.features[may] / scale
+        step = max(1, at_once // max(1, len(may)))
+        for s in range(0, len(qm) if len(may) else 0, step):
+            some = np.arange(s, min(s + step, len(qm)))
+            near = _distances(qm[some], pf, layout, invs, np.tile(weights, (len(some), 1)))
+            out = np.abs(slot[some][:, None] - cell.slots[may][None, :]) > window
+            if not spec.strict:
+                out |= qid[some][:, None] == cell.ids[may][None, :]
+            near[out] = np.nan
+            best = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties keep the order of the ids, NaN comes last
+            near = np.take_along_axis(near, best, axis=1)
+            row, col = np.nonzero(~np.isnan(near))
+            yield some[row], may[best[row, col]], np.square(near[row, col])
+
+    def unlike(cell, may, query: int, qid, slot, window):
+        """The first `k` rows in the window of one query, for rows that share nothing with it."""
+        taken, size = np.zeros(0, int), 1024
+        for s in range(0, len(may), size):
+            part = may[s:s + size]
+            ok = np.abs(cell.slots[part] - slot[query]) <= window
+            if not spec.strict:
+                ok &= cell.ids[part] != qid[query]
+            taken = np.concatenate([taken, part[ok]])[:k]
+            if len(taken) == k:
+                break
+        return taken
+
+    def nearest(cell: _Cell, year: int, scale, invs, weights, window: float, qid, slot, qf, far):
+        """(query, row, distance) of the nearest of queries that know the same features."""
+        if cell.laid_for != (year, tuple(weights)):
+            cell.laid, cell.laid_for = {}, (year, tuple(weights))
+        allowed = cell.years < year if spec.strict else np.ones(len(cell.ids), bool)
+        qm, worst, found, bare = qf / scale, far.copy(), [], []
+        plain = not np.isinf(qf).any()
+        known = ~np.isnan(qf[0])
+        may = np.flatnonzero(allowed) if not plain else cell.rest[allowed[cell.rest]]
+        found += through_rest(cell, may, qm, scale, invs, weights, qid, slot, window)
+        # rows that share few features first: they tend to be nearest
+        for kind in sorted(range(len(cell.kinds)) if plain else [], key=lambda i: int((cell.kinds[i][0] & known).sum())):
+            shared, rows = cell.kinds[kind][0] & known, cell.kinds[kind][1]
+            measure = _measure(shared, layout, invs, weights)
+            rows = rows[allowed[rows]]
+            if measure is None:
+                bare.append(rows)
+            elif len(rows):
+                found += through_blocks(cell, lay(cell, rows, kind, shared, scale, measure), measure, qm, qid, slot, window, worst)
+        query, row, squared = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        distance = np.sqrt(squared).round(9)
+        held = np.bincount(query[np.isfinite(distance)], minlength=len(qm))
+        short = np.flatnonzero((held < k) & np.isinf(far)) if bare else []
+        if len(short):
+            may = np.sort(np.concatenate(bare))
+            more = [unlike(cell, may, q, qid, slot, window) for q in short]
+            query = np.concatenate([query, np.repeat(short, [len(m) for m in more])]).astype(int)
+            row = np.concatenate([row, *more]).astype(int)
+            distance = np.concatenate([distance, np.full(len(row) - len(distance), np.inf)])
+        order = np.lexsort((row, distance, query))
+        query, row, distance = query[order], row[order], distance[order]
+        first = np.searchsorted(query, query, "left")
+        best = np.arange(len(query)) - first < k
+        return query[best], row[best], distance[best]
+
+    def compare(cell: _Cell, query: pa.RecordBatch):
         qid, cohort = query.column("id").to_numpy(), query.column("year").to_numpy()
         slot, qf = query.column("slot").to_numpy(), _numbers(query.column("f"), n_features)
-        variants, weights = query.column("variant"), _numbers(query.column("weights"), len(layout))
-        window = query.column("window").to_numpy().astype(float)
-        for year in np.unique(cohort):
-            mine = np.flatnonzero(cohort == year)
+        variants, far = query.column("variant"), query.column("far").to_numpy().astype(float)
+        same = np.column_stack([cohort, variants.to_numpy(), np.isnan(qf), np.isinf(qf).any(axis=1)])
+        _, group = np.unique(same, axis=0, return_inverse=True)
+        order = np.argsort(group.reshape(-1), kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(group.reshape(-1)[order])) + 1):
             first = int(mine[0])
             scale = np.array(query.column("scale")[first].as_py(), float)
             invs = [np.array(m, float) for m in query.column("inv")[first].as_py()]
-            may = np.flatnonzero(years < year) if spec.strict else np.arange(len(ids))
-            pf = features[may] / scale
-            step = max(1, at_once // max(1, len(may)))
-            for s in range(0, len(mine) if len(may) else 0, step):
-                some = mine[s:s + step]
-                near = _distances(qf[some] / scale, pf, layout, invs, weights[some])
-                out = np.abs(slot[some][:, None] - slots[may][None, :]) > window[some][:, None]
-                if not spec.strict:
-                    out |= qid[some][:, None] == ids[may][None, :]
-                near[out] = np.nan
-                best = np.argsort(near, axis=1, kind="stable")[:, :spec.k]  # ties keep the order of the ids, NaN comes last
-                near = np.take_along_axis(near, best, axis=1)
-                row, col = np.nonzero(~np.isnan(near))
-                if len(row):
-                    yield qid[some][row], variants.take(pa.array(some[row])), may[best[row, col]], near[row, col]
+            weights = np.array(query.column("weights")[first].as_py(), float)
+            q, row, distance = nearest(cell, int(cohort[first]), scale, invs, weights, float(query.column("window")[first].as_py()),
+                                       qid[mine], slot[mine], qf[mine], far[mine])
+            if len(row):
+                yield qid[mine][q], variants.take(pa.array(mine[q])), row, distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held, extra = None, [], None, None
@@ -343,12 +525,13 @@ def _search(spec: CompSpec):
                     continue
                 if held is None and parts:
                     pool = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-                    held = (pool.column("id").to_numpy(), pool.column("year").to_numpy(), pool.column("slot").to_numpy(), _numbers(pool.column("f"), n_features))
+                    held = _Cell(pool.column("id").to_numpy(), pool.column("year").to_numpy(), pool.column("slot").to_numpy(),
+                                 _numbers(pool.column("f"), n_features), 2 * spec.rows_per_block)
                     extra, parts = pool.column("payload"), []
                 if held is None:
                     continue
                 for qid, variant, row, distance in compare(held, part):
-                    yield pa.RecordBatch.from_arrays([pa.array(qid), variant, pa.array(held[0][row]), pa.array(distance), extra.take(pa.array(row))],
+                    yield pa.RecordBatch.from_arrays([pa.array(qid), variant, pa.array(held.ids[row]), pa.array(distance), extra.take(pa.array(row))],
                                                      names=["qid", "variant", "comp_id", "distance", "payload"])
     return run
 
@@ -373,6 +556,11 @@ def load_index(spark: SparkSession, path: str) -> CompIndex:
     return CompIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("rows", "sizes", "grid", "pool")])
 
 
+def _band(spec: CompSpec) -> int:
+    """Width of the cells along the slots: a query's window meets two of them."""
+    return max(1, 2 * spec.window + 1)
+
+
 def _cell_key(spec: CompSpec) -> list[str]:
     return ["__b", "__slot", *[f"__c{i}" for i in range(len(spec.axes))]]
 
@@ -381,14 +569,14 @@ def index_of(pool: DataFrame, spec: CompSpec, payload: Sequence[str] = ()) -> Co
     """The index of a pool. A cell with far more rows than planned (equal rows, a common slot) is split by id, so what a task holds stays bounded."""
     ids, block, year, slot = spec.ids, spec.block, spec.year, spec.slot
     grid = materialize(_grid(pool, spec), "comp-grid")
-    key, band = _cell_key(spec), max(1, spec.window)
+    key, band = _cell_key(spec), _band(spec)
     listed = attach(pool, grid, [block], "inner").select(
         F.col(block).alias("__b"), F.floor(F.col(slot) / band).cast("bigint").alias("__slot"), *[_place(f, f"__a{i}").alias(f"__c{i}") for i, f in enumerate(spec.axes)],
         F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"),
         F.array(*[F.col(f).cast("double") for f in spec.features]).alias("f"), F.struct(F.lit(0).alias("none"), *payload).alias("payload"))
-    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / (8 * spec.rows_per_cell)).cast("int").alias("__parts")), "comp-cells")
+    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / max(8, spec.rows_per_cell // 4)).cast("int").alias("__parts")), "comp-cells")
     part = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
-    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window")]
+    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window"), F.lit(None).cast("double").alias("far")]
     rows = attach(listed, sizes, key, "inner").select(
         _cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], part).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
         F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload", *none)
@@ -414,7 +602,7 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
     index = index if index is not None else index_of(pool, spec, payload)
     grid, sizes, side = index.grid, index.sizes, index.rows
     features = F.array(*[F.col(f).cast("double") for f in spec.features])
-    band = max(1, spec.window)  # fixed width of the slots' cells
+    band = _band(spec)
     places = [_place(f, f"__a{i}") for i, f in enumerate(spec.axes)]
     key = _cell_key(spec)
 
@@ -436,8 +624,10 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         visits = attach(visits, sizes, key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
         visits = visits.select(_cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], F.col("__part")).alias("cell"), F.lit(1).alias("side"),
                                "id", "year", "slot", "f", "scale", "inv", F.lit(None).cast(kinds["payload"]).alias("payload"),
-                               "variant", "weights", "window")
-        both = side.union(visits).repartition("cell").sortWithinPartitions("cell", "side", "id")
+                               "variant", "weights", "window", F.col("__worst").alias("far"))
+        # queries of the same measure together; as many tasks as the session has partitions, since the rows are few for their work
+        alike = [F.when(F.col("side") == 1, c) for c in (F.col("year"), F.col("variant"), F.transform("f", lambda x: x.isNull()))]
+        both = side.union(visits).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "side", *alike, "id")
         return both.mapInArrow(_search(spec), schema)
 
     order = [F.col("distance").asc(), F.col("comp_id").asc()]

@@ -118,3 +118,19 @@ def test_variants_equal_searches_of_their_own(data):
                 got.setdefault(r["entity_id"], []).append(round(r["distance"], 7))
         want = brute(spec, params)
         assert set(got) == set(want) and all(sorted(got[i]) == pytest.approx([w[0] for w in want[i]], abs=2e-6) for i in got)
+
+
+@pytest.mark.parametrize("name", ["plain", "mahalanobis-grid", "leaky-mixed", "narrow"])
+def test_blocks_equal_brute_force(data, name):
+    """Blocks of two rows, so that every kind of row goes through them; ties go to the smaller id."""
+    from dataclasses import replace
+    spec = replace(SPECS[name], rows_per_block=2, rows_per_cell=1000)
+    params = cp.search_params(data, cp.cohort_years(data, "cohort_year"), spec)
+    got = {}
+    for r in cp.nearest_comps(data, data, spec, ["y"], params).collect():
+        got.setdefault(r["entity_id"], []).append((r["comp_rank"], round(r["distance"], 7), r["comp_id"]))
+    want = brute(spec, params)
+    assert set(got) == set(want)
+    for i, found in got.items():
+        assert [f[1] for f in sorted(found)] == pytest.approx([w[0] for w in want[i]], abs=2e-6)
+        assert all(a[2] < b[2] for a, b in zip(sorted(found), sorted(found)[1:]) if a[1] == b[1] == 0.0)
