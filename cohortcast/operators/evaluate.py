@@ -96,6 +96,7 @@ def combiner_settings() -> list[tuple[str, float, float, float]]:
 
 
 SETTING = ("transform", "alpha", "beta", "gamma")
+ROWS_AT_ONCE, KEYS_AT_ONCE = 256, 1000  # a task holds that many rows, and sums of that many keys, against all settings
 
 
 def _setting_errors(rows: np.ndarray) -> np.ndarray:
@@ -116,30 +117,40 @@ def _setting_errors(rows: np.ndarray) -> np.ndarray:
 def combiner_errors(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Absolute-error sums of every combiner setting per key.
 
-    Columns needed: p_made_it, p_iso, base_rate, prod_pred, ppg. A task lays its rows against all settings as arrays and sends on
-    one sum per key and setting; rows are neither copied nor shuffled.
+    Columns needed: p_made_it, p_iso, base_rate, prod_pred, ppg. A task lays a few rows at a time against all settings as arrays, adds
+    them up per key, and sends on one sum per key and setting; rows are neither copied nor shuffled.
     """
     inputs = ["p_made_it", "p_iso", "base_rate", "prod_pred", "ppg"]
     n_keys, settings = len(keys), combiner_settings()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        fields: list[pa.DataType] = []
+
+        def sums() -> pa.RecordBatch:
+            errors = [[float(v) if ok else None for v, ok in zip(s, seen)] for _, s, seen in held.values()]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k in held], fields[i]) for i in range(n_keys)), pa.array([n for n, _, _ in held.values()], pa.int64()),
+                 pa.array(errors, pa.list_(pa.float64()))], names=[*keys, "n", "errors"])
+
         for big in batches:
-            for at in range(0, big.num_rows, 4096):
-                batch = big.slice(at, 4096)
+            fields = [big.schema.field(i).type for i in range(n_keys)]
+            for at in range(0, big.num_rows, ROWS_AT_ONCE):
+                batch = big.slice(at, ROWS_AT_ONCE)
                 table = np.stack([batch.column(n_keys + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(inputs))], 1)
                 errors = _setting_errors(table)
                 groups: dict[tuple, list[int]] = {}
                 for row, key in enumerate(zip(*[batch.column(i).to_pylist() for i in range(n_keys)])):
                     groups.setdefault(key, []).append(row)
-                names = list(groups)
-                held = ~np.isnan(errors)
-                n = [len(groups[k]) for k in names]
-                sums = [np.where(held[groups[k]], errors[groups[k]], 0.0).sum(0) for k in names]
-                seen = [held[groups[k]].any(0) for k in names]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([k[i] for k in names], batch.schema.field(i).type) for i in range(n_keys)), pa.array(n, pa.int64()),
-                     pa.array([[float(v) if ok else None for v, ok in zip(s, any_)] for s, any_ in zip(sums, seen)], pa.list_(pa.float64()))],
-                    names=[*keys, "n", "errors"])
+                for key, rows in groups.items():
+                    known = ~np.isnan(errors[rows])
+                    n, total, seen = held.get(key, (0, 0.0, False))
+                    held[key] = [n + len(rows), total + np.where(known, errors[rows], 0.0).sum(0), seen | known.any(0)]
+                if len(held) > KEYS_AT_ONCE:
+                    yield sums()
+                    held.clear()
+        if held:
+            yield sums()
 
     kinds = dict(df.dtypes)
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in inputs])

@@ -84,3 +84,20 @@ def test_forward_calibration_sees_earlier_folds_only(data):
     late = [r for r in got.values() if r["fold"] > 2001]
     brier = lambda c: sum((r[c] - r["hit"]) ** 2 for r in late)
     assert brier("q") <= brier("p") * 1.05
+
+
+def test_sweep_adds_up_within_a_task(spark):
+    """One sum per key and setting from a task, over several pieces of a batch, and small pieces only."""
+    import numpy as np
+
+    from cohortcast.operators import evaluate as ev
+    assert ev.ROWS_AT_ONCE * len(ev.combiner_settings()) * 8 <= 4 << 20
+    rng = np.random.default_rng(4)
+    rows = [("p" if i % 3 else "q", *map(float, rng.random(5))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g STRING, p_made_it DOUBLE, p_iso DOUBLE, base_rate DOUBLE, prod_pred DOUBLE, ppg DOUBLE").coalesce(1)
+    got = {(r["g"], r["transform"]): r for r in ev.combiner_errors(df, ["g"]).where("transform IN ('identity', 'isotonic')").collect()}
+    for g in "pq":
+        mine = np.array([r[1:] for r in rows if r[0] == g])
+        assert got[(g, "identity")]["n"] == len(mine)
+        for name, column in (("identity", 0), ("isotonic", 1)):
+            assert abs(got[(g, name)]["err"] - np.abs(mine[:, 4] - mine[:, column] * mine[:, 3]).sum()) < 1e-9
