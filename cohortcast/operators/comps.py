@@ -40,7 +40,7 @@ class CompSpec:
     year: str = "cohort_year"
     slot: str = "slot"
     rows_per_cell: int = 1_000_000
-    rows_per_block: int = 256
+    rows_per_block: int = 128
 
     @property
     def axes(self) -> list[str]:
@@ -207,9 +207,9 @@ def _grid(pool: DataFrame, spec: CompSpec) -> DataFrame:
 
 
 def _place(feature: str, axis: str) -> Column:
-    """The cell of a value on an axis, -1 for none."""
+    """The cell of a value on an axis, -1 for none; an axis that is not cut has one cell for all."""
     at = F.floor((F.col(feature).cast("double") - F.col(f"{axis}.start")) / F.col(f"{axis}.width")).cast("int")
-    return F.when(at.isNotNull(), F.greatest(F.lit(0), F.least(F.col("__g") - 1, at))).otherwise(-1)
+    return F.when(at.isNotNull() | (F.col("__g") == 1), F.greatest(F.lit(0), F.least(F.col("__g") - 1, at))).otherwise(-1)
 
 
 def _cell_name(block: Column, slot: Column, places: Sequence[Column], part: Column) -> Column:
@@ -526,7 +526,7 @@ def _search(spec: CompSpec):
                 if held is None and parts:
                     pool = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
                     held = _Cell(pool.column("id").to_numpy(), pool.column("year").to_numpy(), pool.column("slot").to_numpy(),
-                                 _numbers(pool.column("f"), n_features), 2 * spec.rows_per_block)
+                                 _numbers(pool.column("f"), n_features), spec.rows_per_block)
                     extra, parts = pool.column("payload"), []
                 if held is None:
                     continue
