@@ -615,6 +615,10 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         F.col(block).alias("__b"), "__g", _least_factor(spec).alias("__least"), *[F.col(f"__a{i}") for i in range(len(places))], *[c.alias(f"__c{i}") for i, c in enumerate(places)],
         *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(spec.axes)], F.lit(float("inf")).alias("__worst"))
     slots = F.sequence(F.floor((F.col("slot") - F.col("window")) / band).cast("bigint"), F.floor((F.col("slot") + F.col("window")) / band).cast("bigint"))
+    # the variants of a cell are dealt over up to four tasks, each with the cell's pool
+    deals = F.least(F.lit(4), F.size(listed_variants))
+    dealt = side.withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn(
+        "cell", F.concat_ws("|", "cell", F.col("__deal"))).drop("__deal")
     kinds = dict(side.dtypes)
     schema = f"qid bigint, variant int, comp_id bigint, distance double, payload {kinds['payload']}"
 
@@ -627,7 +631,8 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
                                "variant", "weights", "window", F.col("__worst").alias("far"))
         # queries of the same measure together; as many tasks as the session has partitions, since the rows are few for their work
         alike = [F.when(F.col("side") == 1, c) for c in (F.col("year"), F.col("variant"), F.transform("f", lambda x: x.isNull()))]
-        both = side.union(visits).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "side", *alike, "id")
+        visits = visits.withColumn("cell", F.concat_ws("|", "cell", F.pmod("variant", deals)))
+        both = dealt.union(visits).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "side", *alike, "id")
         return both.mapInArrow(_search(spec), schema)
 
     order = [F.col("distance").asc(), F.col("comp_id").asc()]
