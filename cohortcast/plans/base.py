@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.operators.grouped import attach, best_row
 from cohortcast.operators.panel import shrink_to_group, weighted_best
+from cohortcast.session import materialize
 from cohortcast.sources.tables import load
 
 MIN_GAMES = 2
@@ -50,9 +51,10 @@ def cohort(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_nationkey").alias("school_id"), F.col("c_acctbal").alias("rating"))
 
 
-def outcome_seasons(spark: SparkSession, d: str) -> DataFrame:
+def outcome_seasons(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    """Seasons that count for the outcome; `p` is a panel that was written before, here and below."""
     c = cohort(spark, d).select("entity_id", "position", "cohort_year")
-    joined = c.join(panel(spark, d).select("entity_id", "season", "games", "cents"), "entity_id")
+    joined = c.join((panel(spark, d) if p is None else p).select("entity_id", "season", "games", "cents"), "entity_id")
     return joined.where(
         F.col("season").between(F.col("cohort_year"), F.col("cohort_year") + SEASONS - 1)
     ).select("entity_id", "position", "cohort_year",
@@ -60,19 +62,19 @@ def outcome_seasons(spark: SparkSession, d: str) -> DataFrame:
              (F.col("cents") / F.lit(3999971.0) / F.col("games")).alias("season_ppg"))
 
 
-def production(spark: SparkSession, d: str) -> DataFrame:
+def production(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     return weighted_best(
-        outcome_seasons(spark, d).where(F.col("games") >= MIN_GAMES),
+        outcome_seasons(spark, d, p).where(F.col("games") >= MIN_GAMES),
         ["entity_id", "position", "cohort_year"], "season_ppg", "games", "season_num", 2)
 
 
-def shrunk(spark: SparkSession, d: str) -> DataFrame:
-    return shrink_to_group(production(spark, d), ["position"], "weighted_ppg", "top2_games",
+def shrunk(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return shrink_to_group(production(spark, d, p), ["position"], "weighted_ppg", "top2_games",
                            PRIOR_WEIGHT, "shrunk_ppg")
 
 
-def outcome(spark: SparkSession, d: str) -> DataFrame:
-    s = shrunk(spark, d).select("entity_id", "raw_ppg", "weighted_ppg", "shrunk_ppg", "top2_games", "n_qual")
+def outcome(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    s = shrunk(spark, d, p).select("entity_id", "raw_ppg", "weighted_ppg", "shrunk_ppg", "top2_games", "n_qual")
     return cohort(spark, d).join(s, "entity_id", "left").withColumns({
         "made_it": F.col("shrunk_ppg").isNotNull().cast("int"),
         "ppg": F.coalesce("shrunk_ppg", F.lit(0.0))})
@@ -87,9 +89,9 @@ def measures(spark: SparkSession, d: str) -> DataFrame:
         "age": 20 + ((e * 3) % 50) / 10.0})
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
+def features(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """Final and penultimate season before the cohort year, from one pass over the panel."""
-    p = panel(spark, d)
+    p = panel(spark, d) if p is None else p
     m = measures(spark, d)
     lag = F.col("cohort_year") - F.col("season")
     seasons = (p.join(m.select("entity_id", "cohort_year"), "entity_id").where(lag.isin(1, 2))
@@ -105,6 +107,12 @@ def features(spark: SparkSession, d: str) -> DataFrame:
         (y / F.col("__games")).alias("yards_per_game"))
 
 
+def outcome_and_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both from one panel, written once: they need other columns of it, so that one plan would read the line items twice."""
+    p = materialize(panel(spark, d), "panel")
+    return outcome(spark, d, p), features(spark, d, p)
+
+
 def team_panel(spark: SparkSession, d: str) -> DataFrame:
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("season"))
     li = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")

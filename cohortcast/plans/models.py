@@ -34,8 +34,8 @@ COHORT_FEATURES = ["log_slot", "age", "rating", "yards_final", "ypr", "games_fin
 
 def cohort_rows(spark, d):
     """Cohort members with imputed features, outcome, bucket and log outcome."""
-    o = base.outcome(spark, d).select("entity_id", "made_it", "ppg")
-    f = base.features(spark, d).join(o, "entity_id").select(
+    o, f = base.outcome_and_features(spark, d)
+    f = f.join(o.select("entity_id", "made_it", "ppg"), "entity_id").select(
         "entity_id", "name", "position", "cohort_year", "slot", "made_it", "ppg", F.log("slot").alias("log_slot"), "age", "rating",
         F.coalesce("yards_final", F.lit(0.0)).alias("yards_final"), F.coalesce("ypr", F.lit(0.0)).alias("ypr"),
         F.coalesce("games_final", F.lit(0)).cast("double").alias("games_final"), "forty", F.col("weight").cast("double").alias("weight"),

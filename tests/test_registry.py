@@ -49,3 +49,14 @@ def test_query_matches_sql(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert "entity_id" in df.columns and df.count() > 0
+
+
+def test_outcome_and_features_share_a_panel(spark, monkeypatch):
+    """Model rows work out the panel once, and both sides are what they are from panels of their own."""
+    from cohortcast.plans import base, models
+    from __spark_entry__ import SMOKE_DIR
+    made, panel = [], base.panel
+    monkeypatch.setattr(base, "panel", lambda *a: made.append(a) or panel(*a))
+    assert models.cohort_rows(spark, SMOKE_DIR).count() > 0 and len(made) == 1
+    for got, want in zip(base.outcome_and_features(spark, SMOKE_DIR), (base.outcome(spark, SMOKE_DIR), base.features(spark, SMOKE_DIR))):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
