@@ -209,22 +209,45 @@ def fit_bootstrap(train: DataFrame, ids: str, features: Sequence[str], bucket: s
         return list(pool.map(fit, range(replicates)))
 
 
-def interval_columns(models: Sequence[OrdinalModel], levels: int, lo: float = 0.1, hi: float = 0.9) -> list[Column]:
-    """Per bucket: mean, lower and upper quantile of the replicate probabilities, row by row."""
-    reps = [m.probabilities() for m in models]
-    n = len(models)
+def intervals(models: Sequence[OrdinalModel], levels: int, lo: float = 0.1, hi: float = 0.9) -> Column:
+    """Array with a struct per bucket: mean, lower and upper quantile of the replicate probabilities, row by row.
+
+    The replicates are rows of one array of parameters, and each is worked out once a row; as expressions of their own they would be
+    worked out again wherever the mean and the quantiles use them.
+    """
+    features, steps, n = models[0].features, levels - 1, len(models)
+    replicates = F.array(*[F.array(*map(F.lit, (*sorted(m.thresholds, reverse=True), *m.slopes))) for m in models])
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def edges(m: Column) -> Column:
+        """Probabilities of more than -1, 0, ... buckets."""
+        score = F.lit(0.0)
+        for i, f in enumerate(features):
+            score = score + F.get(m, F.lit(steps + i)) * F.col(f)
+        return once(score, lambda s: F.array(F.lit(1.0), *[F.lit(1.0) / (1 + F.exp(-(F.get(m, F.lit(k)) + s))) for k in range(steps)], F.lit(0.0)))
 
     def quantile(sorted_: Column, q: float) -> Column:
         h = q * (n - 1)
         i, j = math.floor(h), math.ceil(h)
         return F.get(sorted_, F.lit(i)) + (h - i) * (F.get(sorted_, F.lit(j)) - F.get(sorted_, F.lit(i)))
 
-    out = []
-    for b in range(levels):
-        values = F.array_sort(F.array(*[F.get(p, F.lit(b)) for p in reps]))
+    def summary(b: Column, values: Column) -> Column:
         mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-        out.append(F.struct(F.lit(b).alias("bucket"), mean.alias("p"), quantile(values, lo).alias("p_lo"), quantile(values, hi).alias("p_hi")))
-    return out
+        return F.struct(b.alias("bucket"), mean.alias("p"), quantile(values, lo).alias("p_lo"), quantile(values, hi).alias("p_hi"))
+
+    def per_bucket(found: Column) -> Column:
+        return F.transform(F.array(*[F.lit(b) for b in range(levels)]), lambda b: once(
+            F.sort_array(F.transform(found, lambda e: F.get(e, b) - F.get(e, b + 1))), lambda values: summary(b, values)))
+
+    return once(F.transform(replicates, edges), per_bucket)
+
+
+def interval_columns(models: Sequence[OrdinalModel], levels: int, lo: float = 0.1, hi: float = 0.9) -> list[Column]:
+    """The structs of `intervals` as columns; whoever needs all of them takes the array, which is worked out once."""
+    found = intervals(models, levels, lo, hi)
+    return [F.get(found, F.lit(b)) for b in range(levels)]
 
 
 # ── loops over folds and settings ───────────────────────────────────────────

@@ -179,7 +179,7 @@ def bootstrap_intervals(spark, d):
     last = test_years(x)[-1]
     train, test = scaled(x.where(F.col("cohort_year") < last), x.where(F.col("cohort_year") == last))
     ms = md.fit_bootstrap(materialize(train, "bootstrap"), "entity_id", LEAN, "bucket", 5, replicates=REPLICATES, iterations=10)
-    rows = test.select("entity_id", F.explode(F.array(*md.interval_columns(ms, 5))).alias("b")).select("entity_id", "b.*")
+    rows = test.select("entity_id", F.explode(md.intervals(ms, 5)).alias("b")).select("entity_id", "b.*")
     return rows.withColumns({c: r6(F.col(c)) for c in ("p", "p_lo", "p_hi")})
 
 

@@ -101,3 +101,17 @@ def test_sweep_adds_up_within_a_task(spark):
         assert got[(g, "identity")]["n"] == len(mine)
         for name, column in (("identity", 0), ("isotonic", 1)):
             assert abs(got[(g, name)]["err"] - np.abs(mine[:, 4] - mine[:, column] * mine[:, 3]).sum()) < 1e-9
+
+
+def test_intervals_work_out_each_replicate_once(data):
+    """The expression does not grow with its uses of a replicate, and gives numpy's means and quantiles."""
+    rng = np.random.default_rng(6)
+    ms = [md.OrdinalModel(("x", "z"), tuple(map(float, rng.normal(size=4))), tuple(map(float, rng.normal(size=2)))) for _ in range(12)]
+    uses = [len([w for w in str(F.array(*md.interval_columns(some, 5))).lower().split("exp(") if w]) for some in (ms[:4], ms)]
+    assert uses[0] == uses[1]
+    for r in data.select("x", "z", md.intervals(ms, 5).alias("b")).limit(20).collect():
+        above = [1 / (1 + np.exp(-(np.sort(m.thresholds)[::-1] + m.slopes[0] * r["x"] + m.slopes[1] * r["z"]))) for m in ms]
+        p = -np.diff(np.column_stack([np.ones(12), above, np.zeros(12)]), axis=1)
+        for b in r["b"]:
+            mine = p[:, b["bucket"]]
+            assert (b["p"], b["p_lo"], b["p_hi"]) == pytest.approx((mine.mean(), *np.quantile(mine, [0.1, 0.9])), abs=1e-12)
