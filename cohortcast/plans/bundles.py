@@ -18,13 +18,18 @@ SPEC = bd.BundleSpec(FEATURES, {"has_final": ["yards_final", "ypr", "games_final
 
 
 def bundle_rows(spark, d):
-    """Cohort members with raw features, gaps included, and outcomes."""
-    o = base.outcome(spark, d).select("entity_id", "made_it", "ppg")
-    f = base.features(spark, d).join(o, "entity_id").select(
+    """Cohort members with raw features, gaps included, and outcomes.
+
+    Files are in order of the positions, so the many passes over one position's rows skip the pages of the others, and of the ids, so
+    that the row samples of the trees do not hang on the order in which shuffled rows arrive.
+    """
+    o, f = base.outcome_and_features(spark, d)
+    f = f.join(o.select("entity_id", "made_it", "ppg"), "entity_id").select(
         "entity_id", "position", "cohort_year", "made_it", "ppg", F.log("slot").alias("log_slot"), "age", "rating", "yards_final", "ypr",
         F.col("games_final").cast("double").alias("games_final"), "forty", F.col("weight").cast("double").alias("weight"),
         F.col("yards_final").isNotNull().cast("double").alias("has_final"), F.when(F.col("ppg") > 0, F.log("ppg")).alias("log_ppg"))
-    return materialize(f.withColumn("role", role()).withColumn("bucket", sc.assign_bucket(F.col("ppg"), F.col("role"))), "bundle-rows")
+    f = f.withColumn("role", role()).withColumn("bucket", sc.assign_bucket(F.col("ppg"), F.col("role")))
+    return materialize(f.sortWithinPartitions("position", "entity_id"), "bundle-rows")
 
 
 def scored_rows(spark, d):

@@ -76,3 +76,16 @@ def test_calibrator_sees_later_years_only(spark, data):
     first, other = bd.fit_bundle(train, SPEC, years), bd.fit_bundle(flipped, SPEC, years)
     assert list(first.calibrator.boundaries) and list(first.calibrator.predictions) != list(other.calibrator.predictions)
     assert first.classifier.getNumTrees == other.classifier.getNumTrees
+
+
+def test_rows_lie_in_order_of_their_positions(spark, monkeypatch):
+    """One panel makes the rows, and each file holds a position's rows together."""
+    from cohortcast.plans import base, bundles
+    from __spark_entry__ import SMOKE_DIR
+    made, panel = [], base.panel
+    monkeypatch.setattr(base, "panel", lambda *a: made.append(a) or panel(*a))
+    x = bundles.bundle_rows(spark, SMOKE_DIR)
+    assert len(made) == 1 and x.count() == base.cohort(spark, SMOKE_DIR).count()
+    for path in x.inputFiles():
+        rows = [r["position"] for r in spark.read.parquet(path).select("position").collect()]
+        assert sum(a != b for a, b in zip(rows, rows[1:])) < max(1, len(set(rows)))
