@@ -89,3 +89,25 @@ def test_rows_lie_in_order_of_their_positions(spark, monkeypatch):
     for path in x.inputFiles():
         rows = [r["position"] for r in spark.read.parquet(path).select("position").collect()]
         assert sum(a != b for a, b in zip(rows, rows[1:])) < max(1, len(set(rows)))
+
+
+def test_bundles_are_saved_and_loaded_side_by_side(spark, monkeypatch, tmp_path):
+    import threading
+    both = threading.Barrier(2, timeout=20)
+    saved = {}
+
+    class Slow:
+        def __init__(self, name):
+            self.name = name
+
+        def save(self, path):
+            both.wait()
+            saved[path] = self.name
+
+    def load(spark, path):
+        both.wait()
+        return saved[path]
+
+    monkeypatch.setattr(bd.Bundle, "load", staticmethod(load))
+    names = bd.save_bundles({n: Slow(n) for n in ("b", "a")}, str(tmp_path))
+    assert names == ["a", "b"] and bd.load_bundles(spark, str(tmp_path), names) == {"a": "a", "b": "b"}
