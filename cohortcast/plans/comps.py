@@ -17,8 +17,8 @@ LABELS = {"yards_final": "Volume", "ypr": "Efficiency", "forty": "Speed", "weigh
 
 def comp_base(spark, d):
     """Feature rows with their outcome, written once because the search reads them several times."""
-    o = base.outcome(spark, d).select("entity_id", "ppg", "made_it")
-    f = base.features(spark, d).join(o, "entity_id")
+    o, f = base.outcome_and_features(spark, d)
+    f = f.join(o.select("entity_id", "ppg", "made_it"), "entity_id")
     return materialize(f.select("entity_id", "name", "position", "cohort_year", "slot", "yards_final", "ypr", "forty", "weight",
                                 "ppg", "made_it", F.col("ppg").alias("comp_ppg"), F.col("name").alias("comp_name")), "comp-base")
 
