@@ -3,7 +3,8 @@
 Exact k-nearest search by ring expansion. Pool rows lie in cells of a fixed grid over slot and leading features; a
 query meets its own cell first, then rings of cells around it in an equi-join, and leaves once no cell further out can
 hold a nearer row than its k-th. The pool of a cell is held as arrays in a task, in blocks of rows close together, and the
-queries stream past it, each block of them meeting only the blocks that may hold a nearer row.
+queries stream past it, each meeting only the blocks that may hold a nearer row. A cell holds the pool of its queries' whole
+slot window, and all weightings and windows that are asked for are served by the same visit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortcast import presets
@@ -212,10 +213,6 @@ def _place(feature: str, axis: str) -> Column:
     return F.when(at.isNotNull() | (F.col("__g") == 1), F.greatest(F.lit(0), F.least(F.col("__g") - 1, at))).otherwise(-1)
 
 
-def _cell_name(block: Column, slot: Column, places: Sequence[Column], part: Column) -> Column:
-    return F.concat_ws("|", block.cast("string"), *[c.cast("string") for c in (slot, *places, part)])
-
-
 def _steps(i: int, outer: int) -> Column:
     """(c, d, low) of the places of axis `i` up to `outer` cells away: number, cells away, least distance of a row there."""
     at, start, width, x = F.col(f"__c{i}"), F.col(f"__a{i}.start"), F.col(f"__a{i}.width"), F.col(f"__x{i}")
@@ -255,27 +252,28 @@ def _beyond(reach: int, spec: CompSpec) -> Column:
     return F.least(*sides)
 
 
-def _least_factor(spec: CompSpec) -> Column:
-    """Per axis: a factor that turns a difference in the feature into a lower bound of the distance, under the weights of `__variant`.
+def _least_factor(spec: CompSpec, settings: Sequence[tuple]) -> Column:
+    """Per axis: a factor that turns a difference in the feature into a lower bound of the distance, under every weighting of `settings`.
 
     A category's form is at least its least eigenvalue times the squared difference, and the mean over the
     categories at least the smallest share of the weight that the category can have.
     """
-    weights = F.col("__variant.weights")
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
     out = []
     for i in range(len(spec.axes)):
         c, (a, b, _) = next((c, part) for c, part in enumerate(spec.layout) if part[0] <= i < part[1])
-        least = weights[c] / (b - a)
-        share = F.coalesce(F.try_divide(least, least + total - weights[c]), F.lit(0.0))
-        out.append(F.sqrt(share * F.get("__low", F.lit(c))) / F.get("scale", F.lit(i)))
+        shares = []
+        for weights, _ in settings:
+            least = weights[c] / (b - a)
+            whole = least + sum(weights) - weights[c]
+            shares.append(least / whole if whole else 0.0)
+        out.append(F.sqrt(min(shares) * F.get("__low", F.lit(c))) / F.get("scale", F.lit(i)))
     return F.array(*out)
 
 
-def _distances(qm: np.ndarray, pm: np.ndarray, layout, invs: Sequence[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """Distances of all rows of `qm`, each with a row of category weights, to all of `pm`, in scaled features."""
+def _distances(qm: np.ndarray, pm: np.ndarray, layout, invs: Sequence[np.ndarray], weights: Sequence[float]) -> np.ndarray:
+    """Distances of all rows of `qm` to all of `pm`, in scaled features."""
     total, weight = np.zeros((len(qm), len(pm))), np.zeros((len(qm), len(pm)))
-    for (a, b, _), inv, w in zip(layout, invs, weights.T[:, :, None]):
+    for (a, b, _), inv, w in zip(layout, invs, weights):
         size = b - a
         inv = inv.reshape(size, size)
         diffs = [qm[:, i][:, None] - pm[:, i][None, :] for i in range(a, b)]
@@ -298,7 +296,7 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _leaves(z: np.ndarray, size: int) -> list[np.ndarray]:
-    """Row numbers of `z` in groups of up to `size` that lie close together, by halving along the widest axis."""
+    """Row numbers of `z`, ascending, in groups of up to `size` that lie close together, by halving along the widest axis; equal rows in their order."""
     left, out = [np.arange(len(z))], []
     while left:
         part = left.pop()
@@ -307,141 +305,270 @@ def _leaves(z: np.ndarray, size: int) -> list[np.ndarray]:
             continue
         here = z[part]
         half = len(part) // 2
-        order = np.argpartition(here[:, int(np.argmax(np.ptp(here, axis=0)))], half)
-        left += [part[order[half:]], part[order[:half]]]
+        values = here[:, int(np.argmax(np.ptp(here, axis=0)))]
+        middle = np.partition(values, half)[half]
+        first = values < middle
+        first[np.flatnonzero(values == middle)[:half - int(first.sum())]] = True
+        left += [part[~first], part[first]]
     return out
 
 
-def _limit(far: np.ndarray) -> np.ndarray:
-    """Squared distance up to which a row may still be among the nearest, rounding included."""
-    return np.square(far * (1 + 1e-9) + 1e-8)
-
-
 @dataclass
 class _Measure:
-    """The distance over the features that two rows share, squared: per category the columns, their form and their share of the weight."""
-
-    parts: list[tuple[list[int], np.ndarray, float]]
-
-    def between(self, qm: np.ndarray, pm: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(qm), len(pm)))
-        for columns, inv, share in self.parts:
-            diffs = [qm[:, c][:, None] - pm[:, c][None, :] for c in columns]
-            quad = np.zeros(total.shape)
-            for i in range(len(columns)):
-                for j in range(i, len(columns)):
+    """The squared distances over the features that two rows share: per category the columns and their form, and for each distinct
+    weighting the categories' shares of the weight and the variants that use it, by window."""
+
+    parts: list[tuple[list[int], np.ndarray]]
+    shares: np.ndarray
+    users: list[dict[float, list[int]]]
+
+    def forms(self, qm: np.ndarray, columns: Sequence[np.ndarray], blocks: np.ndarray) -> list[np.ndarray]:
+        """Per category, each query against the rows of its own blocks."""
+        out = []
+        for own, inv in self.parts:
+            diffs = [qm[:, c][:, None] - columns[c][blocks].reshape(len(qm), -1) for c in own]
+            quad = 0.0
+            for i in range(len(own)):
+                for j in range(i, len(own)):
                     factor = inv[i, i] if i == j else inv[i, j] + inv[j, i]
                     if factor != 0.0:
-                        quad += factor * (diffs[i] * diffs[j])
-            total += share * np.maximum(quad, 0.0, out=quad)
-        return total
-
-    def straight(self, m: np.ndarray) -> np.ndarray:
-        """Coordinates whose plain distance is never above this one: equal to it, but for a form that is not positive, which counts nothing."""
-        out = [np.zeros((len(m), 1))]
-        for columns, inv, share in self.parts:
+                        quad = quad + factor * (diffs[i] * diffs[j])
+            out.append(np.maximum(quad, 0.0, out=np.zeros(diffs[0].shape)))
+        return out
+
+    def straight(self, m: np.ndarray) -> list[np.ndarray]:
+        """Per category, coordinates whose plain distance is never above the form: equal to it, but for one that is not positive, which counts nothing."""
+        out = []
+        for own, inv in self.parts:
             values, vectors = np.linalg.eigh((inv + inv.T) / 2)
-            if share > 0 and values[0] >= 0:
-                out.append(m[:, columns] @ vectors * np.sqrt(values * share))
-        return np.hstack(out)
+            out.append(m[:, own] @ vectors * np.sqrt(values) if values[0] >= 0 else np.zeros((len(m), 1)))
+        return out
 
+    def place(self, z: Sequence[np.ndarray]) -> np.ndarray:
+        """One set of coordinates, to find rows that lie close together."""
+        return np.hstack([part * np.sqrt(share) for part, share in zip(z, self.shares.mean(axis=0))])
 
-def _measure(shared: np.ndarray, layout, invs: Sequence[np.ndarray], weights: Sequence[float]) -> _Measure | None:
-    """The measure over the shared features; none if they carry no weight."""
-    parts = []
-    for (a, b, _), inv, w in zip(layout, invs, weights):
+
+def _measure(shared: np.ndarray, layout, invs: Sequence[np.ndarray], settings: Sequence[tuple]) -> tuple[_Measure | None, list[int]]:
+    """The measure over the shared features, and the variants under which they carry no weight."""
+    parts, fractions, at = [], [], []
+    for c, ((a, b, _), inv) in enumerate(zip(layout, invs)):
         inside = [i for i in range(b - a) if shared[a + i]]
         if inside:
-            parts.append(([a + i for i in inside], inv.reshape(b - a, b - a)[np.ix_(inside, inside)], w * len(inside) / (b - a)))
-    total = sum(share for *_, share in parts)
-    return _Measure([(c, m, share / total) for c, m, share in parts]) if total > 0 else None
+            parts.append(([a + i for i in inside], inv.reshape(b - a, b - a)[np.ix_(inside, inside)]))
+            fractions.append(len(inside) / (b - a))
+            at.append(c)
+    users, without = {}, []
+    for v, (weights, window) in enumerate(settings):
+        own = [weights[c] * fraction for c, fraction in zip(at, fractions)]
+        if sum(own) > 0:
+            users.setdefault(tuple(x / sum(own) for x in own), {}).setdefault(window, []).append(v)
+        else:
+            without.append(v)
+    return (_Measure(parts, np.array(list(users)), list(users.values())) if users else None), without
+
+
+class _Keys:
+    """The nearest of each query and variant as whole numbers: the rounded distance, then the row. Needs distances that leave room for the row."""
+
+    none = np.iinfo(np.int64).max
+
+    def __init__(self, far: np.ndarray, k: int, rows: int):
+        self.k, self.bits, self.room = k, int(rows).bit_length(), self.room_beside(rows)
+        self.held = np.full((*far.shape, k), self.none)
+        self.far = np.full(far.shape, self.none)
+        some = far < self.room
+        self.far[some] = (np.rint(far[some] * 1e9).astype(np.int64) + 1) << self.bits
+
+    @staticmethod
+    def room_beside(rows: int) -> float:
+        """The distance up to which there is room for numbers of as many rows."""
+        return 2.0 ** (62 - int(rows).bit_length()) / 1e9
+
+    def of(self, distance: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (np.rint(distance * 1e9).astype(np.int64) << self.bits) | rows
+
+    def least(self, squared: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What no row of a block can be below, rounding included."""
+        return self.of(np.clip(np.sqrt(squared) * (1 - 1e-9) - 1e-8, 0.0, self.room), first)
+
+    def worst(self, some: np.ndarray) -> np.ndarray:
+        return np.minimum(self.held[some, :, self.k - 1], self.far[some])
+
+    def offer(self, some: np.ndarray, variants: list[int], keys: np.ndarray, inside: np.ndarray) -> None:
+        keys = np.where(inside, keys, self.none)
+        hit = np.flatnonzero(keys.min(axis=1) < self.held[some][:, variants, self.k - 1].max(axis=1))
+        if len(hit):
+            keys, at = keys[hit], np.ix_(some[hit], variants)
+            if keys.shape[1] > self.k:
+                keys = np.partition(keys, self.k - 1, axis=1)[:, :self.k]
+            both = np.concatenate([self.held[at], np.repeat(keys[:, None, :], len(variants), axis=1)], axis=2)
+            self.held[at] = np.partition(both, self.k - 1, axis=2)[:, :, :self.k]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, -1 for none, and distances, in order."""
+        held = np.sort(self.held, axis=2)
+        found = held < self.none
+        return np.where(found, held & ((1 << self.bits) - 1), -1), np.where(found, (held >> self.bits) / 1e9, np.inf)
+
+
+class _Pairs:
+    """The same as pairs of distance and row, for distances of any size; slower."""
+
+    none = np.inf
+
+    def __init__(self, far: np.ndarray, k: int):
+        self.k, self.far = k, far * (1 + 1e-9) + 1e-8
+        self.distance = np.full((*far.shape, k), np.inf)
+        self.row = np.full((*far.shape, k), np.iinfo(np.int64).max)
+
+    def of(self, distance: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return distance.round(9), rows
+
+    def least(self, squared: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.maximum(np.sqrt(squared) * (1 - 1e-9) - 1e-8, 0.0)
+
+    def worst(self, some: np.ndarray) -> np.ndarray:
+        return np.minimum(self.distance[some, :, self.k - 1], self.far[some])
+
+    def offer(self, some: np.ndarray, variants: list[int], keys: tuple[np.ndarray, np.ndarray], inside: np.ndarray) -> None:
+        distance, rows = keys
+        inside = inside & ~np.isnan(distance)
+        near = inside & (distance <= self.distance[some][:, variants, self.k - 1].max(axis=1)[:, None])
+        hit = np.flatnonzero(near.any(axis=1))
+        if len(hit):
+            distance = np.where(near[hit], distance[hit], np.inf)
+            row = np.where(near[hit], np.broadcast_to(rows, near.shape)[hit], np.iinfo(np.int64).max)
+            for v in variants:
+                d = np.concatenate([self.distance[some[hit], v], distance], axis=1)
+                r = np.concatenate([self.row[some[hit], v], row], axis=1)
+                order = np.lexsort((r, d), axis=1)[:, :self.k]
+                self.distance[some[hit], v], self.row[some[hit], v] = np.take_along_axis(d, order, 1), np.take_along_axis(r, order, 1)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(self.row < np.iinfo(np.int64).max, self.row, -1), self.distance
 
 
-@dataclass
 class _Cell:
     """The pool rows of a cell in order of their ids, told apart by which features they have."""
 
-    ids: np.ndarray
-    years: np.ndarray
-    slots: np.ndarray
-    features: np.ndarray
-    few: int
-
-    def __post_init__(self):
-        known = ~np.isnan(self.features)
-        kinds, kind = np.unique(known, axis=0, return_inverse=True)
+    def __init__(self, ids: np.ndarray, years: np.ndarray, slots: np.ndarray, features: np.ndarray, few: int):
+        self.ids, self.years, self.slots, self.features = ids, years, slots, features
+        kinds, kind = np.unique(np.packbits(~np.isnan(features), axis=1), axis=0, return_inverse=True) if features.shape[1] > 62 else np.unique(
+            ~np.isnan(features) @ (1 << np.arange(features.shape[1])), return_inverse=True)
         kind = kind.reshape(-1)
-        kind[np.isinf(self.features).any(axis=1)] = -1
-        large = [i for i in range(len(kinds)) if (kind == i).sum() >= self.few]
-        self.kinds = [(kinds[i], np.flatnonzero(kind == i)) for i in large]
-        self.rest = np.flatnonzero(~np.isin(kind, large))
+        infinite = np.isinf(features).any(axis=1)
+        self.finite = not infinite.any()
+        kind[infinite] = -1
+        groups = [np.flatnonzero(kind == i) for i in range(len(kinds))]
+        self.kinds = [(~np.isnan(features[rows[0]]), rows) for rows in groups if len(rows) >= few]
+        self.rest = np.sort(np.concatenate([np.flatnonzero(infinite), *[rows for rows in groups if len(rows) < few]]))
+        with np.errstate(invalid="ignore"):
+            self.low = np.fmin.reduce(features, axis=0, initial=np.inf)
+            self.high = np.fmax.reduce(features, axis=0, initial=-np.inf)
         self.laid: dict = {}
         self.laid_for = None
 
 
-def _search(spec: CompSpec):
-    """Over rows sorted by cell, pool before queries and pool by id: each query's `k` nearest in the cell, in its window.
+def _search(spec: CompSpec, settings: Sequence[tuple]):
+    """Over rows sorted by cell, pool before queries and pool by id: each query's `k` nearest in the cell under each of `settings`
+    (weights per category, window), as one list of lists.
 
     Pool rows with the same features known lie in blocks of rows close together, under the measure of the features that they share
-    with a query; queries are taken in blocks too, nearest pool blocks first, until no further block can hold a nearer row.
+    with a query; a query meets its nearest blocks first, until no further one can hold a nearer row. A row that is met is
+    measured once per category, and all weightings and windows are read off that.
     """
     layout, n_features, at_once, k = spec.layout, len(spec.features), 1_000_000, spec.k
+    weightings = {}
+    for v, (weights, window) in enumerate(settings):
+        weightings.setdefault(weights, {}).setdefault(window, []).append(v)
 
-    def lay(cell: _Cell, rows: np.ndarray, kind: int, shared: np.ndarray, scale, measure: _Measure):
-        """Blocks of the rows: their numbers, scaled features, slots, and each block's start and bounds; once per measure."""
-        key = (kind, shared.tobytes())
-        if key not in cell.laid:
+    def lay(cell: _Cell, rows: np.ndarray, kind: int, scale, measure: _Measure):
+        """Blocks of the rows: their numbers, first number, scaled features, slots and bounds per category; once per measure."""
+        if kind not in cell.laid:
             scaled = cell.features[rows] / scale
             z = measure.straight(scaled)
-            leaves = _leaves(z, spec.rows_per_block)
+            leaves = _leaves(measure.place(z), spec.rows_per_block)
+            starts, length = np.cumsum([0, *map(len, leaves)])[:-1], max(map(len, leaves))
             order = np.concatenate(leaves)
-            starts = np.cumsum([0, *map(len, leaves)])
-            z = z[order]
-            cell.laid[key] = (rows[order], scaled[order], cell.slots[rows[order]], starts, np.minimum.reduceat(z, starts[:-1]), np.maximum.reduceat(z, starts[:-1]))
-        return cell.laid[key]
-
-    def through_blocks(cell, laid, measure, qm, qid, slot, window, worst):
-        """Every pool row that may be among the nearest, as (query, row, squared distance); `worst` falls as rows are found."""
-        rows, pm, slots, starts, low, high = laid
+            at = np.array([np.resize(leaf, length) for leaf in leaves])  # short blocks are filled up with rows that lie out of every window
+            pad = np.arange(length) >= np.array([len(leaf) for leaf in leaves])[:, None]
+            slots = np.where(pad, np.inf, cell.slots[rows[at]])
+            bounds = [(np.minimum.reduceat(part[order], starts), np.maximum.reduceat(part[order], starts)) for part in z]
+            cell.laid[kind] = rows[at], rows[at[:, 0]], [scaled[:, c][at] for c in range(n_features)], slots, bounds
+        return cell.laid[kind]
+
+    def through_blocks(cell, laid, measure, lists, qm, qid, slot):
+        rows, first, columns, slots, bounds = laid
         zq = measure.straight(qm)
-        for some in _leaves(zq, 32):
-            gap = np.maximum(np.maximum(low - zq[some].max(axis=0), zq[some].min(axis=0) - high), 0.0)
-            bound = np.square(gap).sum(axis=1)
-            order = np.argsort(bound, kind="stable")
-            bound, at, take = bound[order], 0, 2
-            while at < len(order):
-                stop = int(np.searchsorted(bound, _limit(worst[some].max()), "right"))
-                if at >= stop:
+
+        def meet(some, blocks, ok):
+            """Queries against the rows of their own blocks."""
+            met = rows[blocks].reshape(len(some), -1)
+            gap = np.abs(slot[some][:, None, None] - slots[blocks])
+            gap[~ok] = np.inf
+            gap = gap.reshape(met.shape)
+            if not spec.strict:
+                gap[qid[some][:, None] == cell.ids[met]] = np.inf
+            forms = measure.forms(qm[some], columns, blocks)
+            inside = {window: gap <= window for window in {w for users in measure.users for w in users}}
+            for shares, users in zip(measure.shares, measure.users):
+                keys = lists.of(np.sqrt(sum(share * form for share, form in zip(shares, forms))), met)
+                for window, variants in users.items():
+                    lists.offer(some, variants, keys, inside[window])
+
+        def least(low, high, first):
+            """Per weighting, what rows of the blocks cannot be below, seen from queries between `low` and `high`."""
+            gaps = [np.square(np.maximum(np.maximum(lo - h, l - hi), 0.0)).sum(axis=-1) for (lo, hi), l, h in zip(bounds_, low, high)]
+            return [lists.least(sum(share * gap for share, gap in zip(shares, gaps)), first) for shares in measure.shares]
+
+        def limits(some):
+            worst = lists.worst(some)
+            return [worst[:, [v for variants in users.values() for v in variants]].max(axis=1) for users in measure.users]
+
+        for some in _leaves(measure.place(zq), 128):
+            mine = [part[some] for part in zq]
+            limit, seen = limits(some), np.zeros(0, int)
+            bounds_ = bounds
+            if max(x.max() for x in limit) == lists.none and len(rows) > 2:
+                centre = [(part.min(axis=0) + part.max(axis=0)) / 2 for part in mine]
+                seen = np.argpartition(np.min(least(centre, centre, first), axis=0), 1)[:2]
+                meet(some, np.tile(seen, (len(some), 1)), np.ones((len(some), 2), bool))
+                limit = limits(some)
+            near = least([part.min(axis=0) for part in mine], [part.max(axis=0) for part in mine], first)
+            near = np.flatnonzero(np.any([x <= y.max() for x, y in zip(near, limit)], axis=0))
+            near = near[~np.isin(near, seen)]
+            bounds_ = [(lo[near], hi[near]) for lo, hi in bounds]
+            low = least([part[:, None, :] for part in mine], [part[:, None, :] for part in mine], first[near])
+            take = 1
+            while len(near):
+                score = np.min([np.where(x <= y[:, None], x, lists.none) for x, y in zip(low, limit)], axis=0)
+                open_ = np.flatnonzero(score.min(axis=1) < lists.none)
+                if not len(open_):
                     break
-                end = min(stop, at + take)
-                at, take, blocks = end, min(2 * take, 64), order[at:end]
-                here = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in blocks])
-                near = measure.between(qm[some], pm[here])
-                near[np.abs(slot[some][:, None] - slots[here][None, :]) > window] = np.inf
-                if not spec.strict:
-                    near[qid[some][:, None] == cell.ids[rows[here]][None, :]] = np.inf
-                keep = near <= _limit(worst[some])[:, None]
-                if len(here) >= k and keep.sum() > 2 * k * len(some):
-                    worst[some] = np.minimum(worst[some], np.sqrt(np.partition(near, k - 1, axis=1)[:, k - 1]))
-                    keep = near <= _limit(worst[some])[:, None]
-                row, col = np.nonzero(keep & np.isfinite(near))
-                yield some[row], rows[here[col]], near[row, col]
-
-    def through_rest(cell, may, qm, scale, invs, weights, qid, slot, window):
+                take = min(2 * take, 8, len(near))
+                score = score[open_]
+                pick = np.argpartition(score, take - 1, axis=1)[:, :take] if take < len(near) else np.tile(np.arange(take), (len(open_), 1))
+                meet(some[open_], near[pick], np.take_along_axis(score, pick, axis=1) < lists.none)
+                for x in low:
+                    x[open_[:, None], pick] = lists.none  # not open again
+                limit = limits(some)
+
+    def through_rest(cell, may, lists, qm, scale, invs, qid, slot, finite):
         """The same for rows of rare kinds, one by one."""
         pf = cell.features[may] / scale
         step = max(1, at_once // max(1, len(may)))
         for s in range(0, len(qm) if len(may) else 0, step):
             some = np.arange(s, min(s + step, len(qm)))
-            near = _distances(qm[some], pf, layout, invs, np.tile(weights, (len(some), 1)))
-            out = np.abs(slot[some][:, None] - cell.slots[may][None, :]) > window
+            gap = np.abs(slot[some][:, None] - cell.slots[may][None, :])
             if not spec.strict:
-                out |= qid[some][:, None] == cell.ids[may][None, :]
-            near[out] = np.nan
-            best = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties keep the order of the ids, NaN comes last
-            near = np.take_along_axis(near, best, axis=1)
-            row, col = np.nonzero(~np.isnan(near))
-            yield some[row], may[best[row, col]], np.square(near[row, col])
+                gap[qid[some][:, None] == cell.ids[may][None, :]] = np.inf
+            for weights, users in weightings.items():
+                distance = _distances(qm[some], pf, layout, invs, weights)
+                ok = np.isfinite(distance) if finite else np.ones(distance.shape, bool)
+                keys = lists.of(np.where(ok, distance, 0.0), np.broadcast_to(may, distance.shape))
+                for window, variants in users.items():
+                    lists.offer(some, variants, keys, ok & (gap <= window))
 
     def unlike(cell, may, query: int, qid, slot, window):
         """The first `k` rows in the window of one query, for rows that share nothing with it."""
@@ -456,89 +583,101 @@ def _search(spec: CompSpec):
                 break
         return taken
 
-    def nearest(cell: _Cell, year: int, scale, invs, weights, window: float, qid, slot, qf, far):
-        """(query, row, distance) of the nearest of queries that know the same features."""
-        if cell.laid_for != (year, tuple(weights)):
-            cell.laid, cell.laid_for = {}, (year, tuple(weights))
-        allowed = cell.years < year if spec.strict else np.ones(len(cell.ids), bool)
-        qm, worst, found, bare = qf / scale, far.copy(), [], []
-        plain = not np.isinf(qf).any()
+    def nearest(cell: _Cell, year: int, scale, invs, qid, slot, qf, far):
+        """Rows, -1 for none, and distances of the nearest of queries that know the same features, per query and variant."""
         known = ~np.isnan(qf[0])
+        if cell.laid_for != (year, known.tobytes()):
+            cell.laid, cell.laid_for = {}, (year, known.tobytes())
+        allowed = cell.years < year if spec.strict else np.ones(len(cell.ids), bool)
+        qm, plain = qf / scale, not np.isinf(qf).any()
+        with np.errstate(invalid="ignore"):
+            span = np.nan_to_num(np.where(known, (np.fmax(qf.max(axis=0), cell.high) - np.fmin(qf.min(axis=0), cell.low)) / scale, 0.0), nan=0.0, posinf=0.0, neginf=0.0)
+        most = max(float(np.abs(inv).reshape(b - a, b - a).dot(span[a:b]).dot(span[a:b])) for (a, b, _), inv in zip(layout, invs))
+        keyed = plain and cell.finite and np.sqrt(most) < _Keys.room_beside(len(cell.ids))
+        lists = _Keys(far, k, len(cell.ids)) if keyed else _Pairs(far, k)
         may = np.flatnonzero(allowed) if not plain else cell.rest[allowed[cell.rest]]
-        found += through_rest(cell, may, qm, scale, invs, weights, qid, slot, window)
+        through_rest(cell, may, lists, qm, scale, invs, qid, slot, keyed)
+        bare: dict = {}
+        if keyed:
+            kinds, kind = np.unique(~np.isnan(cell.features[may]), axis=0, return_inverse=True)
+            for i, has in enumerate(kinds):
+                rows = may[kind.reshape(-1) == i]
+                for v in _measure(has & known, layout, invs, settings)[1]:
+                    bare.setdefault(v, []).append(rows)
         # rows that share few features first: they tend to be nearest
         for kind in sorted(range(len(cell.kinds)) if plain else [], key=lambda i: int((cell.kinds[i][0] & known).sum())):
             shared, rows = cell.kinds[kind][0] & known, cell.kinds[kind][1]
-            measure = _measure(shared, layout, invs, weights)
+            measure, without = _measure(shared, layout, invs, settings)
             rows = rows[allowed[rows]]
-            if measure is None:
-                bare.append(rows)
-            elif len(rows):
-                found += through_blocks(cell, lay(cell, rows, kind, shared, scale, measure), measure, qm, qid, slot, window, worst)
-        query, row, squared = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        distance = np.sqrt(squared).round(9)
-        held = np.bincount(query[np.isfinite(distance)], minlength=len(qm))
-        short = np.flatnonzero((held < k) & np.isinf(far)) if bare else []
-        if len(short):
-            may = np.sort(np.concatenate(bare))
-            more = [unlike(cell, may, q, qid, slot, window) for q in short]
-            query = np.concatenate([query, np.repeat(short, [len(m) for m in more])]).astype(int)
-            row = np.concatenate([row, *more]).astype(int)
-            distance = np.concatenate([distance, np.full(len(row) - len(distance), np.inf)])
-        order = np.lexsort((row, distance, query))
-        query, row, distance = query[order], row[order], distance[order]
-        first = np.searchsorted(query, query, "left")
-        best = np.arange(len(query)) - first < k
-        return query[best], row[best], distance[best]
+            if len(rows):
+                for v in without:
+                    bare.setdefault(v, []).append(rows)
+                if measure is not None:
+                    through_blocks(cell, lay(cell, rows, kind, scale, measure), measure, lists, qm, qid, slot)
+        row, distance = lists.result()
+        joined: dict = {}
+        for v, parts in bare.items():
+            held = np.isfinite(distance[:, v]).sum(axis=1)
+            for q in np.flatnonzero((held < k) & np.isinf(far[:, v])):
+                which = tuple(map(id, parts))
+                if which not in joined:
+                    joined[which] = np.sort(np.concatenate(parts))
+                more = unlike(cell, joined[which], q, qid, slot, settings[v][1])
+                more = np.sort(np.concatenate([row[q, v, held[q]:][row[q, v, held[q]:] >= 0], more]))[:k - held[q]]
+                row[q, v, held[q]:held[q] + len(more)] = more
+        return row, distance
 
     def compare(cell: _Cell, query: pa.RecordBatch):
         qid, cohort = query.column("id").to_numpy(), query.column("year").to_numpy()
         slot, qf = query.column("slot").to_numpy(), _numbers(query.column("f"), n_features)
-        variants, far = query.column("variant"), query.column("far").to_numpy().astype(float)
-        same = np.column_stack([cohort, variants.to_numpy(), np.isnan(qf), np.isinf(qf).any(axis=1)])
+        far = query.column("far")
+        far = np.full((len(qid), len(settings)), np.inf) if far.null_count else _numbers(far, len(settings))
+        same = np.column_stack([cohort, np.isnan(qf), np.isinf(qf).any(axis=1)])
         _, group = np.unique(same, axis=0, return_inverse=True)
         order = np.argsort(group.reshape(-1), kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(group.reshape(-1)[order])) + 1):
             first = int(mine[0])
             scale = np.array(query.column("scale")[first].as_py(), float)
             invs = [np.array(m, float) for m in query.column("inv")[first].as_py()]
-            weights = np.array(query.column("weights")[first].as_py(), float)
-            q, row, distance = nearest(cell, int(cohort[first]), scale, invs, weights, float(query.column("window")[first].as_py()),
-                                       qid[mine], slot[mine], qf[mine], far[mine])
-            if len(row):
-                yield qid[mine][q], variants.take(pa.array(mine[q])), row, distance
+            yield mine, *nearest(cell, int(cohort[first]), scale, invs, qid[mine], slot[mine], qf[mine], far[mine])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held, extra = None, [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells, side = batch.column("cell"), batch.column("side").to_numpy()
-            names = cells.to_pylist()
-            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or side[i] != side[i - 1]], len(names)]
+            cells, side = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(cells)]
             for start, end in zip(edges, edges[1:]):
-                if names[start] != cell:
-                    cell, parts, held = names[start], [], None
+                if cells[start] != cell:
+                    cell, parts, held, extra = cells[start], [], None, None
                 part = batch.slice(start, end - start)
                 if not side[start]:
-                    parts.append(part)
+                    parts.append((*(part.column(c).to_numpy() for c in ("id", "year", "slot")), _numbers(part.column("f"), n_features), part.column("payload")))
                     continue
                 if held is None and parts:
-                    pool = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-                    held = _Cell(pool.column("id").to_numpy(), pool.column("year").to_numpy(), pool.column("slot").to_numpy(),
-                                 _numbers(pool.column("f"), n_features), spec.rows_per_block)
-                    extra, parts = pool.column("payload"), []
+                    *numbers, payloads = zip(*parts)
+                    parts, held, extra = [], _Cell(*map(np.concatenate, numbers), max(1, spec.rows_per_block // 4)), pa.concat_arrays(payloads)
                 if held is None:
                     continue
-                for qid, variant, row, distance in compare(held, part):
-                    yield pa.RecordBatch.from_arrays([pa.array(qid), variant, pa.array(held.ids[row]), pa.array(distance), extra.take(pa.array(row))],
-                                                     names=["qid", "variant", "comp_id", "distance", "payload"])
+                for mine, row, distance in compare(held, part):
+                    kept = row >= 0
+                    taken = row[kept]
+                    payload = [extra.field(i).take(pa.array(taken)) for i in range(1, extra.type.num_fields)]
+                    comps = pa.StructArray.from_arrays([pa.array(held.ids[taken]), pa.array(distance[kept]), *payload],
+                                                       ["comp_id", "distance", *[extra.type.field(i).name for i in range(1, extra.type.num_fields)]])
+                    ends = np.concatenate([[0], np.cumsum(kept.sum(axis=2).reshape(-1))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), comps)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lists) + 1, len(settings), dtype=np.int32)), lists)
+                    at = pa.array(mine)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("again").take(at), part.column("own").take(at), lists],
+                                                     names=["qid", "again", "own", "lists"])
     return run
 
 
 @dataclass(frozen=True)
 class CompIndex:
-    """A pool laid out for the search: its rows by cell, the sizes of the cells, the grid, and the pool's own columns."""
+    """A pool laid out for the search: its rows with their places in the grid, how many there are per place and slot, the grid, and the pool's own columns."""
 
     rows: DataFrame
     sizes: DataFrame
@@ -546,8 +685,9 @@ class CompIndex:
     pool: DataFrame
 
     def save(self, path: str) -> None:
-        """Write the tables; the rows in order of their cells, so that files hold whole cells where they can."""
-        self.rows.repartition("cell").sortWithinPartitions("cell", "side", "id").write.mode("errorifexists").parquet(f"{path}/rows")
+        """Write the tables; the rows in order of their places, so that files hold whole cells where they can."""
+        key = [c for c in self.rows.columns if c.startswith("__")]
+        self.rows.repartition(*key).sortWithinPartitions(*key, "slot", "id").write.mode("errorifexists").parquet(f"{path}/rows")
         for name in ("sizes", "grid", "pool"):
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
@@ -556,116 +696,154 @@ def load_index(spark: SparkSession, path: str) -> CompIndex:
     return CompIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("rows", "sizes", "grid", "pool")])
 
 
-def _band(spec: CompSpec) -> int:
-    """Width of the cells along the slots: a query's window meets two of them."""
-    return max(1, 2 * spec.window + 1)
-
-
-def _cell_key(spec: CompSpec) -> list[str]:
-    return ["__b", "__slot", *[f"__c{i}" for i in range(len(spec.axes))]]
+def _place_key(spec: CompSpec) -> list[str]:
+    return ["__b", *[f"__c{i}" for i in range(len(spec.axes))]]
 
 
 def index_of(pool: DataFrame, spec: CompSpec, payload: Sequence[str] = ()) -> CompIndex:
-    """The index of a pool. A cell with far more rows than planned (equal rows, a common slot) is split by id, so what a task holds stays bounded."""
+    """The index of a pool. It holds no slot cells: those follow the widest window that is asked for."""
     ids, block, year, slot = spec.ids, spec.block, spec.year, spec.slot
     grid = materialize(_grid(pool, spec), "comp-grid")
-    key, band = _cell_key(spec), _band(spec)
-    listed = attach(pool, grid, [block], "inner").select(
-        F.col(block).alias("__b"), F.floor(F.col(slot) / band).cast("bigint").alias("__slot"), *[_place(f, f"__a{i}").alias(f"__c{i}") for i, f in enumerate(spec.axes)],
+    rows = attach(pool, grid, [block], "inner").where(F.col(slot).isNotNull()).select(
+        F.col(block).alias("__b"), *[_place(f, f"__a{i}").alias(f"__c{i}") for i, f in enumerate(spec.axes)],
         F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"),
         F.array(*[F.col(f).cast("double") for f in spec.features]).alias("f"), F.struct(F.lit(0).alias("none"), *payload).alias("payload"))
-    sizes = materialize(listed.groupBy(*key).agg(F.ceil(F.count("*") / max(8, spec.rows_per_cell // 4)).cast("int").alias("__parts")), "comp-cells")
-    part = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
-    none = [F.lit(None).cast("int").alias("variant"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("int").alias("window"), F.lit(None).cast("double").alias("far")]
-    rows = attach(listed, sizes, key, "inner").select(
-        _cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], part).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
-        F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload", *none)
+    sizes = materialize(rows.groupBy(*_place_key(spec), F.floor("slot").cast("bigint").alias("at")).agg(F.count("*").alias("n")), "comp-sizes")
     return CompIndex(rows, sizes, grid, pool.select(*dict.fromkeys([ids, block, year, slot, *spec.features, *payload])))
 
 
 def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload: Sequence[str] = (),
-                  params: DataFrame | None = None, variants: Column | None = None, index: CompIndex | None = None) -> DataFrame:
+                  params: DataFrame | None = None, variants: Column | None = None, index: CompIndex | None = None,
+                  beside: Sequence[str] | None = None) -> DataFrame:
     """The `k` nearest pool rows of each query within its slot window, or among the `3k` nearest slots
     where the window holds fewer than `k`; ranked, with distances and payload columns.
 
     Queries whose earlier pool is smaller than `min_pool` get no rows. `queries` and `pool` are read
     several times: pass written tables (`materialize`) rather than long plans. Ids and years are whole numbers.
 
-    `variants`, an array of (weights per category, window), has every query searched under each of them in the same rounds, and the
-    column `variant` tells their results apart. `index` is one of this pool, for instance a stored one.
+    `variants`, an array of (weights per category, window) that is the same for all queries, has every query searched under each of them
+    at once, and the column `variant` tells their results apart. `index` is one of this pool, for instance a stored one.
+
+    With `beside`, columns of the query, the result is one row per query and variant instead: these columns, the place of the variant
+    in `variants`, and the array `comps` in rank order.
     """
     own = F.array(F.struct(F.array(*[F.lit(w) for _, _, w in spec.layout]).alias("weights"), F.lit(spec.window).alias("window")))
     listed_variants = own if variants is None else variants
+    spark = queries.sparkSession
+    settings = [(tuple(map(float, v["weights"])), float(v["window"])) for v in spark.range(1).select(listed_variants.alias("v")).first()["v"]]
+    widest = max(window for _, window in settings)
     ids, block, year, slot, k = spec.ids, spec.block, spec.year, spec.slot, spec.k
     cohorts = cohort_years(queries, year)
     params = params if params is not None else search_params(pool, cohorts, spec)
     index = index if index is not None else index_of(pool, spec, payload)
-    grid, sizes, side = index.grid, index.sizes, index.rows
+    grid = index.grid
     features = F.array(*[F.col(f).cast("double") for f in spec.features])
-    band = _band(spec)
     places = [_place(f, f"__a{i}") for i, f in enumerate(spec.axes)]
-    key = _cell_key(spec)
+    # a cell serves the queries of some slots: it holds the pool of these and of a window to either side, so a query meets all its rows at once
+    width = max(1, int(widest) // 2 + 1)
+    place_key = _place_key(spec)
+    key = [*place_key, "__chunk"]
+
+    def reaching(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor((low - widest) / width).cast("bigint"), F.floor((high + widest) / width).cast("bigint")))
 
     # the values that place a query are those of its features; rows that lack one are next to every place of the axis
     known = params.where(F.col("n_pool") >= spec.min_pool).select(block, F.col("cohort").alias(year), "scale", "inv", F.col("least").alias("__low"))
     placed = attach(attach(queries, known, [block, year], "inner"), grid, [block], "inner")
-    asked = placed.select("*", F.posexplode(listed_variants).alias("variant", "__variant")).select(
+    asked = placed.where(F.col(slot).isNotNull()).select(
         F.col(ids).cast("bigint").alias("id"), F.col(year).cast("bigint").alias("year"), F.col(slot).cast("double").alias("slot"), features.alias("f"), "scale", "inv",
-        "variant", F.col("__variant.weights").alias("weights"), F.col("__variant.window").cast("int").alias("window"),
-        F.col(block).alias("__b"), "__g", _least_factor(spec).alias("__least"), *[F.col(f"__a{i}") for i in range(len(places))], *[c.alias(f"__c{i}") for i, c in enumerate(places)],
-        *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(spec.axes)], F.lit(float("inf")).alias("__worst"))
-    slots = F.sequence(F.floor((F.col("slot") - F.col("window")) / band).cast("bigint"), F.floor((F.col("slot") + F.col("window")) / band).cast("bigint"))
-    # the variants of a cell are dealt over up to four tasks, each with the cell's pool
-    deals = F.least(F.lit(4), F.size(listed_variants))
-    dealt = side.withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn(
-        "cell", F.concat_ws("|", "cell", F.col("__deal"))).drop("__deal")
-    kinds = dict(side.dtypes)
-    schema = f"qid bigint, variant int, comp_id bigint, distance double, payload {kinds['payload']}"
-
-    def round_of(open_: DataFrame, inner: int, outer: int) -> DataFrame:
-        visits = open_.withColumn("__ring", F.explode(_ring(inner, outer, spec))).withColumn("__slot", F.explode(slots))
+        F.struct(F.lit(0).alias("none"), *(beside or ())).alias("own"), F.floor(F.col(slot) / width).cast("bigint").alias("__chunk"),
+        F.col(block).alias("__b"), "__g", _least_factor(spec, settings).alias("__least"), *[F.col(f"__a{i}") for i in range(len(places))], *[c.alias(f"__c{i}") for i, c in enumerate(places)],
+        *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(spec.axes)], F.lit(float("inf")).alias("__worst"), F.lit(None).cast("array<double>").alias("far"))
+    counts = index.sizes.select(*place_key, reaching(F.col("at"), F.col("at") + 1).alias("__chunk"), "n").groupBy(*key).agg(F.sum("n").alias("n"))
+    kinds = {**dict(index.rows.dtypes), **dict(asked.select("own").dtypes)}
+    columns = ["comp_id", "distance", *payload]
+    comp = "struct<" + ", ".join(["comp_id: bigint", "distance: double", *[f"{c}: {t}" for c, t in index.rows.select("payload.*").dtypes[1:]]]) + ">"
+    schema = f"qid bigint, again boolean, own {kinds['own']}, lists array<array<{comp}>>"
+
+    def round_of(open_: DataFrame, inner: int, outer: int, whole: bool) -> DataFrame:
+        """The lists of each visit to a cell; `again` where the id of the query has other lists too (always unless `whole`)."""
+        visits = open_.withColumn("__ring", F.explode(_ring(inner, outer, spec)))
         visits = visits.withColumns({f"__c{i}": F.col("__ring.c")[i] for i in range(len(places))})
-        visits = attach(visits, sizes, key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-        visits = visits.select(_cell_name(F.col("__b"), F.col("__slot"), [F.col(c) for c in key[2:]], F.col("__part")).alias("cell"), F.lit(1).alias("side"),
-                               "id", "year", "slot", "f", "scale", "inv", F.lit(None).cast(kinds["payload"]).alias("payload"),
-                               "variant", "weights", "window", F.col("__worst").alias("far"))
-        # queries of the same measure together; as many tasks as the session has partitions, since the rows are few for their work
-        alike = [F.when(F.col("side") == 1, c) for c in (F.col("year"), F.col("variant"), F.transform("f", lambda x: x.isNull()))]
-        visits = visits.withColumn("cell", F.concat_ws("|", "cell", F.pmod("variant", deals)))
-        both = dealt.union(visits).repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "side", *alike, "id")
-        return both.mapInArrow(_search(spec), schema)
-
-    order = [F.col("distance").asc(), F.col("comp_id").asc()]
+        met = attach(visits.groupBy(*key).agg(F.count("*").alias("__asked")), counts, key, "inner")
+        met = met.withColumn("__parts", F.ceil(F.col("n") / max(8, spec.rows_per_cell)).cast("int"))
+        # tasks in order of their work, the parts of a cell one after the other
+        in_order = Window.orderBy((F.col("__asked") + F.col("n") / F.col("__parts")).desc(), *key)
+        cells = materialize(met.withColumn("__first", F.sum("__parts").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+                            .select(*key, "__parts", F.coalesce("__first", F.lit(0)).cast("int").alias("__first")), "comp-cells")
+        n_tasks = cells.agg(F.sum("__parts")).first()[0] or 1
+        visits = attach(visits, cells, key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        again = F.lit(True)
+        if whole:
+            twice = materialize(visits.groupBy("id").agg(F.count("*").alias("__n")).where("__n > 1").select("id", F.lit(True).alias("__again")), "comp-again")
+            visits, again = visits.join(twice, "id", "left"), F.coalesce("__again", F.lit(False))
+        visits = visits.select((F.col("__first") + F.col("__part")).alias("cell"), F.lit(1).alias("side"), "id", "year", "slot", "f", "scale", "inv",
+                               F.lit(None).cast(kinds["payload"]).alias("payload"), again.alias("again"), "own", "far")
+        rows = index.rows.withColumn("__chunk", reaching(F.col("slot"), F.col("slot")))
+        rows = attach(rows, cells, key, "inner").select(
+            (F.col("__first") + F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
+            F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload",
+            F.lit(None).cast("boolean").alias("again"), F.lit(None).cast(kinds["own"]).alias("own"), F.lit(None).cast("array<double>").alias("far"))
+        # queries of the same measure together
+        alike = [F.when(F.col("side") == 1, c) for c in (F.col("year"), F.transform("f", lambda x: x.isNull()))]
+        n_tasks = min(int(n_tasks), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        both = rows.union(visits).repartitionById(n_tasks, F.col("cell") % n_tasks).sortWithinPartitions("cell", "side", *alike, "id")
+        return both.mapInArrow(_search(spec, settings), schema)
+
+    def rows_of(lists: DataFrame) -> DataFrame:
+        return lists.select("qid", F.posexplode("lists").alias("variant", "comp")).select("qid", "variant", F.explode("comp").alias("comp"))
 
     def best_of(found: DataFrame) -> DataFrame:
-        return top_per_group(found, ["qid", "variant"], order, k, rank_col="comp_rank")
-
-    main = materialize(best_of(round_of(asked, -1, 0)), "comps")
-    reach, most = 0, grid.agg(F.max("__g")).first()[0] or 1
+        """The nearest of all the lists of an id."""
+        best = top_per_group(found, ["qid", "variant"], [F.col("comp.distance").asc(), F.col("comp.comp_id").asc()], k, rank_col="__rank")
+        listed = best.groupBy("qid", "variant").agg(F.array_sort(F.collect_list(F.struct("__rank", "comp"))).alias("__comps"))
+        return listed.select("qid", "variant", F.transform("__comps", lambda x: x["comp"]).alias("comps"))
+
+    most = grid.agg(F.max("__g")).first()[0] or 1
+    found = materialize(round_of(asked, -1, 0, most == 1), "comps")
+    lone = found.where(~F.col("again"))
+    main = best_of(rows_of(found.where("again")))
+    if most > 1:
+        main = materialize(main, "comps")
+    reach = 0
     while reach < most - 1:
-        held = main.groupBy(F.col("qid").alias("id"), "variant").agg(F.count("*").alias("__k"), F.max("distance").alias("__far"))
-        worst = F.when(F.col("__k") >= k, F.col("__far")).otherwise(float("inf"))
-        further = asked.drop("__worst").join(held, ["id", "variant"], "left").withColumn("__worst", F.coalesce(worst, F.lit(float("inf")))).drop("__k", "__far")
+        held = main.where(F.size("comps") >= k).groupBy(F.col("qid").alias("id")).agg(
+            F.map_from_entries(F.collect_list(F.struct("variant", F.element_at("comps", -1)["distance"]))).alias("__held"))
+        far = F.transform(F.sequence(F.lit(0), F.lit(len(settings) - 1)), lambda v: F.coalesce(F.try_element_at("__held", v), F.lit(float("inf"))))
+        further = asked.drop("__worst", "far").join(held, "id", "left").withColumn("far", far).withColumn("__worst", F.array_max("far")).drop("__held")
         further = materialize(further.where((_beyond(reach, spec) <= F.col("__worst") * (1 + 1e-9) + 1e-8) & (_beyond(reach, spec) < float("inf"))), "comp-open")
         if not further.count():
             break
-        main = materialize(best_of(main.drop("comp_rank").union(round_of(further, reach, 2 * reach + 1))), "comps")
+        more = round_of(further, reach, 2 * reach + 1, False)
+        main = materialize(best_of(main.select("qid", "variant", F.explode("comps").alias("comp")).union(rows_of(more))), "comps")
         reach = 2 * reach + 1
 
     # fewer than k in the window: the nearest slots instead
-    kept = main.select(F.col("qid").alias(ids), "variant", "comp_id", "distance", *[F.col(f"payload.{c}").alias(c) for c in payload], "comp_rank")
-    counts = main.groupBy(F.col("qid").alias(ids), "variant").agg(F.count("*").alias("__k"))
-    every = (queries.join(known.select(block, year), [block, year], "left_semi")
-             .select("*", F.posexplode(listed_variants).alias("variant", "__variant")))
-    short = materialize(every.join(counts, [ids, "variant"], "left").where(F.coalesce("__k", F.lit(0)) < k).drop("__k"), "comp-short")
+    whole = main.where(F.size("comps") >= k)
+    numbers = F.sequence(F.lit(0), F.lit(len(settings) - 1))
+    every = queries.join(known.select(block, year), [block, year], "left_semi")
+    others = every.select(F.col(ids).alias("qid")).join(lone.select("qid"), "qid", "left_anti").distinct().withColumn("variant", F.explode(numbers))
+    lacking = others.join(whole, ["qid", "variant"], "left_anti").unionByName(
+        lone.select("qid", F.posexplode("lists").alias("variant", "comps")).where(F.size("comps") < k).drop("comps"))
+    short = materialize(every.join(lacking.withColumnRenamed("qid", ids), ids).withColumn("__variant", F.get(listed_variants, F.col("variant"))), "comp-short")
     near = nearest_by_slot(short, pool, cohorts, spec, 3 * k + (0 if spec.strict else 1))
     pairs = short.select(ids, "variant", "__variant", block, F.col(year).alias("cohort"), slot).join(near, [block, "cohort", slot])
     if not spec.strict:
         pairs = pairs.where(F.col("comp_id") != F.col(ids))
     once = short.drop("variant", "__variant").dropDuplicates([ids])
     wide = distances_of(pairs.select(ids, "comp_id", "variant", "__variant"), once, pool, params, spec, payload)
-    wide = top_per_group(wide, [ids, "variant"], order, k, rank_col="comp_rank")
-    out = kept.join(short.select(ids, "variant"), [ids, "variant"], "left_anti").unionByName(wide.select(kept.columns))
+    wide = top_per_group(wide, [ids, "variant"], [F.col("distance").asc(), F.col("comp_id").asc()], k, rank_col="comp_rank")
+
+    complete = lone.select("qid", "own", F.posexplode("lists").alias("variant", "comps")).where(F.size("comps") >= k)
+    if beside is not None:
+        listed = wide.groupBy(ids, "variant").agg(F.array_sort(F.collect_list(F.struct("comp_rank", F.struct(*columns).alias("comp")))).alias("comps"))
+        joined = whole.select(F.col("qid").alias(ids), "variant", "comps").union(
+            listed.withColumn("comps", F.transform("comps", lambda x: x["comp"])).select(ids, "variant", "comps"))
+        joined = joined.join(queries.select(ids, *beside), ids).select(ids, *beside, "variant", "comps")
+        return complete.select(F.col("qid").alias(ids), *[F.col(f"own.{c}").alias(c) for c in beside], "variant", "comps").union(joined)
+    kept = complete.drop("own").unionByName(whole).select(F.col("qid").alias(ids), "variant", F.posexplode("comps").alias("__at", "comp"))
+    kept = kept.select(ids, "variant", *[f"comp.{c}" for c in columns], (F.col("__at") + 1).alias("comp_rank"))
+    out = kept.unionByName(wide.select(kept.columns))
     if variants is None:
         return out.drop("variant")
     return out.withColumn("variant", F.element_at(variants, F.col("variant") + 1))
@@ -691,6 +869,53 @@ def comp_features(queries: DataFrame, comps: DataFrame, params: DataFrame, spec:
     return out.join(agg, spec.ids, "left").withColumn("n_pool_used", F.coalesce("n_pool_used", F.lit(0)))
 
 
+def comp_errors(found: DataFrame, actual: str, outcome: str, settings: Sequence[tuple[int, float]]) -> DataFrame:
+    """Per variant and (number of neighbours, bandwidth): how many queries have an estimate, the similarity-weighted mean outcome of
+    their comparables, and its root mean squared error.
+
+    `found` has one row per query and variant with the array `comps`; a batch of them is laid against all settings as arrays, and
+    one sum per variant and setting is sent on.
+    """
+    most = max(k for k, _ in settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            distances, outcomes, variant = batch.column("distance"), batch.column("outcome"), batch.column("variant").to_numpy()
+            actual_, n_variants = batch.column("actual"), int(variant.max()) + 1
+            known, truth = actual_.is_valid().to_numpy(zero_copy_only=False), actual_.to_numpy(zero_copy_only=False).astype(float)
+            has = np.arange(most) < np.diff(distances.offsets.to_numpy())[:, None]
+            flat = outcomes.flatten()
+            near, y, with_outcome = np.full(has.shape, np.inf), np.zeros(has.shape), np.zeros(has.shape, bool)
+            near[has] = distances.flatten().to_numpy(zero_copy_only=False)
+            with_outcome[has] = flat.is_valid().to_numpy(zero_copy_only=False)
+            y[with_outcome] = flat.drop_null().to_numpy(zero_copy_only=False)
+            some = np.logical_or.accumulate(with_outcome, axis=1)
+            out: list[tuple] = []
+            for bandwidth in dict.fromkeys(bw for _, bw in settings):
+                sim = np.exp(-near / bandwidth)
+                total, weighed = sim.cumsum(axis=1), np.where(with_outcome, sim * y, 0.0).cumsum(axis=1)
+                for i, (k, bw) in enumerate(settings):
+                    if bw == bandwidth:
+                        given = some[:, k - 1] & (total[:, k - 1] != 0)
+                        measured = given & known
+                        miss = weighed[measured, k - 1] / total[measured, k - 1] - truth[measured]
+                        sums = (np.bincount(variant[given], minlength=n_variants), np.bincount(variant[measured], minlength=n_variants),
+                                np.bincount(variant[measured], np.square(miss), minlength=n_variants))
+                        out += [(v, i, *(x[v] for x in sums)) for v in np.flatnonzero(sums[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))],
+                                             names=["variant", "setting", "n", "m", "squares"])
+
+    rows = found.select("variant", F.col(actual).cast("double").alias("actual"), F.col("comps.distance").alias("distance"),
+                        F.col(f"comps.{outcome}").cast("array<double>").alias("outcome"))
+    sums = rows.mapInArrow(run, "variant int, setting int, n bigint, m bigint, squares double").groupBy("variant", "setting").agg(
+        *[F.sum(c).alias(c) for c in ("n", "m", "squares")])
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(bw)).alias("bandwidth")) for k, bw in settings])
+    return sums.withColumn("s", F.get(listed, F.col("setting"))).select(
+        "variant", "s.k", "s.bandwidth", "n", F.sqrt(F.try_divide(F.col("squares"), F.col("m"))).alias("rmse"))
+
+
 def comp_reasons(comps: DataFrame, queries: DataFrame, pool: DataFrame, params: DataFrame, spec: CompSpec,
                  labels: Mapping[str, str], top: int = 3) -> DataFrame:
     """Labels of the features in which a comparable is closest, in units of the feature's scale."""

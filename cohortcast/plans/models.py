@@ -308,15 +308,11 @@ def comp_grid_search(spark, d):
     b = comp_base(spark, d)
     variants = F.array(*[F.struct(F.array(F.lit(p), F.lit(m)).alias("weights"), F.lit(w).alias("window")) for p, m in GRID_WEIGHTS for w in GRID_WINDOWS])
     spec = cp.CompSpec(MAHAL.categories, k=max(GRID_K))
-    found = cp.nearest_comps(b, b, spec, ["comp_ppg"], variants=variants)
-    settings = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(bw).alias("bandwidth")) for k in GRID_K for bw in GRID_BANDWIDTHS])
-    each = found.withColumn("s", F.explode(settings)).where(F.col("comp_rank") <= F.col("s.k"))
-    sim = F.exp(-F.col("distance") / F.col("s.bandwidth"))
-    est = each.groupBy("variant", "s", "entity_id").agg(F.try_divide(F.sum(sim * F.col("comp_ppg")), F.sum(sim)).alias("est")).where("est IS NOT NULL")
-    errors = est.join(b.select("entity_id", "ppg"), "entity_id").groupBy("variant", "s").agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("est") - F.col("ppg"), F.lit(2)))).alias("rmse"))
+    found = cp.nearest_comps(b, b, spec, ["comp_ppg"], variants=variants, beside=["ppg"])
+    errors = cp.comp_errors(found, "ppg", "comp_ppg", [(k, bw) for k in GRID_K for bw in GRID_BANDWIDTHS])
+    errors = errors.withColumn("variant", F.get(variants, F.col("variant")))
     return errors.select(F.col("variant.weights")[0].alias("w_production"), F.col("variant.weights")[1].alias("w_measurables"),
-                         F.col("variant.window").alias("slot_window"), "s.k", "s.bandwidth", "n", r6(F.col("rmse")).alias("rmse"))
+                         F.col("variant.window").alias("slot_window"), "k", "bandwidth", "n", r6(F.col("rmse")).alias("rmse"))
 
 
 @query("score_cohort")

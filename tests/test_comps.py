@@ -134,3 +134,94 @@ def test_blocks_equal_brute_force(data, name):
     for i, found in got.items():
         assert [f[1] for f in sorted(found)] == pytest.approx([w[0] for w in want[i]], abs=2e-6)
         assert all(a[2] < b[2] for a, b in zip(sorted(found), sorted(found)[1:]) if a[1] == b[1] == 0.0)
+
+
+SETTINGS = [((p, m), float(w)) for p, m in ((1.5, 1.0), (1.0, 1.0), (1.0, 1.5), (2.0, 0.5)) for w in (20, 40, 80)]
+
+
+def kernel(settings, factor=1.0, n=3000):
+    """The search of one cell in this process: the comparables of every query, and how many pairs of rows were measured."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    f, slots = rng.normal(size=(n, 4)), rng.integers(1, 200, n)
+    f[rng.random(n) < 0.1, 3] = np.nan
+    f[::7, 2] = 0.5  # ties along one feature
+    spec = cp.CompSpec({"m": ["a", "b"], "n": ["c", "d"]}, k=6, rows_per_block=16)
+    asked = np.sort(rng.choice(np.flatnonzero((slots > 80) & (slots < 120)), 300, replace=False))
+    asked = asked[np.argsort(np.isnan(f[asked, 3]), kind="stable")]
+
+    def batch(rows, side):
+        none, size = pa.array([0] * len(rows), pa.int32()), len(rows)
+        features = [[None if np.isnan(x) else float(x) * factor for x in r] for r in f[rows]]
+        inv = [[[1.0, 0.3, 0.3, 1.0], [1.0, 0.0, 0.0, 2.0]]] * size if side else [None] * size
+        return pa.RecordBatch.from_arrays([
+            none, pa.array([side] * size, pa.int32()), pa.array(rows, pa.int64()), pa.array([2001 if side else 2000] * size, pa.int64()), pa.array(slots[rows].astype(float)),
+            pa.array(features, pa.list_(pa.float64())), pa.array([[1.0] * 4 if side else None] * size, pa.list_(pa.float64())), pa.array(inv, pa.list_(pa.list_(pa.float64()))),
+            pa.StructArray.from_arrays([none], ["none"]), pa.array([False] * size), pa.StructArray.from_arrays([none], ["none"]), pa.nulls(size, pa.list_(pa.float64()))],
+            names=["cell", "side", "id", "year", "slot", "f", "scale", "inv", "payload", "again", "own", "far"])
+
+    measured, forms = [], cp._Measure.forms
+
+    def counted(self, qm, columns, blocks):
+        out = forms(self, qm, columns, blocks)
+        measured.append(out[0].size)
+        return out
+
+    cp._Measure.forms = counted
+    try:
+        found = [r for b in cp._search(spec, settings)(iter([batch(np.arange(n), 0), batch(asked, 1)])) for r in b.to_pylist()]
+    finally:
+        cp._Measure.forms = forms
+    return {r["qid"]: [[(round(x["distance"] / factor, 7), x["comp_id"]) for x in c] for c in r["lists"]] for r in found}, sum(measured), f, slots
+
+
+def test_one_visit_serves_all_variants():
+    """Twelve variants cost about one search, and each gets what it would get alone."""
+    together, pairs, f, slots = kernel(SETTINGS)
+    alone = [kernel([s]) for s in SETTINGS]
+    assert pairs < 4 * max(a[1] for a in alone) and pairs < sum(a[1] for a in alone) / 3
+    assert all(lists == [a[0][q][0] for a in alone] for q, lists in together.items())
+    for q, lists in list(together.items())[::10]:
+        d = np.nan_to_num(f[q] - f)
+        have = (~np.isnan(f[q] - f)).reshape(-1, 2, 2).mean(axis=2)
+        forms = np.stack([d[:, 0] ** 2 + 0.6 * d[:, 0] * d[:, 1] + d[:, 1] ** 2, d[:, 2] ** 2 + 2 * d[:, 3] ** 2], axis=1)
+        for ((weights, window), got) in zip(SETTINGS, lists):
+            w = have * weights
+            distance = np.where(np.abs(slots - slots[q]) <= window, np.sqrt((w * forms).sum(axis=1) / w.sum(axis=1)), np.inf).round(7)
+            assert [c for _, c in got] == np.lexsort((np.arange(len(f)), distance))[:6].tolist()
+
+
+def test_distances_of_any_size():
+    """Distances that leave no room for the row in one number give the same neighbours."""
+    small, _, *_ = kernel(SETTINGS[:4])
+    large, _, *_ = kernel(SETTINGS[:4], factor=2.0 ** 40)
+    assert {q: [[c for _, c in x] for x in lists] for q, lists in small.items()} == {q: [[c for _, c in x] for x in lists] for q, lists in large.items()}
+
+
+def test_lists_beside_the_query(data):
+    """One row per query and variant, repeated ids included, and the errors of their estimates."""
+    from pyspark.sql import functions as F
+    base = {"m": ["a", "b"], "n": ["c", "d"]}
+    cases = [((1.5, 0.5), 20), ((1.0, 1.0), 60)]
+    variants = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("weights"), F.lit(window).alias("window")) for w, window in cases])
+    params = cp.search_params(data, cp.cohort_years(data, "cohort_year"), cp.CompSpec(base))
+    twice = data.where("entity_id % 50 = 0").withColumn("y", F.col("y") + 1000)
+    found = cp.nearest_comps(data.union(twice), data, cp.CompSpec(base, k=4), ["y"], params, variants, beside=["y"])
+    rows_ = found.collect()
+    want = [brute(cp.CompSpec(base, dict(zip(base, w)), k=4, window=window), params) for w, window in cases]
+    asked = [(r["entity_id"], r["y"]) for r in data.union(twice).collect()]
+    assert sorted((r["entity_id"], r["y"], r["variant"]) for r in rows_) == sorted((i, y, v) for i, y in asked for v in (0, 1) if i in want[v])
+    for r in rows_:
+        if r["entity_id"] % 50:
+            assert [c["distance"] for c in r["comps"]] == pytest.approx([w[0] for w in want[r["variant"]][r["entity_id"]]], abs=2e-6)
+        assert len(r["comps"]) == 4 and all(c["y"] == float(c["comp_id"]) for c in r["comps"])
+    settings = [(2, 0.5), (4, 1.0)]
+    got = {(r["variant"], r["k"], r["bandwidth"]): (r["n"], r["rmse"]) for r in cp.comp_errors(found, "y", "y", settings).collect()}
+    for v in (0, 1):
+        for k, bw in settings:
+            miss = []
+            for r in rows_:
+                if r["variant"] == v:
+                    sim = [np.exp(-c["distance"] / bw) for c in r["comps"][:k]]
+                    miss.append(sum(s * c["y"] for s, c in zip(sim, r["comps"])) / sum(sim) - r["y"])
+            assert got[v, k, bw][0] == len(miss) and got[v, k, bw][1] == pytest.approx(np.sqrt(np.mean(np.square(miss))))
