@@ -768,11 +768,14 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         met = attach(visits.groupBy(*key).agg(F.count("*").alias("__asked")), counts, key, "inner")
         met = met.withColumn("__parts", F.ceil(F.col("n") / max(8, spec.rows_per_cell)).cast("int"))
         # tasks in order of their work, the parts of a cell one after the other
-        in_order = Window.orderBy((F.col("__asked") + F.col("n") / F.col("__parts")).desc(), *key)
+        met = met.withColumn("__work", F.col("__asked") * len(settings) + F.col("n") / F.col("__parts"))
+        in_order = Window.orderBy(F.col("__work").desc(), *key)
         cells = materialize(met.withColumn("__first", F.sum("__parts").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
-                            .select(*key, "__parts", F.coalesce("__first", F.lit(0)).cast("int").alias("__first")), "comp-cells")
-        n_tasks = cells.agg(F.sum("__parts")).first()[0] or 1
-        visits = attach(visits, cells, key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+                            .select(*key, "__parts", "__work", F.coalesce("__first", F.lit(0)).cast("int").alias("__first")), "comp-cells")
+        n_parts, work = cells.agg(F.sum("__parts"), F.sum(F.col("__parts") * F.col("__work"))).first()
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_tasks = max(1, min(n_parts or 1, 4 * partitions, max(partitions, int((work or 0) // 10_000))))  # few where there is little to do
+        visits = attach(visits, cells.drop("__work"), key, "inner").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
         again = F.lit(True)
         if whole:
             twice = materialize(visits.groupBy("id").agg(F.count("*").alias("__n")).where("__n > 1").select("id", F.lit(True).alias("__again")), "comp-again")
@@ -780,13 +783,12 @@ def nearest_comps(queries: DataFrame, pool: DataFrame, spec: CompSpec, payload:
         visits = visits.select((F.col("__first") + F.col("__part")).alias("cell"), F.lit(1).alias("side"), "id", "year", "slot", "f", "scale", "inv",
                                F.lit(None).cast(kinds["payload"]).alias("payload"), again.alias("again"), "own", "far")
         rows = index.rows.withColumn("__chunk", reaching(F.col("slot"), F.col("slot")))
-        rows = attach(rows, cells, key, "inner").select(
+        rows = attach(rows, cells.drop("__work"), key, "inner").select(
             (F.col("__first") + F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")).alias("cell"), F.lit(0).alias("side"), "id", "year", "slot", "f",
             F.lit(None).cast("array<double>").alias("scale"), F.lit(None).cast("array<array<double>>").alias("inv"), "payload",
             F.lit(None).cast("boolean").alias("again"), F.lit(None).cast(kinds["own"]).alias("own"), F.lit(None).cast("array<double>").alias("far"))
         # queries of the same measure together
         alike = [F.when(F.col("side") == 1, c) for c in (F.col("year"), F.transform("f", lambda x: x.isNull()))]
-        n_tasks = min(int(n_tasks), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
         both = rows.union(visits).repartitionById(n_tasks, F.col("cell") % n_tasks).sortWithinPartitions("cell", "side", *alike, "id")
         return both.mapInArrow(_search(spec, settings), schema)
 
